@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, quality_rules, topk
+from tessera.llm import byte_bpe, mixing, quality_rules, topk
 from tessera.llm.common import table
 
 
@@ -34,10 +34,16 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.dot_search(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_topk": op3_exact_topk,
+    "op7_mixing": op7_mixing,
 }
 
 OP3_SQL = """
