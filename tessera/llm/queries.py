@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, mixing, quality_rules, topk
+from tessera.llm import byte_bpe, mixing, quality_rules, topk, url_filters
 from tessera.llm.common import table
 
 
@@ -39,11 +39,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: host, path, verdict
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge(pages, URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_topk": op3_exact_topk,
     "op7_mixing": op7_mixing,
+    "op9_url_filters": op9_url_filters,
 }
 
 OP3_SQL = """
@@ -59,6 +69,51 @@ WITH q AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+def _op9_sql() -> str:
+    """The tree level by level, as SQL."""
+    d = url_filters.DEPTH
+    steps = []
+    for k in range(1, d + 1):
+        below = f"s{k + 1}" if k < d else "rest"
+        rest = ", ".join(["host", "shape", "n", "labelled", "blocked", *[f"s{j}" for j in range(1, d + 1) if j != k], "rest"])
+        steps.append(f"""
+nodes{k} AS (SELECT host, prefix, count(DISTINCT s{k}) AS kids, sum(n) AS urls FROM t{k - 1} WHERE s{k} IS NOT NULL GROUP BY ALL),
+v{k} AS (SELECT {", ".join("t." + x for x in rest.split(", "))}, t.prefix,
+  CASE WHEN s{k} IS NOT NULL AND kids >= {url_filters.CHILDREN} AND urls < {url_filters.URLS_EACH} * kids THEN '*' ELSE s{k} END AS s{k}
+  FROM t{k - 1} t LEFT JOIN nodes{k} USING (host, prefix)),
+b{k} AS (SELECT host, prefix, s{k}, sum(n) AS bn, sum(blocked) AS bb, sum(CASE WHEN {below} IS NOT NULL THEN n ELSE 0 END) AS bd
+  FROM v{k} WHERE s{k} IS NOT NULL AND s{k} <> '*' GROUP BY ALL),
+p{k} AS (SELECT host, prefix, sum(bn) AS pn, sum(bb) AS pb, sum(bd) AS pd FROM b{k} GROUP BY ALL),
+m{k} AS (SELECT host, prefix, s{k}, true AS merge FROM b{k} JOIN p{k} USING (host, prefix)
+  WHERE abs(bb::DOUBLE / bn - pb::DOUBLE / pn) <= {url_filters.ERRORS}::DOUBLE * sqrt(pb::DOUBLE / pn * (1::DOUBLE - pb::DOUBLE / pn) * (1::DOUBLE / bn + 1::DOUBLE / pn))
+    AND abs(bd::DOUBLE / bn - pd::DOUBLE / pn) <= {url_filters.SHAPE}::DOUBLE),
+w{k} AS (SELECT {", ".join("v." + x for x in rest.split(", "))}, v.prefix, CASE WHEN merge THEN '*' ELSE v.s{k} END AS s{k} FROM v{k} v LEFT JOIN m{k} USING (host, prefix, s{k})),
+t{k} AS (SELECT * EXCLUDE (prefix), CASE WHEN s{k} IS NOT NULL THEN prefix || '/' || s{k} ELSE prefix END AS prefix FROM w{k}),""")
+    prior = f"{url_filters.PRIOR}::DOUBLE"
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages),
+h AS (SELECT page_id, coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}'), '') AS host,
+  coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+f AS (SELECT *, CASE
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
+  list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM h),
+g AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS block,
+  list_transform(segs[1:{d}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) || CASE WHEN len(segs) > {d} THEN ['**'] ELSE [] END AS shape FROM f),
+t0 AS (SELECT host, shape, count(*) AS n, count(block) AS labelled, coalesce(sum(block), 0) AS blocked,
+  {", ".join(f"shape[{j}] AS s{j}" for j in range(1, d + 1))}, shape[{d + 1}] AS rest, '' AS prefix FROM g GROUP BY host, shape),{"".join(steps)}
+tt AS (SELECT *, prefix || CASE WHEN rest IS NOT NULL THEN '/**' ELSE '' END AS template FROM t{d}),
+ph AS (SELECT host, (sum(blocked) + {prior} * (SELECT sum(blocked)::DOUBLE / sum(n) FROM tt)) / (sum(n) + {prior}) AS ph FROM tt GROUP BY host),
+pt AS (SELECT host, template, (sum(blocked) + {prior} * any_value(ph)) / (sum(labelled) + {prior}) AS purity FROM tt JOIN ph USING (host) GROUP BY host, template)
+SELECT page_id, host, path, rule,
+  CASE WHEN block = 1 THEN 'block' WHEN block = 0 THEN 'allow' WHEN purity > 0.5 THEN 'block' ELSE 'allow' END AS verdict, template
+FROM g JOIN tt USING (host, shape) JOIN pt USING (host, template)
+"""
+
+
 ORACLE: dict[str, str] = {
     "op3_exact_topk": OP3_SQL,
+    "op9_url_filters": _op9_sql(),
 }
