@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, mixing, quality_rules, topk, url_filters
+from tessera.llm import byte_bpe, minhash, mixing, quality_rules, topk, url_filters
 from tessera.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.dot_search(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_topk": op3_exact_topk,
+    "op5_minhash": op5_minhash,
     "op7_mixing": op7_mixing,
     "op9_url_filters": op9_url_filters,
 }
@@ -69,6 +74,24 @@ WITH q AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS sh FROM w),
+c AS (SELECT sh, min(doc_id) AS doc, len(sh) AS n, row_number() OVER () AS node FROM s WHERE len(sh) > 0 GROUP BY sh),
+t AS (SELECT node, n, unnest(sh) AS tok FROM c),
+df AS (SELECT tok FROM t GROUP BY tok HAVING count(*) > 1),
+p AS (SELECT a.node AS x, b.node AS y, count(*) AS i, any_value(a.n) AS nx, any_value(b.n) AS ny
+  FROM t a JOIN df USING (tok) JOIN t b ON a.tok = b.tok AND a.node < b.node GROUP BY a.node, b.node),
+l AS (SELECT x, y FROM p WHERE 100 * i >= 75 * (nx + ny - i)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(node, seen) AS (SELECT node, node FROM c UNION SELECT r.node, e.y FROM r JOIN e ON r.seen = e.x),
+m AS (SELECT r.node, min(c.doc) AS component_id FROM r JOIN c ON c.node = r.seen GROUP BY r.node)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON s.sh = c.sh AND len(s.sh) > 0 LEFT JOIN m ON m.node = c.node
+"""
+
+
 def _op9_sql() -> str:
     """The tree level by level, as SQL."""
     d = url_filters.DEPTH
@@ -115,5 +138,6 @@ FROM g JOIN tt USING (host, shape) JOIN pt USING (host, template)
 
 ORACLE: dict[str, str] = {
     "op3_exact_topk": OP3_SQL,
+    "op5_minhash": OP5_SQL,
     "op9_url_filters": _op9_sql(),
 }
