@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, minhash, mixing, quality_rules, topk, url_filters
+from tessera.llm import byte_bpe, lm_scoring, minhash, mixing, quality_rules, topk, url_filters
 from tessera.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, URL_RULES)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op7_mixing": op7_mixing,
     "op9_url_filters": op9_url_filters,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 OP3_SQL = """
