@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, importance, lm_scoring, minhash, mixing, quality_rules, topk, url_filters
+from tessera.llm import byte_bpe, importance, line_dedup, lm_scoring, minhash, mixing, quality_rules, topk, url_filters
 from tessera.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: host, path, verdict
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
 }
@@ -84,6 +89,22 @@ WITH q AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP8_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
+w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+s AS (SELECT doc_id, line_no, list_sort(list_distinct(ws)) AS toks FROM w WHERE len(ws) >= 5),
+c AS (SELECT toks, min((doc_id, line_no)) AS place, len(toks) AS n, row_number() OVER () AS cls FROM s GROUP BY toks),
+t AS (SELECT cls, n, place, unnest(toks) AS tok FROM c),
+f AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),
+p AS (SELECT cls, n, place, tok FROM (SELECT t.*, row_number() OVER (PARTITION BY cls ORDER BY df, tok) AS k FROM t JOIN f USING (tok)) WHERE k <= n - ceil(75 * n / 100) + 1),
+cand AS (SELECT DISTINCT a.cls AS x, b.cls AS y FROM p a JOIN p b ON a.tok = b.tok AND a.place < b.place AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n),
+later AS (SELECT DISTINCT y AS cls FROM (SELECT y, len(list_intersect(a.toks, b.toks)) AS i, a.n + b.n AS t FROM cand JOIN c a ON a.cls = x JOIN c b ON b.cls = y) WHERE 100 * i >= 75 * (t - i)),
+gone AS (SELECT s.doc_id, s.line_no FROM s JOIN c USING (toks) LEFT JOIN later USING (cls) WHERE later.cls IS NOT NULL OR (s.doc_id, s.line_no) <> c.place),
+g AS (SELECT doc_id, count(*) AS n, string_agg(line_no, ',' ORDER BY line_no) AS r FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, coalesce(g.r, '') AS removed
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
@@ -149,5 +170,6 @@ FROM g JOIN tt USING (host, shape) JOIN pt USING (host, template)
 ORACLE: dict[str, str] = {
     "op3_exact_topk": OP3_SQL,
     "op5_minhash": OP5_SQL,
+    "op8_line_dedup": OP8_SQL,
     "op9_url_filters": _op9_sql(),
 }
