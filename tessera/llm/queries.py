@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, importance, line_dedup, lm_scoring, minhash, mixing, quality_rules, topk, url_filters
+from tessera.llm import byte_bpe, importance, line_dedup, lm_scoring, minhash, mixing, quality_rules, substring_dedup, topk, url_filters
 from tessera.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.dot_search(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_topk": op3_exact_topk,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_minhash": op5_minhash,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_mixing": op7_mixing,
@@ -89,6 +95,17 @@ WITH q AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, unnest(list_transform(range(1, len(ws) - 33), lambda i: array_to_string(ws[i:i + 34], ' '))) AS win FROM w WHERE len(ws) >= 35),
+r AS (SELECT win FROM x GROUP BY win HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM x JOIN r USING (win)),
+p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS word FROM w WHERE len(ws) > 0),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM p ANTI JOIN c USING (doc_id, k) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
 w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
@@ -169,6 +186,7 @@ FROM g JOIN tt USING (host, shape) JOIN pt USING (host, template)
 
 ORACLE: dict[str, str] = {
     "op3_exact_topk": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op5_minhash": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_url_filters": _op9_sql(),
