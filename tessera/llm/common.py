@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,24 +37,91 @@ def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a * _M1 + b)
 
 
-class WordHasher:
-    """64-bit hashes of words, remembering up to ``room`` of them."""
-
-    def __init__(self, room: int = 300_000):
-        self.room, self.seen = room, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > self.room:
-            seen.clear()
-        try:
-            return np.array([seen[w] for w in words], U64)
-        except KeyError:
-            h = xxhash.xxh64_intdigest
-            for w in set(words):
-                if w not in seen:
-                    seen[w] = h(w)
-            return np.array([seen[w] for w in words], U64)
+_BYTE = mix(np.arange(256, dtype=U64) + U64(0x1234567))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.isin(np.arange(256), list(SPACES))
+_POWERS = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+#: Bytes of text that are hashed together.
+HASHED = 1 << 19
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse modulo 2 ** 64."""
+    if len(_POWERS["up"]) <= n:
+        size = 1 << max(n, HASHED + 1).bit_length()
+        base = 0x9E3779B97F4A7C15
+        for name, x in (("up", base), ("down", pow(base, -1, 1 << 64))):
+            step = np.full(size, x, U64)
+            step[0] = 1
+            _POWERS[name] = np.cumprod(step)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def word_hashes(rows: list[bytes | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, one after the other, and each text's number of words.
+
+    A word's hash is the difference of two prefix sums of its bytes' random values times powers of an odd
+    number, brought to the same power, so all words are hashed by a few array operations.
+    """
+    hashes, counts, part, held = [], [], [], 0
+    for k, b in enumerate(rows):
+        part.append(b or b"")
+        held += len(part[-1]) + 1
+        if held >= HASHED or k == len(rows) - 1:
+            h, n = _hashed(part, lower)
+            hashes.append(h), counts.append(n)
+            part, held = [], 0
+    return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.empty(0, U64), np.empty(0, np.int64))
+
+
+def _hashed(part: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"\n".join([*part, b""]), np.uint8)
+    space = _IS_SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate(([0], edge))
+    start, end = edge[::2], edge[1::2]
+    up, down = _powers(len(raw))
+    sums = np.zeros(len(raw) + 1, U64)
+    np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * up[: len(raw)], out=sums[1:])
+    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * _M1)
+    ends = np.cumsum([len(x) + 1 for x in part])
+    return hashes, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def by_text(hashes: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """The slice of each text."""
+    ends = np.cumsum(counts).tolist()
+    for a, b in zip([0, *ends], ends, strict=False):
+        yield hashes[a:b]
+
+
+class Lookup:
+    """Places of 64-bit keys in a sorted array, by a table over their mixed leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        mixed = mix(keys.view(U64)) if len(keys) else np.empty(0, U64)
+        self.order = np.argsort(mixed)
+        self.mixed = mixed[self.order]
+        self.shift = U64(64 - max(1, len(keys).bit_length() + 2))
+        cells = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.int64)
+        self.first = np.searchsorted((self.mixed >> self.shift).astype(np.int64), cells).astype(np.int32)
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key in the given array, -1 if it is not there."""
+        out = np.full(len(wanted), -1, np.int64)
+        if not len(self.mixed):
+            return out
+        m = mix(wanted.view(U64))
+        at = self.first[(m >> self.shift).astype(np.int64)]
+        top = len(self.mixed) - 1
+        for k in range(self.most):
+            x = np.minimum(at + k, top)
+            hit = self.mixed[x] == m
+            out[hit] = self.order[x[hit]]
+        return out
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
