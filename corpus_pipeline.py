@@ -5,16 +5,44 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
+from tessera.llm import byte_bpe, line_dedup, minhash, mixing, quality_rules
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier line is similar to; n_chars follows the text."""
+    return line_dedup.dedupe(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.dedupe(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.resample(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their packed token ids, and the text that these decode to in place of the text."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ids = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    back = byte_bpe.decode(ids, ranks)
+    text = F.decode("decoded", "UTF-8")
+    return back.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"), (F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids")
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_near_dedup", near_duplicates), ("mixing", mix), ("byte_bpe", tokens)]
+#: The hashes that MinHash bands and the seeded mix go by cannot be expressed in SQL.
 ORACLE_SQL: str | None = None
 
 
