@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, WordHasher, join_hash, materialize, mix, texts
+from tessera.llm.common import U64, join_hash, materialize, mix, texts, word_hashes
 
 #: Slots of a model, for words and pairs and for byte trigrams each.
 SLOTS = 1 << 14
@@ -32,11 +32,9 @@ MOST_LABELS = 200_000
 BINS, FEW = 4096, 20_000
 
 
-def features(rows: list[bytes | None], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of all features of some texts, the text of each, and the texts' numbers of words."""
-    lists = [(b or b"").lower().split() for b in rows]
-    n = np.array([len(x) for x in lists], np.int64)
-    h = hasher([w for x in lists for w in x])
+    h, n = word_hashes(rows, lower=True)
     doc = np.repeat(np.arange(len(rows)), n)
     same = doc[1:] == doc[:-1]
     pairs = join_hash(h[:-1], h[1:])[same]
@@ -51,13 +49,17 @@ def features(rows: list[bytes | None], hasher: WordHasher) -> tuple[np.ndarray,
     return np.concatenate(slots), np.concatenate([doc, doc[1:][same], at[2:][inside] if len(low) > 2 else at[:0]]), n
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def fit(docs: DataFrame) -> np.ndarray:
     """docs: text, target. The log ratio of each slot's probability in the target model to that in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, count = WordHasher(), np.zeros((2, 2 * SLOTS), np.int64)
-        for batch in batches:
-            slot, doc, _ = features(texts(batch), hasher)
+        count = np.zeros((2, 2 * SLOTS), np.int64)
+        for batch in (part for whole in batches for part in _parts(whole)):
+            slot, doc, _ = features(texts(batch))
             target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             count[0] += np.bincount(slot, minlength=2 * SLOTS)
             count[1] += np.bincount(slot[target[doc]], minlength=2 * SLOTS)
@@ -104,9 +106,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: st
     ratio = docs.sparkSession.sparkContext.broadcast(fit(flagged))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, table = WordHasher(), ratio.value
-        for batch in batches:
-            slot, doc, n = features(texts(batch), hasher)
+        table = ratio.value
+        for batch in (part for whole in batches for part in _parts(whole)):
+            slot, doc, n = features(texts(batch))
             sums = np.bincount(doc, table[slot], len(n)) / np.maximum(n, 1) * length
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], names=["doc_id", "log_weight"])
 
