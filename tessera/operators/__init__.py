@@ -1 +1 @@
-
+"""Operators on tables of documents, chunks, folders and events."""

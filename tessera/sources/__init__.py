@@ -1 +1 @@
-
+"""Files to extracted text, and tables and files out again."""
