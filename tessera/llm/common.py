@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -129,6 +131,18 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def parts(batches: Iterable[pa.RecordBatch], size: int = 4_000_000, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of about so many bytes of text, to bound what a task holds."""
+    for batch in batches:
+        ends = np.cumsum([0 if b is None else len(b) for b in texts(batch, name)])
+        at = 0
+        while at < batch.num_rows:
+            limit = (ends[at - 1] if at else 0) + size
+            to = min(max(at + 1, int(np.searchsorted(ends, limit, side="right"))), batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
@@ -137,6 +151,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as compressed Parquet in the shared folder and read back, for larger tables.
+
+    The files are removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    path = f"{top}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``rows`` rows, else as it is (joined by a shuffle)."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small

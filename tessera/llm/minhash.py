@@ -4,9 +4,10 @@ Documents with one and the same shingle set are a class, found by a partial aggr
 representative goes on, so a group of exact copies costs one row. A representative's set is hashed once into
 bins; an empty bin takes the value of a bin that a fixed sequence of probes reaches. Bands of bins are
 buckets, and each bucket proposes a star: its least node with every other. Confirmed stars make components.
-Where a bucket's nodes are still in different components, its nodes go through an exact set-similarity join
-(shingles ordered by rarity, prefix and length filters) that finds every remaining link between different
-components; so a star loses none, and no bucket is paired out or cut off.
+Buckets whose nodes are still in different components propose stars from other centres, and what then still
+is apart goes through an exact set-similarity join (shingles ordered by rarity; prefix, length and positional
+filters) that finds every remaining link between different components; so stars lose none, and no bucket is
+paired out or cut off.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows with a null
 id take part; their component's id is the least id in it, null if there is none. Rows that repeat an id each
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, WordHasher, bounded, join_hash, materialize, mix, texts
+from tessera.llm.common import U64, bounded, by_text, join_hash, materialize, mix, parts, texts, word_hashes
 from tessera.llm.graph import components
 
 WIDTH = 5
@@ -34,30 +35,27 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Ids that may be broadcast to fetch texts: 16 bytes each.
-BROADCAST_IDS = 400_000
+BROADCAST_IDS = 200_000
+#: Further rounds of stars, from other centres, in buckets whose nodes are in different components.
+ROUNDS = 2
 #: Slots of the table of estimated shingle frequencies; it orders shingles only.
-SLOTS = 1 << 20
+SLOTS = 1 << 17
 
 _PROBES = (mix(np.arange(BINS * 400, dtype=U64) + U64(0x5851F42D)) % U64(BINS)).astype(np.int64).reshape(400, BINS)
 
 
-def shingles(b: bytes | None, hasher: WordHasher, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; a shorter text is one shingle."""
-    words = (b or b"").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, U64)
-    h = hasher(words)
-    if n < width:
-        acc = U64(n) + h[:1]
-        for k in range(1, n):
-            acc = join_hash(acc, h[k : k + 1])
-        return acc
-    m = n - width + 1
-    acc = mix(h[:m])
-    for k in range(1, width):
-        acc = join_hash(acc, h[k : k + m])
-    return np.unique(acc)
+def shingle_sets(rows: list[bytes | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; a shorter text is one shingle."""
+    for h in by_text(*word_hashes(rows, lower=True)):
+        n = len(h)
+        m = max(n - width + 1, 1)
+        if not n:
+            yield h
+            continue
+        acc = mix(h[:m] + U64(min(n, width)))
+        for k in range(1, min(n, width)):
+            acc = join_hash(acc, h[k : k + m])
+        yield np.unique(acc)
 
 
 def buckets(s: np.ndarray) -> np.ndarray:
@@ -87,11 +85,9 @@ def signatures(docs: DataFrame, id_: str, text: str, width: int = WIDTH) -> Data
     """doc_id, n_shingles, key (a 128-bit hash of the set, null if it is empty), buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
+        for batch in parts(batches):
             n, keys, found = [], [], []
-            for b in texts(batch, "text"):
-                s = shingles(b, hasher, width)
+            for s in shingle_sets(texts(batch), width):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 found.append(buckets(s) if len(s) else None)
@@ -106,10 +102,9 @@ def _texts(docs: DataFrame, id_: str, text: str, wanted: DataFrame, width: int)
     held = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
+        for batch in parts(batches):
             keys = batch.column(1).to_pylist()
-            same = [len(s := shingles(b, hasher, width)) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == k for b, k in zip(texts(batch, "text"), keys, strict=True)]
+            same = [len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(shingle_sets(texts(batch), width), keys, strict=True)]
             yield batch.select(["node", "text"]).filter(pa.array(same, pa.bool_()))
 
     return held.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
@@ -121,11 +116,11 @@ def _confirmed(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> D
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, known = WordHasher(), OrderedDict()
+        known: OrderedDict[int, np.ndarray] = OrderedDict()
 
         def of(node: int, b: bytes) -> np.ndarray:
             if node not in known:
-                known[node] = shingles(b, hasher, width)
+                known[node] = next(shingle_sets([b], width))
                 if len(known) > 500:
                     known.popitem(last=False)
             return known[node]
@@ -145,10 +140,10 @@ def _frequencies(held: DataFrame, width: int) -> np.ndarray:
     """Estimated shingle frequencies: counts by slot, of a fixed number of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, count = WordHasher(), np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for b in texts(batch):
-                count[(shingles(b, hasher, width) % U64(SLOTS)).astype(np.int64)] += 1
+        count = np.zeros(SLOTS, np.int64)
+        for batch in parts(batches):
+            for s in shingle_sets(texts(batch), width):
+                count[(s % U64(SLOTS)).astype(np.int64)] += 1
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["slot", "n"])
 
@@ -164,23 +159,24 @@ def _remaining(nodes: DataFrame, held: DataFrame, width: int, percent: int) -> D
     rarity = own.sparkSession.sparkContext.broadcast(_frequencies(own, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, count = WordHasher(), rarity.value
-        for batch in batches:
-            token, node, comp, size = [], [], [], []
-            for x, c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), strict=True):
-                s = shingles(b, hasher, width)
+        count = rarity.value
+        for batch in parts(batches):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for x, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts(batch), width), strict=True):
                 n = len(s)
                 first = s[np.lexsort((s, count[(s % U64(SLOTS)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1]
-                token.append(first.view(np.int64))
-                for out, v in ((node, x), (comp, c), (size, n)):
-                    out.append(np.full(len(first), v, np.int64))
-            cols = [np.concatenate(v) if v else np.empty(0, np.int64) for v in (token, node, comp, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["token", "node", "component", "n"])
-
-    rows = own.mapInArrow(run, "token long, node long, component long, n long")
-    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "n")]) for x in "ab")
-    near = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    pairs = a.join(b, "token").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & near)
+                for held, v in zip(out, (first.view(np.int64), np.full(len(first), x), np.full(len(first), c), np.full(len(first), n), np.arange(len(first))), strict=True):
+                    held.append(v.astype(np.int64))
+            cols = [np.concatenate(v) if v else np.empty(0, np.int64) for v in out]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["token", "node", "component", "n", "place"])
+
+    rows = own.mapInArrow(run, "token long, node long, component long, n long, place long")
+    # a is the smaller set: of its tokens fewer need be looked at, since no smaller set than it takes part.
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns]) for x in "ab")
+    a = a.filter(F.col("place_a") <= F.col("n_a") - F.ceil(2 * percent * F.col("n_a") / F.lit(100 + percent)))
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    pairs = a.join(b, (F.col("token_a") == F.col("token_b")) & ordered & (F.col("component_a") != F.col("component_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & room)
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -198,13 +194,21 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", wi
     proposed = stars.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(_confirmed(proposed, words, width, percent))
     found = materialize(components(links))
-    of = involved.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    in_buckets = stars.select("bucket", "node").join(of, "node")
-    apart = in_buckets.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
-    unsettled = materialize(in_buckets.join(apart, "bucket").select("node", "component").distinct())
-    if unsettled.limit(1).count():
-        more = _confirmed(materialize(_remaining(unsettled, words, width, percent)), words, width, percent)
-        found = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    for k in range(ROUNDS + 1):
+        of = involved.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        in_buckets = (stars if k == 0 else unsettled).select("bucket", "node").join(of, "node")
+        apart = in_buckets.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("bucket")
+        unsettled = materialize(in_buckets.join(apart, "bucket").select("bucket", "node", "component"))
+        if not unsettled.limit(1).count():
+            break
+        if k < ROUNDS:
+            centre = unsettled.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("bucket", "node", F.lit(k))).alias("c"))
+            proposed = unsettled.join(centre, "bucket").filter("component != c.component").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        else:
+            proposed = _remaining(unsettled.select("node", "component").distinct(), words, width, percent)
+        more = materialize(_confirmed(materialize(proposed), words, width, percent))
+        if more.limit(1).count():
+            found = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     named = classes.select("key", "node", "doc").join(found, "node", "left").select("key", "doc", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_key = named.join(least, "component").select(F.col("key").alias("class"), "component_id")
