@@ -9,14 +9,16 @@ from tessera import schema as S
 from tessera.functions import text as X
 from tessera.operators import outline as O
 from tessera.operators.entities import distinct_links, rank_entities
+from tessera.storage import checkpointed
 
 SOURCES = {"pdf-bookmarks": "PDF 目录（书签）", "markdown-headings": "Markdown 标题", "text-headings": "文本标题"}
 
 
 def sections(docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The unwrapped tree with numbers and depths, and the chunks' sections. Chunks without a section come first."""
-    nodes, owned = O.unwrap_title(docs, *O.section_tree(docs, chunks))
-    return O.numbering(nodes), owned
+    nodes, owned = (checkpointed(x) for x in O.section_tree(docs, chunks))
+    nodes, owned = (checkpointed(x) for x in O.unwrap_title(docs, nodes, owned))
+    return checkpointed(O.numbering(nodes)), owned
 
 
 def subtree_chunks(nodes: DataFrame, owned: DataFrame) -> DataFrame:

@@ -43,12 +43,13 @@ def scores(index: Index, terms: DataFrame, stats: tuple[int, float] | None = Non
 def ranked(found: DataFrame, top_k: int = S.TOP_K, least: float = 0.0, strict: bool = True) -> DataFrame:
     """The best chunks of each query with rank and score relative to the best.
 
-    A hit needs a term of two letters or more, unless ``strict`` is off. Ties go to the earlier chunk, then id.
+    A hit needs a term of two letters or more, unless ``strict`` is off. Scores that agree to nine places tie
+    (the order of a sum's terms is not fixed); ties go to the earlier chunk, then id.
     """
     k = max(1, min(top_k, S.MOST_TOP_K))
     good = found.filter(F.col("score") > least)
     good = good.filter("longest >= 2") if strict else good
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_index", "chunk_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_index", "chunk_id")
     top = good.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     best = F.max("score").over(Window.partitionBy("query_id"))
     return top.withColumn("relative", F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0))).withColumn("terms", F.slice("terms", 1, 8))

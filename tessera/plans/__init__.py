@@ -1 +1 @@
-
+"""The catalogue of queries with their SQL."""

@@ -1 +1 @@
-
+"""Streaming ingestion, lifecycle state and incremental maintenance."""
