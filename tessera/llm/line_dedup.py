@@ -4,9 +4,9 @@ A line's tokens are its distinct words. Lines with one and the same token set ar
 (by id, then line number) stands for it. Tokens are ordered by rarity: by the frequency of their hash slot,
 counted over all lines, then by hash; any fixed order keeps the join exact. Two classes can only be similar
 enough if their prefixes share a token, their sizes are close, and the shared token's positions leave room
-for the overlap they need. Within each token's group the first document's lines are compared with all
-others; those that this removes are left out as the later line of any further pair, so a large group of near
-copies is not paired out. Candidates are verified on the words themselves.
+for the overlap they need; a bitmap of the sets then bounds how much they differ. In a large group of one token
+the first line is compared with all others; those that this removes are left out as the later line of any
+further pair, so a large group of near copies is not paired out. Candidates are verified on their words.
 
 A line goes if an earlier line, removed or not, has a Jaccard similarity of at least PERCENT / 100 to it.
 Lines of fewer than ``least`` words are neither removed nor compared. Null text has no lines; null ids come
@@ -19,21 +19,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, fresh, materialize
+from tessera.llm.common import bounded, fresh, materialize, stored
 
 PERCENT = 75
 LEAST_WORDS = 5
-SLOT_BITS = 14
+SLOT_BITS = 17
 SPACES = r"[\x20\x09-\x0D]+"
+#: Classes of a token's group from which it is compared with its first line before all others.
+HOT = 64
 #: Lines that may be broadcast to fetch their words.
 BROADCAST_LINES = 100_000
 _LAST = (1 << 63) - 1
 
 
+def _once(x: Column) -> Column:
+    """x as a column of one value a row that is computed once, however often it is used."""
+    return F.explode(F.array(x))
+
+
+def _split(line: Column) -> Column:
+    """The line's words, with empty strings between and around them."""
+    return F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(line, SPACES, -1)).otherwise(F.split(line, " ", -1))
+
+
 def _lines(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """doc, line_no (from 0), words (with empty strings at most at the ends)."""
-    rows = docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc", "line_no", F.split("line", SPACES, -1).alias("words"))
+    """doc, line_no (from 0), line."""
+    return docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 
 def _slot(h: Column) -> Column:
@@ -42,7 +53,7 @@ def _slot(h: Column) -> Column:
 
 def _ranks(lines: DataFrame) -> list[int]:
     """The rank of each hash slot by the number of words in it, rarest first."""
-    words = lines.select(F.explode("words").alias("w")).filter("w != ''")
+    words = lines.select(F.explode(_split(F.col("line"))).alias("w")).filter("w != ''")
     found = dict(words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n")).collect())
     order = sorted(range(1 << SLOT_BITS), key=lambda s: (found.get(s, 0), s))
     rank = [0] * len(order)
@@ -55,63 +66,74 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / F.lit(100 + percent))
 
 
-def similar_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Every line of at least ``least`` words as doc, line_no, cls; and cls, doc, line_no, later of each class.
-
-    doc and line_no of a class are those of its first line; later tells that an earlier class is similar.
-    """
+def _sets(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> DataFrame:
+    """Lines of at least ``least`` words: cls (a hash of the token set), doc, line_no, n (tokens), bits (a bitmap
+    of the set) and prefix, the rarest tokens as ints in the order of rarity."""
     lines = _lines(docs, id_, text)
     table = F.split(F.lit(",".join(map(str, _ranks(lines)))), ",").cast("array<int>")
-    token = lambda w: F.shiftleft(F.get(table, _slot(F.xxhash64(w))).cast("long"), 48).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 48) - 1)))
-    ids = F.array_sort(F.transform(F.array_distinct(F.array_remove("words", "")), token))
-    enough = F.size(F.array_remove("words", "")) >= least
-    sets = lines.filter(enough).select("doc", "line_no", ids.alias("ids"))
+    empty = F.xxhash64(F.lit(""))
+    token = lambda h: F.shiftleft(F.get(table, _slot(h)).cast("long"), 46).bitwiseOR(h.bitwiseAND(F.lit((1 << 46) - 1)))
+    words = lines.select("doc", "line_no", _once(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    words = words.select("doc", "line_no", _once(F.array_remove("h", empty)).alias("h")).filter(F.size("h") >= least)
+    ids = words.select("doc", "line_no", _once(F.sort_array(F.transform(F.array_distinct("h"), token))).alias("ids"))
     n = F.size("ids")
     prefix = F.slice("ids", F.lit(1), (n - F.ceil(percent * n / F.lit(100)) + 1).cast("int"))
-    own = materialize(sets.select(F.xxhash64("ids").alias("cls"), "doc", "line_no", n.alias("n"), F.transform(prefix, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("prefix")))
-    at = F.min(F.struct("doc", "line_no"))
-    classes = materialize(own.groupBy("cls").agg(at.alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("cls", "at.doc", "at.line_no", "n", "prefix"))
-    rows = classes.select("cls", "doc", "n", F.posexplode("prefix").alias("p", "token")).repartition("token")
-    groups = rows.groupBy("token").agg(F.count("*").alias("many"), F.min("doc").alias("first")).filter("many > 1")
-    hits = materialize(rows.join(groups, "token").select("token", "cls", "doc", "n", "p", (F.col("doc") == F.col("first")).alias("is_first")))
-
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-        a, b = (x.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("cls", "n", "p")]) for k, x in (("a", left), ("b", right)))
-        need = _least_overlap(F.col("n_a"), F.col("n_b"), percent)
-        room = 1 + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1 >= need
-        close = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-        joined = a.join(b, "token").filter((F.col("cls_a") != F.col("cls_b")) & close & room)
-        return joined.select("cls_a", "cls_b").distinct()
-
-    places = classes.select("cls", "doc", "line_no")
-
-    def later(found: DataFrame) -> DataFrame:
-        """The classes that an earlier one of their pairs is similar to."""
-        found = materialize(found)
-        wanted = found.select(F.col("cls_a").alias("cls")).unionByName(found.select(F.col("cls_b").alias("cls"))).distinct().join(places, "cls")
-        words = materialize(_words(docs, id_, text, materialize(wanted)))
-        a, b = (words.select(F.col("cls").alias(f"cls_{k}"), F.struct("doc", "line_no").alias(f"at_{k}"), F.col("words").alias(f"words_{k}")) for k in "ab")
-        both = found.join(a, "cls_a").join(b, "cls_b")
-        shared = F.size(F.array_intersect("words_a", "words_b"))
-        alike = 100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)
-        return both.filter(alike).select(F.when(F.col("at_a") > F.col("at_b"), F.col("cls_a")).otherwise(F.col("cls_b")).alias("cls")).distinct()
-
-    once = materialize(later(pairs(hits.filter("is_first"), hits)))
-    rest = hits.join(once, "cls", "left_anti")
-    again = later(pairs(rest, hits))
+    bits = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    return ids.select(F.xxhash64("ids").alias("cls"), "doc", "line_no", n.alias("n"), bits.alias("bits"), F.transform(prefix, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("prefix"))
+
+
+def similar_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Every line of at least ``least`` words as cls, doc, line_no; and cls, doc, line_no, later of each class.
+
+    doc and line_no of a class are those of its first line; later tells that an earlier class is similar.
+    """
+    own = stored(_sets(docs, id_, text, percent, least))
+    classes = stored(own.groupBy("cls").agg(F.min(F.struct("doc", "line_no", "n", "bits", "prefix")).alias("x")).select("cls", "x.*"))
+    rows = classes.select("doc", "line_no", "n", "bits", F.posexplode("prefix").alias("p", "token"))
+    hot = bounded(materialize(rows.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("token")))
+    held = rows.join(hot, "token", "left_semi")
+    first = _pairs(held.join(held.groupBy("token").agg(F.min(F.struct("doc", "line_no")).alias("at")), "token").filter("at.doc = doc and at.line_no = line_no").drop("at"), held, percent)
+    once = materialize(_verified(_pairs(rows.join(hot, "token", "left_anti"), None, percent).unionByName(first).distinct(), docs, id_, text, percent))
+    again = _verified(_pairs(held, held.join(bounded(once), ["doc", "line_no"], "left_anti"), percent).distinct(), docs, id_, text, percent)
     gone = once.unionByName(again).distinct().withColumn("later", F.lit(True))
-    found = classes.select("cls", "doc", "line_no").join(gone, "cls", "left").withColumn("later", F.coalesce("later", F.lit(False)))
-    return own.select("doc", "line_no", "cls"), found
+    found = classes.select("cls", "doc", "line_no").join(gone, ["doc", "line_no"], "left").withColumn("later", F.coalesce("later", F.lit(False)))
+    return own.select("cls", "doc", "line_no"), found
+
+
+def _pairs(earlier: DataFrame, later: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of lines, an earlier and a later one, that share a prefix token and pass the length, positional and
+    bitmap filters. later None: the same table, dealt out once for both sides."""
+    earlier = earlier.repartition("token") if later is None else earlier
+    later = earlier if later is None else later
+    a, b = (x.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc", "line_no", "n", "p", "bits")]) for k, x in (("a", earlier), ("b", later)))
+    need = _least_overlap(F.col("n_a"), F.col("n_b"), percent)
+    ordered = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_no_a") < F.col("line_no_b")))
+    close = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= need
+    alike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * need
+    return a.join(b, "token").filter(ordered & close & room & alike).select("doc_a", "line_no_a", "doc_b", "line_no_b").distinct()
+
+
+def _verified(found: DataFrame, docs: DataFrame, id_: str, text: str, percent: int) -> DataFrame:
+    """doc, line_no of the later lines of similar pairs."""
+    found = materialize(found)
+    ends = [found.select(F.col(f"doc_{k}").alias("doc"), F.col(f"line_no_{k}").alias("line_no")) for k in "ab"]
+    words = materialize(_words(docs, id_, text, materialize(ends[0].unionByName(ends[1]).distinct())))
+    a, b = (words.select(*[F.col(c).alias(f"{c}_{k}") for c in ("doc", "line_no", "words")]) for k in "ab")
+    shared = F.size(F.array_intersect("words_a", "words_b"))
+    alike = 100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)
+    both = found.join(a, ["doc_a", "line_no_a"]).join(b, ["doc_b", "line_no_b"])
+    return both.filter(alike).select(F.col("doc_b").alias("doc"), F.col("line_no_b").alias("line_no")).distinct()
 
 
 def _words(docs: DataFrame, id_: str, text: str, wanted: DataFrame) -> DataFrame:
-    """wanted: cls, doc, line_no. With the distinct words of those lines."""
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line_no", "cls")).alias("wanted"))
+    """wanted: doc, line_no. With the distinct words of those lines."""
+    by_doc = wanted.groupBy("doc").agg(F.collect_list("line_no").alias("wanted"))
     doc = F.coalesce(F.col(id_).cast("long"), F.lit(_LAST))
     held = docs.select(doc.alias("doc"), F.col(text).alias("text")).join(bounded(by_doc, BROADCAST_LINES), "doc")
-    lines = held.select("doc", F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("x"))
-    found = lines.select("doc", F.col("x.line_no").alias("line_no"), F.col("x.cls").alias("cls"), F.array_distinct(F.array_remove(F.split(F.get("lines", F.col("x.line_no")), SPACES, -1), "")).alias("words"))
-    return found.filter("words is not null").dropDuplicates(["cls"])
+    lines = held.select("doc", "wanted", _once(F.split("text", "\n", -1)).alias("lines"))
+    found = lines.select("doc", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get(F.col("lines"), k).alias("line")))).alias("x"))
+    return found.filter("x.line is not null").select("doc", "x.line_no", F.array_distinct(F.array_remove(_split(F.col("x.line")), "")).alias("words")).dropDuplicates(["doc", "line_no"])
 
 
 def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
