@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -170,6 +171,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner remove shuffle files that no plan refers to any more, rather than when the driver next collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``rows`` rows, else as it is (joined by a shuffle)."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
@@ -187,16 +194,16 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def with_arrow(df: DataFrame, column: str, kind: T.DataType, of: Callable[[pa.RecordBatch], pa.Array | list], arrow: pa.DataType, start: Callable[[], Callable] | None = None) -> DataFrame:
-    """``df`` with one more column that ``of`` makes from each Arrow batch; the other columns pass through unchanged.
+def with_arrow(df: DataFrame, column: str, kind: T.DataType, of: Callable[[pa.RecordBatch], pa.Array | list], arrow: pa.DataType, by: str, start: Callable[[], Callable] | None = None) -> DataFrame:
+    """``df`` with one more column that ``of`` makes from Arrow batches; the other columns pass through unchanged.
 
-    start, if given, is called once in each task and returns ``of``.
+    Batches hold a few MB of the column ``by``. start, if given, is called once in each task and returns ``of``.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(column, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start() if start else of
-        for b in batches:
+        for b in parts(batches, name=by):
             made = f(b)
             made = made if isinstance(made, pa.Array | pa.ChunkedArray) else pa.array(made, arrow)
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, column])

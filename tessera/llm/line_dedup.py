@@ -16,19 +16,24 @@ gives an empty table.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, fresh, materialize, stored
+from tessera.llm.common import bounded, fresh, materialize, release, stored
 
 PERCENT = 75
 LEAST_WORDS = 5
-SLOT_BITS = 17
+SLOT_BITS = 18
 SPACES = r"[\x20\x09-\x0D]+"
 #: Classes of a token's group from which it is compared with its first line before all others.
-HOT = 64
+HOT = 512
+#: Tokens that the prefixes of similar lines share at least: prefixes are longer by one less.
+SHARED = 2
 #: Lines that may be broadcast to fetch their words.
 BROADCAST_LINES = 100_000
+#: Hot tokens that may be broadcast: four bytes each.
+BROADCAST_TOKENS = 500_000
 _LAST = (1 << 63) - 1
 
 
@@ -51,15 +56,14 @@ def _slot(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
 
 
-def _ranks(lines: DataFrame) -> list[int]:
-    """The rank of each hash slot by the number of words in it, rarest first."""
+def _levels(lines: DataFrame) -> list[int]:
+    """The rarity of each hash slot: four levels for each doubling of the number of words in it."""
     words = lines.select(F.explode(_split(F.col("line"))).alias("w")).filter("w != ''")
-    found = dict(words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n")).collect())
-    order = sorted(range(1 << SLOT_BITS), key=lambda s: (found.get(s, 0), s))
-    rank = [0] * len(order)
-    for r, s in enumerate(order):
-        rank[s] = r
-    return rank
+    level = F.floor(4 * F.log2(F.count("*") + 1)).cast("int")
+    found = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(level.alias("level")).toPandas()
+    levels = np.zeros(1 << SLOT_BITS, np.int64)
+    levels[found["slot"].to_numpy(np.int64)] = found["level"]
+    return levels.tolist()
 
 
 def _least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -70,14 +74,14 @@ def _sets(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> Dat
     """Lines of at least ``least`` words: cls (a hash of the token set), doc, line_no, n (tokens), bits (a bitmap
     of the set) and prefix, the rarest tokens as ints in the order of rarity."""
     lines = _lines(docs, id_, text)
-    table = F.split(F.lit(",".join(map(str, _ranks(lines)))), ",").cast("array<int>")
+    table = F.split(F.lit(",".join(map(str, _levels(lines)))), ",").cast("array<int>")
     empty = F.xxhash64(F.lit(""))
-    token = lambda h: F.shiftleft(F.get(table, _slot(h)).cast("long"), 46).bitwiseOR(h.bitwiseAND(F.lit((1 << 46) - 1)))
+    token = lambda h: F.shiftleft(F.get(table, _slot(h)).cast("long"), 54).bitwiseOR(h.bitwiseAND(F.lit((1 << 54) - 1)))
     words = lines.select("doc", "line_no", _once(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
     words = words.select("doc", "line_no", _once(F.array_remove("h", empty)).alias("h")).filter(F.size("h") >= least)
     ids = words.select("doc", "line_no", _once(F.sort_array(F.transform(F.array_distinct("h"), token))).alias("ids"))
     n = F.size("ids")
-    prefix = F.slice("ids", F.lit(1), (n - F.ceil(percent * n / F.lit(100)) + 1).cast("int"))
+    prefix = F.slice("ids", F.lit(1), (n - F.ceil(percent * n / F.lit(100)) + SHARED).cast("int"))
     bits = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     return ids.select(F.xxhash64("ids").alias("cls"), "doc", "line_no", n.alias("n"), bits.alias("bits"), F.transform(prefix, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("prefix"))
 
@@ -89,34 +93,42 @@ def similar_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", perc
     """
     own = stored(_sets(docs, id_, text, percent, least))
     classes = stored(own.groupBy("cls").agg(F.min(F.struct("doc", "line_no", "n", "bits", "prefix")).alias("x")).select("cls", "x.*"))
+    release(docs.sparkSession)
     rows = classes.select("doc", "line_no", "n", "bits", F.posexplode("prefix").alias("p", "token"))
-    hot = bounded(materialize(rows.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("token")))
+    hot = bounded(materialize(rows.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("token")), BROADCAST_TOKENS)
+    release(docs.sparkSession)
     held = rows.join(hot, "token", "left_semi")
-    first = _pairs(held.join(held.groupBy("token").agg(F.min(F.struct("doc", "line_no")).alias("at")), "token").filter("at.doc = doc and at.line_no = line_no").drop("at"), held, percent)
-    once = materialize(_verified(_pairs(rows.join(hot, "token", "left_anti"), None, percent).unionByName(first).distinct(), docs, id_, text, percent))
-    again = _verified(_pairs(held, held.join(bounded(once), ["doc", "line_no"], "left_anti"), percent).distinct(), docs, id_, text, percent)
+    first = held.join(held.groupBy("token").agg(F.min(F.struct("doc", "line_no")).alias("at")), "token").filter("at.doc = doc and at.line_no = line_no").drop("at")
+    # A similar pair shares a hot token or SHARED cold ones.
+    cold = _pairs(rows.join(hot, "token", "left_anti"), None, percent).filter(F.col("shared") >= SHARED)
+    once = materialize(_verified(cold.unionByName(_pairs(first, held, percent)).drop("shared").distinct(), docs, id_, text, percent))
+    del cold
+    release(docs.sparkSession)
+    rest = held.join(bounded(once), ["doc", "line_no"], "left_anti")
+    again = _verified(_pairs(held, rest, percent).drop("shared"), docs, id_, text, percent)
     gone = once.unionByName(again).distinct().withColumn("later", F.lit(True))
     found = classes.select("cls", "doc", "line_no").join(gone, ["doc", "line_no"], "left").withColumn("later", F.coalesce("later", F.lit(False)))
     return own.select("cls", "doc", "line_no"), found
 
 
 def _pairs(earlier: DataFrame, later: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of lines, an earlier and a later one, that share a prefix token and pass the length, positional and
-    bitmap filters. later None: the same table, dealt out once for both sides."""
+    """Pairs of lines, an earlier and a later one, with the number of prefix tokens that they share and that pass
+    the length, positional and bitmap filters. later None: the same table, dealt out once for both sides."""
     earlier = earlier.repartition("token") if later is None else earlier
     later = earlier if later is None else later
     a, b = (x.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc", "line_no", "n", "p", "bits")]) for k, x in (("a", earlier), ("b", later)))
     need = _least_overlap(F.col("n_a"), F.col("n_b"), percent)
     ordered = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_no_a") < F.col("line_no_b")))
     close = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= need
+    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= need - (SHARED - 1)
     alike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * need
-    return a.join(b, "token").filter(ordered & close & room & alike).select("doc_a", "line_no_a", "doc_b", "line_no_b").distinct()
+    return a.join(b, "token").filter(ordered & close & room & alike).groupBy("doc_a", "line_no_a", "doc_b", "line_no_b").agg(F.count("*").alias("shared"))
 
 
 def _verified(found: DataFrame, docs: DataFrame, id_: str, text: str, percent: int) -> DataFrame:
     """doc, line_no of the later lines of similar pairs."""
     found = materialize(found)
+    release(docs.sparkSession)
     ends = [found.select(F.col(f"doc_{k}").alias("doc"), F.col(f"line_no_{k}").alias("line_no")) for k in "ab"]
     words = materialize(_words(docs, id_, text, materialize(ends[0].unionByName(ends[1]).distinct())))
     a, b = (words.select(*[F.col(c).alias(f"{c}_{k}") for c in ("doc", "line_no", "words")]) for k in "ab")
@@ -127,13 +139,13 @@ def _verified(found: DataFrame, docs: DataFrame, id_: str, text: str, percent: i
 
 
 def _words(docs: DataFrame, id_: str, text: str, wanted: DataFrame) -> DataFrame:
-    """wanted: doc, line_no. With the distinct words of those lines."""
+    """wanted: doc, line_no. With the 64-bit hashes of the distinct words of those lines."""
     by_doc = wanted.groupBy("doc").agg(F.collect_list("line_no").alias("wanted"))
     doc = F.coalesce(F.col(id_).cast("long"), F.lit(_LAST))
     held = docs.select(doc.alias("doc"), F.col(text).alias("text")).join(bounded(by_doc, BROADCAST_LINES), "doc")
     lines = held.select("doc", "wanted", _once(F.split("text", "\n", -1)).alias("lines"))
     found = lines.select("doc", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get(F.col("lines"), k).alias("line")))).alias("x"))
-    return found.filter("x.line is not null").select("doc", "x.line_no", F.array_distinct(F.array_remove(_split(F.col("x.line")), "")).alias("words")).dropDuplicates(["doc", "line_no"])
+    return found.filter("x.line is not null").select("doc", "x.line_no", F.array_distinct(F.array_remove(F.transform(_split(F.col("x.line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("words")).dropDuplicates(["doc", "line_no"])
 
 
 def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
