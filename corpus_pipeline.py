@@ -35,8 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their packed token ids, and the text that these decode to in place of the text."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    back = byte_bpe.decode(ids, ranks)
+    back = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
     text = F.decode("decoded", "UTF-8")
     return back.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"), (F.length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids")
 

@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import texts, with_arrow
+from tessera.llm.common import fresh, texts, with_arrow
 
 #: Pieces remembered by a task.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longer texts are split piece by piece rather than into one list.
 LONG_TEXT = 1 << 22
 _AT = 32
@@ -147,13 +147,32 @@ def _decoding(ranks: dict[bytes, int], ids: str) -> Callable[[pa.RecordBatch], l
     return lambda batch: [None if x is None else b"".join(map(of, np.frombuffer(x, "<u4").tolist())) for x in texts(batch, ids)]
 
 
+def _both(ranks: dict[bytes, int], pattern: str, text: str) -> Callable[[pa.RecordBatch], pa.Array]:
+    encoding, decoding = _encoding(ranks, pattern, text), _decoding(ranks, "ids")
+
+    def of(batch: pa.RecordBatch) -> pa.Array:
+        ids = pa.array(encoding(batch), pa.binary())
+        return pa.StructArray.from_arrays([ids, pa.array(decoding(pa.RecordBatch.from_arrays([ids], names=["ids"])), pa.binary())], names=["token_ids", "decoded"])
+
+    return of
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of each text as packed little-endian unsigned 32-bit integers."""
     docs = docs if into not in docs.columns else docs.drop(into)
-    return with_arrow(docs, into, T.BinaryType(), None, pa.binary(), start=partial(_encoding, ranks, pattern, text))
+    return with_arrow(docs, into, T.BinaryType(), None, pa.binary(), text, start=partial(_encoding, ranks, pattern, text))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """``tokens`` with the bytes that each packed list of ids stands for (null: null)."""
     tokens = tokens if into not in tokens.columns else tokens.drop(into)
-    return with_arrow(tokens, into, T.BinaryType(), None, pa.binary(), start=partial(_decoding, ranks, ids))
+    return with_arrow(tokens, into, T.BinaryType(), None, pa.binary(), ids, start=partial(_decoding, ranks, ids))
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with token_ids and decoded: ``encode`` and then ``decode`` of its ids, in one pass of Python."""
+    docs = docs.drop("token_ids", "decoded")
+    column = fresh(docs, "both")
+    kind = T.StructType([T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+    arrow = pa.struct([("token_ids", pa.binary()), ("decoded", pa.binary())])
+    return with_arrow(docs, column, kind, None, arrow, text, start=partial(_both, ranks, pattern, text)).select(*docs.columns, f"{column}.token_ids", f"{column}.decoded")

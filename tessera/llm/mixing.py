@@ -219,18 +219,18 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str =
     held = materialize(docs.select(*keep, key.alias(names["key"]), members().alias(names["members"]), h.alias(names["hash"]), size.alias(names["size"])))
     made = plan(held.select(*[F.col(n).alias(x) for x, n in names.items()]), _by_weights(weights, share, most), most)
     sums = {p: (float(sum(made.targets[s] for s in flows)), sum(made.sizes[s] for s in flows)) for p, flows in made.routed.items()}
-    joined = held.join(bounded(_choices(docs, made, sums)), F.col(names["key"]) == F.col("c_key"))
-    return joined.select(*keep, F.col(names["size"]).alias("size"), F.col("c_source_size").alias("source_size"), F.col("c_target").alias("target"), (F.col(names["size"]) * _copies(F.col(names["hash"]), F.col(names["size"]))).alias("taken"))
+    joined = held.join(bounded(_choices(docs, made, sums)), F.col(names["key"]) == F.col("__mix_key"))
+    return joined.select(*keep, F.col(names["size"]).alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (F.col(names["size"]) * _copies(F.col(names["hash"]), F.col(names["size"]))).alias("taken"))
 
 
 def _choices(docs: DataFrame, made: Plan, sums: dict | None = None) -> DataFrame:
     rows = [(p, made.passes[p], made.below[p], made.extra[p], *((sums or {}).get(p, (0.0, 0)))) for p in made.passes]
-    return docs.sparkSession.createDataFrame(rows, "c_key string, c_passes long, c_below long, c_extra array<long>, c_target double, c_source_size long")
+    return docs.sparkSession.createDataFrame(rows, "__mix_key string, __mix_passes long, __mix_below long, __mix_extra array<long>, __mix_target double, __mix_source_size long")
 
 
 def _copies(h: F.Column, size: F.Column) -> F.Column:
-    once_more = (h < F.col("c_below")) | F.array_contains("c_extra", h)
-    return F.when(size > 0, F.col("c_passes") + once_more.cast("long")).otherwise(0)
+    once_more = (h < F.col("__mix_below")) | F.array_contains("__mix_extra", h)
+    return F.when(size > 0, F.col("__mix_passes") + once_more.cast("long")).otherwise(0)
 
 
 def resample(docs: DataFrame, source: str = "source", text: str = "text", id_: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 7) -> DataFrame:
@@ -241,6 +241,6 @@ def resample(docs: DataFrame, source: str = "source", text: str = "text", id_: s
     made = plan(held, _by_weights(weights, share, most), most)
     columns, names = docs.columns, {x: fresh(docs, x) for x in ("key", "hash", "size", "copy")}
     more = docs.withColumns({names["key"]: key, names["hash"]: h, names["size"]: size})
-    joined = more.join(bounded(_choices(docs, made)), F.col(names["key"]) == F.col("c_key"))
+    joined = more.join(bounded(_choices(docs, made)), F.col(names["key"]) == F.col("__mix_key"))
     copies = _copies(F.col(names["hash"]), F.col(names["size"])).cast("int")
     return joined.filter(copies > 0).select(*[F.col(c) for c in columns], F.explode(F.sequence(F.lit(1), copies)).alias(names["copy"])).select(*columns)

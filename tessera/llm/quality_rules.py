@@ -88,7 +88,7 @@ def measure(docs: DataFrame, column: str, text: str = "text") -> DataFrame:
         rows = [measure_one(b) for b in texts(batch, text)]
         return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * len(MEASURES))], names=list(MEASURES))
 
-    return with_arrow(docs, column, kind, of, arrow)
+    return with_arrow(docs, column, kind, of, arrow, text)
 
 
 def base_failed(m: F.Column) -> F.Column:

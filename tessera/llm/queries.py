@@ -20,8 +20,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id and the digests of each text's ids and of what they decode to; ``vocabulary`` is a .tiktoken file."""
     ranks = byte_bpe.read_ranks(vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    out = byte_bpe.decode(ids, ranks)
+    out = byte_bpe.round_trip(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
     return out.select("doc_id", (F.length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -347,5 +347,5 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", sha
         cols = list(zip(*rows, strict=True)) or [[]] * 3
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], names=[f.name for f in arrow])
 
-    out = with_arrow(joined, made, kind, of, arrow)
+    out = with_arrow(joined, made, kind, of, arrow, text)
     return out.select(*docs.columns, f"{made}.n_words", f"{made}.n_removed", f"{made}.kept_text")
