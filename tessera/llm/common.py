@@ -132,7 +132,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def parts(batches: Iterable[pa.RecordBatch], size: int = 4_000_000, name: str = "text") -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterable[pa.RecordBatch], size: int = 2_000_000, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text, to bound what a task holds."""
     for batch in batches:
         ends = np.cumsum([0 if b is None else len(b) for b in texts(batch, name)])
