@@ -11,7 +11,8 @@ paired out or cut off.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows with a null
 id take part; their component's id is the least id in it, null if there is none. Rows that repeat an id each
-count. An empty table gives an empty table.
+count. What ``dedupe`` keeps of a component is told by id and text, not by id alone, so null and repeated ids
+neither lose nor bring back other texts. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, bounded, by_text, join_hash, materialize, mix, parts, texts, word_hashes
+from tessera.llm.common import U64, WORD, bounded, by_text, fresh, join_hash, materialize, mix, parts, texts, word_hashes
 from tessera.llm.graph import components
 
 WIDTH = 5
@@ -81,8 +82,9 @@ def buckets(s: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_: str, text: str, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, key (a 128-bit hash of the set, null if it is empty), buckets."""
+def signatures(docs: DataFrame, id_: str, text: str, width: int = WIDTH, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, key (a 128-bit hash of the set, null if it is empty), buckets; and the text's digest, if asked."""
+    more = [_digest(F.col(text)).alias("digest")] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -91,9 +93,13 @@ def signatures(docs: DataFrame, id_: str, text: str, width: int = WIDTH) -> Data
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 found.append(buckets(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]], names=["doc_id", "n_shingles", "key", "buckets", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key binary, buckets array<long>")
+    return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), *more).mapInArrow(run, "doc_id long, n_shingles long, key binary, buckets array<long>" + ", digest binary" * digest)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def _texts(docs: DataFrame, id_: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
@@ -180,9 +186,8 @@ def _remaining(nodes: DataFrame, held: DataFrame, width: int, percent: int) -> D
     return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links) and kept, a row for each document."""
-    held = materialize(signatures(docs, id_, text, width))
+def _components(held: DataFrame, docs: DataFrame, id_: str, text: str, width: int, percent: int) -> DataFrame:
+    """held: signatures. key, doc (its least id) and component of each class."""
     classes = held.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     members = classes.select("node", F.explode("buckets").alias("bucket"))
@@ -209,7 +214,13 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", wi
         more = materialize(_confirmed(materialize(proposed), words, width, percent))
         if more.limit(1).count():
             found = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-    named = classes.select("key", "node", "doc").join(found, "node", "left").select("key", "doc", F.coalesce("component", "node").alias("component"))
+    return classes.select("key", "node", "doc").join(found, "node", "left").select("key", "doc", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable by links) and kept, a row for each document."""
+    held = materialize(signatures(docs, id_, text, width))
+    named = _components(held, docs, id_, text, width, percent)
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_key = named.join(least, "component").select(F.col("key").alias("class"), "component_id")
     out = held.join(by_key, F.col("key") == F.col("class"), "left")
@@ -218,9 +229,25 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", wi
 
 
 def dedupe(docs: DataFrame, id_: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, its columns unchanged: the one with the least id."""
-    kept = materialize(near_duplicates(docs, id_, text, width, percent).filter("kept").select(F.col("doc_id").alias("__kept_id")))
-    many = kept.count() > kept.distinct().count()
-    ids = bounded(kept.distinct() if many else kept, BROADCAST_IDS)
-    out = docs.join(ids, F.col(id_).cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return out.dropDuplicates([id_]) if many else out
+    """One row of each group, its columns unchanged: the one with the least id (null last), then the least digest of
+    its text, any one of rows that agree in both. Rows without words are groups of their own and all stay."""
+    held = materialize(signatures(docs, id_, text, width, digest=True))
+    named = _components(held, docs, id_, text, width, percent).select("key", "component")
+    rows = held.filter(F.col("key").isNotNull()).groupBy("key", "doc_id", "digest").agg(F.count("*").alias("n"))
+    firsts = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "n")).alias("first"))
+    kept = materialize(firsts.join(named, "key").groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
+    own, digest = fresh(docs, "own"), fresh(docs, "digest")
+    # Rows without words all have one identity, which is kept.
+    some = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    more = docs.withColumns({own: F.when(some, F.col(id_).cast("long")), digest: F.when(some, _digest(F.col(text))).otherwise(F.lit(b""))})
+
+    def of(these: DataFrame) -> DataFrame:
+        these = bounded(these.select(F.col("doc_id").alias("__kept_id"), F.col("digest").alias("__kept_digest")), BROADCAST_IDS)
+        return more.join(these, F.col(own).eqNullSafe(F.col("__kept_id")) & (F.col(digest) == F.col("__kept_digest")), "left_semi")
+
+    blank = docs.sparkSession.createDataFrame([(None, b"")], "doc_id long, digest binary")
+    out = of(kept.filter("n = 1").select("doc_id", "digest").unionByName(blank))
+    again = kept.filter("n > 1")
+    if again.limit(1).count():
+        out = out.unionByName(of(again).dropDuplicates([own, digest]))
+    return out.select(*docs.columns)

@@ -210,6 +210,18 @@ def test_minhash_settles_what_stars_miss(spark, monkeypatch):
     assert collections.Counter(map(tuple, minhash.near_duplicates(table(spark, rows)).collect())) == near_brute(rows)
 
 
+def test_minhash_dedupe_keeps_one_row_of_each_component(spark):
+    """Null and repeated ids neither lose clean documents nor bring copies back."""
+    rng = random.Random(14)
+    clean = [words(rng, 60, 5000) for _ in range(8)]
+    rows = [(None, t, "en", "s") for t in clean[:4]] + [(7, t, "en", "s") for t in clean[4:]]
+    rows += [(3, clean[0], "en", "s"), (None, clean[1], "fr", "s"), (7, clean[5], "en", "s"), (None, f"{clean[6]} more", "en", "s"), (9, clean[7].upper(), "en", "s")]
+    rows += [(None, None, "en", "s"), (None, None, "en", "s"), (None, " ", "en", "s"), (7, "", "en", "s")]
+    out = minhash.dedupe(table(spark, rows))
+    want = [(3, clean[0]), *((None, t) for t in clean[1:4]), *((7, t) for t in clean[4:]), (None, None), (None, None), (None, " "), (7, "")]
+    assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter(want)
+
+
 def test_importance(spark):
     rng = random.Random(6)
     rows = [(k, words(rng, 80), "en", "s") for k in range(150)] + [(1000 + k, " ".join(f"{w}###" for w in words(rng, 80).split()), "en", "s") for k in range(50)]
