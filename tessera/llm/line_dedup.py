@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join of lines, with DataFrame operations only.
 
 A line's tokens are its distinct words. Lines with one and the same token set are a class, whose first line
-(by id, then line number) stands for it. Tokens are ordered by rarity: by the frequency of their hash slot,
+(by id, then part, then line number) stands for it. Tokens are ordered by rarity: by the frequency of their hash slot,
 counted over all lines, then by hash; any fixed order keeps the join exact. Two classes can only be similar
 enough if their prefixes share a token, their sizes are close, and the shared token's positions leave room
 for the overlap they need; a bitmap of the sets then bounds how much they differ. In a large group of one token
@@ -9,9 +9,10 @@ the first line is compared with all others; those that this removes are left out
 further pair, so a large group of near copies is not paired out. Candidates are verified on their words.
 
 A line goes if an earlier line, removed or not, has a Jaccard similarity of at least PERCENT / 100 to it.
-Lines of fewer than ``least`` words are neither removed nor compared. Null text has no lines; null ids come
-last and count as one document; among rows of one id and line number all first ones stay; an empty table
-gives an empty table.
+Lines of fewer than ``least`` words are neither removed nor compared. Null text has no lines. A document is
+told by its id and by its part, a hash of its text, so documents that share an id, or have none, are cut each by
+its own lines; null ids come last. Of rows that agree in id and text one counts as the first, and the lines of
+the others repeat it. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ BROADCAST_LINES = 100_000
 #: Hot tokens that may be broadcast: four bytes each.
 BROADCAST_TOKENS = 500_000
 _LAST = (1 << 63) - 1
+#: What tells a line and, without the last, its document; lines come in this order.
+PLACE = ("doc", "part", "line_no")
 
 
 def _once(x: Column) -> Column:
@@ -47,9 +50,13 @@ def _split(line: Column) -> Column:
     return F.when(line.rlike(r"[\t\x0B\f\r]"), F.split(line, SPACES, -1)).otherwise(F.split(line, " ", -1))
 
 
+def _doc(id_: str) -> Column:
+    return F.coalesce(F.col(id_).cast("long"), F.lit(_LAST))
+
+
 def _lines(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """doc, line_no (from 0), line."""
-    return docs.select(F.coalesce(F.col(id_).cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+    """doc, part, line_no (from 0), line."""
+    return docs.select(_doc(id_).alias("doc"), F.xxhash64(text).alias("part"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 
 def _slot(h: Column) -> Column:
@@ -71,44 +78,44 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def _sets(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> DataFrame:
-    """Lines of at least ``least`` words: cls (a hash of the token set), doc, line_no, n (tokens), bits (a bitmap
+    """Lines of at least ``least`` words: cls (a hash of the token set), PLACE, n (tokens), bits (a bitmap
     of the set) and prefix, the rarest tokens as ints in the order of rarity."""
     lines = _lines(docs, id_, text)
     table = F.split(F.lit(",".join(map(str, _levels(lines)))), ",").cast("array<int>")
     empty = F.xxhash64(F.lit(""))
     token = lambda h: F.shiftleft(F.get(table, _slot(h)).cast("long"), 54).bitwiseOR(h.bitwiseAND(F.lit((1 << 54) - 1)))
-    words = lines.select("doc", "line_no", _once(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-    words = words.select("doc", "line_no", _once(F.array_remove("h", empty)).alias("h")).filter(F.size("h") >= least)
-    ids = words.select("doc", "line_no", _once(F.sort_array(F.transform(F.array_distinct("h"), token))).alias("ids"))
+    words = lines.select(*PLACE, _once(F.transform(_split(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
+    words = words.select(*PLACE, _once(F.array_remove("h", empty)).alias("h")).filter(F.size("h") >= least)
+    ids = words.select(*PLACE, _once(F.sort_array(F.transform(F.array_distinct("h"), token))).alias("ids"))
     n = F.size("ids")
     prefix = F.slice("ids", F.lit(1), (n - F.ceil(percent * n / F.lit(100)) + SHARED).cast("int"))
     bits = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return ids.select(F.xxhash64("ids").alias("cls"), "doc", "line_no", n.alias("n"), bits.alias("bits"), F.transform(prefix, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("prefix"))
+    return ids.select(F.xxhash64("ids").alias("cls"), *PLACE, n.alias("n"), bits.alias("bits"), F.transform(prefix, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("prefix"))
 
 
 def similar_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Every line of at least ``least`` words as cls, doc, line_no; and cls, doc, line_no, later of each class.
+    """Every line of at least ``least`` words as cls and PLACE; and cls, PLACE, later of each class.
 
-    doc and line_no of a class are those of its first line; later tells that an earlier class is similar.
+    The place of a class is that of its first line; later tells that an earlier class is similar.
     """
     own = stored(_sets(docs, id_, text, percent, least))
-    classes = stored(own.groupBy("cls").agg(F.min(F.struct("doc", "line_no", "n", "bits", "prefix")).alias("x")).select("cls", "x.*"))
+    classes = stored(own.groupBy("cls").agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("x")).select("cls", "x.*"))
     release(docs.sparkSession)
-    rows = classes.select("doc", "line_no", "n", "bits", F.posexplode("prefix").alias("p", "token"))
+    rows = classes.select(*PLACE, "n", "bits", F.posexplode("prefix").alias("p", "token"))
     hot = bounded(materialize(rows.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("token")), BROADCAST_TOKENS)
     release(docs.sparkSession)
     held = rows.join(hot, "token", "left_semi")
-    first = held.join(held.groupBy("token").agg(F.min(F.struct("doc", "line_no")).alias("at")), "token").filter("at.doc = doc and at.line_no = line_no").drop("at")
+    first = held.join(held.groupBy("token").agg(F.min(F.struct(*PLACE)).alias("at")), "token").filter("at.doc = doc and at.part = part and at.line_no = line_no").drop("at")
     # A similar pair shares a hot token or SHARED cold ones.
     cold = _pairs(rows.join(hot, "token", "left_anti"), None, percent).filter(F.col("shared") >= SHARED)
     once = materialize(_verified(cold.unionByName(_pairs(first, held, percent)).drop("shared").distinct(), docs, id_, text, percent))
     del cold
     release(docs.sparkSession)
-    rest = held.join(bounded(once), ["doc", "line_no"], "left_anti")
+    rest = held.join(bounded(once), [*PLACE], "left_anti")
     again = _verified(_pairs(held, rest, percent).drop("shared"), docs, id_, text, percent)
     gone = once.unionByName(again).distinct().withColumn("later", F.lit(True))
-    found = classes.select("cls", "doc", "line_no").join(gone, ["doc", "line_no"], "left").withColumn("later", F.coalesce("later", F.lit(False)))
-    return own.select("cls", "doc", "line_no"), found
+    found = classes.select("cls", *PLACE).join(gone, [*PLACE], "left").withColumn("later", F.coalesce("later", F.lit(False)))
+    return own.select("cls", *PLACE), found
 
 
 def _pairs(earlier: DataFrame, later: DataFrame | None, percent: int) -> DataFrame:
@@ -116,60 +123,80 @@ def _pairs(earlier: DataFrame, later: DataFrame | None, percent: int) -> DataFra
     the length, positional and bitmap filters. later None: the same table, dealt out once for both sides."""
     earlier = earlier.repartition("token") if later is None else earlier
     later = earlier if later is None else later
-    a, b = (x.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("doc", "line_no", "n", "p", "bits")]) for k, x in (("a", earlier), ("b", later)))
+    a, b = (x.select("token", *[F.col(c).alias(f"{c}_{k}") for c in (*PLACE, "n", "p", "bits")]) for k, x in (("a", earlier), ("b", later)))
     need = _least_overlap(F.col("n_a"), F.col("n_b"), percent)
-    ordered = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("line_no_a") < F.col("line_no_b")))
+    ordered = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & ((F.col("part_a") < F.col("part_b")) | ((F.col("part_a") == F.col("part_b")) & (F.col("line_no_a") < F.col("line_no_b")))))
     close = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
     room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= need - (SHARED - 1)
     alike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * need
-    return a.join(b, "token").filter(ordered & close & room & alike).groupBy("doc_a", "line_no_a", "doc_b", "line_no_b").agg(F.count("*").alias("shared"))
+    return a.join(b, "token").filter(ordered & close & room & alike).groupBy(*[f"{c}_{k}" for k in "ab" for c in PLACE]).agg(F.count("*").alias("shared"))
 
 
 def _verified(found: DataFrame, docs: DataFrame, id_: str, text: str, percent: int) -> DataFrame:
-    """doc, line_no of the later lines of similar pairs."""
+    """PLACE of the later lines of similar pairs."""
     found = materialize(found)
     release(docs.sparkSession)
-    ends = [found.select(F.col(f"doc_{k}").alias("doc"), F.col(f"line_no_{k}").alias("line_no")) for k in "ab"]
+    ends = [found.select(*[F.col(f"{c}_{k}").alias(c) for c in PLACE]) for k in "ab"]
     words = materialize(_words(docs, id_, text, materialize(ends[0].unionByName(ends[1]).distinct())))
-    a, b = (words.select(*[F.col(c).alias(f"{c}_{k}") for c in ("doc", "line_no", "words")]) for k in "ab")
+    a, b = (words.select(*[F.col(c).alias(f"{c}_{k}") for c in (*PLACE, "words")]) for k in "ab")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     alike = 100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)
-    both = found.join(a, ["doc_a", "line_no_a"]).join(b, ["doc_b", "line_no_b"])
-    return both.filter(alike).select(F.col("doc_b").alias("doc"), F.col("line_no_b").alias("line_no")).distinct()
+    both = found.join(a, [f"{c}_a" for c in PLACE]).join(b, [f"{c}_b" for c in PLACE])
+    return both.filter(alike).select(*[F.col(f"{c}_b").alias(c) for c in PLACE]).distinct()
 
 
 def _words(docs: DataFrame, id_: str, text: str, wanted: DataFrame) -> DataFrame:
-    """wanted: doc, line_no. With the 64-bit hashes of the distinct words of those lines."""
-    by_doc = wanted.groupBy("doc").agg(F.collect_list("line_no").alias("wanted"))
-    doc = F.coalesce(F.col(id_).cast("long"), F.lit(_LAST))
-    held = docs.select(doc.alias("doc"), F.col(text).alias("text")).join(bounded(by_doc, BROADCAST_LINES), "doc")
-    lines = held.select("doc", "wanted", _once(F.split("text", "\n", -1)).alias("lines"))
-    found = lines.select("doc", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get(F.col("lines"), k).alias("line")))).alias("x"))
-    return found.filter("x.line is not null").select("doc", "x.line_no", F.array_distinct(F.array_remove(F.transform(_split(F.col("x.line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("words")).dropDuplicates(["doc", "line_no"])
+    """wanted: PLACE. With the 64-bit hashes of the distinct words of those lines."""
+    by_doc = wanted.groupBy("doc", "part").agg(F.collect_list("line_no").alias("wanted"))
+    held = docs.select(_doc(id_).alias("doc"), F.xxhash64(text).alias("part"), F.col(text).alias("text")).join(bounded(by_doc, BROADCAST_LINES), ["doc", "part"])
+    lines = held.select("doc", "part", "wanted", _once(F.split("text", "\n", -1)).alias("lines"))
+    found = lines.select("doc", "part", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get(F.col("lines"), k).alias("line")))).alias("x"))
+    return found.filter("x.line is not null").select("doc", "part", "x.line_no", F.array_distinct(F.array_remove(F.transform(_split(F.col("x.line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("words")).dropDuplicates([*PLACE])
 
 
-def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
-    """doc, line_no of each line that goes (doc: the id, null ids as the largest long)."""
+def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """PLACE of each line that goes from the first row of its id and text (doc: the id, null ids as the largest
+    long), and of each line of at least ``least`` words; rows that agree in id and text give a line once each."""
     own, classes = similar_lines(docs, id_, text, percent, least)
-    first = classes.select("cls", F.col("doc").alias("first_doc"), F.col("line_no").alias("first_line"), "later")
-    later = F.col("later") | (F.col("doc") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line"))
-    return own.join(first, "cls").filter(later).select("doc", "line_no")
+    first = classes.select("cls", *[F.col(c).alias(f"first_{c}") for c in PLACE], "later")
+    later = F.col("later") | ~F.struct(*PLACE).eqNullSafe(F.struct(*[F.col(f"first_{c}").alias(c) for c in PLACE]))
+    return own.join(first, "cls").filter(later).select(*PLACE), own.select(*PLACE)
+
+
+def _cut(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, of that name: the numbers of the lines that go, ascending, null if none does."""
+    gone, lines = removed_lines(docs, id_, text, percent, least)
+    doc, part, again, out = (fresh(docs, x) for x in ("doc", "part", "again", "gone"))
+
+    def listed(x: DataFrame, other: bool) -> DataFrame:
+        by_doc = x.distinct().groupBy("doc", "part").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
+        return by_doc.select(F.col("doc").alias(doc), F.col("part").alias(part), F.lit(other).alias(again), F.col("lines").alias(out))
+
+    rows = docs.withColumns({doc: _doc(id_), part: F.xxhash64(text)})
+    copies = materialize(rows.filter(F.col(text).isNotNull()).groupBy(doc, part).count().filter("count > 1").select(doc, part))
+    if not copies.limit(1).count():
+        return rows.join(listed(gone, False).drop(again), [doc, part], "left").drop(doc, part), out
+    # Rows that agree in id and text: one, by a row number made once, is the first; all lines of the others repeat it.
+    many, row = bounded(copies), fresh(docs, "row")
+    numbered = materialize(rows.join(many, [doc, part], "left_semi").withColumn(row, F.monotonically_increasing_id()))
+    firsts = bounded(numbered.groupBy(doc, part).agg(F.min(row).alias(f"{row}_first")))
+    others = numbered.join(firsts, [doc, part]).withColumn(again, F.col(row) != F.col(f"{row}_first")).drop(row, f"{row}_first")
+    rows = rows.join(many, [doc, part], "left_anti").withColumn(again, F.lit(False)).unionByName(others)
+    repeated = lines.join(bounded(copies.select(F.col(doc).alias("doc"), F.col(part).alias("part"))), ["doc", "part"], "left_semi")
+    return rows.join(listed(gone, False).unionByName(listed(repeated, True)), [doc, part, again], "left").drop(doc, part, again), out
 
 
 def report(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0, ascending, joined by commas) of each document."""
-    gone = removed_lines(docs, id_, text, percent, least).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     n = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
-    rows = docs.select(F.col(id_).alias("doc_id"), F.coalesce(F.col(id_).cast("long"), F.lit(_LAST)).alias("doc"), F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
-    return rows.join(gone, "doc", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
+    rows, gone = _cut(docs, id_, text, percent, least)
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("n_lines")
+    return rows.select(F.col(id_).alias("doc_id"), n_lines, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(gone, ","), F.lit("")).alias("removed"))
 
 
 def dedupe(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the removed lines taken out of the texts; the other columns are unchanged."""
-    gone = removed_lines(docs, id_, text, percent, least).distinct().groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
-    doc, out = fresh(docs, "doc"), fresh(docs, "gone")
-    gone = gone.select(F.col("doc").alias(doc), F.col("gone").alias(out))
-    joined = docs.withColumn(doc, F.coalesce(F.col(id_).cast("long"), F.lit(_LAST))).join(gone, doc, "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, k: ~F.array_contains(F.col(out), k)), "\n")
-    columns = [F.when(F.col(out).isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    rows, gone = _cut(docs, id_, text, percent, least)
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, k: ~F.array_contains(F.col(gone), k)), "\n")
+    columns = [F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns]
+    return rows.select(*columns)
