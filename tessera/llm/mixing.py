@@ -5,7 +5,9 @@ and each source: tokens run from a pattern to its sources and on to the sources'
 over a pattern's tokens costs k * k, so that repetition spreads evenly. The network's size depends on the
 number of patterns only. Within a pattern every document gets the whole passes, and the rest of the flow goes
 to documents in the order of a seeded hash: histograms over ever narrower hash ranges find where the running
-sum reaches it, then the largest documents that still fit fill up what is left. Documents are taken whole.
+sum passes it. The document there is skipped, and the search goes on behind it among the documents that are no
+larger than what is left, until none of them is; a last document that does not fit is taken if that comes nearer.
+Documents are taken whole.
 
 Null text has size 0; a document of size 0 is never taken; a null source is a source of its own, last in
 order; identical rows share a hash and are taken alike; an empty table gives an empty mix. Input columns
@@ -26,9 +28,6 @@ from tessera.llm.common import WORD, bounded, fresh, materialize
 #: A pattern's row is held by the driver; more of them are refused rather than cut off.
 MOST_PATTERNS = 100_000
 BITS, LEVEL = 36, 12
-#: Rounds in which each pattern takes the largest document that still fits; in a last one it takes the smallest
-#: that does not, if that comes nearer.
-TOP_OFF = 6
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -116,13 +115,14 @@ def route(patterns: dict[str, tuple[tuple, int]], quotas: dict, passes: int) ->
 
 @dataclass
 class Plan:
-    """What a mix takes: whole passes, then the documents below a hash and some single ones, by pattern."""
+    """What a mix takes: whole passes, then the documents of some spans of hashes (low, high, largest size) and
+    some single ones, by pattern."""
 
     sizes: dict = field(default_factory=dict)
     targets: dict = field(default_factory=dict)
     routed: dict = field(default_factory=dict)
     passes: dict[str, int] = field(default_factory=dict)
-    below: dict[str, int] = field(default_factory=dict)
+    spans: dict[str, list[tuple[int, int, int]]] = field(default_factory=dict)
     extra: dict[str, list[int]] = field(default_factory=dict)
 
 
@@ -153,38 +153,56 @@ def plan(rows: DataFrame, quota: Callable[[dict], dict], most: int) -> Plan:
     left: dict[str, int] = {}
     for p, (_, size) in patterns.items():
         made.passes[p], left[p] = divmod(sum(made.routed[p].values()), size) if size else (0, 0)
-    low = dict.fromkeys(patterns, 0)
-    for shift in range(BITS - LEVEL, -1, -LEVEL):
-        open_ = {p: x for p, x in low.items() if left[p]}
-        if not open_:
-            break
-        bounds = bounded(spark.createDataFrame([(p, x) for p, x in open_.items()], "key string, low long"))
-        inside = rows.join(bounds, "key").filter(F.expr(f"shiftright(hash, {shift + LEVEL}) = shiftright(low, {shift + LEVEL})") & (F.col("size") > 0))
-        sums = inside.groupBy("key", F.expr(f"shiftright(hash, {shift})").alias("bucket")).agg(F.sum("size").alias("size"))
-        for p, cell, before in _boundaries(sums, left):
-            left[p] -= before
-            low[p] = cell << shift
-    made.below = low
+    made.spans = {p: [] for p in patterns}
     made.extra = {p: [] for p in patterns}
-    fitting = dict(left)
-    for k in range(TOP_OFF + 1):
-        over = k == TOP_OFF
-        open_ = [(p, low[p], made.extra[p], x) for p, x in (left if over else fitting).items() if x > 0]
-        if not open_:
-            continue
-        bounds = bounded(spark.createDataFrame(open_, "key string, low long, had array<long>, room long"))
-        size, room = F.col("size"), F.col("room")
-        fit = rows.join(bounds, "key").filter((size > 0) & (F.col("hash") >= F.col("low")) & ~F.array_contains("had", F.col("hash")))
-        fit = fit.filter((size > room) & (size < 2 * room)) if over else fit.filter(size <= room)
-        best = fit.groupBy("key").agg((F.min if over else F.max)(F.struct("size", "hash")).alias("best")).collect()
-        fitting = {}
-        for r in best:
+    starts = {p: 0 for p, room in left.items() if room}
+    while starts:
+        rooms = {p: left[p] for p in starts}
+        ends, sums = _search(rows, starts, rooms)
+        for p, low in starts.items():
+            made.spans[p].append((low, ends.get(p, 1 << BITS), rooms[p]))
+            left[p] -= sums[p]
+        starts = {p: end + 1 for p, end in ends.items() if left[p]}
+    open_ = {p: room for p, room in left.items() if room}
+    if open_:
+        bounds = bounded(spark.createDataFrame([(p, room, made.spans[p]) for p, room in open_.items()], f"key string, room long, __mix_spans {SPANS}"))
+        near = rows.join(bounds, "key").filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("room")) & ~_inside(F.col("hash"), F.col("size")))
+        whole = near.groupBy("key", "hash").agg(F.sum("size").alias("size"), F.first("room").alias("room")).filter("size < 2 * room")
+        for r in whole.groupBy("key").agg(F.min(F.struct("size", "hash")).alias("best")).collect():
             made.extra[r["key"]].append(r["best"]["hash"])
-            left[r["key"]] -= r["best"]["size"]
-            fitting[r["key"]] = left[r["key"]]
     return made
 
 
+#: Of the documents with hashes from low to below high, those no larger than most.
+SPANS = "array<struct<low:long,high:long,most:long>>"
+
+
+def _inside(h: F.Column, size: F.Column) -> F.Column:
+    return F.exists("__mix_spans", lambda x: (h >= x["low"]) & (h < x["high"]) & (size <= x["most"]))
+
+
+def _search(rows: DataFrame, starts: dict[str, int], rooms: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
+    """From each key's start on, of the documents no larger than its room: the hash at which their running sum passes
+    the room, for keys where it does, and the sum before it (for other keys the whole sum)."""
+    spark = rows.sparkSession
+    fit = lambda x: rows.join(bounded(spark.createDataFrame(x, "key string, low long, start long, room long")), "key").filter((F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("hash") >= F.col("start")))
+    open_, sums = dict.fromkeys(starts, 0), dict.fromkeys(starts, 0)
+    for shift in range(BITS - LEVEL, -1, -LEVEL):
+        inside = fit([(p, low, starts[p], rooms[p]) for p, low in open_.items()]).filter(F.expr(f"shiftright(hash, {shift + LEVEL}) = shiftright(low, {shift + LEVEL})"))
+        cells = materialize(inside.groupBy("key", F.expr(f"shiftright(hash, {shift})").alias("bucket")).agg(F.sum("size").alias("size")))
+        found = _boundaries(cells, {p: rooms[p] - sums[p] for p in open_})
+        if len(found) < len(open_):
+            rest = {r["key"]: r["size"] for r in cells.groupBy("key").agg(F.sum("size").alias("size")).collect()}
+            for p in open_.keys() - {p for p, _, _ in found}:
+                sums[p] += rest.get(p, 0)
+        open_ = {p: cell << shift for p, cell, _ in found}
+        for p, _, before in found:
+            sums[p] += before
+        if not open_:
+            break
+    return open_, sums
+
+
 def _boundaries(sums: DataFrame, left: dict[str, int]) -> list[tuple[str, int, int]]:
     """The bucket in which each key's running sum passes what is left, and the sum before it."""
     spark = sums.sparkSession
@@ -224,12 +242,12 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str =
 
 
 def _choices(docs: DataFrame, made: Plan, sums: dict | None = None) -> DataFrame:
-    rows = [(p, made.passes[p], made.below[p], made.extra[p], *((sums or {}).get(p, (0.0, 0)))) for p in made.passes]
-    return docs.sparkSession.createDataFrame(rows, "__mix_key string, __mix_passes long, __mix_below long, __mix_extra array<long>, __mix_target double, __mix_source_size long")
+    rows = [(p, made.passes[p], made.spans[p], made.extra[p], *((sums or {}).get(p, (0.0, 0)))) for p in made.passes]
+    return docs.sparkSession.createDataFrame(rows, f"__mix_key string, __mix_passes long, __mix_spans {SPANS}, __mix_extra array<long>, __mix_target double, __mix_source_size long")
 
 
 def _copies(h: F.Column, size: F.Column) -> F.Column:
-    once_more = (h < F.col("__mix_below")) | F.array_contains("__mix_extra", h)
+    once_more = _inside(h, size) | F.array_contains("__mix_extra", h)
     return F.when(size > 0, F.col("__mix_passes") + once_more.cast("long")).otherwise(0)
 
 

@@ -86,6 +86,17 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_goes_on_behind_a_document_that_does_not_fit(spark):
+    """A source misses its target by at most half of its smallest document that is left, whatever stands in the way."""
+    rng = random.Random(18)
+    rows = [(k, "w " * rng.randrange(5, 80), "s") for k in range(700)] + [(1000, "w " * 20_000, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2, 3):
+        got = mixing.mix(docs, weights=(1,), share=0.55, seed=seed).collect()
+        assert all(r.taken in (0, r.size) for r in got)
+        assert 2 * abs(sum(r.taken for r in got) - got[0].target) <= min(r.size for r in got if not r.taken)
+
+
 def test_mix_of_overlapping_sources(spark):
     rows = [(k, "w " * 10, [["a"], ["a", "b"], ["b", None]][k % 3]) for k in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
