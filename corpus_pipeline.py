@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier line is similar to; n_chars follows the text."""
-    return line_dedup.dedupe(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without the lines, of one word or more, that an earlier line is similar to; n_chars follows the text."""
+    return line_dedup.dedupe(docs, least=1).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,7 +101,9 @@ def similar_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", perc
     own = stored(_sets(docs, id_, text, percent, least))
     classes = stored(own.groupBy("cls").agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("x")).select("cls", "x.*"))
     release(docs.sparkSession)
-    rows = classes.select(*PLACE, "n", "bits", F.posexplode("prefix").alias("p", "token"))
+    # A set this small is similar to no other set, so its class settles it.
+    joined = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
+    rows = joined.select(*PLACE, "n", "bits", F.posexplode("prefix").alias("p", "token"))
     hot = bounded(materialize(rows.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("token")), BROADCAST_TOKENS)
     release(docs.sparkSession)
     held = rows.join(hot, "token", "left_semi")

@@ -246,12 +246,12 @@ def test_largest_narrows(spark, monkeypatch):
         assert importance.largest(rows, k) == order[k - 1]
 
 
-def lines_brute(rows):
+def lines_brute(rows, least=5):
     found = []
     for at, (k, t, _, _) in enumerate(rows):
         for n, line in enumerate((t or "").split("\n")):
             w = line.encode().split()
-            if len(w) >= 5:
+            if len(w) >= least:
                 found.append(((k if k is not None else 1 << 63, n), at, set(w)))
     gone = collections.defaultdict(set)
     for p, at, s in found:
@@ -285,6 +285,19 @@ def test_line_dedup(spark, corpus, monkeypatch):
     assert line_dedup.report(table(spark, EMPTY)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    """The pipeline's stage removes repeats of short lines and of lines without spaces; blank lines stay."""
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    texts = ["\n".join(words(rng, rng.randrange(1, 7), 5) if rng.random() < 0.8 else rng.choice(["", " ", "漢字の行", "a b c", "a b c d"]) for _ in range(8)) for _ in range(60)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    want = lines_brute(rows, least=1)
+    assert sum(map(len, want.values())) > 100
+    out = corpus_pipeline.lines(spark, table(spark, rows), "").collect()
+    assert {r.doc_id: r.text for r in out} == {k: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[k]) for k, t, _, _ in rows}
+
+
 def test_line_dedup_keys_lines_by_row(spark):
     """Documents without an id, or with a repeated one, lose their own repeated lines and no others."""
     rng = random.Random(15)
