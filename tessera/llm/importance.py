@@ -10,8 +10,8 @@ largest sum is found by histograms over ever narrower ranges, without a sort of
 Null and empty texts have weight 0. A null id gets one and the same noise; repeated rows get the same weight
 and noise, and ties are taken in the order of ids, those that tie with the last one taken all. Labels with a
 null id or label are left out; of repeated labels the largest counts; without labels half of the documents
-are taken. An empty table gives an empty table. The models are fitted on all texts and at most ``most_labels``
-labelled ones, those with the smallest seeded hashes.
+are taken. An empty table gives an empty table. The share of good labels is that of all labels; the models are
+fitted on all texts and at most ``most_labels`` labelled ones, those with the smallest seeded hashes.
 """
 
 from __future__ import annotations
@@ -96,10 +96,10 @@ def largest(rows: DataFrame, k: int) -> tuple[float, int | None]:
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str = "doc_id", text: str = "text", length: float = 50.0, share: float | None = None, seed: int = 11, most_labels: int = MOST_LABELS) -> DataFrame:
     """doc_id, log_weight, key (with noise) and kept; share of the documents is kept, by default that of good labels."""
     known = labels.filter(F.col(id_).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_).cast("long").alias("l_id")).agg(F.max(label).alias("label"))
-    known = materialize(known.orderBy(F.xxhash64(F.lit(seed), "l_id"), "l_id").limit(most_labels))
     if share is None:
         share = known.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0]
         share = 0.5 if share is None else share
+    known = materialize(known.orderBy(F.xxhash64(F.lit(seed), "l_id"), "l_id").limit(most_labels))
     rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
     good = F.broadcast(known.filter("label > 0").select("l_id"))
     flagged = rows.join(good, F.col("doc_id") == F.col("l_id"), "left").select("text", F.col("l_id").isNotNull().alias("target"))

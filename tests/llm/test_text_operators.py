@@ -238,6 +238,14 @@ def test_importance(spark):
     assert importance.classify(table(spark, EMPTY), labels).count() == 0
 
 
+def test_importance_share_is_that_of_all_labels(spark):
+    rng = random.Random(17)
+    rows = table(spark, [(k, words(rng, 20), "en", "s") for k in range(100)])
+    labels = spark.createDataFrame([(k, int(k % 10 < 3)) for k in range(100)], "doc_id long, quality int")
+    for most in (1, 7):
+        assert importance.classify(rows, labels, most_labels=most).filter("kept").count() == 30
+
+
 def test_largest_narrows(spark, monkeypatch):
     monkeypatch.setattr(importance, "FEW", 10)
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 700).cast("double").alias("key"))
