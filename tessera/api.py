@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.operators import enrich, export, folders, graph, listing, reading, search, store
-from tessera.operators.index import Index, build_index
+from tessera.operators.index import Index
 
 
 def bounded_int(value: object, default: int, low: int, high: int) -> int:
@@ -40,15 +40,7 @@ class KnowledgeBase:
         """The index of the current chunks, read if it was stored with them."""
         v = self.tables.version("chunks")
         if self._index is None or self._index[0] != v:
-            path = f"{self.tables.path}/index/v{v}"
-            try:
-                made = Index.read(self.spark, path)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                build_index(self.chunks).write(path)
-                made = Index.read(self.spark, path)
-            self._index = (v, made)
+            self._index = (v, self.tables.index())
         return self._index[1]
 
     def _query(self, text: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,9 +23,12 @@ STOPWORDS = (
     "的 了 和 与 及 或 是 在 我们 他们 它们 这个 那个 一种 可以 通过 使用 对于 以及 由于 因此 一个 没有 这样"
 ).split()
 
+# Patterns of headings, phrases and quoted terms.
 ATX = r"^(#{1,6})[" + WS + r"]+(.+?)[" + WS + r"]*#*[" + WS + r"]*$"
 NUMBERED = r"^(\d+(?:\.\d+){0,4})[.、)．]?[" + WS + r"]+([^" + WS + r"].{0,70})$"
 CHAPTER = r"^第[" + WS + r"]*[一二三四五六七八九十百零〇0-9]{1,4}[" + WS + r"]*[章节篇][" + WS + r"]*(.{0,60})$"
+PHRASE = f"[A-Z][a-zA-Z]+(?:[{WS}]+[A-Z][a-zA-Z]+)*"
+QUOTED = '["“”][^"“”]{2,40}["“”]'
 UNTITLED = "片段"
 
 
@@ -220,29 +223,43 @@ def _stop(t: Column, words: Sequence[str] = STOPWORDS) -> Column:
     return F.lower(t).isin(list(words))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of x, with x computed once a row, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _count(items: Column, t: Column) -> Column:
     return F.size(F.filter(items, lambda x: x == t))
 
 
+def _pieces(w: Column) -> Column:
+    lengths = F.sequence(F.lit(2), F.least(F.lit(4), F.length(w)))
+    return F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))))
+
+
+def _recurring(parts: Column) -> Column:
+    """The distinct parts that occur twice or more, in order of appearance: those that have an equal neighbour when sorted."""
+    doubled = bound(F.array_sort(parts), lambda s: F.array_distinct(F.filter(s, lambda w, i: w == F.get(s, i + 1))))
+    return bound(doubled, lambda d: F.filter(F.array_distinct(parts), lambda w: F.array_contains(d, w)))
+
+
 def entities(x: Column | str, most: int = S.CHUNK_ENTITIES) -> Column:
     """Title-case phrases of up to three words, quoted terms, and recurring CJK pieces, most frequent first.
 
     Ties keep the order in which the terms were found. Null text has none.
     """
     t = F.coalesce(_c(x), F.lit(""))
-    phrases = F.regexp_extract_all(t, F.lit(f"[A-Z][a-zA-Z]+(?:[{WS}]+[A-Z][a-zA-Z]+)*"), F.lit(0))
-    phrases = F.filter(phrases, lambda p: F.size(F.split(p, " ", -1)) <= 3)
-    quoted = F.transform(F.regexp_extract_all(t, F.lit('["“”][^"“”]{2,40}["“”]'), F.lit(0)), lambda q: F.regexp_replace(q, '["“”]', ""))
+    phrases = F.filter(F.regexp_extract_all(t, F.lit(PHRASE), F.lit(0)), lambda p: F.size(F.split(p, " ", -1)) <= 3)
+    quoted = F.transform(F.regexp_extract_all(t, F.lit(QUOTED), F.lit(0)), lambda q: F.regexp_replace(q, '["“”]', ""))
     plain = F.filter(F.transform(F.concat(phrases, quoted), trim), lambda w: (F.length(w) >= 2) & ~_stop(w) & ~w.rlike(r"^[0-9]+$"))
-    runs = F.regexp_extract_all(t, F.lit(f"[{IDEOGRAPHS}]{{2,6}}"), F.lit(0))
-
-    def pieces(w: Column) -> Column:
-        lengths = F.sequence(F.lit(2), F.least(F.lit(4), F.length(w)))
-        return F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))))
-
-    parts = F.flatten(F.transform(runs, pieces))
-    often = F.filter(F.array_distinct(parts), lambda w: _count(parts, w) >= 2)
-    terms = F.array_distinct(F.concat(plain, often))
-    score = lambda w: _count(plain, w) + F.when(F.array_contains(often, w), _count(parts, w)).otherwise(0)
-    ranked = F.array_sort(F.transform(terms, lambda w, i: F.struct((-score(w)).alias("s"), i.alias("i"), w.alias("w"))))
-    return F.transform(F.slice(ranked, 1, most), lambda r: r["w"])
+    parts = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(f"[{IDEOGRAPHS}]{{2,6}}"), F.lit(0)), _pieces))
+
+    def best(found: Column) -> Column:
+        plain, parts, often = found["plain"], found["parts"], found["often"]
+        score = lambda w: _count(plain, w) + F.when(F.array_contains(often, w), _count(parts, w)).otherwise(0)
+        terms = F.array_distinct(F.concat(plain, often))
+        ranked = F.array_sort(F.transform(terms, lambda w, i: F.struct((-score(w)).alias("s"), i.alias("i"), w.alias("w"))))
+        return F.transform(F.slice(ranked, 1, most), lambda r: r["w"])
+
+    found = bound(F.struct(plain.alias("plain"), parts.alias("parts")), lambda f: F.struct(f["plain"].alias("plain"), f["parts"].alias("parts"), _recurring(f["parts"]).alias("often")))
+    return bound(found, best)

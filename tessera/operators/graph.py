@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schema as S
+from tessera.functions import text as X
+from tessera.storage import checkpointed
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
@@ -42,9 +44,9 @@ def raw_contains_edges(chunks: DataFrame) -> DataFrame:
 
 def relates_edges(chunks: DataFrame) -> DataFrame:
     """Pairs of entities with the number of chunks that mention both. A chunk has 12 entities at most, so 66 pairs."""
+    pairs = lambda keys: F.flatten(F.transform(keys, lambda a, i: F.transform(F.slice(keys, i + 2, F.size(keys)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     keys = F.array_sort(F.array_distinct(F.transform("entities", F.lower)))
-    pairs = F.flatten(F.transform(keys, lambda a, i: F.transform(F.slice(keys, i + 2, F.size(keys)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    rows = chunks.filter(F.size("entities") > 1).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
+    rows = chunks.filter(F.size("entities") > 1).select(F.explode(X.bound(keys, pairs)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("weight"))
     return rows.select(F.concat(F.lit("e:"), F.col("a")).alias("source"), F.concat(F.lit("e:"), F.col("b")).alias("target"), F.lit("relates").alias("kind"), "weight")
 
 
@@ -60,6 +62,7 @@ def among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def capped(nodes: DataFrame, edges: DataFrame, most_nodes: int = S.GRAPH_NODES, most_edges: int = S.GRAPH_EDGES) -> tuple[DataFrame, DataFrame]:
     """The heaviest nodes and the heaviest edges among them, if either is over its cap. Ties go to the smaller id."""
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
     if nodes.limit(most_nodes + 1).count() <= most_nodes and edges.limit(most_edges + 1).count() <= most_edges:
         return nodes, edges
     top = nodes.orderBy(F.desc("weight"), "id").limit(most_nodes)

@@ -8,13 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.storage import checkpointed
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    """chunk_id, doc_id, chunk_index, length, term, tf, with a null term for a chunk without tokens."""
+    tokens = F.filter(X.chunk_tokens("title", "summary", "text", "entities"), lambda t: t != "")
+    rows = chunks.select("chunk_id", "doc_id", "chunk_index", F.explode(F.array(tokens)).alias("tokens"))
+    rows = rows.select("chunk_id", "doc_id", "chunk_index", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
+    return rows.groupBy("chunk_id", "doc_id", "chunk_index", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def term_frequencies(chunks: DataFrame) -> DataFrame:
     """chunk_id, doc_id, chunk_index, term, tf. Tokens are exploded and counted with partial aggregation."""
-    tokens = X.chunk_tokens("title", "summary", "text", "entities")
-    rows = chunks.select("chunk_id", "doc_id", "chunk_index", F.explode(tokens).alias("term")).filter("term != ''")
-    return rows.groupBy("chunk_id", "doc_id", "chunk_index", "term").agg(F.count("*").alias("tf"))
+    return _counted(chunks).filter("term is not null").drop("length")
+
+
+#: Rows of a file of the stored index.
+FILE_ROWS = 2_000_000
 
 
 @dataclass
@@ -30,12 +41,13 @@ class Index:
         n, total = self.lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         return max(1, n), total / n if n else 0.0
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Postings are laid out by term so that a search reads the row groups of its terms only."""
-        put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
-        put(self.postings.repartition(buckets, "term").sortWithinPartitions("term", "chunk_id"), "postings")
-        put(self.frequencies.repartition(max(1, buckets // 8), "term").sortWithinPartitions("term"), "frequencies")
-        put(self.lengths, "lengths")
+    def write(self, path: str, mode: str = "overwrite") -> None:
+        """Postings are laid out by term, so that a search reads the row groups of its terms only; a term with many
+        postings fills several files. Their number follows the rows."""
+        put = lambda df, name, by: df.repartitionByRange(-(-max(1, df.count()) // FILE_ROWS), *by).sortWithinPartitions(*by).write.mode(mode).parquet(f"{path}/{name}")
+        put(self.postings, "postings", ["term", "chunk_id"])
+        put(self.frequencies, "frequencies", ["term"])
+        put(self.lengths, "lengths", ["doc_id", "chunk_id"])
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
@@ -43,11 +55,13 @@ class Index:
 
 
 def build_index(chunks: DataFrame) -> Index:
-    """The index of some chunks. Chunks without tokens count in the statistics with length 0."""
-    tf = term_frequencies(chunks)
-    n = F.size(F.filter(X.chunk_tokens("title", "summary", "text", "entities"), lambda t: t != ""))
-    lengths = chunks.select("doc_id", "chunk_id", n.alias("length"))
-    return Index(tf.join(lengths, ["doc_id", "chunk_id"]).select("term", "doc_id", "chunk_id", "chunk_index", "tf", "length"), tf.groupBy("term").agg(F.count("*").alias("df")), lengths)
+    """The index of some chunks. Chunks without tokens count in the statistics with length 0.
+
+    All three tables come from one table of counts, checkpointed, so chunks are made and cut into tokens once.
+    """
+    counted = checkpointed(_counted(chunks))
+    postings = counted.filter("term is not null").select("term", "doc_id", "chunk_id", "chunk_index", "tf", "length")
+    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), counted.select("doc_id", "chunk_id", "length").distinct())
 
 
 def replace_documents(index: Index, chunks: DataFrame, doc_ids: DataFrame) -> Index:

@@ -6,13 +6,20 @@ to it, so readers see one version or the other.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera import schema as S
 from tessera.functions import text as X
+from tessera.operators.index import Index, build_index
+
+#: Versions of a table that are kept for readers.
+KEPT_VERSIONS = 4
+POINTER = "version long, folder string"
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -70,22 +77,60 @@ class TableStore:
     def _pointer(self, name: str) -> str:
         return f"{self.path}/{name}/current"
 
-    def version(self, name: str) -> int:
-        """The current version, 0 if the table was never written."""
+    def _current(self, name: str) -> tuple[int, str]:
+        """The current version and its folder; of folders that claim one number the first by name holds it."""
         try:
-            return self.spark.read.schema("version long").parquet(self._pointer(name)).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+            rows = self.spark.read.schema(POINTER).parquet(self._pointer(name)).filter("version is not null")
+            row = rows.orderBy(F.desc("version"), "folder").first()
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            row = None
+        return (row["version"], row["folder"]) if row else (0, "")
+
+    def version(self, name: str) -> int:
+        """The current version, 0 if the table was never written."""
+        return self._current(name)[0]
 
     def read(self, name: str, schema: T.StructType) -> DataFrame:
-        v = self.version(name)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{v}") if v else self.spark.createDataFrame([], schema)
+        v, folder = self._current(name)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{folder}") if v else self.spark.createDataFrame([], schema)
 
     def write(self, name: str, table: DataFrame) -> int:
-        """Writes the next version, then appends it to the pointer; a failed write leaves the old one current."""
+        """Writes the next version to a folder of its own, then points to it; a failed write leaves the old one current.
+
+        Of two writers that take the same number at a time one holds it, and the other fails.
+        """
         v = self.version(name) + 1
-        table.write.mode("overwrite").parquet(f"{self.path}/{name}/v{v}")
-        self.spark.createDataFrame([(v,)], "version long").coalesce(1).write.mode("append").parquet(self._pointer(name))
+        folder = f"v{v}-{uuid.uuid4().hex}"
+        table.write.parquet(f"{self.path}/{name}/{folder}")
+        self.spark.createDataFrame([(v, folder)], POINTER).coalesce(1).write.mode("append").parquet(self._pointer(name))
+        if self._current(name) != (v, folder):
+            raise RuntimeError(f"another writer changed {name} meanwhile")
+        self._forget(name, v - KEPT_VERSIONS)
         return v
+
+    def _forget(self, name: str, v: int) -> None:
+        """Removes a version that no reader should still be at."""
+        if v <= 0:
+            return
+        rows = self.spark.read.schema(POINTER).parquet(self._pointer(name)).filter(F.col("version") == v).collect()
+        gone = [f"{self.path}/{name}/{r['folder']}" for r in rows] + ([f"{self.path}/index/v{v}"] if name == "chunks" else [])
+        for path in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def index_path(self) -> str:
+        """Where the index of the current chunks is stored."""
+        return f"{self.path}/index/v{self.version('chunks')}"
+
+    def index(self) -> Index:
+        """The index of the current chunks; it is built and stored if it was not stored with them."""
+        path = self.index_path()
+        try:
+            return Index.read(self.spark, path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        build_index(self.read("chunks", S.CHUNKS)).write(path)
+        return Index.read(self.spark, path)

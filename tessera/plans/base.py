@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import chunking
+from tessera.operators import chunking, index
+from tessera.storage import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +31,29 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Paths of stored tables by application, input folder and name.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """The path of a table that is written once for an input folder, whose files do not change meanwhile."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = new_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.local_chunks(table(spark, sf_dir, "documents"))
+    """The chunks of documents, as the engine keeps them: made once and stored."""
+    made = chunking.local_chunks(table(spark, sf_dir, "documents"))
+    return spark.read.schema(made.schema).parquet(_once(spark, sf_dir, "chunks", made.write.parquet))
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of these chunks, built once and stored by term."""
+    return index.Index.read(spark, _once(spark, sf_dir, "index", lambda path: index.build_index(chunks(spark, sf_dir)).write(path)))
 
 
 def chat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

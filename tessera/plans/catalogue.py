@@ -122,7 +122,8 @@ def _(spark, sf):
 
 @query("local_chunks", f"WITH {P.CHUNKS} SELECT chunk_id, title, text, tokens, list_aggregate(entities, 'string_agg', '|') AS entities FROM chunks")
 def _(spark, sf):
-    return P.chunks(spark, sf).select("chunk_id", "title", "text", "tokens", F.when(F.size("entities") > 0, _joined("entities")).alias("entities"))
+    made = chunking.local_chunks(P.table(spark, sf, "documents"))
+    return made.select("chunk_id", "title", "text", "tokens", F.when(F.size("entities") > 0, _joined("entities")).alias("entities"))
 
 
 @query("section_chunks_pages")
@@ -193,12 +194,12 @@ def _(spark, sf):
 
 @query("document_frequency", f"WITH {P.POSTINGS} SELECT term, df FROM df")
 def _(spark, sf):
-    return index.build_index(P.chunks(spark, sf)).frequencies
+    return P.stored_index(spark, sf).frequencies
 
 
 @query("corpus_stats", f"WITH {P.POSTINGS} SELECT n, round(mean, 6) AS mean FROM st")
 def _(spark, sf):
-    lengths = index.build_index(P.chunks(spark, sf)).lengths
+    lengths = P.stored_index(spark, sf).lengths
     return lengths.agg(F.count("*").alias("n"), _round(F.avg("length")).alias("mean"))
 
 
@@ -218,7 +219,7 @@ _TOP = "SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6
 
 
 def _found(spark: SparkSession, sf: str, queries: DataFrame, docs: DataFrame | None = None, **options) -> DataFrame:
-    made = index.build_index(P.chunks(spark, sf))
+    made = P.stored_index(spark, sf)
     return search.ranked(search.scores(made, search.query_terms(queries), docs=docs), **options)
 
 
@@ -289,13 +290,13 @@ def _(spark, sf):
 
 @query("search_render_markdown")
 def _(spark, sf):
-    hits = search.search(index.build_index(c := P.chunks(spark, sf)), c, P.docs(spark, sf), _queries(spark, sf))
+    hits = search.search(P.stored_index(spark, sf), P.chunks(spark, sf), P.docs(spark, sf), _queries(spark, sf))
     return search.render_hits(hits)
 
 
 @query("ask_passages")
 def _(spark, sf):
-    hits = search.search(index.build_index(c := P.chunks(spark, sf)), c, P.docs(spark, sf), _queries(spark, sf))
+    hits = search.search(P.stored_index(spark, sf), P.chunks(spark, sf), P.docs(spark, sf), _queries(spark, sf))
     return search.passages(hits)
 
 

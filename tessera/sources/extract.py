@@ -16,6 +16,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as X
 
@@ -115,20 +116,42 @@ def _printable(data: bytes) -> str:
     return re.sub(r"[^\x20-\x7E一-鿿\s]", " ", data.decode("utf-8", "replace"))
 
 
+# A literal string of a PDF.
 _LITERAL = re.compile(rb"\((?:[^()\\]|\\.)*\)", re.S)
 
 
-def pdf_text(data: bytes) -> tuple[str, list[str] | None, str | None]:
-    """Text, pages and a warning. An installed reader gives pages; else string literals are salvaged, also from deflated streams."""
+#: Pages that are read of a PDF.
+MOST_PAGES = 3000
+
+
+def _bookmarks(reader: object, items: list) -> list[dict]:
+    """A reader's outline (entries, each followed by the list of those below it) as nested title, page and items."""
+    out: list[dict] = []
+    for x in items:
+        if isinstance(x, list):
+            (out[-1]["items"] if out else out).extend(_bookmarks(reader, x))
+            continue
+        try:
+            page = reader.get_destination_page_number(x) + 1
+        except Exception:
+            page = 0
+        out.append({"title": str(getattr(x, "title", "") or ""), "page": page, "items": []})
+    return out
+
+
+def pdf_text(data: bytes) -> tuple[str, list[str] | None, str | None, str | None]:
+    """Text, pages, a warning and bookmarks as JSON. An installed reader gives pages and bookmarks; else string
+    literals are salvaged, also from deflated streams."""
     try:
         from pypdf import PdfReader
     except ImportError:
         PdfReader = None
     if PdfReader is not None:
         try:
-            pages = [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages[:3000]]
+            reader = PdfReader(io.BytesIO(data))
+            pages = [_page_text(p) for p in reader.pages[:MOST_PAGES]]
             if any(p.strip() for p in pages):
-                return "\n".join(pages), pages, None
+                return "\n".join(pages), pages, None, _outline_json(reader)
         except Exception:
             pages = []
     bodies = [data]
@@ -144,7 +167,22 @@ def pdf_text(data: bytes) -> tuple[str, list[str] | None, str | None]:
             if len(s.strip()) > 1:
                 found.append(s)
     text = " ".join(" ".join(found).split())
-    return text or _printable(data), None, "the file's text was salvaged from its bytes and may be incomplete"
+    return text or _printable(data), None, "the file's text was salvaged from its bytes and may be incomplete", None
+
+
+def _page_text(page: object) -> str:
+    """A page that cannot be read is empty."""
+    try:
+        return page.extract_text() or ""
+    except Exception:
+        return ""
+
+
+def _outline_json(reader: object) -> str | None:
+    try:
+        return json.dumps(_bookmarks(reader, reader.outline)) if reader.outline else None
+    except Exception:
+        return None
 
 
 # Which branch takes a file.
@@ -175,7 +213,7 @@ WARNINGS = {
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """files: doc_id, name, mime, content -> doc_id, text, pages, warning. Binary formats alone run in Python."""
+    """files: doc_id, name, mime, content -> doc_id, text, pages, warning, bookmarks. JSON, DOCX and PDF run in Python."""
     rows = route(files)
     decoded = F.decode(F.col("content"), "UTF-8")
     plain = rows.filter(~F.col("kind").isin("pdf", "docx", "json"))
@@ -183,22 +221,18 @@ def extract(files: DataFrame) -> DataFrame:
     warning = F.lit(None).cast("string")
     for k, v in WARNINGS.items():
         warning = F.when(F.col("kind") == k, F.lit(v)).otherwise(warning)
-    out = plain.select("doc_id", text.alias("text"), F.lit(None).cast("array<string>").alias("pages"), warning.alias("warning"))
+    none = F.lit(None)
+    out = plain.select("doc_id", text.alias("text"), none.cast("array<string>").alias("pages"), warning.alias("warning"), none.cast("string").alias("bookmarks"))
+    flat = F.pandas_udf(lambda column: column.map(lambda b: flatten_json(bytes(b).decode("utf-8", "replace"))), T.StringType())
+    parsed = rows.filter("kind = 'json'").select("doc_id", flat("content").alias("text"), none.cast("array<string>").alias("pages"), none.cast("string").alias("warning"), none.cast("string").alias("bookmarks"))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = []
-            for doc, kind, data in zip(f["doc_id"], f["kind"], f["content"], strict=True):
-                if kind == "json":
-                    made.append((doc, flatten_json(bytes(data).decode("utf-8", "replace")), None, None))
-                elif kind == "docx":
-                    made.append((doc, docx_text(bytes(data)), None, WARNINGS["docx"]))
-                else:
-                    made.append((doc, *pdf_text(bytes(data))))
-            yield pd.DataFrame(made, columns=["doc_id", "text", "pages", "warning"])
-
-    binary = rows.filter(F.col("kind").isin("pdf", "docx", "json")).select("doc_id", "kind", "content").mapInPandas(read, "doc_id string, text string, pages array<string>, warning string")
-    return out.unionByName(binary)
+            made = [(docx_text(bytes(x)), None, WARNINGS["docx"], None) if kind == "docx" else pdf_text(bytes(x)) for kind, x in zip(f["kind"], f["content"], strict=True)]
+            yield pd.DataFrame(made, columns=["text", "pages", "warning", "bookmarks"]).assign(doc_id=f["doc_id"].to_numpy())
+
+    binary = rows.filter(F.col("kind").isin("pdf", "docx")).select("doc_id", "kind", "content").mapInPandas(read, "text string, pages array<string>, warning string, bookmarks string, doc_id string")
+    return out.unionByName(parsed).unionByName(binary)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

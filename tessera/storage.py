@@ -2,14 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import functools
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="tessera-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines see; one of its own where that is unset and all run in one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return top or _own_folder()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder of spark.checkpoint.dir."""
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def new_path(spark: SparkSession, stem: str = "table") -> str:
+    """A path in the shared folder; what is there is removed when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as compressed Parquet in the shared folder and read back, for larger tables."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,44 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera import schema as S
 from tessera.operators import chunking, enrich, outline, store
-from tessera.operators.index import build_index
+from tessera.operators.index import replace_documents
 from tessera.sources import extract
+from tessera.storage import checkpointed
+
+
+def documents_of(files: DataFrame) -> DataFrame:
+    """files: doc_id, name, mime, content -> doc_id, text, pages, outline, outline_source, warning.
+
+    Pages lose recurring edge lines. The outline is the file's bookmarks, else the headings found in its text.
+    """
+    rows = checkpointed(extract.extract(files))
+    paged = rows.filter(F.size("pages") > 0)
+    split = paged.select("doc_id", F.transform("pages", lambda p: F.split(p, "\n", -1)).alias("pages"))
+    clean = outline.strip_furniture(split).select("doc_id", F.transform("pages", lambda p: F.array_join(p, "\n")).alias("clean"))
+    marked = extract.flatten_bookmarks(rows.filter("bookmarks is not null")).select("doc_id", F.col("outline").alias("marked"))
+    entry = F.struct(F.col("level"), F.col("title"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<string>").alias("path"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", entry.alias("e")))), lambda x: x["e"])
+    found = outline.detect_outline(rows.filter("bookmarks is null")).groupBy("doc_id").agg(listed.alias("found"))
+    rows = rows.join(clean, "doc_id", "left").join(marked, "doc_id", "left").join(found, "doc_id", "left")
+    source = F.when(F.size("marked") > 0, "pdf-bookmarks").when(F.size("found") > 0, "text-headings")
+    entries = F.when(F.size("marked") > 0, F.col("marked")).otherwise(F.col("found"))
+    text = F.when(F.size("clean") > 0, F.array_join("clean", "\n")).otherwise(F.col("text"))
+    return rows.select("doc_id", text.alias("text"), F.coalesce("clean", "pages").alias("pages"), outline.normalize_outline(entries).alias("outline"), source.alias("outline_source"), "warning")
 
 
 def chunks_of(files: DataFrame) -> DataFrame:
     """files: doc_id, name, mime, content -> chunks, by pages where an extractor gives them."""
-    rows = extract.extract(files)
-    none = F.lit(None).cast("array<struct<level:int,title:string,page:int,path:array<string>>>")
-    return chunking.build_chunks(rows.withColumn("outline", outline.normalize_outline(none)))
+    return chunking.build_chunks(documents_of(files))
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id: the one uploaded last, then the one with the larger digest of its bytes."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("uploaded_at"), F.desc(F.sha2("content", 256)), F.desc("name"))
+    return rows.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
 
 
 def ingest(files: DataFrame, tables: store.TableStore, checkpoint: str, enricher: enrich.Enricher | None = None, seconds: int | None = 20) -> StreamingQuery:
     """Writes a stream of files to the tables docs, chunks and postings; a batch that is run again changes nothing.
 
-    seconds is the least time between batches; None takes what is there and stops.
+    Only a batch's documents are chunked, enriched and cut into tokens; in the index they replace what it has of
+    them. seconds is the least time between batches; None takes what is there and stops.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        rows = rows.dropDuplicates(["doc_id"]).persist()
-        if rows.limit(1).count():
-            new = chunks_of(rows)
-            new = enrich.enrich(new, enricher) if enricher else new
-            tables.write("chunks", store.set_chunks(tables.read("chunks", S.CHUNKS), new))
-            kept = ["doc_id", "name", "mime", "size", "uploaded_at"]
-            docs = rows.select(*kept).withColumn("status", F.lit("done")).withColumn("progress", F.lit(100))
-            for f in S.DOCS:
-                if f.name not in docs.columns:
-                    docs = docs.withColumn(f.name, F.lit(None).cast(f.dataType))
-            tables.write("docs", store.upsert(tables.read("docs", S.DOCS), docs))
-            chunks = tables.read("chunks", S.CHUNKS)
-            build_index(chunks).write(f"{tables.path}/index/v{tables.version('chunks')}", buckets=8)
-        rows.unpersist()
+        rows = checkpointed(newest(rows))
+        if not rows.limit(1).count():
+            return
+        made = checkpointed(documents_of(rows))
+        new = chunking.build_chunks(made)
+        new = checkpointed(enrich.enrich(new, enricher) if enricher else new)
+        ids = rows.select("doc_id")
+        old = tables.index()
+        tables.write("chunks", store.set_chunks(store.delete_documents(tables.read("docs", S.DOCS), tables.read("chunks", S.CHUNKS), ids)[1], new))
+        docs = rows.select("doc_id", "name", "mime", "size", "uploaded_at").join(made.select("doc_id", "outline", "outline_source", "warning"), "doc_id")
+        docs = docs.withColumn("status", F.lit("done")).withColumn("progress", F.lit(100))
+        for f in S.DOCS:
+            if f.name not in docs.columns:
+                docs = docs.withColumn(f.name, F.lit(None).cast(f.dataType))
+        tables.write("docs", store.upsert(tables.read("docs", S.DOCS), docs))
+        replace_documents(old, new, ids).write(tables.index_path())
 
     accepted, _ = extract.uploads(files)
     writer = accepted.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

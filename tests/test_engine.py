@@ -220,7 +220,7 @@ def test_readding_a_document_changes_nothing(spark, manual_docs):
 
 
 def test_stored_index(spark, manual_docs, tmp_path):
-    manual_docs[2].write(str(tmp_path / "i"), buckets=4)
+    manual_docs[2].write(str(tmp_path / "i"))
     read = index.Index.read(spark, str(tmp_path / "i"))
     assert read.stats() == manual_docs[2].stats() and read.postings.count() == manual_docs[2].postings.count()
 
