@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import gc
-import tempfile
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.storage import checkpointed
+from tessera.storage import stored as stored
+
 #: A word is a run of anything but these six ASCII spaces; ``bytes.split()`` splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 #: The same as a Java and RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a lookup table that may be broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 20_000
+#: Bytes of rows without a fixed width that may be broadcast.
+BROADCAST_BYTES = 16_000_000
 
 U64 = np.uint64
 _M1, _M2, _M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -135,7 +140,8 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 def parts(batches: Iterable[pa.RecordBatch], size: int = 2_000_000, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text, to bound what a task holds."""
     for batch in batches:
-        ends = np.cumsum([0 if b is None else len(b) for b in texts(batch, name)])
+        column = batch.column(batch.schema.get_field_index(name))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             limit = (ends[at - 1] if at else 0) + size
@@ -144,42 +150,50 @@ def parts(batches: Iterable[pa.RecordBatch], size: int = 2_000_000, name: str =
             at = to
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+#: Bytes of an Arrow batch that goes to Python, unless the session has a setting of its own; Spark's default is 64 MB.
+BATCH_BYTES = 2_000_000
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as compressed Parquet in the shared folder and read back, for larger tables.
+def small_batches(spark: SparkSession) -> None:
+    """Bound batches where they are made: a worker holds a batch several times over (Arrow, bytes, arrays)."""
+    if spark.conf.get(_BATCHES) == f"{1 << 26}b":
+        spark.conf.set(_BATCHES, f"{BATCH_BYTES}b")
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and what they keep counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
-    The files are removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    path = f"{top}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
 
-    def remove() -> None:
-        with contextlib.suppress(Exception):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with small batches; a task's memory goes back to the system at its end."""
+    small_batches(df.sparkSession)
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    @functools.wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
 
+    return df.mapInArrow(tidy, schema)
 
-def release(spark: SparkSession) -> None:
-    """Let the cleaner remove shuffle files that no plan refers to any more, rather than when the driver next collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    return checkpointed(df)
 
 
-def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if it has at most ``rows`` rows, else as it is (joined by a shuffle)."""
-    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+def bounded(small: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """``small`` with a broadcast hint if it has at most ``rows`` rows, else as it is (joined by a shuffle).
+
+    size, if rows have no fixed width, gives a row's bytes; their sum may be BROADCAST_BYTES at most.
+    """
+    if size is None:
+        return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+    n, width = small.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(small) if n <= rows and (width or 0) <= BROADCAST_BYTES else small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -208,8 +222,5 @@ def with_arrow(df: DataFrame, column: str, kind: T.DataType, of: Callable[[pa.Re
             made = made if isinstance(made, pa.Array | pa.ChunkedArray) else pa.array(made, arrow)
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, column])
 
-    return df.mapInArrow(run, schema)
-
+    return in_arrow(df, run, schema)
 
-def little(xs: Iterable[int], kind: str = "<u8") -> bytes:
-    return np.asarray(xs, kind).tobytes()

@@ -17,7 +17,6 @@ neither lose nor bring back other texts. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, WORD, bounded, by_text, fresh, join_hash, materialize, mix, parts, texts, word_hashes
+from tessera.llm.common import U64, WORD, bounded, by_text, fresh, in_arrow, join_hash, materialize, mix, parts, texts, word_hashes
 from tessera.llm.graph import components
 
 WIDTH = 5
@@ -39,6 +38,8 @@ BINS = BANDS * ROWS
 BROADCAST_IDS = 200_000
 #: Further rounds of stars, from other centres, in buckets whose nodes are in different components.
 ROUNDS = 2
+#: Pairs of one node that a task compares.
+PAIRS_EACH = 1000
 #: Slots of the table of estimated shingle frequencies; it orders shingles only.
 SLOTS = 1 << 17
 
@@ -95,88 +96,96 @@ def signatures(docs: DataFrame, id_: str, text: str, width: int = WIDTH, digest:
                 found.append(buckets(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]], names=["doc_id", "n_shingles", "key", "buckets", *batch.schema.names[2:]])
 
-    return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), *more).mapInArrow(run, "doc_id long, n_shingles long, key binary, buckets array<long>" + ", digest binary" * digest)
+    return in_arrow(docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"), *more), run, "doc_id long, n_shingles long, key binary, buckets array<long>" + ", digest binary" * digest)
 
 
 def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _texts(docs: DataFrame, id_: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
-    """wanted: node, doc, key. node and the text of a document of that id whose set has that key."""
+def _sets(docs: DataFrame, id_: str, text: str, wanted: DataFrame, width: int) -> DataFrame:
+    """wanted: node, doc, key. node and the packed shingle set of that key, from a document of that id."""
     wanted = bounded(wanted.select("node", "doc", "key"), BROADCAST_IDS)
     held = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("node", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            keys = batch.column(1).to_pylist()
-            same = [len(s) > 0 and xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(shingle_sets(texts(batch), width), keys, strict=True)]
-            yield batch.select(["node", "text"]).filter(pa.array(same, pa.bool_()))
+            made = []
+            for s, k in zip(shingle_sets(texts(batch), width), batch.column(1).to_pylist(), strict=True):
+                packed = s.tobytes()
+                made.append(packed if len(s) and xxhash.xxh3_128_digest(packed) == k else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "set"]).filter(pa.array([x is not None for x in made], pa.bool_()))
 
-    return held.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    return in_arrow(held, run, "node long, set binary").dropDuplicates(["node"])
 
 
-def _confirmed(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs: a, b. Those whose sets are similar enough."""
-    a, b = (held.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """pairs: a, b. Those whose sets are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def of(node: int, b: bytes) -> np.ndarray:
-            if node not in known:
-                known[node] = next(shingle_sets([b], width))
-                if len(known) > 500:
-                    known.popitem(last=False)
-            return known[node]
+    Pairs are dealt by their first node; a node with many pairs is dealt to as many tasks as it needs. Its set
+    goes to each of these once, ahead of the sets it is compared with, so a task holds two sets at a time.
+    """
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS_EACH)).cast("int").alias("tasks"))
+    first = tasks.join(held, tasks["a"] == held["node"]).select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "set")
+    rest = pairs.join(tasks, "a").join(held, F.col("b") == F.col("node")).select("a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("part"), "b", "set")
+    met = first.unionByName(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, s = None, np.empty(0, U64)
         for batch in batches:
             good = []
-            for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
-                s, t = of(x, s), of(y, t)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * both >= percent * (len(s) + len(t) - both))
+            for a, part, b, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                t = np.frombuffer(packed, U64)
+                if b is None:
+                    at, s = (a, part), t
+                    good.append(False)
+                    continue
+                ok = at == (a, part) and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t))
+                if ok:
+                    x = np.sort(np.concatenate((s, t)), kind="stable")  # two sorted runs are merged
+                    both = int((x[1:] == x[:-1]).sum())
+                    ok = 100 * both >= percent * (len(s) + len(t) - both)
+                good.append(ok)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return in_arrow(met, run, "a long, b long")
 
 
-def _frequencies(held: DataFrame, width: int) -> np.ndarray:
+def _frequencies(held: DataFrame) -> np.ndarray:
     """Estimated shingle frequencies: counts by slot, of a fixed number of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SLOTS, np.int64)
-        for batch in parts(batches):
-            for s in shingle_sets(texts(batch), width):
-                count[(s % U64(SLOTS)).astype(np.int64)] += 1
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                np.add.at(count, (np.frombuffer(packed, U64) % U64(SLOTS)).astype(np.int64), 1)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["slot", "n"])
 
     total = np.zeros(SLOTS, np.int64)
-    sums = held.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = in_arrow(held.select("set"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     total[sums["slot"].to_numpy(np.int64)] = sums["n"]
     return total
 
 
-def _remaining(nodes: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+def _remaining(nodes: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """nodes: node, component. Every pair in different components that a prefix join of their sets proposes."""
-    own = materialize(held.join(nodes, "node").select("node", "component", "text"))
-    rarity = own.sparkSession.sparkContext.broadcast(_frequencies(own, width))
+    own = materialize(held.join(nodes, "node").select("node", "component", "set"))
+    rarity = own.sparkSession.sparkContext.broadcast(_frequencies(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = rarity.value
-        for batch in parts(batches):
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for x, c, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(texts(batch), width), strict=True):
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(5)]
+            for x, c, packed in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                s = np.frombuffer(packed, U64)
                 n = len(s)
                 first = s[np.lexsort((s, count[(s % U64(SLOTS)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1]
-                for held, v in zip(out, (first.view(np.int64), np.full(len(first), x), np.full(len(first), c), np.full(len(first), n), np.arange(len(first))), strict=True):
-                    held.append(v.astype(np.int64))
-            cols = [np.concatenate(v) if v else np.empty(0, np.int64) for v in out]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["token", "node", "component", "n", "place"])
+                for col, v in zip(out, (first.view(np.int64), np.full(len(first), x), np.full(len(first), c), np.full(len(first), n), np.arange(len(first))), strict=True):
+                    col.append(v.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names=["token", "node", "component", "n", "place"])
 
-    rows = own.mapInArrow(run, "token long, node long, component long, n long, place long")
+    rows = in_arrow(own, run, "token long, node long, component long, n long, place long")
     # a is the smaller set: of its tokens fewer need be looked at, since no smaller set than it takes part.
     a, b = (rows.select(*[F.col(c).alias(f"{c}_{x}") for c in rows.columns]) for x in "ab")
     a = a.filter(F.col("place_a") <= F.col("n_a") - F.ceil(2 * percent * F.col("n_a") / F.lit(100 + percent)))
@@ -195,9 +204,9 @@ def _components(held: DataFrame, docs: DataFrame, id_: str, text: str, width: in
     stars = materialize(members.join(centres, "bucket").select("bucket", "centre", "node"))
     involved = materialize(stars.select("node").distinct())
     wanted = classes.select("node", "doc", "key").join(involved, "node")
-    words = materialize(_texts(docs, id_, text, wanted, width))
-    proposed = stars.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_confirmed(proposed, words, width, percent))
+    sets = materialize(_sets(docs, id_, text, wanted, width))
+    proposed = materialize(stars.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    links = materialize(_confirmed(proposed, sets, percent))
     found = materialize(components(links))
     for k in range(ROUNDS + 1):
         of = involved.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -210,8 +219,8 @@ def _components(held: DataFrame, docs: DataFrame, id_: str, text: str, width: in
             centre = unsettled.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.xxhash64("bucket", "node", F.lit(k))).alias("c"))
             proposed = unsettled.join(centre, "bucket").filter("component != c.component").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         else:
-            proposed = _remaining(unsettled.select("node", "component").distinct(), words, width, percent)
-        more = materialize(_confirmed(materialize(proposed), words, width, percent))
+            proposed = _remaining(unsettled.select("node", "component").distinct(), sets, percent)
+        more = materialize(_confirmed(materialize(proposed), sets, percent))
         if more.limit(1).count():
             found = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     return classes.select("key", "node", "doc").join(found, "node", "left").select("key", "doc", F.coalesce("component", "node").alias("component"))
