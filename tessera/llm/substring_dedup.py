@@ -6,8 +6,10 @@ once in the corpus, counted by shard over distinct anchors of blocks of document
 window. Segments of the others are aggregated by content, so copies cost one row. Each shard builds
 compressed FM-indexes (wavelet matrices) over its segments and streams them through backward search, which
 gives matching statistics: how far left from a position the text still occurs as often as needed. Windows
-inside long enough matches are repeated. A shard indexes whole anchors in blocks of bounded size; an anchor
-with more segments than a block is indexed block by block, and all of its segments are streamed to each.
+inside long enough matches are repeated. A shard indexes whole anchors in blocks of bounded size. The segments
+of an anchor that many different segments share (a phrase found in many contexts) are cut further, by the least
+grams under two more hash functions, and each run of windows that agrees in all three is dealt by itself; should
+such a group still be larger than a block, it is indexed block by block, and its segments are streamed to each.
 
 Words are compared by 64-bit hashes. Null text has no words; texts shorter than a window keep all words;
 repeated rows repeat each other's windows; an empty table gives an empty table. Input columns named like a
@@ -26,17 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import U64, bounded, fresh, join_hash, materialize, mix, texts, with_arrow, word_hashes
+from tessera.llm.common import U64, bounded, fresh, in_arrow, join_hash, materialize, mix, parts, texts, with_arrow, word_hashes
 from tessera.llm.fm_index import FMIndex
 
 WIDTH = 35
 GRAM = 12
-#: Words of a block of documents, of an index, and characters of text for each shard of anchors.
-BLOCK_BYTES, INDEX_WORDS, SHARD_CHARS = 4_000_000, 400_000, 60_000_000
+#: Bytes of a block of documents, words of an index, and characters of text for each shard of anchors.
+BLOCK_BYTES, INDEX_WORDS, SHARD_CHARS = 1_000_000, 400_000, 60_000_000
+#: Different segments from which an anchor is cut further, and the seeds of the hash functions that do it.
+HOT_SEGMENTS, SEEDS = 4096, (U64(0x5DEECE66D), U64(0x9E3779B9))
+#: Segments whose grams are looked at together.
+_AT_ONCE = 8192
 #: The longest pattern that is searched.
 DEPTH = 64
-#: Documents whose segments or spans may be broadcast.
-BROADCAST_DOCS = 150_000
 
 _RANGE = WIDTH - GRAM + 1
 
@@ -49,44 +53,49 @@ def _sliding_least(x: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (length - size)], m[length - size :]) if size < length else m
 
 
+def _grams(h: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM words from each position."""
+    g2 = join_hash(h[:-1], h[1:])
+    g4 = join_hash(g2[:-2], g2[2:])
+    g8 = join_hash(g4[:-4], g4[4:])
+    return join_hash(g8[:-4], g4[8:])
+
+
 def segments(h: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Runs of windows with one anchor: doc, start (word in the doc), windows, anchor, many (the anchor recurs in it), at."""
     none = {k: np.empty(0, np.int64) for k in ("doc", "start", "windows", "many", "at")} | {"anchor": np.empty(0, U64)}
     if len(h) < WIDTH:
         return none
-    g2 = join_hash(h[:-1], h[1:])
-    g4 = join_hash(g2[:-2], g2[2:])
-    g8 = join_hash(g4[:-4], g4[4:])
-    gram = join_hash(g8[:-4], g4[8:])
+    gram = _grams(h)
     least = _sliding_least(gram, _RANGE)
     ends = np.cumsum(counts)
-    doc = np.repeat(np.arange(len(counts)), counts)[: len(least)]
-    at = np.arange(len(least))
-    valid = at + WIDTH <= ends[doc]
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[: len(least)]
+    valid = np.arange(WIDTH, len(least) + WIDTH, dtype=np.int32) <= ends.astype(np.int32)[doc]
     new = valid.copy()
     new[1:] &= (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~valid[:-1]
     first = np.flatnonzero(new)
     if not len(first):
         return none
-    total = np.concatenate(([0], np.cumsum(valid)))
-    windows = np.diff(np.append(total[first], total[-1]))
-    span = windows + _RANGE - 1
-    starts = np.cumsum(span) - span
-    inside = np.repeat(first - starts, span) + np.arange(int(span.sum()))
-    same = gram[inside] == np.repeat(least[first], span)
-    many = np.add.reduceat(same, starts, dtype=np.int64) > 1
-    d = doc[first]
-    return {"doc": d, "start": first - (ends - counts)[d], "windows": windows, "anchor": least[first], "many": many.astype(np.int64), "at": first}
-
-
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    size = np.cumsum([0 if x is None else len(x) for x in texts(batch)])
-    at = 0
-    while at < batch.num_rows:
-        limit = (size[at - 1] if at else 0) + BLOCK_BYTES
-        to = min(max(at + 1, int(np.searchsorted(size, limit, side="right"))), batch.num_rows)
-        yield batch.slice(at, to - at)
-        at = to
+    total = np.concatenate(([0], np.cumsum(valid, dtype=np.int32)))
+    windows = np.diff(np.append(total[first], total[-1])).astype(np.int64)
+    anchor, span, many = least[first], windows + _RANGE - 1, np.empty(len(first), np.int64)
+    for k in range(0, len(first), _AT_ONCE):
+        part = slice(k, k + _AT_ONCE)
+        starts = np.cumsum(span[part]) - span[part]
+        inside = np.repeat(first[part] - starts, span[part]) + np.arange(int(span[part].sum()))
+        many[part] = np.add.reduceat(gram[inside] == np.repeat(anchor[part], span[part]), starts, dtype=np.int64) > 1
+    d = doc[first].astype(np.int64)
+    return {"doc": d, "start": first - (ends - counts)[d], "windows": windows, "anchor": anchor, "many": many, "at": first}
+
+
+def cuts(h: np.ndarray, anchor: int) -> Iterator[tuple[int, int, int]]:
+    """The windows of a segment in runs with one least gram under each of SEEDS: key, first word, words."""
+    gram = _grams(h)
+    least = [_sliding_least(mix(gram ^ seed), _RANGE) for seed in SEEDS]
+    new = np.flatnonzero(np.concatenate(([True], (least[0][1:] != least[0][:-1]) | (least[1][1:] != least[1][:-1]))))
+    key = join_hash(join_hash(np.full(len(new), anchor, np.int64).view(U64), least[0][new]), least[1][new]).view(np.int64)
+    to = np.append(new[1:], len(least[0]))
+    yield from zip(key.tolist(), new.tolist(), (to - new + WIDTH - 1).tolist(), strict=True)
 
 
 _ROW = "shard int, kind int, block long, a binary, b binary, c binary"
@@ -100,7 +109,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _anchors(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """A block's documents with their segments' anchors by place, and its distinct anchors by shard."""
     seq = 0
-    for part in (p for b in batches for p in _parts(b)):
+    for part in parts(batches, BLOCK_BYTES):
         block = TaskContext.get().partitionId() << 32 | seq
         seq += 1
         s = segments(*word_hashes(texts(part), lower=False))
@@ -112,9 +121,9 @@ def _anchors(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
         order = np.argsort(shard, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        keys = part.column(part.schema.get_field_index("key")).to_numpy()
+        keys = part.column(part.schema.get_field_index("key")).to_pylist()
         per_doc = np.bincount(s["doc"], minlength=len(keys))
-        rows = [(block % shards, 1, block, keys.astype("<i8").tobytes(), per_doc.astype("<u4").tobytes(), place[inverse].astype("<u4").tobytes())]
+        rows = [(block % shards, 1, block, b"".join(keys), per_doc.astype("<u4").tobytes(), place[inverse].astype("<u4").tobytes())]
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
         for k in np.flatnonzero(np.diff(cut)).tolist():
             at = order[cut[k] : cut[k + 1]]
@@ -155,11 +164,11 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, info, flags = None, None, []
 
     def done() -> pa.RecordBatch:
-        keys, per_doc, place = np.frombuffer(info[0], "<i8"), np.frombuffer(info[1], "<u4"), np.frombuffer(info[2], "<u4")
+        keys, per_doc, place = [info[0][k : k + 16] for k in range(0, len(info[0]), 16)], np.frombuffer(info[1], "<u4"), np.frombuffer(info[2], "<u4")
         hit = np.frombuffer(b"".join(flags), np.uint8)[place] > 0
         ends = np.cumsum(per_doc, dtype=np.int64)
-        found = [(k, np.flatnonzero(hit[e - n : e]).astype("<u4").tobytes()) for k, e, n in zip(keys.tolist(), ends.tolist(), per_doc.tolist(), strict=True) if hit[e - n : e].any()]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["key", "ordinals"])
+        found = [(k, np.flatnonzero(hit[e - n : e]).astype("<u4").tobytes()) for k, e, n in zip(keys, ends.tolist(), per_doc.tolist(), strict=True) if hit[e - n : e].any()]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["key", "ordinals"])
 
     for batch in batches:
         for s, _, block, a, b, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
@@ -177,7 +186,7 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, ordinals, text -> the flagged segments: anchor, segment (a hash of its words), key, start, words."""
-    for part in (p for b in batches for p in _parts(b)):
+    for part in parts(batches, BLOCK_BYTES):
         h, counts = word_hashes(texts(part), lower=False)
         s = segments(h, counts)
         first = np.concatenate(([0], np.cumsum(np.bincount(s["doc"], minlength=part.num_rows))))
@@ -185,20 +194,24 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = s["windows"][pick] + WIDTH - 1
         at = s["at"][pick]
         names = [xxhash.xxh3_64_intdigest(h[a : a + n].tobytes()) for a, n in zip(at.tolist(), words.tolist(), strict=True)]
-        keys = part.column(0).to_numpy()[s["doc"][pick]]
-        yield pa.RecordBatch.from_arrays([pa.array(s["anchor"][pick].view(np.int64)), pa.array(np.array(names, U64).view(np.int64)), pa.array(keys, pa.int64()), pa.array(s["start"][pick].astype(np.int32)), pa.array(words.astype(np.int32))], names=["anchor", "segment", "key", "start", "words"])
+        keys = part.column(0).take(pa.array(s["doc"][pick]))
+        yield pa.RecordBatch.from_arrays([pa.array(s["anchor"][pick].view(np.int64)), pa.array(np.array(names, U64).view(np.int64)), keys, pa.array(s["start"][pick].astype(np.int32)), pa.array(words.astype(np.int32))], names=["anchor", "segment", "key", "start", "words"])
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text and wanted segments -> each one's words as text."""
-    for batch in batches:
-        anchor, segment, n, payload = [], [], [], []
+    """text and wanted segments -> each one's words as text, those of hot anchors in several cuts."""
+    for batch in parts(batches, BLOCK_BYTES):
+        rows = []
         for b, wanted in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
             words = (b or b"").split()
+            h, _ = word_hashes([b], lower=False)
             for w in wanted:
-                anchor.append(w["anchor"]), segment.append(w["segment"]), n.append(w["n"])
-                payload.append(b" ".join(words[w["start"] : w["start"] + w["words"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(segment, pa.int64()), pa.array(n, pa.int64()), pa.array(payload, pa.binary())], names=["anchor", "segment", "n", "payload"])
+                start, n = w["start"], w["words"]
+                for key, at, size in cuts(h[start : start + n], w["anchor"]) if w["hot"] else [(w["anchor"], 0, n)]:
+                    rows.append((key, w["anchor"], w["segment"], at, w["n"], b" ".join(words[start + at : start + at + size])))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "anchor", "segment", "at", "n", "payload"])
 
 
 def _repeated(index: _Closed, ids: np.ndarray, first: np.ndarray, last: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -235,9 +248,9 @@ def _repeated(index: _Closed, ids: np.ndarray, first: np.ndarray, last: np.ndarr
     return np.cumsum(found)[:-1] > 0
 
 
-def _search(held: list[tuple[int, int, int, bytes]], limit: int) -> Iterator[tuple[int, int, bytes]]:
-    """Segments of whole anchors -> anchor, segment and the spans of words in repeated windows (packed start, end)."""
-    h, counts = word_hashes([x[3] for x in held], lower=False)
+def _search(held: list[tuple], limit: int) -> Iterator[tuple[int, int, bytes]]:
+    """Segments of whole keys -> anchor, segment and the spans of words in repeated windows (packed start, end)."""
+    h, counts = word_hashes([x[5] for x in held], lower=False)
     values, ids = np.unique(h, return_inverse=True)
     ends = np.cumsum(counts)
     blocks, at = [], 0
@@ -250,18 +263,18 @@ def _search(held: list[tuple[int, int, int, bytes]], limit: int) -> Iterator[tup
     text[np.arange(len(ids)) + np.repeat(gap, counts)] = ids + 1
     first = ends - counts + gap
     last = first + counts - WIDTH
-    times = np.array([x[2] for x in held])
+    times = np.array([x[4] for x in held])
     hit = np.zeros(len(text), bool)
     for lo, hi in blocks:
         index = FMIndex(text[first[lo] : first[hi - 1] + counts[hi - 1] + 1], DEPTH)
         own = (gap >= lo) & (gap < hi)
         # A window is repeated if it occurs elsewhere: in its own block once more, unless its segment has copies.
         hit |= _repeated(_Closed(index), text, first, last, np.where(own & (times < 2), 2, 1))
-    for k, (anchor, segment, _, _) in enumerate(held):
+    for k, (_, anchor, segment, at, *_) in enumerate(held):
         w = hit[first[k] : last[k] + 1]
         if w.any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], w.astype(np.int8), [0]))))
-            spans = np.stack((edge[::2], edge[1::2] + WIDTH - 1), 1)
+            spans = np.stack((edge[::2], edge[1::2] + WIDTH - 1), 1) + at
             yield anchor, segment, spans.astype("<u4").tobytes()
 
 
@@ -283,7 +296,7 @@ class _Closed:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows by anchor: indexes over whole anchors, each searched with its own segments."""
+    """Rows by key: indexes over whole keys, each searched with its own segments."""
     held, words, last = [], 0, None
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -296,39 +309,41 @@ def _indexed(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
                 yield out(list(_search(held, limit)))
                 held, words = [], 0
             held.append(row)
-            words += row[3].count(b" ") + 1
+            words += row[5].count(b" ") + 1
             last = row[0]
     if held:
         yield out(list(_search(held, limit)))
 
 
-def spans(docs: DataFrame, shards: int | None = None, index_words: int = INDEX_WORDS) -> DataFrame:
+def spans(docs: DataFrame, shards: int | None = None, index_words: int = INDEX_WORDS, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """docs: key, text. key and its repeated spans, as an array of (start, spans) structs."""
     spark = docs.sparkSession
     if shards is None:
         shards = max(16, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS))
-    sent = docs.select("key", "text").mapInArrow(lambda b: _anchors(b, shards), _ROW)
-    answers = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_answers, _ROW)
-    flagged = answers.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_flagged, "key long, ordinals binary")
+    sent = in_arrow(docs.select("key", "text"), lambda b: _anchors(b, shards), _ROW)
+    answers = in_arrow(sent.repartition(shards, "shard").sortWithinPartitions("shard"), _answers, _ROW)
+    flagged = in_arrow(answers.repartition("block").sortWithinPartitions("block", "shard"), _flagged, "key binary, ordinals binary")
     flagged = materialize(flagged.dropDuplicates(["key"]))
-    wanted = docs.join(bounded(flagged, BROADCAST_DOCS), "key").select("key", "ordinals", "text")
-    found = materialize(wanted.mapInArrow(_occurrences, "anchor long, segment long, key long, start int, words int"))
-    distinct = found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "words")).alias("x"))
-    by_doc = materialize(distinct.groupBy("x.key").agg(F.collect_list(F.struct("anchor", "segment", "n", "x.start", "x.words")).alias("wanted")))
-    first = docs.select("key", "text").join(bounded(by_doc, BROADCAST_DOCS), "key").dropDuplicates(["key"]).select("text", "wanted")
-    payloads = first.mapInArrow(_payloads, "anchor long, segment long, n long, payload binary")
-    parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    searched = payloads.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _indexed(b, index_words), "anchor long, segment long, spans binary")
+    wanted = docs.join(flagged, "key").select("key", "ordinals", "text")
+    found = materialize(in_arrow(wanted, _occurrences, "anchor long, segment long, key binary, start int, words int"))
+    distinct = materialize(found.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "words")).alias("x")))
+    hot = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > hot_segments).select("anchor", F.lit(True).alias("hot")))
+    marked = distinct.join(bounded(hot), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    by_doc = materialize(marked.groupBy("x.key").agg(F.collect_list(F.struct("anchor", "segment", "n", "x.start", "x.words", "hot")).alias("wanted")))
+    first = docs.select("key", "text").join(by_doc, "key").dropDuplicates(["key"]).select("text", "wanted")
+    payloads = in_arrow(first, _payloads, "key long, anchor long, segment long, at int, n long, payload binary")
+    parts_ = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    searched = in_arrow(payloads.repartition(parts_, "key").sortWithinPartitions("key"), lambda b: _indexed(b, index_words), "anchor long, segment long, spans binary")
     return found.join(materialize(searched), ["anchor", "segment"]).groupBy("key").agg(F.collect_set(F.struct("start", "spans")).alias("found"))
 
 
-def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", shards: int | None = None, index_words: int = INDEX_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", shards: int | None = None, index_words: int = INDEX_WORDS, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """``docs`` with n_words, n_removed, and kept_text: the words in no repeated window, joined by single spaces."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
     key, found, made = (fresh(docs, x) for x in ("key", "found", "made"))
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_), F.col(text)))
-    removed = materialize(spans(keyed.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), shards, index_words))
-    joined = keyed.join(bounded(removed.select(F.col("key").alias(key), F.col("found").alias(found)), BROADCAST_DOCS), key, "left")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col(id_).cast("string"), F.lit("null")), F.col(text)))))
+    removed = materialize(spans(keyed.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), shards, index_words, hot_segments))
+    joined = keyed.join(removed.select(F.col("key").alias(key), F.col("found").alias(found)), key, "left")
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     arrow = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
@@ -343,7 +358,7 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", sha
                     for s, e in np.frombuffer(x["spans"], "<u4").reshape(-1, 2).tolist():
                         gone[x["start"] + s : x["start"] + e] = True
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            rows.append((n, n - len(words), b" ".join(words).decode()))
+            rows.append((n, n - len(words), b" ".join(words).decode("utf-8", "replace")))
         cols = list(zip(*rows, strict=True)) or [[]] * 3
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], names=[f.name for f in arrow])
 
