@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import chunking, index
-from tessera.storage import new_path
+from tessera.storage import new_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of documents, as the engine keeps them: made once and stored."""
-    made = chunking.local_chunks(table(spark, sf_dir, "documents"))
+    made = chunking.local_chunks(spread(table(spark, sf_dir, "documents")))
     return spark.read.schema(made.schema).parquet(_once(spark, sf_dir, "chunks", made.write.parquet))
 
 

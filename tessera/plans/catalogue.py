@@ -14,6 +14,7 @@ from tessera.functions import text as X
 from tessera.operators import chunking, enrich, entities, export, folders, graph, index, listing, outline, reading, search, store
 from tessera.plans import base as P
 from tessera.sources import extract
+from tessera.storage import shared_folder, spread
 from tessera.streaming import lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,7 +123,7 @@ def _(spark, sf):
 
 @query("local_chunks", f"WITH {P.CHUNKS} SELECT chunk_id, title, text, tokens, list_aggregate(entities, 'string_agg', '|') AS entities FROM chunks")
 def _(spark, sf):
-    made = chunking.local_chunks(P.table(spark, sf, "documents"))
+    made = chunking.local_chunks(spread(P.table(spark, sf, "documents")))
     return made.select("chunk_id", "title", "text", "tokens", F.when(F.size("entities") > 0, _joined("entities")).alias("entities"))
 
 
@@ -183,7 +184,7 @@ def _(spark, sf):
 
 @query("tokenize_terms", f"SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, CAST(len(list_distinct(ts)) AS BIGINT) AS n_distinct, md5(array_to_string(ts, ' ')) AS digest FROM (SELECT doc_id, {P.tokens('text')} AS ts FROM documents)")
 def _(spark, sf):
-    rows = P.table(spark, sf, "documents").select("doc_id", F.filter(X.tokenize("text"), lambda t: t != "").alias("ts"))
+    rows = spread(P.table(spark, sf, "documents")).select("doc_id", F.filter(X.tokenize("text"), lambda t: t != "").alias("ts"))
     return rows.select("doc_id", _long(F.size("ts")).alias("n"), _long(F.size(F.array_distinct("ts"))).alias("n_distinct"), F.md5(F.array_join("ts", " ")).alias("digest"))
 
 
@@ -719,7 +720,6 @@ def _(spark, sf):
 
 @query("stream_ingest_counts", "SELECT event_type, count(*) AS events FROM events GROUP BY event_type")
 def _(spark, sf):
-    import tempfile
     import uuid
 
     from tessera.streaming import ingest
@@ -727,9 +727,8 @@ def _(spark, sf):
     name = f"counts_{uuid.uuid4().hex[:8]}"
     path = f"{sf}/events.parquet"
     static = spark.read.parquet(path)
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
     stream = spark.readStream.schema(static.schema).parquet(path if spark.read.format("binaryFile").load(path).limit(2).count() > 1 else f"{sf}/events*.parquet")
-    ingest.counted(stream, name, f"{top}/{name}").awaitTermination()
+    ingest.counted(stream, name, f"{shared_folder(spark)}/{name}").awaitTermination()
     return spark.table(name)
 
 
