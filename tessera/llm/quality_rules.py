@@ -3,7 +3,9 @@
 Each text is measured once. A sketch of a measure is a histogram over buckets that keep the seven leading
 bits of an integer (relative error at most 1/64); sketches are merged by adding counts, so partial
 aggregation builds them and a coarser group's sketch is the sum of its groups' sketches. Every language and
-source gets fences from the quartiles of its own sketch, and a join with the fences filters the documents.
+source gets fences from its own sketch: a high quantile, and beyond it a multiple of its distance from the median.
+Its quantiles are drawn towards those of its language, and these towards those of all documents, by n / (n + PRIOR),
+so a small group's fences pass smoothly into its own as it grows. A join with the fences filters the documents.
 
 Null text counts as empty and fails the base rules; null languages and sources are groups of their own;
 repeated rows each count; an empty table gives an empty table. Input columns named like a result column are
@@ -30,36 +32,41 @@ RESULT = ("base_failed", "kept")
 
 @dataclass(frozen=True)
 class Fence:
-    """A measure as ``1000 * part div whole``; outside q3 + reach (q1 - reach, if ``both``) a document goes.
+    """A measure as ``1000 * part div whole``; a document goes whose value is above the fence.
 
-    reach is the larger of ``slack`` (the least reach, for measures that are the same in nearly all
-    documents of a group) and ``times`` the quartile distance.
+    The fence is q + times * (q - median), where q is the quantile of rank ``level`` of 100; it is at least TINY above
+    q, as the value of one line, word or character in a short text moves that much by itself. With ``both`` there is a
+    fence below, from the quantile of rank 100 - level.
     """
 
     name: str
     part: str
     whole: str
-    slack: int
+    level: int
     times: int
     both: bool = False
 
 
+#: Levels are such that what is no document of the group's kind stays above them: symbols and long words come with
+#: texts that are no prose, of which a group may have a tenth; repeats, capitals and equal lines are part of prose.
 FENCES = (
-    Fence("word_length", "word_chars", "n_words", 1000, 6, both=True),
-    Fence("symbols", "n_symbols", "n_words", 100, 4),
-    Fence("dup_lines", "n_dup_lines", "n_lines", 350, 4),
-    Fence("repeats", "n_repeat_words", "n_words", 250, 4),
-    Fence("capitals", "n_upper", "word_chars", 150, 6),
+    Fence("word_length", "word_chars", "n_words", 90, 3, both=True),
+    Fence("symbols", "n_symbols", "n_words", 75, 2),
+    Fence("dup_lines", "n_dup_lines", "n_lines", 99, 2),
+    Fence("repeats", "n_repeat_words", "n_words", 99, 2),
+    Fence("capitals", "n_upper", "word_chars", 99, 2),
 )
-#: A group with fewer documents takes the fences of its language, a language with fewer those of all.
-LEAST_GROUP = 200
+#: Thousandths by which a fence is beyond its quantile at least.
+TINY = 20
+#: Documents for which a parent's quantiles stand in a group.
+PRIOR = 200
 
 
 def measure_one(b: bytes | None) -> tuple[int, ...]:
     b = b or b""
     words = b.split()
     n = len(words)
-    chars = len(b.decode()) - (len(b) - len(b.translate(None, SPACES)))
+    chars = len(b.decode("utf-8", "replace")) - (len(b) - len(b.translate(None, SPACES)))
     lines = [x for x in b.split(b"\n") if x.strip(SPACES)]
     repeated = 0
     if n > 3:
@@ -116,40 +123,37 @@ def sketches(measured: DataFrame, column: str, lang: str = "lang", source: str =
     )
 
 
-def thresholds(sketch: DataFrame, fences=FENCES, least: int = LEAST_GROUP) -> DataFrame:
-    """One row per language and source of the sketch: lang, source and <measure>_low, <measure>_high.
+def thresholds(sketch: DataFrame, fences=FENCES, prior: int = PRIOR) -> DataFrame:
+    """One row per language and source of the sketch: lang, source and <measure>_high, and <measure>_low for some."""
+    ranks = {f.name: (100 - f.level, 50, f.level) for f in fences}
+    rank = lambda k: F.coalesce(*[F.when(F.col("measure") == m, F.lit(r[k])) for m, r in ranks.items()])
 
-    Sketches of small groups give way to the sum of their language's sketches, then of all sketches.
-    """
-    def quartiles(keys: list[str], tag: str) -> DataFrame:
-        summed = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    def quantiles(keys: list[str], tag: str) -> DataFrame:
         by = [*keys, "measure"]
-        w = F.expr(f"sum(n) over (partition by {', '.join(by)} order by bucket)")
-        total = F.expr(f"sum(n) over (partition by {', '.join(by)})")
-        return (
-            summed.select(*by, "bucket", w.alias("cum"), total.alias("total"))
-            .groupBy(*by)
-            .agg(F.max("total").alias(f"{tag}_n"), F.min(F.when(4 * F.col("cum") >= F.col("total"), F.col("bucket"))).alias(f"{tag}_q1"), F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.col("bucket"))).alias(f"{tag}_q3"))
-        )
-
-    own, by_lang, whole = quartiles(["lang", "source"], "own"), quartiles(["lang"], "lang"), quartiles([], "all")
-    by_lang = by_lang.withColumnRenamed("lang", "l2").withColumnRenamed("measure", "m2")
-    whole = whole.withColumnRenamed("measure", "m3")
-    joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("measure") == F.col("m2"))).join(whole, F.col("measure") == F.col("m3"))
-    pick = lambda q: F.when(F.col("own_n") >= least, F.col(f"own_{q}")).when(F.col("lang_n") >= least, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    rows = joined.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
+        over = lambda more: F.expr(f"sum(n) over (partition by {', '.join(by)} {more})")
+        run = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n")).select(*by, "bucket", over("order by bucket").alias("cum"), over("").alias("total"))
+        q = [F.min(F.when(100 * F.col("cum") >= rank(k) * F.col("total"), F.col("bucket"))).cast("double").alias(f"{tag}{k}") for k in range(3)]
+        return run.groupBy(*by).agg(F.max("total").alias(f"{tag}n"), *q)
+
+    own, lang, whole = quantiles(["lang", "source"], "s"), quantiles(["lang"], "l"), quantiles([], "a")
+    lang = lang.withColumnRenamed("lang", "l_lang").withColumnRenamed("measure", "l_measure")
+    whole = whole.withColumnRenamed("measure", "a_measure")
+    rows = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(whole, F.col("measure") == F.col("a_measure"))
+    drawn = lambda n, q, parent: (F.col(n) * q + prior * parent) / (F.col(n) + prior)
+    q = [drawn("sn", F.col(f"s{k}"), drawn("ln", F.col(f"l{k}"), F.col(f"a{k}"))) for k in range(3)]
+    rows = rows.select("lang", "source", "measure", *[x.alias(f"q{k}") for k, x in enumerate(q)])
     out = []
     for f in fences:
-        reach = F.greatest(F.lit(f.slack), f.times * (F.col("q3") - F.col("q1")))
+        reach = lambda k, f=f: F.greatest(F.lit(float(TINY)), f.times * F.abs(F.col(k) - F.col("q1")))
         mine = F.col("measure") == f.name
-        out += [F.max(F.when(mine, F.col("q3") + reach)).alias(f"{f.name}_high")]
+        out += [F.max(F.when(mine, F.col("q2") + reach("q2"))).alias(f"{f.name}_high")]
         if f.both:
-            out += [F.max(F.when(mine, F.col("q1") - reach)).alias(f"{f.name}_low")]
+            out += [F.max(F.when(mine, F.col("q0") - reach("q0"))).alias(f"{f.name}_low")]
     return rows.groupBy("lang", "source").agg(*out)
 
 
-def _verdicts(measured: DataFrame, column: str, lang: str, source: str, fences, least: int) -> tuple[DataFrame, F.Column]:
-    limits = materialize(thresholds(sketches(measured, column, lang, source, fences), fences, least))
+def _verdicts(measured: DataFrame, column: str, lang: str, source: str, fences, prior: int) -> tuple[DataFrame, F.Column]:
+    limits = materialize(thresholds(sketches(measured, column, lang, source, fences), fences, prior))
     names = {c: fresh(measured, c) for c in limits.columns}
     limits = limits.select(*[F.col(c).alias(n) for c, n in names.items()])
     m, inside = F.col(column), F.lit(True)
@@ -161,18 +165,18 @@ def _verdicts(measured: DataFrame, column: str, lang: str, source: str, fences,
     return joined, ~base_failed(m) & F.coalesce(inside, F.lit(True))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fences=FENCES, least: int = LEAST_GROUP) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fences=FENCES, prior: int = PRIOR) -> DataFrame:
     """The input's columns but ``text``, the measures, base_failed and kept."""
     keep = [c for c in docs.columns if c not in {*MEASURES, *RESULT, text} or c in {lang, source}]
     column = fresh(docs, "measures")
     measured = materialize(measure(docs.select(*keep, text), column, text).drop(text))
-    joined, kept = _verdicts(measured, column, lang, source, fences, least)
+    joined, kept = _verdicts(measured, column, lang, source, fences, prior)
     return joined.select(*keep, *[F.col(column)[m].alias(m) for m in MEASURES], base_failed(F.col(column)).alias("base_failed"), kept.alias("kept"))
 
 
-def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fences=FENCES, least: int = LEAST_GROUP) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", fences=FENCES, prior: int = PRIOR) -> DataFrame:
     """The documents that pass, with their columns unchanged. Texts are measured twice rather than shuffled or stored."""
     column = fresh(docs, "measures")
     measured = measure(docs, column, text)
-    joined, kept = _verdicts(measured, column, lang, source, fences, least)
+    joined, kept = _verdicts(measured, column, lang, source, fences, prior)
     return joined.filter(kept).select(*docs.columns)
