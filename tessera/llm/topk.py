@@ -1,31 +1,32 @@
 """Exact top-k search by inner product: exhaustive term-at-a-time accumulation over blocks.
 
-Vectors are sparse rows over terms (dimensions) with integer weights. Candidates are packed into blocks of
-postings by term, queries into blocks of rows by term; blocks meet in a grid of groups, so a task holds one
-pair of blocks at a time whatever the table's size. For each term the block's query weights scatter the
-weighted postings into a dense array of scores; a partition selection takes the best of each query in the
-block, and a shuffle by query merges the blocks' selections.
+Vectors are sparse rows over terms (dimensions) with integer weights. Queries are packed into blocks of rows by
+term; a pass takes as many blocks as may be broadcast, and reads the candidates in place, so they are never
+shuffled. A task packs its candidates, some thousands at a time, into postings by term. For each term a block's
+query weights scatter the weighted postings into a dense array of scores; a partition selection takes the best of
+each query, the task merges these as it goes, and a shuffle by query merges the tasks' selections. Scores are as
+many as there are pairs; what is shuffled is k rows for each query and task.
 
 Vectors that are null or hold null or non-finite components, and rows with a null id, take no part. A
 shorter vector counts as padded with zeros. Rows with the query's own id are no candidates of it; other
 repeated rows each count. Ties go to the smaller id. Scores beyond a long are clipped to its range. Empty
-tables give an empty table.
+tables give an empty table. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, materialize
+from tessera.llm.common import fresh, in_arrow, materialize, stored
 
-#: Rows of a block of queries and of a block of candidates.
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+#: Rows of a block of queries and of a block of candidates; bytes of query blocks that a pass broadcasts.
+QUERY_BLOCK, CANDIDATE_BLOCK, PASS_BYTES = 512, 4096, 16_000_000
 _LONG = 2**63 - 1
 
 
@@ -35,33 +36,40 @@ def quantized(embedding: F.Column, scale: int = 256) -> F.Column:
     return F.when(embedding.isNotNull() & ~bad, F.transform(embedding, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """id, weights -> blocks of at most ``size`` rows: n, ids, and the non-zero weights by term as packed arrays."""
+def _pack(ids: list[int], vectors: list) -> dict[str, bytes]:
+    """ids, and the non-zero weights by term, as packed arrays."""
+    width = max(map(len, vectors), default=0)
+    dense = np.zeros((len(vectors), width), np.int64)
+    for k, v in enumerate(vectors):
+        dense[k, : len(v)] = v
+    term, row = np.nonzero(dense.T)
+    made = (np.array(ids, "<i8"), np.searchsorted(term, np.arange(width + 1)).astype("<i8"), row.astype("<i4"), dense.T[term, row].astype("<i8"))
+    return {n: x.tobytes() for n, x in zip(_PARTS, made, strict=True)}
+
+
+_PARTS = ("ids", "starts", "rows", "weights")
+
+
+def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict[str, bytes]]:
+    """id, weights -> blocks of at most ``size`` rows."""
+    ids, vectors = [], []
+    for b in batches:
+        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids.append(i)
+            vectors.append(v)
+            if len(ids) == size:
+                yield _pack(ids, vectors)
+                ids, vectors = [], []
+    if ids:
+        yield _pack(ids, vectors)
 
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = [], []
-
-        def block() -> pa.RecordBatch:
-            width = max(map(len, vectors), default=0)
-            dense = np.zeros((len(vectors), width), np.int64)
-            for k, v in enumerate(vectors):
-                dense[k, : len(v)] = v
-            term, row = np.nonzero(dense.T)
-            starts = np.searchsorted(term, np.arange(width + 1))
-            made = [np.array(ids, "<i8"), starts.astype("<i8"), row.astype("<i4"), dense.T[term, row].astype("<i8")]
-            ids.clear(), vectors.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in made], names=["ids", "starts", "rows", "weights"])
-
-        for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                vectors.append(v)
-                if len(ids) == size:
-                    yield block()
-        if ids:
-            yield block()
-
-    return rows.mapInArrow(pack, "ids binary, starts binary, rows binary, weights binary")
+        for x in _packed(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array([x[n]], pa.binary()) for n in _PARTS], names=list(_PARTS))
+
+    return in_arrow(rows, pack, ", ".join(f"{n} binary" for n in _PARTS))
 
 
 def _accumulate(q: dict, c: dict) -> np.ndarray:
@@ -89,7 +97,7 @@ def _best(q: dict, c: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """Of each query of a block the k best candidates of the other: query, candidate, score."""
     qid, cid = np.frombuffer(q["ids"], "<i8"), np.frombuffer(c["ids"], "<i8")
     score = _accumulate(q, c)
-    out = []
+    out = [(np.empty(0, np.int64),) * 3]
     for r in range(len(qid)):
         at = np.flatnonzero(cid != qid[r])
         s = score[r, at].astype(np.int64)
@@ -101,29 +109,44 @@ def _best(q: dict, c: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _scored(pairs: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for frame in pairs:
-        for x in frame.to_dict("records"):
-            q = {n: x[f"q_{n}"] for n in ("ids", "starts", "rows", "weights")}
-            query, vec, score = _best(q, x, k)
-            yield pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
+def _merged(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The k best of each query."""
+    query, vec, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((vec, ~score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+    nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[nth < k], vec[nth < k], score[nth < k]
+
+
+def _searched(batches: Iterator[pa.RecordBatch], blocks: list[dict], size: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Candidates -> of each query of the blocks the k best among them."""
+    held: list[tuple] = []
+    room = 16 * k * sum(len(b["ids"]) // 8 for b in blocks)
+    for c in _packed(batches, size):
+        held += [x for x in (_best(b, c, k) for b in blocks) if len(x[0])]
+        if sum(len(x[0]) for x in held) > room:
+            held = [_merged(held, k)]
+    if held:
+        for x in [_merged(held, k)]:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in x], names=["query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", weights: str = "weights", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", weights: str = "weights", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best vectors; both sides hold id_ and integer weights."""
     taking = lambda df: df.select(F.col(id_).cast("long").alias("id"), F.col(weights).alias("weights")).filter(F.col("id").isNotNull() & F.col("weights").isNotNull())
-    vectors, queries = taking(vectors), taking(queries)
-    n_queries, n_vectors = queries.count(), vectors.count()
-    parts = lambda n, size: max(1, -(-n // size))
-    q_groups, c_groups = parts(n_queries, query_block), parts(n_vectors, candidate_block)
-    q = materialize(_blocks(queries.repartition(q_groups, "id"), query_block)).withColumn("q_group", F.pmod(F.xxhash64("ids"), F.lit(q_groups)).cast("int"))
-    c = materialize(_blocks(vectors.repartition(c_groups, "id"), candidate_block)).withColumn("c_group", F.pmod(F.xxhash64("ids"), F.lit(c_groups)).cast("int"))
-    q = q.select("q_group", F.explode(F.sequence(F.lit(0), F.lit(c_groups - 1))).alias("c_group"), *[F.col(x).alias(f"q_{x}") for x in ("ids", "starts", "rows", "weights")])
-    c = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))).alias("q_group"))
-    pairs = q.hint("shuffle_hash").join(c, ["q_group", "c_group"])
-    selected = pairs.mapInPandas(lambda frames: _scored(frames, k), "query_id long, vec_id long, score long")
+    vectors, blocks = taking(vectors), materialize(_blocks(taking(queries), query_block))
+    size = blocks.agg(F.sum(sum(F.length(n) for n in _PARTS))).first()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    selected = []
+    for p in range(passes):
+        mine = blocks.filter(F.pmod(F.xxhash64("ids"), F.lit(passes)) == p) if passes > 1 else blocks
+        shared = vectors.sparkSession.sparkContext.broadcast([r.asDict() for r in mine.collect()])
+        found = in_arrow(vectors, lambda b, shared=shared: _searched(b, shared.value, candidate_block, k), "query_id long, vec_id long, score long")
+        selected.append(stored(found) if passes > 1 else found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return selected.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = reduce(DataFrame.unionByName, selected).withColumn("rank", F.row_number().over(best))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def dot_search(table: DataFrame, is_query: F.Column, k: int = 5, id_: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
