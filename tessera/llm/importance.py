@@ -1,17 +1,18 @@
 """A quality classifier by importance resampling.
 
 Two bag-of-n-grams models over a fixed number of hash slots, one of the target texts (documents labelled as
-good) and one of all texts, give each document the log ratio of its probabilities. Features are words, word
-pairs and byte trigrams, lower-cased. The mean log ratio per word times ``length`` is the document's log
-weight, so that long and short documents compete evenly; adding Gumbel noise from a seeded hash of the id and
-taking the k largest sums samples k documents without replacement in proportion to their weights. The k-th
-largest sum is found by histograms over ever narrower ranges, without a sort of all documents.
-
-Null and empty texts have weight 0. A null id gets one and the same noise; repeated rows get the same weight
-and noise, and ties are taken in the order of ids, those that tie with the last one taken all. Labels with a
-null id or label are left out; of repeated labels the largest counts; without labels half of the documents
-are taken. An empty table gives an empty table. The share of good labels is that of all labels; the models are
-fitted on all texts and at most ``most_labels`` labelled ones, those with the smallest seeded hashes.
+good) and one of all texts, give each document its log importance weight: the sum over its features of the log
+ratio of their probabilities. Features are words, word pairs and byte trigrams, lower-cased. Adding Gumbel noise
+from a seeded hash of the id and the text, and taking the k largest sums, samples k documents without replacement
+in proportion to their weights. The k-th largest sum is found by histograms over ever narrower ranges, without a
+sort of all documents. ``length``, if given, takes the mean log ratio of a word times that many words instead.
+
+Null and empty texts have weight 0, texts of any length count whole. Repeated rows (equal in id and text) get the
+same weight and noise; rows that tie with the k-th are all taken, so more than k are if it is repeated. Labels with
+a null id or label are left out; of repeated labels the largest counts; without labels half of the documents are
+taken. An empty table gives an empty table. Columns of the result replace others of their names; only the id and
+the text are looked at. The share of good labels is that of all labels; the models are fitted on all texts and on
+about ``most_labels`` labelled ones at most, those with the smallest seeded hashes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, join_hash, materialize, mix, texts, word_hashes
+from tessera.llm.common import U64, in_arrow, join_hash, materialize, mix, texts, word_hashes
 
 #: Slots of a model, for words and pairs and for byte trigrams each.
 SLOTS = 1 << 14
@@ -66,7 +67,7 @@ def fit(docs: DataFrame) -> np.ndarray:
         of, at = np.nonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(count[of, at])], names=["of", "slot", "n"])
 
-    sums = docs.select("text", "target").mapInArrow(run, "of int, slot int, n long").groupBy("of", "slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = in_arrow(docs.select("text", "target"), run, "of int, slot int, n long").groupBy("of", "slot").agg(F.sum("n").alias("n")).toPandas()
     count = np.ones((2, 2 * SLOTS))
     count[sums["of"].to_numpy(int), sums["slot"].to_numpy(int)] += sums["n"].to_numpy(float)
     share = count.reshape(2, 2, SLOTS)
@@ -74,34 +75,33 @@ def fit(docs: DataFrame) -> np.ndarray:
     return share[1] - share[0]
 
 
-def largest(rows: DataFrame, k: int) -> tuple[float, int | None]:
-    """rows: doc_id, key. The k-th row by key, descending, then doc_id: its key and id."""
+def largest(rows: DataFrame, k: int) -> float:
+    """The k-th largest key, by histograms over ever narrower ranges; rows are never sorted as a whole."""
     low, high = rows.agg(F.min("key"), F.max("key")).first()
     while True:
         step = (high - low) / BINS
         inside = rows.filter((F.col("key") >= low) & (F.col("key") <= high))
-        if step <= 0 or low + step <= low or inside.limit(FEW + 1).count() <= FEW:
-            break
+        if step <= 0 or low + step <= low:
+            return low
+        if inside.limit(FEW + 1).count() <= FEW:
+            return inside.orderBy(F.desc("key")).limit(k).agg(F.min("key")).first()[0]
         cell = F.least(F.floor((F.col("key") - low) / step), F.lit(BINS - 1))
         found = sorted((r[0], r[1], r[2], r[3]) for r in inside.groupBy(cell.alias("cell")).agg(F.count("*"), F.min("key"), F.max("key")).collect())
         while k > found[-1][1]:
             k -= found.pop()[1]
         low, high = found[-1][2:]
-    last = inside.orderBy(F.desc("key"), "doc_id").limit(k).agg(F.min("key").alias("key")).first()[0] if k <= FEW else low
-    ids = inside.filter(F.col("key") == last).orderBy("doc_id")
-    above = inside.filter(F.col("key") > last).count()
-    return last, ids.limit(k - above).agg(F.max("doc_id")).first()[0]
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str = "doc_id", text: str = "text", length: float = 50.0, share: float | None = None, seed: int = 11, most_labels: int = MOST_LABELS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: str = "doc_id", text: str = "text", length: float | None = None, share: float | None = None, seed: int = 11, most_labels: int = MOST_LABELS) -> DataFrame:
     """doc_id, log_weight, key (with noise) and kept; share of the documents is kept, by default that of good labels."""
     known = labels.filter(F.col(id_).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_).cast("long").alias("l_id")).agg(F.max(label).alias("label"))
-    if share is None:
-        share = known.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0]
-        share = 0.5 if share is None else share
-    known = materialize(known.orderBy(F.xxhash64(F.lit(seed), "l_id"), "l_id").limit(most_labels))
+    known = materialize(known)
+    n, good_share = known.agg(F.count("*"), F.avg((F.col("label") > 0).cast("double"))).first()
+    share = share if share is not None else 0.5 if good_share is None else good_share
+    # A threshold on a uniform hash leaves about most_labels rows, so what is broadcast has a bound; no sort is needed.
+    part = F.pmod(F.xxhash64(F.lit(seed), F.col("l_id")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, most_labels / max(n, 1)))
     rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    good = F.broadcast(known.filter("label > 0").select("l_id"))
+    good = F.broadcast(materialize(known.filter(part & (F.col("label") > 0)).select("l_id")))
     flagged = rows.join(good, F.col("doc_id") == F.col("l_id"), "left").select("text", F.col("l_id").isNotNull().alias("target"))
     ratio = docs.sparkSession.sparkContext.broadcast(fit(flagged))
 
@@ -109,14 +109,13 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: st
         table = ratio.value
         for batch in (part for whole in batches for part in _parts(whole)):
             slot, doc, n = features(texts(batch))
-            sums = np.bincount(doc, table[slot], len(n)) / np.maximum(n, 1) * length
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], names=["doc_id", "log_weight"])
-
-    noise = -F.log(-F.log((F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
-    held = materialize(rows.mapInArrow(run, "doc_id long, log_weight double").withColumn("key", F.col("log_weight") + noise))
+            sums = np.bincount(doc, table[slot], len(n))
+            sums = sums if length is None else sums / np.maximum(n, 1) * length
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sums)], names=["doc_id", "drawn", "log_weight"])
+
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(1 << 52))
+    noise = -F.log(-F.log((F.col("drawn") + 0.5) / float(1 << 52)))
+    weighed = in_arrow(rows.select("doc_id", "text", drawn.alias("drawn")), run, "doc_id long, drawn long, log_weight double")
+    held = materialize(weighed.select("doc_id", "log_weight", (F.col("log_weight") + noise).alias("key")))
     k = round(share * held.count())
-    if not k:
-        return held.withColumn("kept", F.lit(False))
-    key, last = largest(held, k)
-    tied = F.lit(True) if last is None else F.coalesce(F.col("doc_id") <= last, F.lit(True))
-    return held.withColumn("kept", (F.col("key") > key) | ((F.col("key") == key) & tied))
+    return held.withColumn("kept", F.col("key") >= largest(held, k) if k else F.lit(False))
