@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, bounded, fresh, materialize
 
-#: A pattern's row is held by the driver; more of them are refused rather than cut off.
-MOST_PATTERNS = 100_000
-BITS, LEVEL = 36, 12
+#: A pattern's row is held by the driver; more of them are refused rather than cut off. Sources that no document
+#: links are routed apart from each other, so it is the largest group of linked patterns that takes time.
+MOST_PATTERNS = 1_000_000
+BITS, LEVEL = 60, 20
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -94,8 +95,35 @@ class Flow:
             sent += most
 
 
+def linked(patterns: dict[str, tuple[tuple, int]]) -> list[list[str]]:
+    """The patterns in groups that share sources, directly or by way of others."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for members, _ in patterns.values():
+        for s in members[1:]:
+            up[top(s)] = top(members[0])
+    groups: dict = {}
+    for p, (members, _) in patterns.items():
+        groups.setdefault(top(members[0]) if members else ("", p), []).append(p)
+    return list(groups.values())
+
+
 def route(patterns: dict[str, tuple[tuple, int]], quotas: dict, passes: int) -> dict[str, dict]:
     """Tokens from each pattern (its sources and size) to each source, of at most ``passes`` times its size."""
+    found: dict[str, dict] = {}
+    for group in linked(patterns):
+        members = sorted({s for p in group for s in patterns[p][0]}, key=order)
+        found |= _route({p: patterns[p] for p in group}, {s: quotas[s] for s in members}, passes)
+    return found
+
+
+def _route(patterns: dict[str, tuple[tuple, int]], quotas: dict, passes: int) -> dict[str, dict]:
     sources = list(quotas)
     at = {s: 2 + len(patterns) + k for k, s in enumerate(sources)}
     net = Flow(2 + len(patterns) + len(sources))
