@@ -1,23 +1,29 @@
-"""Language-model scores by a weighted backoff automaton over smoothed n-grams.
-
-Every training token is counted: tasks emit sorted arrays of word hashes by shard, and merges keep one
-vocabulary shard in memory at a time. Bigrams are counted between frequent words, trigrams over kept bigrams;
-an n-gram is kept if it is at least a fixed share of all tokens, so the kept part has a proven size
-(1 / share rows) at any corpus size and can be broadcast. Kept n-grams with absolute discounting are the
-states of an automaton: a state is a context, an arc a continuation, and a failure arc leads to the next
-shorter context at the price of its backoff weight. The root's arcs are the add-0.1 unigrams of the whole
-vocabulary. A text is traversed once from left to right; the traversal accumulates each arc's log-probability
-relative to the word's unigram. The unigram part (the base score) needs counts of every word, so blocks of
-documents send their distinct words to the vocabulary's shards and get partial sums back.
-
-Null and empty texts have the end token only. A null id counts as held out: nothing is learnt from it.
-Repeated rows each count and are scored each. An empty table gives an empty table.
+"""Language-model scores by a weighted backoff automaton whose n-grams are all those of the training texts.
+
+States are contexts: the root, words, and pairs of words. An arc of a state is a word that follows the context
+in training; a failure arc leads to the next shorter context. With C the context's count and c the continuation's,
+the failure arc has the weight f = FAIL * C ** -FALL, and an arc the probability (1 - f) * c / C + f * p, where p is
+the shorter context's, so every state is a distribution over all words (Jelinek-Mercer smoothing by the count of the
+context, as new continuations become rarer as a power of it).
+The root's arcs are the add-0.1 unigrams. A text is traversed once from left to right; the state is the last two
+words, and the traversal accumulates each arc's log-probability.
+
+No n-gram is left out, so the automaton grows with the corpus and lives in shards. A block of documents (a few
+MB) sends its distinct words, pairs and triples, with how often its training texts have them, to their shards; a
+shard adds up what it gets and sends each block its counts back; the block, whose texts went along, then has the
+automaton's part that they walk through. Sorted codes travel as differences, whose upper bytes are compressed. A
+shard holds about SHARD_KEYS keys at any size of the corpus, and besides one key a block for each n-gram that is
+found nearly everywhere. Words are told by 64 bits; pairs and triples by TOLD bits besides their shard's, so one in
+250,000 is taken for another.
+
+Null and empty texts have the end token only. A null id counts as held out: nothing is learnt from it. Repeated
+rows each count and are scored each. Texts of any length are walked whole. An empty table gives an empty table.
+Other columns than the id and the text are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +32,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Lookup, materialize, mix, texts, word_hashes
+from tessera.llm.common import U64, in_arrow, join_hash, mix, parts, texts, word_hashes
 
 END = U64(xxhash.xxh64_intdigest(b"\n"))
 ADD = 0.1
-DISCOUNT = 0.5
-#: Least shares of all tokens of a frequent word and of a kept n-gram.
-WORD_SHARE, GRAM_SHARE = 1e-5, 5e-7
-#: Bits of the shards of counts; scoring uses as many of them as the vocabulary needs.
-SHARD_BITS, LEAST_BITS, SHARD_WORDS = 8, 5, 300_000
-#: Keys that a counting task holds, and tokens of a block of documents.
-HELD, BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 1_000_000, 10_000
+#: A context that occurs C times leaves FAIL * C ** -FALL to continuations that training does not have after it.
+FAIL, FALL = 0.95, 0.2
+#: Bytes of text of a block; keys of a shard, on average; bits of the number of shards, at least and at most.
+BLOCK_BYTES, SHARD_KEYS, LEAST_BITS, MOST_BITS = 6_000_000, 250_000, 8, 24
+#: Bits that tell the pairs and triples of a shard; distinct words that a task counts at a time.
+TOLD, HELD = 36, 1_000_000
+#: Bytes of text for each key that is sent, about: a token and its blank have 6.5 and make 1.9 keys.
+BYTES_A_KEY = 3.4
 
 
-def _tokens(batch: pa.RecordBatch, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def tokens(batch: pa.RecordBatch, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of a batch's texts, one after the other, and the number of tokens of each."""
     held = texts(batch)
     words, n = word_hashes(held if rows is None else [b for b, r in zip(held, rows, strict=True) if r], lower=True)
@@ -51,341 +58,264 @@ def _tokens(batch: pa.RecordBatch, rows: np.ndarray | None = None) -> tuple[np.n
     return out, n
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k)
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
-
-
-def counts(docs: DataFrame, codes: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
-    """docs: text, train. One row a shard: shard, keys and n (packed, sorted by key), total, distinct.
-
-    codes makes, once a task, the function from tokens and lengths to the codes to count.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = codes()
-        keys, sums, held = [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            k, c = _summed(keys, sums)
-            keys.clear(), sums.clear()
-            shard = (mix(k) >> U64(64 - SHARD_BITS)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange((1 << SHARD_BITS) + 1))
-            full = [s for s in range(1 << SHARD_BITS) if cut[s] < cut[s + 1]]
-            parts = [order[cut[s] : cut[s + 1]] for s in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([k[p].tobytes() for p in parts], pa.binary()), pa.array([c[p].astype("<u4").tobytes() for p in parts], pa.binary())], names=["shard", "keys", "n"])
-
-        for batch in (part for whole in batches for part in _parts(whole, BLOCK_TOKENS // 2)):
-            train = batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False).astype(bool)
-            k, c = np.unique(of(*_tokens(batch, train)), return_counts=True)
-            keys.append(k), sums.append(c)
-            held += len(k)
-            if held > HELD:
-                k, c = _summed(keys, sums)
-                keys[:], sums[:], held = [k], [c], len(k)
-                if held > HELD // 2:
-                    yield from flush()
-                    held = 0
-        if keys:
-            yield from flush()
+def grams(words: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Mixed keys of the word, pair and triple that end at each token. A text follows on an end; its first token has
+    no triple, and the word's key stands in its place."""
+    first = np.cumsum(n) - n
+    last = np.empty_like(words)
+    last[1:] = words[:-1]
+    last[first] = END
+    pair = join_hash(last, words)
+    triple = np.empty_like(words)
+    triple[1:] = join_hash(pair[:-1] ^ END, words[1:])
+    triple[first] = words[first]
+    return [mix(words), pair, triple]
+
+
+def _codes(words: np.ndarray, n: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words, pairs and triples: the distinct codes, ascending and so by shard, and each token's place in them."""
+    return [np.unique(key if k == 0 else key >> U64(64 - TOLD - bits), return_inverse=True) for k, key in enumerate(grams(words, n))]
+
+
+def _width(x: np.ndarray) -> int:
+    most = int(x.max(initial=0))
+    return 1 if most < 1 << 8 else 4 if most < 1 << 32 else 8
+
+
+def _planes(x: np.ndarray, width: int) -> np.ndarray:
+    """The bytes of each place of some integers, place by place."""
+    return np.ascontiguousarray(x.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+def packed(counts: list[np.ndarray], codes: list[np.ndarray] | None = None) -> tuple[bytes, bytes, bytes]:
+    """Lists of counts, and of sorted codes to them: a head, bytes that are as good as random, and compressed others."""
+    head, hard, soft = [], [], []
+    for k, count in enumerate(counts):
+        m, low, width = len(count), 0, _width(count)
+        if codes is not None and m:
+            planes = _planes(np.diff(codes[k], prepend=U64(0)), 8)
+            low = min(8, max(0, int(np.log2(max(float(codes[k][-1]) / m, 1))) // 8))
+            hard.append(planes[:low].tobytes())
+            soft.append(planes[low:].tobytes())
+        soft.append(_planes(count, width).tobytes())
+        head += [m, low, width]
+    soft = b"".join(soft)
+    return np.array([*head, len(soft)], "<u4").tobytes(), b"".join(hard), pa.compress(soft, codec="zstd", asbytes=True)
+
+
+def unpacked(head: bytes, hard: bytes, soft: bytes, coded: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The counts and, if there are any, the codes."""
+    *head, size = np.frombuffer(head, "<u4").tolist()
+    soft = np.frombuffer(pa.decompress(soft, size, codec="zstd", asbytes=True), np.uint8)
+    hard, counts, codes, at, to = np.frombuffer(hard, np.uint8), [], [], 0, 0
+    for m, low, width in zip(head[::3], head[1::3], head[2::3], strict=True):
+        if coded:
+            high = (8 - low) * m
+            planes = np.concatenate((hard[to : to + low * m], soft[at : at + high])).reshape(8, m)
+            codes.append(np.cumsum(_whole(planes), dtype=U64))
+            at, to = at + high, to + low * m
+        counts.append(_whole(soft[at : at + width * m].reshape(width, m)))
+        at += width * m
+    return counts, codes
+
+
+def vocabulary(rows: DataFrame, bits: int) -> tuple[int, int]:
+    """rows: text, train. The training texts' tokens and distinct tokens."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, total = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            word = np.unique(np.concatenate(held))
+            cut = np.searchsorted(word >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
+            full = np.flatnonzero(np.diff(cut))
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([word[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary()), pa.array([total if k == 0 else 0 for k in range(len(full))], pa.int64())], names=["shard", "words", "total"])
+
+        for batch in parts(batches, BLOCK_BYTES):
+            words, _ = tokens(batch, batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
+            total += len(words)
+            held.append(np.unique(mix(words)))
+            size += len(held[-1])
+            if size > HELD:
+                held = [np.unique(np.concatenate(held))]
+                size = len(held[0])
+                if size > HELD // 2:
+                    yield flush()
+                    held, size, total = [], 0, 0
+        if size:
+            yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, sums, held = None, [], [], 0
+        at, held, total, n = None, [], 0, 0
 
-        def done() -> pa.RecordBatch:
-            k, c = _summed(keys, sums)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype("<i8").tobytes()], pa.binary()), pa.array([int(c.sum())]), pa.array([len(k)])], names=["shard", "keys", "n", "total", "distinct"])
+        def distinct() -> int:
+            held[:] = [np.unique(np.concatenate(held))] if held else []
+            return len(held[0]) if held else 0
 
         for batch in batches:
-            for s, k, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            for s, words, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != at:
-                    if keys:
-                        yield done()
-                    at, keys, sums, held = s, [], [], 0
-                keys.append(np.frombuffer(k, "<u8"))
-                sums.append(np.frombuffer(c, "<u4").astype(np.int64))
-                held += len(keys[-1])
-                if held > HELD and held > 2 * len(keys[0]):
-                    k, c = _summed(keys, sums)
-                    keys, sums, held = [k], [c], len(k)
-        if keys:
-            yield done()
-
-    sent = docs.select("text", "train").mapInArrow(count, "shard int, keys binary, n binary")
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, keys binary, n binary, total long, distinct long")
-
-
-def _frequent(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The keys with at least so many counts, sorted, and their counts; the caller's share bounds their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(c, "<i8")
-                at = np.flatnonzero(c >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, "<i8")[at]), pa.array(c[at])], names=["key", "n"])
-
-    found = table.select("keys", "n").mapInArrow(run, "key long, n long").toPandas()
-    k, c = found["key"].to_numpy(np.int64).view(U64), found["n"].to_numpy(np.int64)
-    order = np.argsort(k)
-    return k[order], c[order]
-
-
-def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted key, -1 if it is not there."""
-    if not len(sorted_keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == wanted, at, -1)
-
-
-def _before(ids: np.ndarray, n: np.ndarray, first: int, by: int) -> np.ndarray:
-    """The id ``by`` tokens earlier in the same text; before its start ``first`` once, then -1."""
-    out = np.full(len(ids), -1, np.int64)
-    out[by:] = ids[:-by] if by <= len(ids) else []
-    starts = np.cumsum(n) - n
-    for k in range(by):
-        at = starts[n > k] + k
-        out[at] = first if k == by - 1 else -1
-    return out
-
-
-@dataclass
-class Automaton:
-    """States are frequent words and kept bigrams; arcs are kept bigrams and trigrams; words are ids."""
-
-    words: np.ndarray
-    end: int
-    unigram: np.ndarray
-    bigrams: np.ndarray
-    bigram_weight: np.ndarray
-    word_backoff: np.ndarray
-    trigrams: np.ndarray
-    trigram_weight: np.ndarray
-    bigram_backoff: np.ndarray
-
-    def lookup(self, name: str) -> Lookup:
-        """The table of an array of keys, made once in each process."""
-        tables = self.__dict__.setdefault("tables", {})
-        if name not in tables:
-            tables[name] = Lookup(getattr(self, name))
-        return tables[name]
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "tables"}
-
-    def ids(self, tokens: np.ndarray) -> np.ndarray:
-        return self.lookup("words")(tokens)
-
-    def pair_codes(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """word * words + next word at each token, -1 if a word is not frequent; a text starts after an end."""
-        last = _before(ids, n, self.end, 1)
-        return np.where((last >= 0) & (ids >= 0), last * len(self.words) + ids, -1)
-
-    def triple_codes(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """kept bigram * words + next word at each token, -1 if the bigrams in it are not kept."""
-        pair = self.lookup("bigrams")(self.pair_codes(ids, n))
-        before = _before(pair, n, -1, 1)
-        return np.where((before >= 0) & (pair >= 0), before * len(self.words) + ids, -1)
-
-    def traverse(self, tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The log10 probability of each token relative to its unigram's, from the state that its text has reached.
-
-        The state after a token is the longest kept context that ends there: the bigram of the last two
-        words if it has continuations, else the last word, else the root.
-        """
-        ids = self.ids(tokens)
-        last = _before(ids, n, self.end, 1)
-        pair = self.lookup("bigrams")(self.pair_codes(ids, n))
-        state = _before(pair, n, -1, 1)
-        out = np.zeros(len(ids))
-        three = self.lookup("trigrams")(np.where((state >= 0) & (ids >= 0), state * len(self.words) + ids, -1))
-        hit3 = three >= 0
-        out[hit3] = self.trigram_weight[three[hit3]]
-        fails = ~hit3 & (state >= 0)
-        out[fails] += self.bigram_backoff[state[fails]]
-        hit2 = ~hit3 & (pair >= 0)
-        out[hit2] += self.bigram_weight[pair[hit2]]
-        rest = ~hit3 & (pair < 0) & (last >= 0)
-        out[rest] += self.word_backoff[last[rest]]
-        return out
-
-
-def _backoff(groups: np.ndarray, size: int, mass: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """log10 of what a context leaves over what the shorter one gives to words without an arc; 0 without arcs."""
-    left = 1 - np.bincount(groups, mass, size)
-    free = 1 - np.bincount(groups, lower, size)
-    has = np.bincount(groups, minlength=size) > 0
-    return np.where(has, np.log10(np.maximum(left, 1e-12) / np.maximum(free, 1e-12)), 0.0)
-
-
-def learn(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[DataFrame, int, int, Automaton]:
-    """docs: text, train. The vocabulary's shards, its tokens and distinct tokens, and the automaton."""
-    vocabulary = materialize(counts(docs, lambda: lambda tokens, n: tokens))
-    total, distinct = (x or 0 for x in vocabulary.agg(F.sum("total"), F.sum("distinct")).first())
-    words, n1 = _frequent(vocabulary, max(1, word_share * total))
-    if len(words) and END not in words:
-        words = np.sort(np.append(words, END))
-        n1 = np.insert(n1, int(np.searchsorted(words, END)), 0)
-    end = int(_find(words, np.array([END]))[0])
-    unigram = (n1 + ADD) / (total + ADD * (distinct + 1))
-    none, v = np.empty(0, np.int64), len(words)
-    model = Automaton(words, end, np.log10(unigram), none, np.empty(0), np.zeros(v), none, np.empty(0), np.empty(0))
-    if not v:
-        return vocabulary, total, distinct, model
-    sc = docs.sparkSession.sparkContext
-    least = max(2, gram_share * total)
-
-    def kept(codes: Callable) -> tuple[np.ndarray, np.ndarray]:
-        shared = sc.broadcast(model)
-
-        def of() -> Callable:
-            m = shared.value
-
-            def f(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
-                c = codes(m, m.ids(tokens), n)
-                return c[c >= 0].view(U64)
-
-            return f
-
-        k, c = _frequent(counts(docs, of), least)
-        return k.view(np.int64), c
-
-    model.bigrams, n2 = kept(Automaton.pair_codes)
-    first, second = np.divmod(model.bigrams, v)
-    p2 = (n2 - DISCOUNT) / n1[first]
-    model.bigram_weight = np.log10(p2) - model.unigram[second]
-    model.word_backoff = _backoff(first, v, p2, unigram[second])
-    model.trigrams, n3 = kept(Automaton.triple_codes)
-    context, third = np.divmod(model.trigrams, v)
-    p3 = (n3 - DISCOUNT) / n2[context] if len(n3) else np.empty(0)
-    shorter = _find(model.bigrams, second[context] * v + third) if len(n3) else none
-    model.trigram_weight = np.log10(p3) - model.unigram[third]
-    model.bigram_backoff = _backoff(context, len(model.bigrams), p3, p2[shorter]) if len(n3) else np.zeros(len(n2))
-    return vocabulary, total, distinct, model
-
-
-_SENT = "shard int, salt int, kind int, block long, a binary, b binary, c binary, d binary"
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], model: Automaton, bits: int, salts: int) -> Iterator[pa.RecordBatch]:
-    """For each block of documents a row of its ids and what the automaton gives, and its words by shard."""
-    seq = 0
-    for whole in batches:
-        for part in _parts(whole, BLOCK_TOKENS):
-            block = TaskContext.get().partitionId() << 32 | seq
-            seq += 1
-            tokens, n = _tokens(part)
-            doc = np.repeat(np.arange(len(n)), n)
-            gain = np.bincount(doc, model.traverse(tokens, n), len(n))
-            kind = pa.array([1], pa.int32())
-            salt = block % salts
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, (info := part.select(["doc_id", "held_out"])).schema) as w:
-                w.write_batch(info)
-            one = lambda *xs: [pa.array([x], pa.binary()) for x in xs]
-            names = [x.split()[0] for x in _SENT.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([block % (1 << bits)], pa.int32()), pa.array([salt], pa.int32()), kind, pa.array([block], pa.int64()), *one(sink.getvalue().to_pybytes(), n.astype("<i8").tobytes(), gain.astype("<f8").tobytes(), None)], names=names)
-            word, inverse = np.unique(tokens, return_inverse=True)
-            cell, times = np.unique(inverse.astype(np.int64) * len(n) + doc, return_counts=True)
-            w_at, d_at = np.divmod(cell, len(n))
-            shard = (mix(word) >> U64(64 - bits)).astype(np.int64)
+                    n += distinct()
+                    at, held = s, []
+                held.append(np.frombuffer(words, U64))
+                total += more
+                if len(held) > 64:
+                    distinct()
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([n + distinct()], pa.int64())], names=["total", "distinct"])
+
+    sent = in_arrow(rows.select("text", "train"), send, "shard int, words binary, total long")
+    counted = in_arrow(sent.repartition("shard").sortWithinPartitions("shard"), merge, "total long, distinct long")
+    total, distinct = counted.agg(F.sum("total"), F.sum("distinct")).first()
+    return total or 0, distinct or 0
+
+
+_SENT = "shard int, kind int, block long, a binary, b binary, c binary"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BLOCK_BYTES of text."""
+    held, size = [], 0
+    for part in parts(batches, BLOCK_BYTES):
+        if held and size + part.nbytes > BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(part)
+        size += part.nbytes
+    if held and sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """For each block a row of its documents (kind 0), and its distinct words, pairs and triples with their counts in
+    training, by shard (kind 1)."""
+    for seq, part in enumerate(_gathered(batches)):
+        block = TaskContext.get().partitionId() << 32 | seq
+        words, n = tokens(part)
+        train = np.repeat(~part.column(1).to_numpy(zero_copy_only=False).astype(bool), n)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(part)
+        yield _rows([(block % (1 << bits), 0, block, sink.getvalue().to_pybytes(), None, None)], _SENT)
+        found = []
+        for k, (code, place) in enumerate(_codes(words, n, bits)):
+            cut = np.searchsorted(code >> U64(64 - bits if k == 0 else TOLD), np.arange((1 << bits) + 1, dtype=U64))
+            found.append((code, np.bincount(place[train], minlength=len(code)), cut))
+        full = np.flatnonzero(sum(np.diff(cut) for *_, cut in found)).tolist()
+        for lo in range(0, len(full), 256):
             rows = []
-            by = np.argsort(shard[w_at], kind="stable")
-            cut = np.searchsorted(shard[w_at][by], np.arange((1 << bits) + 1))
-            for s in range(1 << bits):
-                at = by[cut[s] : cut[s + 1]]
-                if len(at):
-                    own, docs_of = np.unique(w_at[at], return_counts=True)
-                    rows.append((s, word[own].tobytes(), docs_of.astype("<u2").tobytes(), d_at[at].astype("<u2").tobytes(), times[at].astype("<u4").tobytes()))
-            cols = list(zip(*rows, strict=True))
-            m = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array([salt] * m, pa.int32()), pa.array([2] * m, pa.int32()), pa.array([block] * m, pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=names)
-
-
-def _parts(batch: pa.RecordBatch, tokens: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about so many tokens, taken as seven bytes each, and BLOCK_DOCS documents at most."""
-    text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-    size = np.cumsum([0 if x is None else len(x) for x in text.to_pylist()])
-    at = 0
-    while at < batch.num_rows:
-        limit = (size[at - 1] if at else 0) + 7 * tokens
-        to = min(max(at + 1, int(np.searchsorted(size, limit, side="right"))), at + BLOCK_DOCS, batch.num_rows)
-        yield batch.slice(at, to - at)
-        at = to
-
-
-def _looked_up(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """Rows by shard, its counts first: blocks' words become partial sums by document."""
-    shard, keys, count = None, [], []
-    rest = np.log10(total + ADD * (distinct + 1))
+            for s in full[lo : lo + 256]:
+                base = [U64(s << (64 - bits)), *[U64(s << TOLD)] * 2]
+                own = [(code[cut[s] : cut[s + 1]] - b, count[cut[s] : cut[s + 1]]) for (code, count, cut), b in zip(found, base, strict=True)]
+                rows.append((s, 1, block, *packed([count for _, count in own], [code for code, _ in own])))
+            yield _rows(rows, _SENT)
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)], names=list(names))
+
+
+_ANSWER = "block long, shard int, a binary, b binary, c binary"
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard: to each block the counts of its words, pairs and triples in all blocks; its own row."""
+    at, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        sums = []
+        for k in range(3):
+            every, place = np.unique(np.concatenate([codes[k] for _, _, codes in held]), return_inverse=True)
+            count = np.bincount(place, np.concatenate([counts[k] for _, counts, _ in held]), len(every)).astype(np.int64)
+            sums.append((count[place], np.cumsum([0, *(len(codes[k]) for _, _, codes in held)]).tolist()))
+        for lo in range(0, len(held), 256):
+            mine = range(lo, min(lo + 256, len(held)))
+            yield _rows([(held[i][0], at, *packed([count[ends[i] : ends[i + 1]] for count, ends in sums])) for i in mine], _ANSWER)
+
     for batch in batches:
-        out = []
-        for s, salt, kind, block, a, b, c, d in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-            if (s, salt) != shard:
-                shard, keys, count = (s, salt), [], []
+        passed = []
+        for s, kind, block, a, b, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            if s != at:
+                if held:
+                    yield from done()
+                at, held = s, []
             if kind == 0:
-                keys.append(np.frombuffer(a, "<u8"))
-                count.append(np.frombuffer(b, "<i8"))
-            elif kind == 1:
-                out.append((block, -1, a, b, c))
+                passed.append((block, -1, a, None, None))
             else:
-                if len(keys) > 1:
-                    k, n = _summed(keys, count)
-                    keys, count = [k], [n]
-                words, docs_of, doc, times = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u2"), np.frombuffer(c, "<u2"), np.frombuffer(d, "<u4")
-                at = _find(keys[0], words) if keys else np.full(len(words), -1)
-                n = np.where(at >= 0, count[0][at], 0) if keys else np.zeros(len(words), np.int64)
-                value, known = np.repeat(np.log10(n + ADD) - rest, docs_of), np.repeat(n > 0, docs_of)
-                size = int(doc.max()) + 1
-                out.append((block, s, None, np.bincount(doc, times * known, size).astype("<u4").tobytes(), np.bincount(doc, value * times, size).astype("<f8").tobytes()))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names=["block", "shard", "a", "b", "c"])
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by block, its documents first: the sums of the shards' parts."""
-    at = info = n = gain = known = base = None
+                held.append((block, *unpacked(a, b, c, coded=True)))
+        if passed:
+            yield _rows(passed, _ANSWER)
+    if held:
+        yield from done()
+
+
+def traverse(n: np.ndarray, counts: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """counts: of the word, pair and triple that end at each token. The log10 probabilities of each token at the root,
+    and in the state that its text has reached, by way of the states that failure arcs lead to."""
+    one, two, three = counts
+    first = np.cumsum(n) - n
+    root = (one + ADD) / (total + ADD * (distinct + 1))
+    # The count of a token's context is that of the word (or pair) before it; a text's first token follows on an end.
+    word, pair = np.empty_like(one), np.empty_like(two)
+    word[1:], pair[1:] = one[:-1], two[:-1]
+    word[first] = one[first + n - 1]
+    pair[first] = 0
+    p = root
+    for context, c in ((word, two), (pair, np.where(pair > 0, three, 0))):
+        fail = np.where(context > 0, FAIL * np.maximum(context, 1) ** -FALL, 1)
+        p = (1 - fail) * c / np.maximum(context, 1) + fail * p
+    return np.log10(root), np.log10(p)
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(batches: Iterator[pa.RecordBatch], bits: int, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """Rows by block, its own first and then the shards' counts in their order."""
+    at, own, held = None, b"", [[], [], []]
 
     def done() -> pa.RecordBatch:
-        docs = pa.ipc.open_stream(info).read_all().combine_chunks()
-        docs = docs.to_batches()[0]
-        return pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(base + gain, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        docs = pa.ipc.open_stream(own).read_all().combine_chunks().to_batches()[0]
+        words, n = tokens(docs)
+        found = [np.concatenate(x)[place] for x, (_, place) in zip(held, _codes(words, n, bits), strict=True)]
+        base, score = traverse(n, found, total, distinct)
+        first = np.cumsum(n) - n
+        known = np.add.reduceat(found[0] > 0, first, dtype=np.int64)
+        sums = [pa.array(np.add.reduceat(x, first)) for x in (base, score)]
+        return pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(n), pa.array(known), *sums], names=[x.split()[0] for x in _SCORED.split(", ")])
 
     for batch in batches:
         for block, shard, a, b, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
             if block != at:
                 if at is not None:
                     yield done()
-                at = block
+                at, held = block, [[], [], []]
             if shard < 0:
-                info, n, gain = a, np.frombuffer(b, "<i8"), np.frombuffer(c, "<f8")
-                known, base = np.zeros(len(n), np.int64), np.zeros(len(n))
-            else:
-                k, v = np.frombuffer(b, "<u4"), np.frombuffer(c, "<f8")
-                known[: len(k)] += k
-                base[: len(v)] += v
+                own = a
+                continue
+            for x, count in zip(held, unpacked(a, b, c, coded=False)[0], strict=True):
+                x.append(count.astype(np.float64))
     if at is not None:
         yield done()
 
 
-def score(docs: DataFrame, id_: str = "doc_id", text: str = "text", word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> DataFrame:
+def score(docs: DataFrame, id_: str = "doc_id", text: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability) of every document."""
     held = F.coalesce(F.crc32(F.col(id_).cast("string").cast("binary")) % 10 == 0, F.lit(True))
     rows = docs.select(F.col(id_).cast("long").alias("doc_id"), held.alias("held_out"), (~held).alias("train"), F.col(text).alias("text"))
-    vocabulary, total, distinct, model = learn(rows, word_share, gram_share)
-    bits = min(SHARD_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, distinct / SHARD_WORDS))))))
-    spark = docs.sparkSession
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) >> bits)
-    shared = spark.sparkContext.broadcast(model)
-    sent = rows.select("doc_id", "held_out", "text").mapInArrow(lambda b: _blocks(b, shared.value, bits, salts), _SENT)
-    none = F.lit(None).cast("binary")
-    own = vocabulary.select(F.expr(f"shiftright(shard, {SHARD_BITS - bits})").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.col("keys").alias("a"), F.col("n").alias("b"), none.alias("c"), none.alias("d"))
-    met = own.unionByName(sent).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    partial = met.mapInArrow(lambda b: _looked_up(b, total, distinct), "block long, shard int, a binary, b binary, c binary")
-    gathered = partial.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_gathered, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return gathered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1.0, size / BYTES_A_KEY / shard_keys))))))
+    total, distinct = vocabulary(rows, bits)
+    sent = in_arrow(rows.select("doc_id", "held_out", "text"), lambda b: _blocks(b, bits), _SENT)
+    answers = in_arrow(sent.repartition("shard").sortWithinPartitions("shard", "kind"), _answers, _ANSWER)
+    back = answers.repartition("block").sortWithinPartitions("block", "shard")
+    scored = in_arrow(back, lambda b: _scored(b, bits, total, distinct), _SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
