@@ -4,9 +4,14 @@ A line's tokens are its distinct words. Lines with one and the same token set ar
 (by id, then part, then line number) stands for it. Tokens are ordered by rarity: by the frequency of their hash slot,
 counted over all lines, then by hash; any fixed order keeps the join exact. Two classes can only be similar
 enough if their prefixes share a token, their sizes are close, and the shared token's positions leave room
-for the overlap they need; a bitmap of the sets then bounds how much they differ. In a large group of one token
-the first line is compared with all others; those that this removes are left out as the later line of any
-further pair, so a large group of near copies is not paired out. Candidates are verified on their words.
+for the overlap they need; a bitmap of the sets then bounds how much they differ. Candidates are verified on their
+words.
+
+Groups of one key are kept from pairing out. In a group of more than STAR classes the first one is compared with all
+others, and those that this removes are left out as the later line of any further pair, so a group of near copies
+costs a row each. Where more than PAIRED classes of a group are left, which share a common token but are not alike,
+the key is extended by the next token that both may share, until groups are small; a row then meets PAIRED others at
+most, so pairs stay in proportion to the input.
 
 A line goes if an earlier line, removed or not, has a Jaccard similarity of at least PERCENT / 100 to it.
 Lines of fewer than ``least`` words are neither removed nor compared. Null text has no lines. A document is
@@ -17,6 +22,8 @@ the others repeat it. An empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +34,16 @@ PERCENT = 75
 LEAST_WORDS = 5
 SLOT_BITS = 18
 SPACES = r"[\x20\x09-\x0D]+"
-#: Classes of a token's group from which it is compared with its first line before all others.
-HOT = 512
+#: Classes of a group from which its first one is compared with all others before these are paired.
+STAR = 16
+#: Classes of a group that are paired with the others; a key with more is extended.
+PAIRED = 2048
 #: Tokens that the prefixes of similar lines share at least: prefixes are longer by one less.
 SHARED = 2
-#: Lines that may be broadcast to fetch their words.
-BROADCAST_LINES = 100_000
-#: Hot tokens that may be broadcast: four bytes each.
-BROADCAST_TOKENS = 500_000
+#: Tokens of a key at most. At 75 % similar sets of three tokens or more share three.
+KEY_TOKENS = 3
+#: Bytes of a row of lines by document, besides four a line; hot keys that may be broadcast, of eight bytes each.
+ROW_BYTES, BROADCAST_KEYS = 40, 500_000
 _LAST = (1 << 63) - 1
 #: What tells a line and, without the last, its document; lines come in this order.
 PLACE = ("doc", "part", "line_no")
@@ -77,8 +86,13 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / F.lit(100 + percent))
 
 
+def _missing(n: Column, percent: int) -> Column:
+    """Tokens of a set that a similar one may lack."""
+    return n - F.ceil(percent * n / F.lit(100)).cast("int")
+
+
 def _sets(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> DataFrame:
-    """Lines of at least ``least`` words: cls (a hash of the token set), PLACE, n (tokens), bits (a bitmap
+    """Lines of at least ``least`` words: cls and cls2 (hashes of the token set), PLACE, n (tokens), bits (a bitmap
     of the set) and prefix, the rarest tokens as ints in the order of rarity."""
     lines = _lines(docs, id_, text)
     table = F.split(F.lit(",".join(map(str, _levels(lines)))), ",").cast("array<int>")
@@ -88,92 +102,145 @@ def _sets(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> Dat
     words = words.select(*PLACE, _once(F.array_remove("h", empty)).alias("h")).filter(F.size("h") >= least)
     ids = words.select(*PLACE, _once(F.sort_array(F.transform(F.array_distinct("h"), token))).alias("ids"))
     n = F.size("ids")
-    prefix = F.slice("ids", F.lit(1), (n - F.ceil(percent * n / F.lit(100)) + SHARED).cast("int"))
+    prefix = F.slice("ids", F.lit(1), _missing(n, percent) + SHARED + KEY_TOKENS - 1)
     bits = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return ids.select(F.xxhash64("ids").alias("cls"), *PLACE, n.alias("n"), bits.alias("bits"), F.transform(prefix, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("prefix"))
+    return ids.select(F.xxhash64("ids").alias("cls"), F.xxhash64(F.lit(1), "ids").alias("cls2"), *PLACE, n.alias("n"), bits.alias("bits"), F.transform(prefix, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("prefix"))
+
+
+CLASS = ("cls", "cls2")
 
 
 def similar_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Every line of at least ``least`` words as cls and PLACE; and cls, PLACE, later of each class.
+    """Every line of at least ``least`` words as CLASS and PLACE; and CLASS, PLACE, later of each class.
 
     The place of a class is that of its first line; later tells that an earlier class is similar.
     """
     own = stored(_sets(docs, id_, text, percent, least))
-    classes = stored(own.groupBy("cls").agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("x")).select("cls", "x.*"))
+    classes = own.groupBy(*CLASS).agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("x")).select(*CLASS, "x.*")
+    # Classes are numbered in the order of their first lines.
+    classes = stored(classes.orderBy(*PLACE).withColumn("node", F.monotonically_increasing_id()))
+    gone = _later(classes, docs, id_, text, percent)
+    found = classes.select(*CLASS, *PLACE, "node").join(gone.withColumn("later", F.lit(True)), "node", "left").withColumn("later", F.coalesce("later", F.lit(False)))
+    return own.select(*CLASS, *PLACE), found.drop("node")
+
+
+def _later(classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: int) -> DataFrame:
+    """node of each class that an earlier one is similar to."""
     # A set this small is similar to no other set, so its class settles it.
     joined = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
-    rows = joined.select(*PLACE, "n", "bits", F.posexplode("prefix").alias("p", "token"))
-    hot = bounded(materialize(rows.groupBy("token").agg(F.count("*").alias("many")).filter(F.col("many") > HOT).select("token")), BROADCAST_TOKENS)
-    held = rows.join(hot, "token", "left_semi")
-    first = held.join(held.groupBy("token").agg(F.min(F.struct(*PLACE)).alias("at")), "token").filter("at.doc = doc and at.part = part and at.line_no = line_no").drop("at")
-    # A similar pair shares a hot token or SHARED cold ones.
-    cold = _pairs(rows.join(hot, "token", "left_anti"), None, percent).filter(F.col("shared") >= SHARED)
-    once = materialize(_verified(cold.unionByName(_pairs(first, held, percent)).drop("shared").distinct(), docs, id_, text, percent))
-    del cold
-    rest = held.join(bounded(once), [*PLACE], "left_anti")
-    again = _verified(_pairs(held, rest, percent).drop("shared"), docs, id_, text, percent)
-    gone = once.unionByName(again).distinct().withColumn("later", F.lit(True))
-    found = classes.select("cls", *PLACE).join(gone, [*PLACE], "left").withColumn("later", F.coalesce("later", F.lit(False)))
-    return own.select("cls", *PLACE), found
-
-
-def _pairs(earlier: DataFrame, later: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of lines, an earlier and a later one, with the number of prefix tokens that they share and that pass
-    the length, positional and bitmap filters. later None: the same table, dealt out once for both sides."""
-    earlier = earlier.repartition("token") if later is None else earlier
-    later = earlier if later is None else later
-    a, b = (x.select("token", *[F.col(c).alias(f"{c}_{k}") for c in (*PLACE, "n", "p", "bits")]) for k, x in (("a", earlier), ("b", later)))
-    need = _least_overlap(F.col("n_a"), F.col("n_b"), percent)
-    ordered = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & ((F.col("part_a") < F.col("part_b")) | ((F.col("part_a") == F.col("part_b")) & (F.col("line_no_a") < F.col("line_no_b")))))
-    close = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= need - (SHARED - 1)
-    alike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * need
-    return a.join(b, "token").filter(ordered & close & room & alike).groupBy(*[f"{c}_{k}" for k in "ab" for c in PLACE]).agg(F.count("*").alias("shared"))
-
-
-def _verified(found: DataFrame, docs: DataFrame, id_: str, text: str, percent: int) -> DataFrame:
-    """PLACE of the later lines of similar pairs."""
+    size = F.shiftleft(F.col("n").cast("long"), 32)
+    rows = joined.select("node", "bits", size.alias("size"), F.posexplode(F.slice("prefix", F.lit(1), _missing(F.col("n"), percent) + SHARED)).alias("p", "token"))
+    rows = rows.select(F.col("token").cast("long").alias("key"), "node", (F.col("size") + F.col("p")).alias("at"), "bits")
+    verified = lambda found: _verified(found, classes, docs, id_, text, percent)
+    gone = verified(_stars(rows, percent, 1))
+    found = [gone]
+    for tokens in range(1, KEY_TOKENS + 1):
+        rest = rows.join(bounded(gone), "node", "left_anti")
+        last = tokens == KEY_TOKENS
+        wide = None if last else _keys(rest, PAIRED)
+        if wide is not None and not wide.limit(1).count():
+            wide = None
+        narrow = (lambda x: x) if wide is None else (lambda x, w=wide: x.join(bounded(w, BROADCAST_KEYS), "key", "left_anti"))
+        found.append(verified(_paired(narrow(rows), narrow(rest), percent, tokens)))
+        if wide is None:
+            break
+        held = rows.join(bounded(wide, BROADCAST_KEYS), "key", "left_semi")
+        rows = stored(_extended(held, joined, percent, tokens))
+        gone = materialize(reduce(DataFrame.unionByName, [*found, verified(_stars(rows, percent, tokens + 1))]).distinct())
+        found = [gone]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _keys(rows: DataFrame, most: int) -> DataFrame:
+    """The keys of more than ``most`` rows."""
+    return materialize(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most).select("key"))
+
+
+def _extended(rows: DataFrame, classes: DataFrame, percent: int, tokens: int) -> DataFrame:
+    """Rows of keys of so many tokens -> rows of keys with one more, each of the tokens that may be the next shared one."""
+    p, n = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.col("n")
+    room = _missing(n, percent) + SHARED + tokens - p - 1
+    more = rows.join(classes.select("node", "n", "prefix"), "node").select("key", "node", "bits", "at", F.posexplode(F.slice("prefix", p + 2, F.greatest(room, F.lit(0)))).alias("k", "token"))
+    return more.select(F.xxhash64("key", "token").alias("key"), "node", (F.col("at") + 1 + F.col("k")).alias("at"), "bits")
+
+
+def _candidates(a: DataFrame, b: DataFrame, percent: int, tokens: int) -> DataFrame:
+    """a, b: key, node, at, bits. Pairs of an earlier and a later node of one key that pass the length, positional and
+    bitmap filters; the key's tokens are the first that both share, or later ones."""
+    a, b = (x.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "at", "bits")]) for k, x in (("a", a), ("b", b)))
+    n = {k: F.shiftright(F.col(f"at_{k}"), 32) for k in "ab"}
+    left = {k: n[k] - F.col(f"at_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in "ab"}
+    need = _least_overlap(n["a"], n["b"], percent)
+    close = (100 * n["a"] >= percent * n["b"]) & (100 * n["b"] >= percent * n["a"])
+    room = F.least(left["a"], left["b"]) + F.lit(tokens - 1 + SHARED - 1) >= need
+    alike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= n["a"] + n["b"] - 2 * need
+    return a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & close & room & alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _stars(rows: DataFrame, percent: int, tokens: int) -> DataFrame:
+    """Of each group of more than STAR classes, the first with each other one."""
+    held = rows.join(bounded(_keys(rows, STAR), BROADCAST_KEYS), "key", "left_semi")
+    first = held.groupBy("key").agg(F.min(F.struct("node", "at", "bits")).alias("x")).select("key", "x.*")
+    return _candidates(first, held, percent, tokens).distinct()
+
+
+def _paired(earlier: DataFrame, later: DataFrame, percent: int, tokens: int) -> DataFrame:
+    """The candidates of all pairs in a group. With keys of one token a pair shares SHARED of them."""
+    pairs = _candidates(earlier, later, percent, tokens)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b") if tokens == 1 else pairs.distinct()
+
+
+def _verified(found: DataFrame, classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: int) -> DataFrame:
+    """found: a, b. The later nodes of similar pairs, as node."""
     found = materialize(found)
-    ends = [found.select(*[F.col(f"{c}_{k}").alias(c) for c in PLACE]) for k in "ab"]
-    words = materialize(_words(docs, id_, text, materialize(ends[0].unionByName(ends[1]).distinct())))
-    a, b = (words.select(*[F.col(c).alias(f"{c}_{k}") for c in (*PLACE, "words")]) for k in "ab")
+    nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    words = materialize(_words(docs, id_, text, classes.select("node", *PLACE).join(nodes, "node", "left_semi")))
+    a, b = (words.select(*[F.col(c).alias(n) for c, n in (("node", k), ("words", f"words_{k}"))]) for k in "ab")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     alike = 100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)
-    both = found.join(a, [f"{c}_a" for c in PLACE]).join(b, [f"{c}_b" for c in PLACE])
-    return both.filter(alike).select(*[F.col(f"{c}_b").alias(c) for c in PLACE]).distinct()
+    return materialize(found.join(a, "a").join(b, "b").filter(alike).select(F.col("b").alias("node")).distinct())
 
 
 def _words(docs: DataFrame, id_: str, text: str, wanted: DataFrame) -> DataFrame:
-    """wanted: PLACE. With the 64-bit hashes of the distinct words of those lines."""
-    by_doc = wanted.groupBy("doc", "part").agg(F.collect_list("line_no").alias("wanted"))
-    held = docs.select(_doc(id_).alias("doc"), F.xxhash64(text).alias("part"), F.col(text).alias("text")).join(bounded(by_doc, BROADCAST_LINES), ["doc", "part"])
-    lines = held.select("doc", "part", "wanted", _once(F.split("text", "\n", -1)).alias("lines"))
-    found = lines.select("doc", "part", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line_no"), F.get(F.col("lines"), k).alias("line")))).alias("x"))
-    return found.filter("x.line is not null").select("doc", "part", "x.line_no", F.array_distinct(F.array_remove(F.transform(_split(F.col("x.line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))).alias("words")).dropDuplicates([*PLACE])
+    """wanted: node, PLACE. node with the 64-bit hashes of the distinct words of its line."""
+    by_doc = materialize(wanted.groupBy("doc", "part").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted")))
+    held = docs.select(_doc(id_).alias("doc"), F.xxhash64(text).alias("part"), F.col(text).alias("text")).join(bounded(by_doc, 1 << 31, ROW_BYTES + 12 * F.size("wanted")), ["doc", "part"])
+    lines = held.select("wanted", _once(F.split("text", "\n", -1)).alias("lines"))
+    found = lines.select(F.explode(F.transform("wanted", lambda x: F.struct(x["node"].alias("node"), F.get(F.col("lines"), x["line_no"]).alias("line")))).alias("x")).filter("x.line is not null")
+    words = F.array_distinct(F.array_remove(F.transform(_split(F.col("x.line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    return found.select("x.node", words.alias("words")).dropDuplicates(["node"])
 
 
 def removed_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
     """PLACE of each line that goes from the first row of its id and text (doc: the id, null ids as the largest
     long), and of each line of at least ``least`` words; rows that agree in id and text give a line once each."""
     own, classes = similar_lines(docs, id_, text, percent, least)
-    first = classes.select("cls", *[F.col(c).alias(f"first_{c}") for c in PLACE], "later")
+    first = classes.select(*CLASS, *[F.col(c).alias(f"first_{c}") for c in PLACE], "later")
     later = F.col("later") | ~F.struct(*PLACE).eqNullSafe(F.struct(*[F.col(f"first_{c}").alias(c) for c in PLACE]))
-    return own.join(first, "cls").filter(later).select(*PLACE), own.select(*PLACE)
+    return own.join(first, [*CLASS]).filter(later).select(*PLACE), own.select(*PLACE)
+
 
+def _cut(docs: DataFrame, id_: str, text: str, percent: int, least: int, instead: Column | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, of that name: the numbers of the lines that go, ascending, null if none does.
 
-def _cut(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> tuple[DataFrame, str]:
-    """``docs`` with one more column, of that name: the numbers of the lines that go, ascending, null if none does."""
+    instead, if given, is all that is kept besides the id.
+    """
     gone, lines = removed_lines(docs, id_, text, percent, least)
     doc, part, again, out = (fresh(docs, x) for x in ("doc", "part", "again", "gone"))
 
     def listed(x: DataFrame, other: bool) -> DataFrame:
         by_doc = x.distinct().groupBy("doc", "part").agg(F.array_sort(F.collect_list("line_no")).alias("lines"))
-        return by_doc.select(F.col("doc").alias(doc), F.col("part").alias(part), F.lit(other).alias(again), F.col("lines").alias(out))
+        return materialize(by_doc.select(F.col("doc").alias(doc), F.col("part").alias(part), F.lit(other).alias(again), F.col("lines").alias(out)))
+
+    def small(x: DataFrame) -> DataFrame:
+        return bounded(x, 1 << 31, ROW_BYTES + 4 * F.size(out))
 
-    rows = docs.withColumns({doc: _doc(id_), part: F.xxhash64(text)})
-    copies = materialize(rows.filter(F.col(text).isNotNull()).groupBy(doc, part).count().filter("count > 1").select(doc, part))
+    place = {doc: _doc(id_), part: F.xxhash64(text)}
+    whole = docs.withColumns(place)
+    rows = whole if instead is None else docs.select(F.col(id_), instead, *[c.alias(k) for k, c in place.items()])
+    copies = materialize(whole.filter(F.col(text).isNotNull()).groupBy(doc, part).count().filter("count > 1").select(doc, part))
     if not copies.limit(1).count():
-        return rows.join(listed(gone, False).drop(again), [doc, part], "left").drop(doc, part), out
+        return rows.join(small(listed(gone, False)).drop(again), [doc, part], "left").drop(doc, part), out
     # Rows that agree in id and text: one, by a row number made once, is the first; all lines of the others repeat it.
     many, row = bounded(copies), fresh(docs, "row")
     numbered = materialize(rows.join(many, [doc, part], "left_semi").withColumn(row, F.monotonically_increasing_id()))
@@ -181,15 +248,15 @@ def _cut(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> tupl
     others = numbered.join(firsts, [doc, part]).withColumn(again, F.col(row) != F.col(f"{row}_first")).drop(row, f"{row}_first")
     rows = rows.join(many, [doc, part], "left_anti").withColumn(again, F.lit(False)).unionByName(others)
     repeated = lines.join(bounded(copies.select(F.col(doc).alias("doc"), F.col(part).alias("part"))), ["doc", "part"], "left_semi")
-    return rows.join(listed(gone, False).unionByName(listed(repeated, True)), [doc, part, again], "left").drop(doc, part, again), out
+    return rows.join(small(listed(gone, False).unionByName(listed(repeated, True))), [doc, part, again], "left").drop(doc, part, again), out
 
 
 def report(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0, ascending, joined by commas) of each document."""
     n = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
-    rows, gone = _cut(docs, id_, text, percent, least)
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("n_lines")
-    return rows.select(F.col(id_).alias("doc_id"), n_lines, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(gone, ","), F.lit("")).alias("removed"))
+    rows, gone = _cut(docs, id_, text, percent, least, n_lines)
+    return rows.select(F.col(id_).alias("doc_id"), "n_lines", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(gone, ","), F.lit("")).alias("removed"))
 
 
 def dedupe(docs: DataFrame, id_: str = "doc_id", text: str = "text", percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
