@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.storage import checkpointed
+from tessera.storage import checkpointed, spread
 from tessera.storage import stored as stored
 
 #: A word is a run of anything but these six ASCII spaces; ``bytes.split()`` splits at exactly these.
@@ -200,6 +200,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out to all cores if they are fewer tasks than that."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"

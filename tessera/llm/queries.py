@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, importance, line_dedup, lm_scoring, minhash, mixing, quality_rules, substring_dedup, topk, url_filters
-from tessera.llm.common import table
+from tessera.llm.common import documents, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -25,7 +25,7 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(table(spark, sf_dir, "documents"))
+    return token_digests(documents(spark, sf_dir))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,25 +34,25 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return importance.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.report(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 #: host, path, verdict
@@ -65,7 +65,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score(table(spark, sf_dir, "documents"))
+    scored = lm_scoring.score(documents(spark, sf_dir))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,6 +82,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
+def _op1_sql(fences=quality_rules.FENCES, prior: int = quality_rules.PRIOR) -> str:
+    """Measures by lists; quantiles of bucketed values by running sums; fences drawn towards their parents'."""
+    word = r"[^\x20\x09-\x0D]"
+    value = lambda f: f"CAST(floor(1000 * {f.part} / greatest({f.whole}, 1)) AS BIGINT)"
+    values = " UNION ALL ".join(f"SELECT rid, lang, source, '{f.name}' AS measure, {value(f)} AS v, {100 - f.level} AS r0, {f.level} AS r2, {f.times} AS times, {f.both} AS both_ends FROM f" for f in fences)
+
+    def quantiles(name: str, keys: str) -> str:
+        by = f"{keys}measure"
+        return f"""{name}r AS (SELECT {by}, bucket, r0, r2, sum(count(*)) OVER (PARTITION BY {by} ORDER BY bucket) AS cum, sum(count(*)) OVER (PARTITION BY {by}) AS total FROM v GROUP BY {by}, bucket, r0, r2),
+{name} AS (SELECT {by}, max(total)::DOUBLE AS n, (min(bucket) FILTER (100 * cum >= r0 * total))::DOUBLE AS q0, (min(bucket) FILTER (100 * cum >= 50 * total))::DOUBLE AS q1, (min(bucket) FILTER (100 * cum >= r2 * total))::DOUBLE AS q2 FROM {name}r GROUP BY {by}),"""
+
+    drawn = ", ".join(f"(s.n * s.q{k} + {prior} * ((l.n * l.q{k} + {prior} * a.q{k}) / (l.n + {prior}))) / (s.n + {prior}) AS q{k}" for k in range(3))
+    tiny = f"{quality_rules.TINY}::DOUBLE"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '{word}+'), []) AS ws FROM documents),
+x AS (SELECT *, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '{word}')) AS ls FROM t),
+k3 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS win FROM x WHERE len(ws) > 2)),
+rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM k3 WHERE c > 1) GROUP BY rid),
+m AS (SELECT rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda y: length(y))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper FROM x LEFT JOIN rep USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (SELECT * FROM b WHERE NOT base_failed),
+u AS ({values}),
+v AS (SELECT *, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket FROM u),
+{quantiles("s", "lang, source, ")}
+{quantiles("l", "lang, ")}
+{quantiles("a", "")}
+q AS (SELECT s.lang, s.source, s.measure, {drawn} FROM s JOIN l ON s.lang IS NOT DISTINCT FROM l.lang AND s.measure = l.measure JOIN a ON s.measure = a.measure),
+bad AS (SELECT DISTINCT rid FROM v JOIN q ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source AND v.measure = q.measure
+  WHERE v > q2 + greatest({tiny}, times * abs(q2 - q1)) OR both_ends AND v < q0 - greatest({tiny}, times * abs(q0 - q1)))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM b
+"""
+
+
+def _op10_sql() -> str:
+    """N-gram counts by joins. crc32 is folded bit by bit."""
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+    fail = lambda c: f"CASE WHEN coalesce({c}, 0) > 0 THEN {lm_scoring.FAIL}::DOUBLE * pow({c}, -{lm_scoring.FALL}::DOUBLE) ELSE 1 END"
+    step = lambda f, n, c, p: f"(1 - {f}) * coalesce({n}, 0) / greatest(coalesce({c}, 0), 1) + {f} * {p}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CAST(doc_id AS VARCHAR) AS s, list_append(coalesce(regexp_extract_all(translate(text, '{url_filters.UPPER}', '{url_filters.LOWER}'), '[^\x20\x09-\x0D]+'), []), chr(10)) AS ws FROM documents),
+h AS (SELECT *, coalesce({crc} % 10 = 0, true) AS held_out FROM d),
+t AS (SELECT rid, held_out, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, unnest(list_prepend(chr(10), ws[:-2])) AS p, unnest(list_prepend(NULL, list_prepend(chr(10), ws[:-3]))[:len(ws)]) AS pp FROM h),
+c1 AS (SELECT w, count(*) AS n1 FROM t WHERE NOT held_out GROUP BY w),
+c2 AS (SELECT p, w, count(*) AS n2 FROM t WHERE NOT held_out GROUP BY p, w),
+c3 AS (SELECT pp, p, w, count(*) AS n3 FROM t WHERE NOT held_out AND i > 1 GROUP BY pp, p, w),
+k AS (SELECT coalesce(sum(n1), 0) AS total, count(*) AS v FROM c1),
+j AS (SELECT t.rid, total, a.n1, (coalesce(a.n1, 0) + {lm_scoring.ADD}::DOUBLE) / (total + {lm_scoring.ADD}::DOUBLE * (v + 1)) AS root, b.n1 AS cw, c2.n2, e.n2 AS cp, c3.n3
+  FROM t CROSS JOIN k LEFT JOIN c1 a ON a.w = t.w LEFT JOIN c1 b ON b.w = t.p LEFT JOIN c2 ON c2.p = t.p AND c2.w = t.w LEFT JOIN c2 e ON t.i > 1 AND e.p = t.pp AND e.w = t.p LEFT JOIN c3 ON c3.pp = t.pp AND c3.p = t.p AND c3.w = t.w),
+s1 AS (SELECT *, {fail("cw")} AS f2, {fail("cp")} AS f3 FROM j),
+s2 AS (SELECT *, {step("f2", "n2", "cw", "root")} AS p2 FROM s1),
+r AS (SELECT rid, any_value(total) AS train_tokens, count(*) AS n_tokens, count(*) FILTER (n1 > 0) AS n_known, sum(log10(root)) AS base_score, sum(log10({step("f3", "n3", "cp", "p2")})) AS score FROM s2 GROUP BY rid)
+SELECT doc_id, held_out, n_tokens, n_known, CAST(train_tokens AS BIGINT) AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM r JOIN h USING (rid)
+"""
+
+
 OP3_SQL = """
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
@@ -139,27 +197,25 @@ FROM s LEFT JOIN c ON s.sh = c.sh AND len(s.sh) > 0 LEFT JOIN m ON m.node = c.no
 """
 
 
-def _op9_sql() -> str:
+#: Levels of the tree in SQL, which has to name each; the operator goes as deep as the paths, the given ones have two.
+SQL_DEPTH = 4
+
+
+def _op9_sql(d: int = SQL_DEPTH) -> str:
     """The tree level by level, as SQL."""
-    d = url_filters.DEPTH
     steps = []
     for k in range(1, d + 1):
-        below = f"s{k + 1}" if k < d else "rest"
-        rest = ", ".join(["host", "shape", "n", "labelled", "blocked", *[f"s{j}" for j in range(1, d + 1) if j != k], "rest"])
         steps.append(f"""
-nodes{k} AS (SELECT host, prefix, count(DISTINCT s{k}) AS kids, sum(n) AS urls FROM t{k - 1} WHERE s{k} IS NOT NULL GROUP BY ALL),
-v{k} AS (SELECT {", ".join("t." + x for x in rest.split(", "))}, t.prefix,
-  CASE WHEN s{k} IS NOT NULL AND kids >= {url_filters.CHILDREN} AND urls < {url_filters.URLS_EACH} * kids THEN '*' ELSE s{k} END AS s{k}
-  FROM t{k - 1} t LEFT JOIN nodes{k} USING (host, prefix)),
-b{k} AS (SELECT host, prefix, s{k}, sum(n) AS bn, sum(blocked) AS bb, sum(CASE WHEN {below} IS NOT NULL THEN n ELSE 0 END) AS bd
-  FROM v{k} WHERE s{k} IS NOT NULL AND s{k} <> '*' GROUP BY ALL),
-p{k} AS (SELECT host, prefix, sum(bn) AS pn, sum(bb) AS pb, sum(bd) AS pd FROM b{k} GROUP BY ALL),
-m{k} AS (SELECT host, prefix, s{k}, true AS merge FROM b{k} JOIN p{k} USING (host, prefix)
-  WHERE abs(bb::DOUBLE / bn - pb::DOUBLE / pn) <= {url_filters.ERRORS}::DOUBLE * sqrt(pb::DOUBLE / pn * (1::DOUBLE - pb::DOUBLE / pn) * (1::DOUBLE / bn + 1::DOUBLE / pn))
-    AND abs(bd::DOUBLE / bn - pd::DOUBLE / pn) <= {url_filters.SHAPE}::DOUBLE),
-w{k} AS (SELECT {", ".join("v." + x for x in rest.split(", "))}, v.prefix, CASE WHEN merge THEN '*' ELSE v.s{k} END AS s{k} FROM v{k} v LEFT JOIN m{k} USING (host, prefix, s{k})),
-t{k} AS (SELECT * EXCLUDE (prefix), CASE WHEN s{k} IS NOT NULL THEN prefix || '/' || s{k} ELSE prefix END AS prefix FROM w{k}),""")
-    prior = f"{url_filters.PRIOR}::DOUBLE"
+n{k} AS (SELECT host, prefix, count(DISTINCT shape[{k}]) AS kids, sum(n) AS urls FROM t{k - 1} WHERE len(shape) >= {k} GROUP BY ALL),
+v{k} AS (SELECT t.*, CASE WHEN len(shape) >= {k} THEN CASE WHEN kids >= {url_filters.CHILDREN} AND urls < {url_filters.URLS_EACH} * kids THEN '*' ELSE shape[{k}] END END AS s,
+  CASE WHEN len(shape) > {k} THEN n ELSE 0 END AS deep FROM t{k - 1} t LEFT JOIN n{k} USING (host, prefix)),
+b{k} AS (SELECT host, prefix, s, sum(n) AS bn, sum(labelled) AS bl, sum(blocked) AS bb, sum(deep) AS bd FROM v{k} WHERE s <> '*' GROUP BY ALL),
+o{k} AS (SELECT *, sum(bn) OVER w - bn AS xn, sum(bl) OVER w - bl AS xl, sum(bb) OVER w - bb AS xb, sum(bd) OVER w - bd AS xd FROM b{k} WINDOW w AS (PARTITION BY host, prefix)),
+m{k} AS (SELECT host, prefix, s, true AS merge FROM o{k} WHERE bl >= {url_filters.EVIDENCE} AND xl >= {url_filters.EVIDENCE}
+  AND abs(bb::DOUBLE / bl - xb::DOUBLE / xl) <= {url_filters.ERRORS}::DOUBLE * sqrt((bb + xb)::DOUBLE / (bl + xl) * (1::DOUBLE - (bb + xb)::DOUBLE / (bl + xl)) * (1::DOUBLE / bl + 1::DOUBLE / xl))
+  AND abs(bd::DOUBLE / bn - xd::DOUBLE / xn) <= {url_filters.SHAPE}::DOUBLE),
+t{k} AS (SELECT v.* EXCLUDE (s, deep, prefix, kids, urls), CASE WHEN s IS NULL THEN prefix ELSE prefix || '/' || CASE WHEN merge THEN '*' ELSE s END END AS prefix FROM v{k} v LEFT JOIN m{k} USING (host, prefix, s)),""".replace("SELECT t.*, CASE", "SELECT t.*, kids, urls, CASE"))
+    prior, neutral = f"{url_filters.PRIOR}::DOUBLE", f"{url_filters.NEUTRAL}::DOUBLE"
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages),
 h AS (SELECT page_id, coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), '{url_filters.UPPER}', '{url_filters.LOWER}'), '') AS host,
@@ -171,11 +227,10 @@ f AS (SELECT *, CASE
   WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
   list_filter(string_split(path, '/'), lambda x: x <> '') AS segs FROM h),
 g AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS block,
-  list_transform(segs[1:{d}], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) || CASE WHEN len(segs) > {d} THEN ['**'] ELSE [] END AS shape FROM f),
-t0 AS (SELECT host, shape, count(*) AS n, count(block) AS labelled, coalesce(sum(block), 0) AS blocked,
-  {", ".join(f"shape[{j}] AS s{j}" for j in range(1, d + 1))}, shape[{d + 1}] AS rest, '' AS prefix FROM g GROUP BY host, shape),{"".join(steps)}
-tt AS (SELECT *, prefix || CASE WHEN rest IS NOT NULL THEN '/**' ELSE '' END AS template FROM t{d}),
-ph AS (SELECT host, (sum(blocked) + {prior} * (SELECT sum(blocked)::DOUBLE / sum(n) FROM tt)) / (sum(n) + {prior}) AS ph FROM tt GROUP BY host),
+  list_transform(segs, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS shape FROM f),
+t0 AS (SELECT host, shape, count(*) AS n, count(block) AS labelled, coalesce(sum(block), 0) AS blocked, '' AS prefix FROM g GROUP BY host, shape),{"".join(steps)}
+tt AS (SELECT *, prefix || CASE WHEN len(shape) > {d} THEN '/' || array_to_string(shape[{d + 1}:], '/') ELSE '' END AS template FROM t{d}),
+ph AS (SELECT host, (sum(blocked) + {prior} * {neutral}) / (sum(labelled) + {prior}) AS ph FROM tt GROUP BY host),
 pt AS (SELECT host, template, (sum(blocked) + {prior} * any_value(ph)) / (sum(labelled) + {prior}) AS purity FROM tt JOIN ph USING (host) GROUP BY host, template)
 SELECT page_id, host, path, rule,
   CASE WHEN block = 1 THEN 'block' WHEN block = 0 THEN 'allow' WHEN purity > 0.5 THEN 'block' ELSE 'allow' END AS verdict, template
@@ -184,9 +239,11 @@ FROM g JOIN tt USING (host, shape) JOIN pt USING (host, template)
 
 
 ORACLE: dict[str, str] = {
+    "op1_quality_rules": _op1_sql(),
     "op3_exact_topk": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op5_minhash": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_url_filters": _op9_sql(),
+    "op10_lm_scoring": _op10_sql(),
 }

@@ -30,9 +30,9 @@ def test_topk(spark):
     for q, s in by.items():
         want.update((q, r, c, -n) for r, (n, c) in enumerate(sorted(s)[:5], 1))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for size in (512, 7):
+    for size, room in ((512, topk.PASS_BYTES), (7, topk.PASS_BYTES), (3, 900)):
         scaled = df.withColumn("w", topk.quantized(F.col("embedding")))
-        got = topk.search(scaled, scaled.filter("vec_id % 50 = 0"), 5, "vec_id", "w", size, size)
+        got = topk.search(scaled, scaled.filter("vec_id % 50 = 0"), 5, "vec_id", "w", size, size, room)
         assert collections.Counter(map(tuple, got.collect())) == want
     assert topk.dot_search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
@@ -139,7 +139,77 @@ def test_url_templates_reject_by_purity(spark):
     got = url_filters.judge(df, [("bad.com", "/spam/", "block")])
     verdicts = {(r.host, r.verdict) for r in got.filter("rule is null").collect()}
     assert verdicts == {("bad.com", "block"), ("good.com", "allow")}
-    assert {r.template for r in got.filter("host = 'good.com'").collect()} == {"/*/*"}
+    assert {r.template for r in got.filter("host = 'good.com'").collect()} == {"/*/x"}
+
+
+def verdicts_brute(urls, rules):
+    """The verdict of each url by recursion over its host's paths."""
+    rows, labels = [], collections.defaultdict(list)
+    for u in urls:
+        host, path = u.split("://", 1)[1].split("/", 1)
+        fit = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and f"/{path}".startswith(r[1])]
+        rule = max(fit, key=lambda r: len(r[0] + r[1]), default=None)
+        rows.append((host, tuple("*" if any(c.isdigit() for c in x) else x for x in path.split("/") if x), rule and rule[2] == "block"))
+        labels[host].append(rows[-1][2])
+
+    def walk(paths, k):
+        """paths: distinct shapes -> their labels. shape -> template."""
+        out = {p: () for p in paths if len(p) == k}
+        open_ = {p: v for p, v in paths.items() if len(p) > k}
+        kids, urls = {p[k] for p in open_}, sum(map(len, open_.values()))
+        variable = len(kids) >= url_filters.CHILDREN and urls < url_filters.URLS_EACH * len(kids)
+        groups = collections.defaultdict(dict)
+        for p, v in open_.items():
+            groups["*" if variable else p[k]][p] = v
+
+        def counts(some):
+            found = [(x, len(p) > k + 1) for g in some for p, v in groups[g].items() for x in v]
+            return len(found), sum(x is not None for x, _ in found), sum(x is True for x, _ in found), sum(d for _, d in found)
+
+        plain = [g for g in groups if g != "*"]
+        merged = collections.defaultdict(dict)
+        for g in groups:
+            n, known, bad, deep = counts([g])
+            on, oknown, obad, odeep = counts([x for x in plain if x != g])
+            alike = False
+            if g != "*" and min(known, oknown) >= url_filters.EVIDENCE:
+                p = (bad + obad) / (known + oknown)
+                error = math.sqrt(p * (1 - p) * (1 / known + 1 / oknown))
+                alike = abs(bad / known - obad / oknown) <= url_filters.ERRORS * error and abs(deep / n - odeep / on) <= url_filters.SHAPE
+            merged["*" if alike else g] |= groups[g]
+        for g, some in merged.items():
+            out |= {p: (g, *t) for p, t in walk(some, k + 1).items()}
+        return out
+
+    out = []
+    smooth = lambda some, prior: (sum(x is True for x in some) + 4 * prior) / (sum(x is not None for x in some) + 4)
+    trees = {}
+    for host in labels:
+        shapes = collections.defaultdict(list)
+        for h, p, x in rows:
+            if h == host:
+                shapes[p].append(x)
+        trees[host] = walk(shapes, 0)
+    by = collections.defaultdict(list)
+    for h, p, x in rows:
+        by[h, trees[h][p]].append(x)
+    for h, p, x in rows:
+        purity = smooth(by[h, trees[h][p]], smooth(labels[h], 0.5))
+        out.append("block" if x or (x is None and purity > 0.5) else "allow")
+    return out
+
+
+def test_url_verdicts_of_deep_paths(spark):
+    """Trees of any depth against recursion; urls that differ at the fifth segment only get different verdicts."""
+    rng = random.Random(21)
+    rules = [("h0.com", "/a/b/c/d/bad/", "block"), ("h0.com", "/a/b/c/d/good/", "allow"), ("h1.com", "/x/", "block"), ("h2.com", "/n/", "allow"), ("h2.com", "/m/", "block")]
+    urls = [f"http://h0.com/a/b/c/d/{rng.choice(['bad', 'good'])}/{rng.choice('pqrs')}" for _ in range(80)] + ["http://h0.com/a/b/c/d/bad", "http://h0.com/a/b/c/d/good"]
+    for _ in range(400):
+        urls.append(f"http://h{rng.randrange(1, 4)}.com/" + "/".join(rng.choice(["x", "n", "m", "k", f"id{rng.randrange(99)}", f"w{chr(97 + rng.randrange(20))}"]) for _ in range(rng.randrange(0, 6))))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.judge(df, rules).collect()}
+    assert [got[k] for k in range(len(urls))] == verdicts_brute(urls, rules)
+    assert len(set(got.values())) == 2
 
 
 def test_components(spark):

@@ -143,11 +143,11 @@ def repeats_brute(texts):
     return out
 
 
-@pytest.mark.parametrize("index_words", [400_000, 150])
-def test_substring_dedup(spark, corpus, index_words):
+@pytest.mark.parametrize(("index_words", "hot"), [(400_000, 4096), (150, 4096), (150, 3)])
+def test_substring_dedup(spark, corpus, index_words, hot):
     rng = random.Random(8)
     rows = [*corpus, *[(600 + k, " ".join(rng.choice("ab") for _ in range(120)), "en", "s0") for k in range(6)]]
-    found = substring_dedup.remove_repeats(table(spark, rows), index_words=index_words)
+    found = substring_dedup.remove_repeats(table(spark, rows), index_words=index_words, hot_segments=hot)
     got = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found.collect())
     assert got == collections.Counter((k, *x) for (k, *_), x in zip(rows, repeats_brute([r[1] for r in rows]), strict=True))
     assert substring_dedup.remove_repeats(table(spark, EMPTY)).count() == 0
@@ -246,10 +246,48 @@ def test_importance_share_is_that_of_all_labels(spark):
         assert importance.classify(rows, labels, most_labels=most).filter("kept").count() == 30
 
 
+def test_importance_weights(spark):
+    """Weights are sums of log ratios of add-one models over the slots of words, pairs and byte trigrams."""
+    rng = random.Random(19)
+    rows = [(k, words(rng, rng.randrange(0, 30), 40), "en", "s") for k in range(40)] + [(50, None, "", ""), (51, "A", "", ""), (None, "w1 w2 w3", "", ""), (52, "long " * 20_000, "", "")]
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(0, 40, 2)], "doc_id long, quality int")
+
+    def slots(t):
+        h, _ = word_hashes([t], lower=True)
+        h = h.tolist()
+        pairs = importance.join_hash(np.array(h[:-1], np.uint64), np.array(h[1:], np.uint64)).tolist() if len(h) > 1 else []
+        low = t.lower()
+        three = [int(importance.mix(np.array([low[k] << 16 | low[k + 1] << 8 | low[k + 2]], np.uint64))[0]) for k in range(len(low) - 2)]
+        n = importance.SLOTS
+        return [x % n for x in h + pairs], [x % n for x in three]
+
+    found = [(k, slots((t or "").encode())) for k, t, *_ in rows]
+    ratio = []
+    for part in range(2):
+        every = collections.Counter(x for _, s in found for x in s[part])
+        good = collections.Counter(x for k, s in found if k is not None and k < 20 and k % 2 == 0 for x in s[part])
+        n, m = sum(every.values()) + importance.SLOTS, sum(good.values()) + importance.SLOTS
+        ratio.append(lambda x, e=every, g=good, n=n, m=m: np.log((g[x] + 1) / m) - np.log((e[x] + 1) / n))
+    want = collections.Counter((k, round(sum(ratio[p](x) for p in range(2) for x in s[p]), 6) + 0.0) for k, s in found)
+    got = importance.classify(table(spark, rows), labels).collect()
+    assert collections.Counter((r.doc_id, round(r.log_weight, 6) + 0.0) for r in got) == want
+
+
+def test_importance_ties_and_repeats(spark):
+    """Repeated rows are taken alike; null ids with different texts are told apart."""
+    rng = random.Random(20)
+    rows = [(None, words(rng, 30), "en", "s") for _ in range(50)] + [(7, "same text " * 9, "en", "s")] * 40
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    got = importance.classify(table(spark, rows), labels, share=0.5).collect()
+    kept = collections.Counter(r.kept for r in got if r.doc_id == 7)
+    assert len(kept) == 1 and sum(r.kept for r in got) >= 45
+    assert len({r.key for r in got if r.doc_id is None}) == 50
+
+
 def test_largest_narrows(spark, monkeypatch):
     monkeypatch.setattr(importance, "FEW", 10)
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 700).cast("double").alias("key"))
-    order = sorted(((float(k % 700), k) for k in range(3000)), key=lambda x: (-x[0], x[1]))
+    order = sorted((float(k % 700) for k in range(3000)), reverse=True)
     for k in (1, 9, 500, 2999):
         assert importance.largest(rows, k) == order[k - 1]
 
@@ -280,8 +318,9 @@ def test_line_dedup(spark, corpus, monkeypatch):
         variants.append((800 + k, f"{words(rng, 12)}\n{' '.join(w)}\nshort line\n{words(rng, 7)}", "en", "s"))
     rows = [r for r in [*corpus, *variants] if r != (0, corpus[0][1], "en", "s0")]
     want = lines_brute(rows)
-    for hot in (line_dedup.HOT, 3):
-        monkeypatch.setattr(line_dedup, "HOT", hot)
+    for star, paired in ((line_dedup.STAR, line_dedup.PAIRED), (2, 3)):
+        monkeypatch.setattr(line_dedup, "STAR", star)
+        monkeypatch.setattr(line_dedup, "PAIRED", paired)
         got = collections.Counter((r.doc_id, r.n_removed) for r in line_dedup.report(table(spark, rows)).collect())
         assert {k: n for (k, n) in got if k is not None} == {k: len(want[at]) for at, (k, *_) in enumerate(rows) if k is not None}
     out = line_dedup.dedupe(table(spark, rows))
@@ -320,38 +359,93 @@ def test_line_dedup_keys_lines_by_row(spark):
     assert sum(r.n_removed for r in found) == 3
 
 
-def test_lm_scoring(spark, corpus):
-    rng = random.Random(11)
-    rows = [*corpus, *[(900 + k, words(rng, 60, 30), "en", "s") for k in range(40)]]
-    found = lm_scoring.score(table(spark, rows)).collect()
-    assert len(found) == len(rows)
-    END = b"\n"
-    toks = [[*(t or "").encode().lower().split(), END] for _, t, _, _ in rows]
+def lm_brute(rows):
+    """doc_id, held_out, tokens, known ones, training tokens, base and score of each row, by dictionaries."""
+    toks = [[*(t or "").encode().lower().split(), None] for _, t, *_ in rows]
     train = [k is not None and zlib.crc32(str(k).encode()) % 10 != 0 for k, *_ in rows]
-    c = collections.Counter(w for t, use in zip(toks, train, strict=True) if use for w in t)
-    total, v = sum(c.values()), len(c)
-    base = collections.Counter()
-    for (k, *_), t, use in zip(rows, toks, train, strict=True):
-        base[k, not use, len(t), sum(c[w] > 0 for w in t), total, round(sum(np.log10((c[w] + 0.1) / (total + 0.1 * (v + 1))) for w in t), 6)] += 1
-    assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == base
-    held = [r for r in found if r.held_out and (r.doc_id or 0) >= 900]
-    assert held and sum(r.score for r in held) > sum(r.base_score for r in held) - 5 * len(held)
-    assert lm_scoring.score(table(spark, EMPTY)).count() == 0
+    c = [collections.Counter() for _ in range(3)]
+    for w, use in zip(toks, train, strict=True):
+        past = [None, *w]
+        for i, x in enumerate(w) if use else ():
+            c[0][x] += 1
+            c[1][past[i], x] += 1
+            if i:
+                c[2][past[i - 1], past[i], x] += 1
+    total, distinct = sum(c[0].values()), len(c[0])
+    out = []
+    for (k, *_), w, use in zip(rows, toks, train, strict=True):
+        past, base, score = [None, *w], 0.0, 0.0
+        for i, x in enumerate(w):
+            p = (c[0][x] + 0.1) / (total + 0.1 * (distinct + 1))
+            base += np.log10(p)
+            contexts = [(c[0][past[i]], c[1][past[i], x])]
+            if i:
+                contexts.append((c[1][past[i - 1], past[i]], c[2][past[i - 1], past[i], x]))
+            for n, both in contexts:
+                if n:
+                    fail = lm_scoring.FAIL * n**-lm_scoring.FALL
+                    p = (1 - fail) * both / n + fail * p
+            score += np.log10(p)
+        out.append((k, not use, len(w), sum(c[0][x] > 0 for x in w), total, round(base, 6), round(score, 6)))
+    return out
 
 
-def test_lm_states_are_distributions(spark):
+@pytest.mark.parametrize(("block", "keys"), [(6_000_000, 250_000), (700, 10)])
+def test_lm_scoring(spark, corpus, monkeypatch, block, keys):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
+    rng = random.Random(11)
+    rows = [*corpus, *[(900 + k, words(rng, 60, 30), "en", "s") for k in range(40)], (990, "long " * 30_000, "en", "s")]
+    df = table(spark, rows).withColumn("score", F.lit("clash")).withColumn("train", F.lit(1))
+    found = lm_scoring.score(df, shard_keys=keys).collect()
+    got = collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in found)
+    assert got == collections.Counter(lm_brute(rows))
+    held = [r for r in found if r.held_out and (r.doc_id or 0) >= 900]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert lm_scoring.score(table(spark, EMPTY)).count() == 0
+    assert [r.score for r in lm_scoring.score(table(spark, [(None, "a b", "en", "s")])).collect()] == [0.0]
+
+
+def test_lm_packing():
+    rng = np.random.default_rng(3)
+    for m in (0, 1, 7, 3000):
+        codes = [np.unique(rng.integers(0, 1 << b, m, dtype=np.uint64)) for b in (36, 20, 63)]
+        counts = [rng.integers(0, most, len(c)) for c, most in zip(codes, (2, 300, 1 << 40), strict=True)]
+        got = lm_scoring.unpacked(*lm_scoring.packed(counts, codes), coded=True)
+        assert all((x == y).all() for x, y in zip([*counts, *codes], [*got[0], *got[1]], strict=True))
+        assert all((x == y).all() for x, y in zip(counts, lm_scoring.unpacked(*lm_scoring.packed(counts), coded=False)[0], strict=True))
+
+
+def test_lm_tells_documents_that_occur_twice_apart_at_any_size(spark):
+    """Documents that stand twice among the training texts score higher a token, in a small corpus and a larger one."""
+    for size in (150, 900):
+        rng = random.Random(size)
+        rows = [(2 * k, words(rng, 80, 30 * size), "en", "s") for k in range(size)]
+        twice = {k for k, *_ in rows[::10] if zlib.crc32(str(k).encode()) % 10}
+        copies = [(k + 1_000_001, t, "en", "s") for k, t, *_ in rows if k in twice and zlib.crc32(str(k + 1_000_001).encode()) % 10]
+        twice = {k - 1_000_001 for k, *_ in copies}
+        rows += copies
+        found = [r for r in lm_scoring.score(table(spark, rows)).collect() if not r.held_out and r.doc_id < 1_000_000]
+        gain = sorted(((r.score - r.base_score) / r.n_tokens, r.doc_id in twice) for r in found)
+        assert [x for _, x in gain] == sorted(x for _, x in gain)
+
+
+def test_lm_states_are_distributions():
     """In every state the probabilities of all words and of an unseen one sum to one."""
     rng = random.Random(12)
-    rows = table(spark, [(k, words(rng, 40, 12), "en", "s") for k in range(60)]).select("text", F.lit(True).alias("train"))
-    vocabulary, total, distinct, m = lm_scoring.learn(rows)
-    assert len(m.trigrams) and len(m.words) == distinct
-    unseen = np.uint64(12345)
-    every = np.append(m.words, unseen)
-    uni = np.append(10**m.unigram, 0.1 / (total + 0.1 * (distinct + 1)))
-    assert abs(uni.sum() - 1) < 1e-9
-    end = m.words[m.end]
-    plain = [w for w in m.words if w != end]
-    for a, b in [(plain[0], plain[1]), (plain[2], plain[0]), (unseen, plain[3]), (plain[1], unseen)]:
-        texts = np.concatenate([np.array([a, b, w], np.uint64) for w in every])
-        gain = m.traverse(texts, np.full(len(every), 3))[2::3]
-        assert abs((uni * 10**gain).sum() - 1) < 1e-9
+    rows = [[rng.choice("abcdefgh") for _ in range(40)] + ["END"] for _ in range(30)]
+    c = [collections.Counter() for _ in range(3)]
+    for w in rows:
+        for i, x in enumerate(w):
+            c[0][x] += 1
+            c[1][w[i - 1], x] += 1
+            if i:
+                c[2][w[i - 2] if i > 1 else "END", w[i - 1], x] += 1
+    total, distinct = sum(c[0].values()), len(c[0])
+    for context in (["a", "b"], ["h", "h"], ["?", "c"], ["a", "?"], ["b"], []):
+        found = []
+        for x in [*c[0], "unseen"]:
+            w = [*context, x, "END"] if x != "END" else [*context, x]
+            past = ["END", *w]
+            counts = [np.array(v, float) for v in ([c[0][y] for y in w], [c[1][past[i], y] for i, y in enumerate(w)], [c[2][past[i - 1], past[i], y] if i else 0 for i, y in enumerate(w)])]
+            found.append(10 ** lm_scoring.traverse(np.array([len(w)]), counts, total, distinct)[1][len(context)])
+        assert abs(sum(found) - 1) < 1e-9
