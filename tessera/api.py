@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.operators import enrich, export, folders, graph, listing, reading, search, store
 from tessera.operators.index import Index
+from tessera.sources import extract
+from tessera.streaming import ingest, runs
 
 
 def bounded_int(value: object, default: int, low: int, high: int) -> int:
@@ -111,6 +113,28 @@ class KnowledgeBase:
         self.tables.write("docs", docs)
         self.tables.write("chunks", chunks)
 
+    def add_files(self, path: str, enricher: enrich.Enricher | None = None) -> DataFrame:
+        """Takes the files under a path; those that are refused, with the reason."""
+        good, bad = extract.uploads(extract.read_files(self.spark, path))
+        ingest.take(good, self.tables, enricher)
+        return bad
+
+    def enrich_all(self, enricher: enrich.Enricher | None = None, budget: int = 400) -> int:
+        """Enriches what is left in batches; the number of batches."""
+        return runs.run(self.tables, enricher or enrich.FirstSentence(), budget)
+
+    def cancel(self, doc_id: str) -> None:
+        runs.cancel(self.tables, self.spark.createDataFrame([(doc_id,)], "doc_id string"))
+
+    def resume(self) -> DataFrame:
+        """Queues again what was cut off: doc_id, phase."""
+        return runs.resume(self.tables)
+
+    def folder_list(self) -> DataFrame:
+        """The folders in display order with their paths and numbers of documents."""
+        counts = folders.doc_counts(self.folders, self.docs)
+        return folders.display_order(self.folders).join(folders.paths(self.folders).select("folder_id", "path"), "folder_id").join(counts, "folder_id").orderBy("place")
+
     def enrich(self, enricher: enrich.Enricher | None = None, budget: int = 400) -> None:
         self.tables.write("chunks", enrich.enrich(self.chunks, enricher or enrich.FirstSentence(), budget))
 

@@ -7,6 +7,7 @@ to it, so readers see one version or the other.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,10 @@ def carry_summaries(new: DataFrame, old: DataFrame, least: int = 300) -> DataFra
     return rows.withColumn("summary", F.coalesce("same", "within", "summary")).select(new.columns)
 
 
+class Conflict(RuntimeError):
+    """Another writer's version of a table holds the number that was taken."""
+
+
 @dataclass
 class TableStore:
     """Tables as versioned Parquet folders; a one-row table points to the current version of each."""
@@ -106,10 +111,20 @@ class TableStore:
         table.write.parquet(f"{self.path}/{name}/{folder}")
         self.spark.createDataFrame([(v, folder)], POINTER).coalesce(1).write.mode("append").parquet(self._pointer(name))
         if self._current(name) != (v, folder):
-            raise RuntimeError(f"another writer changed {name} meanwhile")
+            raise Conflict(f"another writer changed {name} meanwhile")
         self._forget(name, v - KEPT_VERSIONS)
         return v
 
+    def change(self, name: str, schema: T.StructType, of: Callable[[DataFrame], DataFrame], tries: int = 5) -> int:
+        """Writes ``of`` the current table; again on what is current then, if another writer comes between."""
+        for left in range(tries - 1, -1, -1):
+            try:
+                return self.write(name, of(self.read(name, schema)))
+            except Conflict:
+                if not left:
+                    raise
+        return 0
+
     def _forget(self, name: str, v: int) -> None:
         """Removes a version that no reader should still be at."""
         if v <= 0:

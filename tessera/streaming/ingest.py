@@ -44,33 +44,35 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
 
 
-def ingest(files: DataFrame, tables: store.TableStore, checkpoint: str, enricher: enrich.Enricher | None = None, seconds: int | None = 20) -> StreamingQuery:
-    """Writes a stream of files to the tables docs, chunks and postings; a batch that is run again changes nothing.
+def take(rows: DataFrame, tables: store.TableStore, enricher: enrich.Enricher | None = None) -> None:
+    """Writes accepted files to the tables docs, chunks and postings; doing it again changes nothing.
 
-    Only a batch's documents are chunked, enriched and cut into tokens; in the index they replace what it has of
-    them. seconds is the least time between batches; None takes what is there and stops.
+    Only these documents are chunked, enriched and cut into tokens; in the index they replace what it has of them.
     """
+    rows = checkpointed(newest(rows))
+    if not rows.limit(1).count():
+        return
+    made = checkpointed(documents_of(rows))
+    new = chunking.build_chunks(made)
+    new = checkpointed(enrich.enrich(new, enricher) if enricher else new)
+    ids = rows.select("doc_id")
+    old = tables.index()
+    tables.change("chunks", S.CHUNKS, lambda chunks: chunks.join(ids, "doc_id", "left_anti").unionByName(new))
+    docs = rows.select("doc_id", "name", "mime", "size", "uploaded_at").join(made.select("doc_id", "outline", "outline_source", "warning"), "doc_id")
+    docs = docs.withColumn("status", F.lit("done")).withColumn("progress", F.lit(100))
+    for f in S.DOCS:
+        if f.name not in docs.columns:
+            docs = docs.withColumn(f.name, F.lit(None).cast(f.dataType))
+    docs = checkpointed(docs)
+    tables.change("docs", S.DOCS, lambda known: store.upsert(known, docs))
+    replace_documents(old, new, ids).write(tables.index_path())
 
-    def batch(rows: DataFrame, _: int) -> None:
-        rows = checkpointed(newest(rows))
-        if not rows.limit(1).count():
-            return
-        made = checkpointed(documents_of(rows))
-        new = chunking.build_chunks(made)
-        new = checkpointed(enrich.enrich(new, enricher) if enricher else new)
-        ids = rows.select("doc_id")
-        old = tables.index()
-        tables.write("chunks", store.set_chunks(store.delete_documents(tables.read("docs", S.DOCS), tables.read("chunks", S.CHUNKS), ids)[1], new))
-        docs = rows.select("doc_id", "name", "mime", "size", "uploaded_at").join(made.select("doc_id", "outline", "outline_source", "warning"), "doc_id")
-        docs = docs.withColumn("status", F.lit("done")).withColumn("progress", F.lit(100))
-        for f in S.DOCS:
-            if f.name not in docs.columns:
-                docs = docs.withColumn(f.name, F.lit(None).cast(f.dataType))
-        tables.write("docs", store.upsert(tables.read("docs", S.DOCS), docs))
-        replace_documents(old, new, ids).write(tables.index_path())
 
+def ingest(files: DataFrame, tables: store.TableStore, checkpoint: str, enricher: enrich.Enricher | None = None, seconds: int | None = 20) -> StreamingQuery:
+    """``take`` for a stream of files, batch by batch. seconds is the least time between batches; None takes what is
+    there and stops."""
     accepted, _ = extract.uploads(files)
-    writer = accepted.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = accepted.writeStream.foreachBatch(lambda rows, _: take(rows, tables, enricher)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 

@@ -16,7 +16,8 @@ from tessera.api import KnowledgeBase, bounded_int
 from tessera.operators import enrich, export, folders, listing
 from tessera.plans import catalogue
 from tessera.sources import extract, sinks
-from tessera.streaming import ingest, lifecycle
+from tessera.operators import store
+from tessera.streaming import ingest, lifecycle, runs
 from tests.test_engine import chunk_rows, doc_rows
 
 SF = "/root/testdata/sf0.001"
@@ -172,6 +173,85 @@ def test_ingest_and_facade(spark, tmp_path):
     assert [bounded_int(x, 5, 1, 12) for x in (None, "7", 7.9, 99, -1, True, float("nan"))] == [5, 5, 7, 12, 1, 5, 5]
 
 
+class Picky:
+    """Summarises what has no x in it."""
+
+    def __call__(self, title, text):
+        return None if "x" in text else (f"about {title}", ["Entity"], [])
+
+
+def run_tables(spark, path):
+    tables = store.TableStore(spark, str(path))
+    docs = doc_rows(spark, [(d, f"{d}.md", None, None) for d in ("good", "bad", "half", "gone", "empty")])
+    docs = docs.withColumn("status", F.when(F.col("doc_id") == "gone", "cancelled").otherwise("extracted"))
+    tables.write("docs", docs)
+    rows = [("good", k, f"t{k}", "fine") for k in range(5)] + [("bad", k, "t", "x") for k in range(2)] + [("half", 0, "t", "fine"), ("half", 1, "t", "x"), ("gone", 0, "t", "fine")]
+    tables.write("chunks", chunk_rows(spark, rows))
+    return tables
+
+
+def test_runs_enrich_in_batches(spark, tmp_path):
+    tables = run_tables(spark, tmp_path / "t")
+    assert runs.run(tables, Picky(), budget=2) == 3
+    docs = {r.doc_id: r for r in tables.read("docs", S.DOCS).collect()}
+    assert {k: r.status for k, r in docs.items()} == {"good": "done", "bad": "done", "half": "done", "gone": "cancelled", "empty": "extracted"}
+    assert docs["good"].progress == 100 and docs["good"].error is None and docs["good"].summary == "about t0 about t1 about t2 about t3 about t4"
+    assert docs["bad"].error == docs["half"].error == runs.NO_RESULT and docs["bad"].warning.startswith(runs.NOTE + "0/2")
+    assert docs["half"].warning.startswith(runs.NOTE + "1/2")
+    done = {r.chunk_id for r in tables.read("chunks", S.CHUNKS).filter("summary is not null").collect()}
+    assert done == {*(f"good#{k}" for k in range(5)), "half#0"}
+    assert runs.run(tables, enrich.FirstSentence()) == 1
+    again = {r.doc_id: r for r in tables.read("docs", S.DOCS).collect()}
+    assert again["bad"].error is None and again["bad"].warning is None and again["gone"].status == "cancelled"
+
+
+def test_runs_cancel_and_resume(spark, tmp_path):
+    tables = run_tables(spark, tmp_path / "t")
+    one = lambda d, status: runs.patch_docs(tables, spark.createDataFrame([(d, status)], "doc_id string, status string"))
+    one("good", "enriching")
+    one("half", "done")
+    status = lambda: {r.doc_id: r.status for r in tables.read("docs", S.DOCS).collect()}
+    assert status()["half"] == "extracted"
+    runs.cancel(tables, spark.createDataFrame([("good",), ("bad",)], "doc_id string"))
+    assert status()["good"] == "cancelled" and status()["bad"] == "extracted"
+    one("half", "enriching")
+    assert [(r.doc_id, r.phase) for r in runs.resume(tables).collect()] == [("half", "enrich")] and status()["half"] == "queued"
+    held = tables.read("docs", S.DOCS)
+    other = store.TableStore(spark, str(tmp_path / "t"))
+    seen = []
+
+    def change(docs):
+        if not seen:
+            seen.append(other.write("docs", held))
+        return docs.filter("doc_id != 'empty'")
+
+    tables.change("docs", S.DOCS, change)
+    assert "empty" not in status() and len(status()) == 4
+
+
+def test_followed_refuses(spark):
+    rows = [("a", k, k, s) for k, s in enumerate(["queued", "done", "extracting", "parsing", "queued", "extracted"])]
+    got = lifecycle.followed(spark.createDataFrame(rows, "doc_id string, ts long, event_id long, status string")).first()
+    assert (got.status, got.refused) == ("extracted", 2)
+
+
+def test_ingested_documents_have_outlines(spark, tmp_path, monkeypatch):
+    """Headings of texts, bookmarks and edge lines of paged files, by way of a stand-in for a PDF reader."""
+    pages = [f"Head\ntext {k}\nmore\nlines\nhere\nbody {k}\n- {k} -" for k in range(24)]
+    marks = '[{"title": "Part", "page": 1, "items": [{"title": " ", "items": [{"title": "Deep", "page": 9}]}]}]'
+    files = spark.createDataFrame([("t", "a.md", "text/markdown", b"# One\n## Two\ntext\n### Three\nmore"), ("n", "b.txt", "text/plain", b"no headings")], "doc_id string, name string, mime string, content binary")
+    paged = spark.createDataFrame([("p", "\n".join(pages), pages, None, marks)], "doc_id string, text string, pages array<string>, warning string, bookmarks string")
+    whole = extract.extract(files).unionByName(paged)
+    monkeypatch.setattr(extract, "extract", lambda _: whole)
+    got = {r.doc_id: r for r in ingest.documents_of(files).collect()}
+    assert [(e.level, e.title) for e in got["t"].outline] == [(1, "One"), (2, "Two"), (3, "Three")] and got["t"].outline_source == "text-headings"
+    assert got["n"].outline == [] and got["n"].outline_source is None
+    assert [(e.level, e.title, e.page, e.path) for e in got["p"].outline] == [(1, "Part", 1, None), (3, "Deep", 9, ["Part"])]
+    assert got["p"].outline_source == "pdf-bookmarks" and "Head" not in got["p"].text and "body 3" in got["p"].pages[3] and "- 3 -" not in got["p"].pages[3]
+    chunks = ingest.chunks_of(files).filter("doc_id = 'p'").orderBy("chunk_index").collect()
+    assert chunks[0].title == "Part" and chunks[-1].section_path == ["Part", "Deep"]
+
+
 def test_listing(spark):
     docs = doc_rows(spark, [("1", "NAT guide", ["a"], None), ("2", "other", ["nat x"], None), ("3", "none", None, None)])
     assert {r.doc_id for r in docs.filter(listing.name_or_tag("Nat")).collect()} == {"1", "2"}
