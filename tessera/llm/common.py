@@ -155,10 +155,19 @@ BATCH_BYTES = 2_000_000
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound batches where they are made: a worker holds a batch several times over (Arrow, bytes, arrays)."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings of the session that operators of several steps need.
+
+    Batches for Python are bounded where they are made, unless the session has a bound of its own: a worker holds a
+    batch several times over (Arrow, bytes, arrays). A step's shuffle files go when it ends, since what a later step
+    needs of it is checkpointed or stored; otherwise they stay until the driver happens to collect its garbage.
+    """
     if spark.conf.get(_BATCHES) == f"{1 << 26}b":
         spark.conf.set(_BATCHES, f"{BATCH_BYTES}b")
+    spark.conf.set(_CLEANUP, "true")
 
 
 def trim() -> None:
@@ -170,7 +179,7 @@ def trim() -> None:
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``df.mapInArrow`` with small batches; a task's memory goes back to the system at its end."""
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
 
     @functools.wraps(run)
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

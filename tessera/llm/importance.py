@@ -109,7 +109,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", id_: st
         table = ratio.value
         for batch in (part for whole in batches for part in _parts(whole)):
             slot, doc, n = features(texts(batch))
-            sums = np.bincount(doc, table[slot], len(n))
+            sums = np.bincount(doc, table[slot], len(n)).astype(float)
             sums = sums if length is None else sums / np.maximum(n, 1) * length
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sums)], names=["doc_id", "drawn", "log_weight"])
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, fresh, materialize, stored
+from tessera.llm.common import bounded, fresh, materialize, prepare, stored
 
 PERCENT = 75
 LEAST_WORDS = 5
@@ -115,6 +115,7 @@ def similar_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", perc
 
     The place of a class is that of its first line; later tells that an earlier class is similar.
     """
+    prepare(docs.sparkSession)
     own = stored(_sets(docs, id_, text, percent, least))
     classes = own.groupBy(*CLASS).agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("x")).select(*CLASS, "x.*")
     # Classes are numbered in the order of their first lines.
@@ -132,28 +133,36 @@ def _later(classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: in
     rows = joined.select("node", "bits", size.alias("size"), F.posexplode(F.slice("prefix", F.lit(1), _missing(F.col("n"), percent) + SHARED)).alias("p", "token"))
     rows = rows.select(F.col("token").cast("long").alias("key"), "node", (F.col("size") + F.col("p")).alias("at"), "bits")
     verified = lambda found: _verified(found, classes, docs, id_, text, percent)
-    gone = verified(_stars(rows, percent, 1))
+    large = _large(rows, STAR)
+    gone = verified(_stars(rows, large, percent, 1))
     found = [gone]
     for tokens in range(1, KEY_TOKENS + 1):
         rest = rows.join(bounded(gone), "node", "left_anti")
-        last = tokens == KEY_TOKENS
-        wide = None if last else _keys(rest, PAIRED)
-        if wide is not None and not wide.limit(1).count():
-            wide = None
+        wide = None if tokens == KEY_TOKENS else _wide(rest, large)
         narrow = (lambda x: x) if wide is None else (lambda x, w=wide: x.join(bounded(w, BROADCAST_KEYS), "key", "left_anti"))
         found.append(verified(_paired(narrow(rows), narrow(rest), percent, tokens)))
         if wide is None:
             break
         held = rows.join(bounded(wide, BROADCAST_KEYS), "key", "left_semi")
         rows = stored(_extended(held, joined, percent, tokens))
-        gone = materialize(reduce(DataFrame.unionByName, [*found, verified(_stars(rows, percent, tokens + 1))]).distinct())
+        large = _large(rows, STAR)
+        gone = materialize(reduce(DataFrame.unionByName, [*found, verified(_stars(rows, large, percent, tokens + 1))]).distinct())
         found = [gone]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _keys(rows: DataFrame, most: int) -> DataFrame:
-    """The keys of more than ``most`` rows."""
-    return materialize(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most).select("key"))
+def _large(rows: DataFrame, most: int) -> DataFrame:
+    """key, many of the keys of more than ``most`` rows."""
+    return materialize(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most))
+
+
+def _wide(rest: DataFrame, large: DataFrame) -> DataFrame | None:
+    """The keys of more than PAIRED of the rows that are left; None if there are none."""
+    wider = large.filter(F.col("many") > PAIRED).select("key")
+    if not wider.limit(1).count():
+        return None
+    found = _large(rest.join(bounded(wider, BROADCAST_KEYS), "key", "left_semi"), PAIRED).select("key")
+    return found if found.limit(1).count() else None
 
 
 def _extended(rows: DataFrame, classes: DataFrame, percent: int, tokens: int) -> DataFrame:
@@ -177,9 +186,9 @@ def _candidates(a: DataFrame, b: DataFrame, percent: int, tokens: int) -> DataFr
     return a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & close & room & alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def _stars(rows: DataFrame, percent: int, tokens: int) -> DataFrame:
-    """Of each group of more than STAR classes, the first with each other one."""
-    held = rows.join(bounded(_keys(rows, STAR), BROADCAST_KEYS), "key", "left_semi")
+def _stars(rows: DataFrame, large: DataFrame, percent: int, tokens: int) -> DataFrame:
+    """Of each group of a large key, the first class with each other one."""
+    held = rows.join(bounded(large.select("key"), BROADCAST_KEYS), "key", "left_semi")
     first = held.groupBy("key").agg(F.min(F.struct("node", "at", "bits")).alias("x")).select("key", "x.*")
     return _candidates(first, held, percent, tokens).distinct()
 

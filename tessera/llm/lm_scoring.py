@@ -23,6 +23,7 @@ Other columns than the id and the text are not looked at.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ FAIL, FALL = 0.95, 0.2
 BLOCK_BYTES, SHARD_KEYS, LEAST_BITS, MOST_BITS = 6_000_000, 250_000, 8, 24
 #: Bits that tell the pairs and triples of a shard; distinct words that a task counts at a time.
 TOLD, HELD = 36, 1_000_000
+#: The level of compression: bytes on disk are dearer here than time.
+LEVEL = 6
 #: Bytes of text for each key that is sent, about: a token and its blank have 6.5 and make 1.9 keys.
 BYTES_A_KEY = 3.4
 
@@ -93,6 +96,11 @@ def _whole(planes: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+@functools.cache
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=LEVEL)
+
+
 def packed(counts: list[np.ndarray], codes: list[np.ndarray] | None = None) -> tuple[bytes, bytes, bytes]:
     """Lists of counts, and of sorted codes to them: a head, bytes that are as good as random, and compressed others."""
     head, hard, soft = [], [], []
@@ -106,13 +114,13 @@ def packed(counts: list[np.ndarray], codes: list[np.ndarray] | None = None) -> t
         soft.append(_planes(count, width).tobytes())
         head += [m, low, width]
     soft = b"".join(soft)
-    return np.array([*head, len(soft)], "<u4").tobytes(), b"".join(hard), pa.compress(soft, codec="zstd", asbytes=True)
+    return np.array([*head, len(soft)], "<u4").tobytes(), b"".join(hard), _codec().compress(soft, asbytes=True)
 
 
 def unpacked(head: bytes, hard: bytes, soft: bytes, coded: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The counts and, if there are any, the codes."""
     *head, size = np.frombuffer(head, "<u4").tolist()
-    soft = np.frombuffer(pa.decompress(soft, size, codec="zstd", asbytes=True), np.uint8)
+    soft = np.frombuffer(_codec().decompress(soft, size, asbytes=True), np.uint8)
     hard, counts, codes, at, to = np.frombuffer(hard, np.uint8), [], [], 0, 0
     for m, low, width in zip(head[::3], head[1::3], head[2::3], strict=True):
         if coded:
@@ -125,6 +133,9 @@ def unpacked(head: bytes, hard: bytes, soft: bytes, coded: bool) -> tuple[list[n
     return counts, codes
 
 
+_WORDS = "shard int, a binary, b binary, c binary, total long"
+
+
 def vocabulary(rows: DataFrame, bits: int) -> tuple[int, int]:
     """rows: text, train. The training texts' tokens and distinct tokens."""
 
@@ -135,7 +146,8 @@ def vocabulary(rows: DataFrame, bits: int) -> tuple[int, int]:
             word = np.unique(np.concatenate(held))
             cut = np.searchsorted(word >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
             full = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([word[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary()), pa.array([total if k == 0 else 0 for k in range(len(full))], pa.int64())], names=["shard", "words", "total"])
+            rows = [(s, *packed([np.zeros(cut[s + 1] - cut[s], np.int64)], [word[cut[s] : cut[s + 1]]]), total if k == 0 else 0) for k, s in enumerate(full.tolist())]
+            return _rows(rows, _WORDS)
 
         for batch in parts(batches, BLOCK_BYTES):
             words, _ = tokens(batch, batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
@@ -159,17 +171,17 @@ def vocabulary(rows: DataFrame, bits: int) -> tuple[int, int]:
             return len(held[0]) if held else 0
 
         for batch in batches:
-            for s, words, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, a, b, c, more in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if s != at:
                     n += distinct()
                     at, held = s, []
-                held.append(np.frombuffer(words, U64))
+                held.append(unpacked(a, b, c, coded=True)[1][0])
                 total += more
                 if len(held) > 64:
                     distinct()
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([n + distinct()], pa.int64())], names=["total", "distinct"])
 
-    sent = in_arrow(rows.select("text", "train"), send, "shard int, words binary, total long")
+    sent = in_arrow(rows.select("text", "train"), send, _WORDS)
     counted = in_arrow(sent.repartition("shard").sortWithinPartitions("shard"), merge, "total long, distinct long")
     total, distinct = counted.agg(F.sum("total"), F.sum("distinct")).first()
     return total or 0, distinct or 0
@@ -199,9 +211,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
         words, n = tokens(part)
         train = np.repeat(~part.column(1).to_numpy(zero_copy_only=False).astype(bool), n)
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=_codec())) as w:
             w.write_batch(part)
-        yield _rows([(block % (1 << bits), 0, block, sink.getvalue().to_pybytes(), None, None)], _SENT)
+        spread = int(mix(np.array([block], U64))[0] >> U64(64 - bits))
+        yield _rows([(spread, 0, block, sink.getvalue().to_pybytes(), None, None)], _SENT)
         found = []
         for k, (code, place) in enumerate(_codes(words, n, bits)):
             cut = np.searchsorted(code >> U64(64 - bits if k == 0 else TOLD), np.arange((1 << bits) + 1, dtype=U64))

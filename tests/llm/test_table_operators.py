@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, queries, topk, url_filters
+from tessera.llm import mixing, quality_rules, queries, topk, url_filters
 from tessera.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -245,12 +245,17 @@ def test_sql(spark, name):
     assert rows(got) == rows(want)
 
 
-def test_pipeline(spark):
+def load_pipeline():
     path = Path(__file__).parents[2] / "corpus_pipeline.py"
     spec = importlib.util.spec_from_file_location("corpus_pipeline", path)
     pipeline = importlib.util.module_from_spec(spec)
     sys.modules["corpus_pipeline"] = pipeline
     spec.loader.exec_module(pipeline)
+    return pipeline
+
+
+def test_pipeline(spark):
+    pipeline = load_pipeline()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first = pipeline.STAGES[0][1](spark, docs, SF)
     assert first.columns == docs.columns and 0 < first.count() < docs.count()
@@ -262,3 +267,98 @@ def test_pipeline(spark):
         lines = source[r.doc_id].text.split("\n")
         assert all(x in lines for x in r.text.split("\n"))
     assert max(collections.Counter(r.doc_id for r in out).values()) <= 3
+
+
+def quality_fences(rows):
+    """The rows that stay, by sorted lists of bucketed values for each language and source."""
+    found = [(r, dict(zip(quality_rules.MEASURES, quality_rules.measure_one((r[1] or "").encode()), strict=True))) for r in rows]
+    found = [(r, m) for r, m in found if not (m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"])]
+    out = {id(r): r for r, _ in found}
+    for f in quality_rules.FENCES:
+        value = lambda m, f=f: 1000 * m[f.part] // max(m[f.whole], 1)
+
+        def quantiles(some, f=f, value=value):
+            drop = lambda v: max(v.bit_length() - 7, 0)
+            x = sorted((v := value(m)) >> drop(v) << drop(v) for _, m in some)
+            return [float(x[max(-(-k * len(x) // 100) - 1, 0)]) for k in (100 - f.level, 50, f.level)]
+
+        def drawn(n, q, parent):
+            return [(n * a + quality_rules.PRIOR * b) / (n + quality_rules.PRIOR) for a, b in zip(q, parent, strict=True)]
+
+        for lang in {r[2] for r, _ in found}:
+            own = [(r, m) for r, m in found if r[2] == lang]
+            parent = drawn(len(own), quantiles(own), quantiles(found))
+            for source in {r[3] for r, _ in own}:
+                group = [(r, m) for r, m in own if r[3] == source]
+                q = drawn(len(group), quantiles(group), parent)
+                high = q[2] + max(quality_rules.TINY, f.times * abs(q[2] - q[1]))
+                low = q[0] - max(quality_rules.TINY, f.times * abs(q[0] - q[1]))
+                for r, m in group:
+                    if value(m) > high or (f.both and value(m) < low):
+                        out.pop(id(r), None)
+    return list(out.values())
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on what the one before kept: nulls, repeats, copies, long texts, and columns of clashing names."""
+    from tests.llm.test_text_operators import lines_brute, near_brute, words
+
+    pipeline = load_pipeline()
+    rng = random.Random(31)
+    base = [words(rng, rng.randrange(60, 120), 3000) for _ in range(60)]
+    texts = ["\n".join(t.split(" w1")[0:1] + [words(rng, 12, 3000) for _ in range(3)]) + " " + t for t in base]
+    texts += [texts[3], texts[4] + " one more", texts[5].replace("w2", "w3", 1), "# " * 200 + texts[6], words(rng, 9000, 9000), "short", "", None, f"{texts[7]}\n{texts[8]}"]
+    rows = [(k, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for k, t in enumerate(texts)]
+    rows += [(None, words(rng, 70, 3000), "en", "a"), (None, words(rng, 70, 3000), "en", "a"), (5, words(rng, 80, 3000), "en", "b"), rows[9], rows[9]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, key int, `size` double"
+    put = lambda some: spark.createDataFrame([(*r, len(r[1] or ""), f"n{k}", k, 0.5) for k, r in enumerate(some)], schema)
+    take = lambda df: [(r.doc_id, r.text, r.lang, r.source) for r in df.collect()]
+    count = lambda some: collections.Counter(map(repr, some))
+    columns = put(rows).columns
+
+    kept = pipeline.quality(spark, put(rows), "")
+    assert kept.columns == columns
+    now = take(kept)
+    assert count(now) == count(quality_fences(rows)) and 50 < len(now) < len(rows)
+
+    cut = pipeline.lines(spark, put(now), "")
+    assert cut.columns == columns
+    distinct = list(dict.fromkeys(now))
+    # The order of rows that share an id is that of a hash, so only rows with ids of their own are compared.
+    single = {r[0] for r in distinct if r[0] is not None and sum(x[0] == r[0] for x in distinct) == 1}
+    gone = lines_brute(distinct, least=1)
+    want = {r[0]: "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone[at]) for at, r in enumerate(distinct) if r[0] in single}
+    made = take(cut)
+    assert len(made) == len(now)
+    for k, t in want.items():
+        assert t in [x[1] for x in made if x[0] == k]
+    now = made
+
+    left = pipeline.near_duplicates(spark, put(now), "")
+    assert left.columns == columns
+    made = take(left)
+    assert not count(made) - count(now)
+    groups = near_brute([(k, *r[1:]) for k, r in enumerate(now)])
+    roots = {least for _, n, least, _ in groups if n}
+    blank = sum(n == 0 for _, n, _, _ in groups.elements())
+    assert len(made) == len(roots) + blank < len(now)
+    now = made
+
+    mixed = pipeline.mix(spark, put(now), "")
+    assert mixed.columns == columns
+    taken, held = count(take(mixed)), count(now)
+    assert all(n <= 3 * held[r] for r, n in taken.items())
+    sizes = collections.Counter()
+    for r in now:
+        sizes[r[3]] += len((r[1] or "").encode().split())
+    names = sorted(sizes, key=mixing.order)
+    target = dict(zip(names, mixing.water_fill([sizes[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], sum(sizes.values()), 3), strict=True))
+    got = collections.Counter()
+    for r in take(mixed):
+        got[r[3]] += len(r[1].encode().split())
+    assert all(abs(got[s] - target[s]) <= 80 for s in names)
+
+    out = pipeline.tokens(spark, mixed, "").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter((r[0], r[1]) for r in take(mixed))
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, put([]), "").count() == 0, name
