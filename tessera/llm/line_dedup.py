@@ -4,8 +4,8 @@ A line's tokens are its distinct words. Lines with one and the same token set ar
 (by id, then part, then line number) stands for it. Tokens are ordered by rarity: by the frequency of their hash slot,
 counted over all lines, then by hash; any fixed order keeps the join exact. Two classes can only be similar
 enough if their prefixes share a token, their sizes are close, and the shared token's positions leave room
-for the overlap they need; a bitmap of the sets then bounds how much they differ. Candidates are verified on their
-words.
+for the overlap they need; bitmaps of the sets then bound how much they differ, with more bits for larger sets.
+Candidates are verified on their words.
 
 Groups of one key are kept from pairing out. In a group of more than STAR classes the first one is compared with all
 others, and those that this removes are left out as the later line of any further pair, so a group of near copies
@@ -38,10 +38,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 STAR = 16
 #: Classes of a group that are paired with the others; a key with more is extended.
 PAIRED = 2048
-#: Tokens that the prefixes of similar lines share at least: prefixes are longer by one less.
-SHARED = 2
 #: Tokens of a key at most. At 75 % similar sets of three tokens or more share three.
 KEY_TOKENS = 3
+#: A set's bitmap: 64 bits, twice as many from 64 tokens on, four times from 128 on; a longer one folds into a shorter.
+BITS, WIDER, WIDEST = ("bits0", "bits1", "bits2", "bits3"), 64, 128
 #: Bytes of a row of lines by document, besides four a line; hot keys that may be broadcast, of eight bytes each.
 ROW_BYTES, BROADCAST_KEYS = 40, 500_000
 _LAST = (1 << 63) - 1
@@ -92,7 +92,7 @@ def _missing(n: Column, percent: int) -> Column:
 
 
 def _sets(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> DataFrame:
-    """Lines of at least ``least`` words: cls and cls2 (hashes of the token set), PLACE, n (tokens), bits (a bitmap
+    """Lines of at least ``least`` words: cls and cls2 (hashes of the token set), PLACE, n (tokens), BITS (a bitmap
     of the set) and prefix, the rarest tokens as ints in the order of rarity."""
     lines = _lines(docs, id_, text)
     table = F.split(F.lit(",".join(map(str, _levels(lines)))), ",").cast("array<int>")
@@ -102,9 +102,26 @@ def _sets(docs: DataFrame, id_: str, text: str, percent: int, least: int) -> Dat
     words = words.select(*PLACE, _once(F.array_remove("h", empty)).alias("h")).filter(F.size("h") >= least)
     ids = words.select(*PLACE, _once(F.sort_array(F.transform(F.array_distinct("h"), token))).alias("ids"))
     n = F.size("ids")
-    prefix = F.slice("ids", F.lit(1), _missing(n, percent) + SHARED + KEY_TOKENS - 1)
-    bits = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return ids.select(F.xxhash64("ids").alias("cls"), F.xxhash64(F.lit(1), "ids").alias("cls2"), *PLACE, n.alias("n"), bits.alias("bits"), F.transform(prefix, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("prefix"))
+    prefix = F.slice("ids", F.lit(1), _missing(n, percent) + KEY_TOKENS)
+    return ids.select(F.xxhash64("ids").alias("cls"), F.xxhash64(F.lit(1), "ids").alias("cls2"), *PLACE, n.alias("n"), *_bitmap(F.col("ids")), F.transform(prefix, lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("prefix"))
+
+
+def _bitmap(ids: Column) -> list[Column]:
+    """The words of a set's bitmap; those that it does not need are 0."""
+    n = F.size(ids)
+    words = F.when(n < WIDER, 1).when(n < WIDEST, 2).otherwise(4)
+    own = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    part = lambda k: own(F.filter(ids, lambda x: F.shiftright(x, 6).bitwiseAND((words - 1).cast("long")) == k))
+    return [F.when(words == 1, own(ids) if k == 0 else F.lit(0).cast("long")).when(words > k, part(k)).otherwise(F.lit(0).cast("long")).alias(c) for k, c in enumerate(BITS)]
+
+
+def _differing(n_a: Column, n_b: Column) -> Column:
+    """The bits in which two bitmaps differ, at the length of the shorter: no more than the tokens in which the sets do."""
+    a, b = ([F.col(f"{c}_{k}") for c in BITS] for k in "ab")
+    fold = lambda w, to: [reduce(Column.bitwiseOR, w[k::to]) for k in range(to)]
+    count = lambda to: reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(fold(a, to), fold(b, to), strict=True)])
+    least = F.least(n_a, n_b)
+    return F.when(least >= WIDEST, count(4)).when(least >= WIDER, count(2)).otherwise(count(1))
 
 
 CLASS = ("cls", "cls2")
@@ -117,7 +134,7 @@ def similar_lines(docs: DataFrame, id_: str = "doc_id", text: str = "text", perc
     """
     prepare(docs.sparkSession)
     own = stored(_sets(docs, id_, text, percent, least))
-    classes = own.groupBy(*CLASS).agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("x")).select(*CLASS, "x.*")
+    classes = own.groupBy(*CLASS).agg(F.min(F.struct(*PLACE, "n", *BITS, "prefix")).alias("x")).select(*CLASS, "x.*")
     # Classes are numbered in the order of their first lines.
     classes = stored(classes.orderBy(*PLACE).withColumn("node", F.monotonically_increasing_id()))
     gone = _later(classes, docs, id_, text, percent)
@@ -130,17 +147,17 @@ def _later(classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: in
     # A set this small is similar to no other set, so its class settles it.
     joined = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
     size = F.shiftleft(F.col("n").cast("long"), 32)
-    rows = joined.select("node", "bits", size.alias("size"), F.posexplode(F.slice("prefix", F.lit(1), _missing(F.col("n"), percent) + SHARED)).alias("p", "token"))
-    rows = rows.select(F.col("token").cast("long").alias("key"), "node", (F.col("size") + F.col("p")).alias("at"), "bits")
+    rows = joined.select("node", *BITS, size.alias("size"), F.posexplode(F.slice("prefix", F.lit(1), _missing(F.col("n"), percent) + 1)).alias("p", "token"))
+    rows = rows.select(F.col("token").cast("long").alias("key"), "node", (F.col("size") + F.col("p")).alias("at"), *BITS)
     verified = lambda found: _verified(found, classes, docs, id_, text, percent)
     large = _large(rows, STAR)
     gone = verified(_stars(rows, large, percent, 1))
     found = [gone]
     for tokens in range(1, KEY_TOKENS + 1):
-        rest = rows.join(bounded(gone), "node", "left_anti")
-        wide = None if tokens == KEY_TOKENS else _wide(rest, large)
-        narrow = (lambda x: x) if wide is None else (lambda x, w=wide: x.join(bounded(w, BROADCAST_KEYS), "key", "left_anti"))
-        found.append(verified(_paired(narrow(rows), narrow(rest), percent, tokens)))
+        wider = large.filter(F.col("many") > PAIRED).select("key")
+        wider = wider if wider.limit(1).count() else None
+        wide = None if tokens == KEY_TOKENS or wider is None else _wide(rows, gone, wider)
+        found.append(verified(_paired(rows, gone, wider, wide, percent, tokens)))
         if wide is None:
             break
         held = rows.join(bounded(wide, BROADCAST_KEYS), "key", "left_semi")
@@ -156,47 +173,59 @@ def _large(rows: DataFrame, most: int) -> DataFrame:
     return materialize(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most))
 
 
-def _wide(rest: DataFrame, large: DataFrame) -> DataFrame | None:
-    """The keys of more than PAIRED of the rows that are left; None if there are none."""
-    wider = large.filter(F.col("many") > PAIRED).select("key")
-    if not wider.limit(1).count():
-        return None
-    found = _large(rest.join(bounded(wider, BROADCAST_KEYS), "key", "left_semi"), PAIRED).select("key")
+def _wide(rows: DataFrame, gone: DataFrame, wider: DataFrame) -> DataFrame | None:
+    """Of the keys of many rows those of which more than PAIRED are left; None if there are none."""
+    rest = rows.join(bounded(wider, BROADCAST_KEYS), "key", "left_semi").join(bounded(gone), "node", "left_anti")
+    found = _large(rest, PAIRED).select("key")
     return found if found.limit(1).count() else None
 
 
 def _extended(rows: DataFrame, classes: DataFrame, percent: int, tokens: int) -> DataFrame:
     """Rows of keys of so many tokens -> rows of keys with one more, each of the tokens that may be the next shared one."""
     p, n = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.col("n")
-    room = _missing(n, percent) + SHARED + tokens - p - 1
-    more = rows.join(classes.select("node", "n", "prefix"), "node").select("key", "node", "bits", "at", F.posexplode(F.slice("prefix", p + 2, F.greatest(room, F.lit(0)))).alias("k", "token"))
-    return more.select(F.xxhash64("key", "token").alias("key"), "node", (F.col("at") + 1 + F.col("k")).alias("at"), "bits")
+    room = _missing(n, percent) + tokens - p
+    more = rows.join(classes.select("node", "n", "prefix"), "node").select("key", "node", *BITS, "at", F.posexplode(F.slice("prefix", p + 2, F.greatest(room, F.lit(0)))).alias("k", "token"))
+    return more.select(F.xxhash64("key", "token").alias("key"), "node", (F.col("at") + 1 + F.col("k")).alias("at"), *BITS)
 
 
-def _candidates(a: DataFrame, b: DataFrame, percent: int, tokens: int) -> DataFrame:
-    """a, b: key, node, at, bits. Pairs of an earlier and a later node of one key that pass the length, positional and
+def _candidates(a: DataFrame, b: DataFrame, percent: int, tokens: int, more: Column | None = None) -> DataFrame:
+    """a, b: key, node, at, BITS. Pairs of an earlier and a later node of one key that pass the length, positional and
     bitmap filters; the key's tokens are the first that both share, or later ones."""
-    a, b = (x.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "at", "bits")]) for k, x in (("a", a), ("b", b)))
+    a, b = (x.select("key", *[F.col(c).alias(f"{c}_{k}") for c in x.columns if c != "key"]) for k, x in (("a", a), ("b", b)))
     n = {k: F.shiftright(F.col(f"at_{k}"), 32) for k in "ab"}
     left = {k: n[k] - F.col(f"at_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in "ab"}
     need = _least_overlap(n["a"], n["b"], percent)
     close = (100 * n["a"] >= percent * n["b"]) & (100 * n["b"] >= percent * n["a"])
-    room = F.least(left["a"], left["b"]) + F.lit(tokens - 1 + SHARED - 1) >= need
-    alike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= n["a"] + n["b"] - 2 * need
-    return a.join(b, "key").filter((F.col("node_a") < F.col("node_b")) & close & room & alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    room = F.least(left["a"], left["b"]) + F.lit(tokens - 1) >= need
+    alike = _differing(n["a"], n["b"]) <= n["a"] + n["b"] - 2 * need
+    fits = (F.col("node_a") < F.col("node_b")) & close & room & alike
+    return a.join(b, "key").filter(fits if more is None else more & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _stars(rows: DataFrame, large: DataFrame, percent: int, tokens: int) -> DataFrame:
     """Of each group of a large key, the first class with each other one."""
     held = rows.join(bounded(large.select("key"), BROADCAST_KEYS), "key", "left_semi")
-    first = held.groupBy("key").agg(F.min(F.struct("node", "at", "bits")).alias("x")).select("key", "x.*")
+    first = held.groupBy("key").agg(F.min(F.struct("node", "at", *BITS)).alias("x")).select("key", "x.*")
     return _candidates(first, held, percent, tokens).distinct()
 
 
-def _paired(earlier: DataFrame, later: DataFrame, percent: int, tokens: int) -> DataFrame:
-    """The candidates of all pairs in a group. With keys of one token a pair shares SHARED of them."""
-    pairs = _candidates(earlier, later, percent, tokens)
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b") if tokens == 1 else pairs.distinct()
+def _paired(rows: DataFrame, gone: DataFrame, wider: DataFrame | None, wide: DataFrame | None, percent: int, tokens: int) -> DataFrame:
+    """The candidates of all pairs in groups of keys that are not wide, without nodes that are gone as later ones.
+
+    Groups of PAIRED rows at most are dealt out once for both sides. In larger ones, of which few rows are left, the
+    two sides are dealt out by themselves, so that Spark can split the earlier rows of one key.
+    """
+    done = bounded(gone.withColumn("done", F.lit(True)))
+    flagged = lambda x: x.join(done, "node", "left").withColumn("open", F.col("done").isNull()).drop("done")
+    small = flagged(rows if wider is None else rows.join(bounded(wider, BROADCAST_KEYS), "key", "left_anti")).repartition("key")
+    # Neither side's alone and with the same columns of both, so that both read what was dealt out once.
+    either = F.col("open_b") | (F.col("open_a") & (F.col("node_a") > F.col("node_b")))
+    pairs = _candidates(small, small, percent, tokens, either)
+    if wider is not None:
+        held = rows.join(bounded(wider, BROADCAST_KEYS), "key", "left_semi")
+        held = held if wide is None else held.join(bounded(wide, BROADCAST_KEYS), "key", "left_anti")
+        pairs = pairs.unionByName(_candidates(held, held.join(bounded(gone), "node", "left_anti"), percent, tokens))
+    return pairs.distinct()
 
 
 def _verified(found: DataFrame, classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: int) -> DataFrame:
