@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import schema as S
@@ -59,3 +59,13 @@ def render_page(pages: DataFrame, rows: DataFrame) -> DataFrame:
     )
     tail = F.concat(F.when(F.col("truncated"), F.lit("\n（本页内容已截断，可用更小的 pageSize 精读）")).otherwise(F.lit("")), F.when(F.col("has_more"), F.concat(F.lit("\n\n（还有更多片段，可用 page: "), (F.col("page") + 1).cast("string"), F.lit(" 继续读取）"))).otherwise(F.lit("")))
     return pages.join(rows.select("doc_id", "name", "progress", "tags"), "doc_id").select("doc_id", F.concat(head, F.lit("\n\n"), "content", tail).alias("text"))
+
+
+# Characters of a chunk that are shown at first.
+DISPLAY_CAP = 3000
+
+
+def display_text(text: Column | str) -> Column:
+    """A chunk's text as it is shown before it is unfolded."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.when(F.length(t) > DISPLAY_CAP, F.concat(X.cut(t, DISPLAY_CAP), F.lit("…"))).otherwise(t)

@@ -131,6 +131,13 @@ def title_from(x: str) -> str:
     return f"(CASE WHEN {t} = '' THEN '片段' WHEN length({t}) <= 60 THEN {t} ELSE substr({t}, 1, 57) || '…' END)"
 
 
+def is_heading_line(x: str) -> str:
+    t = trim(x)
+    title = trim(f"regexp_extract({t}, '{X.NUMBERED}', 2)")
+    numbered = f"regexp_matches({t}, '{X.NUMBERED}') AND length({title}) >= 2 AND length({title}) <= 60 AND NOT regexp_matches({title}, '[，。；：,;]$')"
+    return f"({t} <> '' AND length({t}) <= 100 AND (regexp_matches({t}, '{X.ATX}') OR regexp_matches({t}, '{X.CHAPTER}') OR {numbered}))"
+
+
 def tokens(x: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9][a-z0-9._+-]*'), lambda r: regexp_replace(r, '[._+-]+$', '')), lambda r: r <> '')"
 

@@ -127,7 +127,27 @@ def _(spark, sf):
     return made.select("chunk_id", "title", "text", "tokens", F.when(F.size("entities") > 0, _joined("entities")).alias("entities"))
 
 
-@query("section_chunks_pages")
+_FIRST = "string_split(text, chr(10))[1]"
+#: Lines of paged conversations with their sections; a recursion over them finds where chunks begin.
+_PAGED = f"""
+WITH RECURSIVE {P.CHAT},
+en AS (SELECT doc_id, seq, page, {P.clean_heading("title")} AS title FROM co WHERE {P.clean_heading("title")} <> ''),
+pg AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS page FROM chat),
+ln AS (SELECT doc_id, page, line, row_number() OVER (PARTITION BY doc_id ORDER BY page, j) AS k FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS j FROM pg) WHERE {P.trim("line")} <> ''),
+li AS (SELECT ln.*, (SELECT max_by(title, seq) FROM en WHERE en.doc_id = ln.doc_id AND en.page <= ln.page) AS title, (SELECT count(*) FROM en WHERE en.doc_id = ln.doc_id AND en.page <= ln.page) AS nth FROM ln),
+r AS (SELECT doc_id, k, page, title, length(line) + 1 AS size, 1 AS c FROM li WHERE k = 1
+  UNION ALL SELECT doc_id, k, page, title, CASE WHEN ends THEN room ELSE size + room END, c + CASE WHEN ends THEN 1 ELSE 0 END
+  FROM (SELECT li.doc_id, li.k, li.page, li.title, r.size, r.c, length(li.line) + 1 AS room, (li.page <> r.page AND li.title IS DISTINCT FROM r.title AND r.size >= {S.SECTION_LEAST}) OR r.size + length(li.line) + 1 > {S.CHUNK_HARD} AS ends
+    FROM r JOIN li ON li.doc_id = r.doc_id AND li.k = r.k + 1)),
+ck AS (SELECT doc_id, c, {P.trim("string_agg(line, chr(10) ORDER BY k)")} AS text, min_by(li.page, k) AS page, min_by(li.title, k) AS title, min_by(nth, k) AS nth FROM li JOIN r USING (doc_id, k) GROUP BY doc_id, c),
+fr AS (SELECT *, (nth > coalesce(lag(nth) OVER (PARTITION BY doc_id ORDER BY c), 0) AND coalesce(title, '') <> '') OR {P.is_heading_line(_FIRST)} AS heading FROM ck),
+ps AS (SELECT doc_id, c, page, title, heading, CASE WHEN length(text) <= {S.CHUNK_HARD} THEN [text] ELSE list_filter(list_transform(range(0, CAST(ceil(length(text) / {S.CHUNK_TARGET}) AS BIGINT)), lambda i: {P.trim(f"substr(text, i * {S.CHUNK_TARGET} + 1, {S.CHUNK_TARGET})")}), lambda x: x <> '') END AS ps FROM fr),
+pu AS (SELECT doc_id, c, page, title, heading, unnest(ps) AS text, unnest(range(0, len(ps))) AS j FROM ps)
+SELECT doc_id || '#' || (row_number() OVER (PARTITION BY doc_id ORDER BY c, j) - 1) AS chunk_id, coalesce(title, {P.title_from("text")}) AS title, CAST(page AS INTEGER) AS page, CAST(ceil(length(text) / 4) AS INTEGER) AS tokens, CASE WHEN heading THEN true END AS heading, title AS section, text FROM pu
+"""
+
+
+@query("section_chunks_pages", _PAGED)
 def _(spark, sf):
     c = P.table(spark, sf, "conversations")
     entry = F.struct((1 + F.col("turn") % 3).cast("int").alias("level"), X.title_from("text").alias("title"), (F.col("turn") + 1).cast("int").alias("page"), F.lit(None).cast("array<string>").alias("path"))
@@ -289,13 +309,25 @@ def _(spark, sf):
     return P.table(spark, sf, "documents").select("doc_id", X.snippet("text", F.array(F.lit("the"), F.lit("de"))).alias("snippet"))
 
 
-@query("search_render_markdown")
+_SNIPPET = f"CASE WHEN length(text) <= 700 THEN text ELSE {P.trim('substr(text, 1, 700)')} || '…' END"
+_HITS = f"WITH {P.bm25(_ALL)}, rk AS ({_RANK}), hi AS (SELECT *, {P.trim(_SNIPPET)} AS snip FROM (SELECT query_id, rank, title, chunks.text AS text, entities, 'doc-' || d.doc_id || '.txt' AS name, lower(lang) || '、' || lower(source) AS tags FROM rk JOIN chunks USING (chunk_id) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = chunks.doc_id WHERE rank <= 5))"
+
+
+@query(
+    "search_render_markdown",
+    f"""{_HITS}, b AS (SELECT query_id, rank, concat_ws(chr(10), rank || '. **' || title || '**（' || name || CASE WHEN title <> '' THEN ' · ' || title ELSE '' END || '）', '   - 标签：' || tags, CASE WHEN len(entities) > 0 THEN '   - 实体：' || array_to_string(entities[1:6], '、') END,
+    CASE WHEN snip <> '' THEN array_to_string(list_transform(string_split(snip, chr(10))[1:6], lambda x: '   > ' || x), chr(10)) END, '') AS block FROM hi)
+    SELECT query_id, string_agg(block, chr(10) ORDER BY rank) AS markdown, count(*) AS hits FROM b GROUP BY query_id""",
+)
 def _(spark, sf):
     hits = search.search(P.stored_index(spark, sf), P.chunks(spark, sf), P.docs(spark, sf), _queries(spark, sf))
     return search.render_hits(hits)
 
 
-@query("ask_passages")
+@query(
+    "ask_passages",
+    f"""{_HITS} SELECT query_id, string_agg('[' || rank || '] 文档：' || name || '（标签：' || tags || '）' || chr(10) || '章节：' || title || chr(10) || '正文：' || {P.trim("text")}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS passages, count(*) AS n FROM hi GROUP BY query_id""",
+)
 def _(spark, sf):
     hits = search.search(P.stored_index(spark, sf), P.chunks(spark, sf), P.docs(spark, sf), _queries(spark, sf))
     return search.passages(hits)
@@ -539,7 +571,19 @@ def _(spark, sf):
     return outline.assign_by_page(P.chat_chunks(spark, sf), nodes)
 
 
-@query("title_match_ranges")
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '[{P.WS}]+', '', 'g')"
+
+
+@query(
+    "title_match_ranges",
+    f"""WITH RECURSIVE {P.CHAT}, xs AS (SELECT doc_id, list({_bare("text")} ORDER BY chunk_index) AS xs, list(chunk_index ORDER BY chunk_index) AS ks FROM chat GROUP BY doc_id),
+    ts AS (SELECT doc_id, list({_bare("substr(title, 1, 20)")} ORDER BY seq) AS ts, list(seq ORDER BY seq) AS ns FROM co WHERE seq % 2 = 0 GROUP BY doc_id),
+    r AS (SELECT doc_id, xs, ks, ts, ns, 0 AS i, 0 AS pos, CAST(NULL AS BIGINT) AS hit FROM xs JOIN ts USING (doc_id)
+      UNION ALL SELECT doc_id, xs, ks, ts, ns, i + 1, CASE WHEN h > 0 THEN h ELSE pos END, h FROM (SELECT *, CASE WHEN length(ts[i + 1]) >= 2 THEN list_position(list_transform(xs, lambda x, j: j > pos AND contains(x, ts[i + 1])), true) END AS h FROM r WHERE i < len(ts))),
+    st AS (SELECT doc_id, ks, ns[i] AS node_no, hit, coalesce(lead(hit) OVER (PARTITION BY doc_id ORDER BY hit), len(xs) + 1) AS nxt FROM r WHERE i > 0 AND hit > 0)
+    SELECT doc_id, unnest(ks[hit:nxt - 1]) AS chunk_index, node_no FROM st""",
+)
 def _(spark, sf):
     nodes = P.chat_outline(spark, sf).filter("seq % 2 = 0").select("doc_id", F.col("seq").alias("node_no"), F.substring("title", 1, 20).alias("title"))
     return outline.assign_by_title(P.chat_chunks(spark, sf), nodes)
@@ -595,12 +639,55 @@ def _(spark, sf):
     return outline.section_tree(d, P.chat_chunks(spark, sf))[1].join(d.filter("outline is not null"), "doc_id", "left_semi").select("doc_id", "chunk_index", "node_no")
 
 
-@query("markdown_export")
+_BODY = f"CASE WHEN {P.trim('title')} <> '' AND {P.trim(f"regexp_replace({P.trim(_FIRST)}, '^#{{1,6}}[{P.WS}]*', '')")} = {P.trim('title')} THEN {P.trim("CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END")} ELSE {P.trim('text')} END"
+_NUMBERED = f"regexp_matches(title, '^[{P.WS}]*(?:[0-9]+(?:\\.[0-9]+)*|第[{P.WS}]*[一二三四五六七八九十百零〇0-9]{{1,4}}[{P.WS}]*[章节篇])')"
+_SENTENCE = "^[^。．.!！?？;；]{8,}[。．.!！?？]"
+_ORPHANS = "未归入目录的内容"
+#: Sections of conversations with an outline from their third turn on, of the others by heading turns, with what they own.
+_SECTIONS = f"""
+WITH RECURSIVE {P.CHAT},
+ol AS (SELECT doc_id, seq - 2 AS node_no, level, {P.clean_heading("title")} AS title FROM co WHERE seq >= 2),
+bo AS (SELECT *, {_BODY} AS body, doc_id IN (SELECT doc_id FROM ol) AS outlined, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) = 1 OR heading AS opens FROM chat),
+ow AS (SELECT doc_id, chunk_index, page, body, title, CASE WHEN NOT outlined THEN sec WHEN page >= 3 THEN page - 3 ELSE -1 END AS node_no FROM (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS sec FROM bo) WHERE NOT outlined OR page >= 3 OR body <> ''),
+no AS (SELECT a.doc_id, a.node_no, max(b.node_no) AS parent, a.title, true AS outlined FROM ol a LEFT JOIN ol b ON a.doc_id = b.doc_id AND b.node_no < a.node_no AND b.level < a.level GROUP BY a.doc_id, a.node_no, a.title
+  UNION ALL SELECT DISTINCT doc_id, -1, CAST(NULL AS INTEGER), '{_ORPHANS}', true FROM ow WHERE node_no = -1
+  UNION ALL SELECT doc_id, node_no, CAST(NULL AS INTEGER), {P.clip("min_by(title, chunk_index)", 60)}, false FROM ow WHERE doc_id NOT IN (SELECT doc_id FROM ol) GROUP BY doc_id, node_no),
+kn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent ORDER BY node_no) AS k FROM no),
+nu AS (SELECT doc_id, node_no, CAST(k AS VARCHAR) AS number, 1 AS depth FROM kn WHERE parent IS NULL UNION ALL SELECT kn.doc_id, kn.node_no, nu.number || '.' || kn.k, depth + 1 FROM kn JOIN nu ON kn.doc_id = nu.doc_id AND kn.parent = nu.node_no),
+fa AS (SELECT doc_id, node_no, count(*) AS own, min(page) AS low, max(page) AS high, min_by(body, chunk_index) AS first_body, string_agg(body, chr(10) || chr(10) ORDER BY chunk_index) FILTER (body <> '') AS bodies FROM ow GROUP BY doc_id, node_no),
+ki AS (SELECT doc_id, parent AS node_no, count(*) AS kids, string_agg(title, '、' ORDER BY node_no) AS children FROM no WHERE parent IS NOT NULL GROUP BY doc_id, parent),
+se AS (SELECT no.doc_id, title, outlined, number, repeat('#', least(6, depth + 1)) || ' ' AS mark, CASE WHEN {_NUMBERED} THEN title ELSE number || '. ' || title END AS label, coalesce(own, 0) AS own,
+  CASE WHEN low IS NULL THEN '' WHEN low = high THEN '第 ' || low || ' 页' ELSE '第 ' || low || '-' || high || ' 页' END AS pages, first_body, bodies, kids, children, list_transform(string_split(number, '.'), lambda x: CAST(x AS INTEGER)) AS ord
+  FROM no JOIN nu USING (doc_id, node_no) LEFT JOIN fa USING (doc_id, node_no) LEFT JOIN ki USING (doc_id, node_no))"""
+
+
+@query(
+    "markdown_export",
+    f"""{_SECTIONS},
+    bl AS (SELECT doc_id, ord, concat_ws(chr(10), mark || label, '', '> ' || CASE WHEN pages <> '' THEN pages || ' · ' ELSE '' END || own || ' 个片段', '', CASE WHEN kids >= 2 THEN '**子节：** ' || children || chr(10) END, bodies || chr(10), '') AS block FROM se)
+    SELECT doc_id, '# chat ' || doc_id || chr(10) || chr(10) || '> 来源文件：`chat ' || doc_id || '.txt` · 类型 `text/plain` · 大小 2.0 KB' || chr(10) || '> 片段 **' || n || '** · 实体 **0** · LLM 增强：**未开启**' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY ord) || chr(10) || '---' || chr(10) AS markdown
+    FROM bl JOIN (SELECT doc_id, count(*) AS n FROM chat GROUP BY doc_id) USING (doc_id) GROUP BY doc_id, n""",
+)
 def _(spark, sf):
     return export.markdown(_chat_docs(spark, sf), P.chat_chunks(spark, sf))
 
 
-@query("mindmap_export")
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_EXCERPT = P.clip(f"(CASE WHEN regexp_matches({P.trim(P.squeeze('first_body'))}, '{_SENTENCE}') THEN regexp_extract({P.trim(P.squeeze('first_body'))}, '{_SENTENCE}', 0) ELSE first_body END)", 120)
+
+
+@query(
+    "mindmap_export",
+    f"""{_SECTIONS},
+    bl AS (SELECT doc_id, ord, outlined, concat_ws(chr(10), mark || {_escaped("label")}, '', CASE WHEN pages <> '' THEN '- 位置：' || pages || ' · ' || own || ' 个片段' END, CASE WHEN {_EXCERPT} <> '' THEN '- 摘录：' || {_escaped(_EXCERPT)} END, '') AS block FROM se),
+    oc AS (SELECT doc_id, count(*) AS entries, max(level) AS deepest FROM ol GROUP BY doc_id)
+    SELECT doc_id, '# chat ' || doc_id || chr(10) || chr(10) || '## 概览' || chr(10) || chr(10) || '- 文件：chat ' || doc_id || '.txt' || chr(10) || '- 规模：2.0 KB · ' || n || ' 个片段 · 0 个实体' || chr(10) || '- 结构：' ||
+      CASE WHEN entries IS NULL THEN '未找到文档目录，已按标题行归并 ' || count(*) || ' 个章节' ELSE '文本标题 · ' || entries || ' 个条目 · 最深 ' || deepest || ' 级' END || chr(10) || '- LLM 增强：未开启' || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY ord) AS mindmap
+    FROM bl JOIN (SELECT doc_id, count(*) AS n FROM chat GROUP BY doc_id) USING (doc_id) LEFT JOIN oc USING (doc_id) GROUP BY doc_id, n, entries, deepest""",
+)
 def _(spark, sf):
     return export.mind_map(_chat_docs(spark, sf), P.chat_chunks(spark, sf))
 
@@ -643,7 +730,13 @@ def _(spark, sf):
     return P.chunks(spark, sf).select("chunk_id", _joined(enrich.merged(F.col("entities"), more, S.CHUNK_ENTITIES)).alias("entities"))
 
 
-@query("enrich_stand_in")
+@query(
+    "enrich_stand_in",
+    f"""WITH {P.CHAT}, s AS (SELECT *, sum(CASE WHEN heading OR k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS sec FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS k FROM chat)),
+    t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sec ORDER BY chunk_index) AS turn FROM s), p AS (SELECT chunk_id, {P.trim(P.squeeze("substr(text, 1, 4000)"))} AS flat, row_number() OVER (PARTITION BY doc_id ORDER BY turn, sec) AS pick FROM t),
+    g AS (SELECT chunk_id, pick, CASE WHEN regexp_matches(flat, '^[^。．.!！?？;；]{{8,}}[。．.!！?？]') THEN regexp_extract(flat, '^[^。．.!！?？;；]{{8,}}[。．.!！?？]', 0) ELSE flat END AS f FROM p)
+    SELECT chunk_id, CASE WHEN pick <= 2 AND f <> '' THEN CASE WHEN length(f) <= 90 THEN f ELSE {P.trim_end("substr(f, 1, 89)")} || '…' END END AS summary FROM g""",
+)
 def _(spark, sf):
     return enrich.enrich(P.chat_chunks(spark, sf), enrich.FirstSentence(), 2).select("chunk_id", "summary")
 
