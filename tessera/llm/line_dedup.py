@@ -146,9 +146,7 @@ def _later(classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: in
     """node of each class that an earlier one is similar to."""
     # A set this small is similar to no other set, so its class settles it.
     joined = classes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))
-    size = F.shiftleft(F.col("n").cast("long"), 32)
-    rows = joined.select("node", *BITS, size.alias("size"), F.posexplode(F.slice("prefix", F.lit(1), _missing(F.col("n"), percent) + 1)).alias("p", "token"))
-    rows = rows.select(F.col("token").cast("long").alias("key"), "node", (F.col("size") + F.col("p")).alias("at"), *BITS)
+    rows = _rows(joined, percent)
     verified = lambda found: _verified(found, classes, docs, id_, text, percent)
     large = _large(rows, STAR)
     gone = verified(_stars(rows, large, percent, 1))
@@ -157,7 +155,11 @@ def _later(classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: in
         wider = large.filter(F.col("many") > PAIRED).select("key")
         wider = wider if wider.limit(1).count() else None
         wide = None if tokens == KEY_TOKENS or wider is None else _wide(rows, gone, wider)
-        found.append(verified(_paired(rows, gone, wider, wide, percent, tokens)))
+        # Whether a node is gone is joined to classes, not to their rows, which are many times as many.
+        done = bounded(gone.withColumn("done", F.lit(True)), BROADCAST_KEYS)
+        flagged = lambda x, done=done: x.join(done, "node", "left").withColumn("open", F.col("done").isNull()).drop("done")
+        open_rows = _rows(flagged(joined), percent) if tokens == 1 else flagged(rows)
+        found.append(verified(_paired(open_rows, wider, wide, percent, tokens)))
         if wide is None:
             break
         held = rows.join(bounded(wide, BROADCAST_KEYS), "key", "left_semi")
@@ -168,6 +170,14 @@ def _later(classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: in
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _rows(classes: DataFrame, percent: int) -> DataFrame:
+    """A row for each token of a class's prefix: key, node, at (the set's size and the token's place), BITS, and open if
+    the classes have it."""
+    size, more = F.shiftleft(F.col("n").cast("long"), 32), [c for c in classes.columns if c == "open"]
+    rows = classes.select("node", *BITS, *more, size.alias("size"), F.posexplode(F.slice("prefix", F.lit(1), _missing(F.col("n"), percent) + 1)).alias("p", "token"))
+    return rows.select(F.col("token").cast("long").alias("key"), "node", (F.col("size") + F.col("p")).alias("at"), *BITS, *more)
+
+
 def _large(rows: DataFrame, most: int) -> DataFrame:
     """key, many of the keys of more than ``most`` rows."""
     return materialize(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most))
@@ -175,7 +185,7 @@ def _large(rows: DataFrame, most: int) -> DataFrame:
 
 def _wide(rows: DataFrame, gone: DataFrame, wider: DataFrame) -> DataFrame | None:
     """Of the keys of many rows those of which more than PAIRED are left; None if there are none."""
-    rest = rows.join(bounded(wider, BROADCAST_KEYS), "key", "left_semi").join(bounded(gone), "node", "left_anti")
+    rest = rows.join(bounded(wider, BROADCAST_KEYS), "key", "left_semi").join(bounded(gone, BROADCAST_KEYS), "node", "left_anti")
     found = _large(rest, PAIRED).select("key")
     return found if found.limit(1).count() else None
 
@@ -209,22 +219,20 @@ def _stars(rows: DataFrame, large: DataFrame, percent: int, tokens: int) -> Data
     return _candidates(first, held, percent, tokens).distinct()
 
 
-def _paired(rows: DataFrame, gone: DataFrame, wider: DataFrame | None, wide: DataFrame | None, percent: int, tokens: int) -> DataFrame:
-    """The candidates of all pairs in groups of keys that are not wide, without nodes that are gone as later ones.
+def _paired(rows: DataFrame, wider: DataFrame | None, wide: DataFrame | None, percent: int, tokens: int) -> DataFrame:
+    """rows: with open. The candidates of all pairs in groups of keys that are not wide, the later node an open one.
 
     Groups of PAIRED rows at most are dealt out once for both sides. In larger ones, of which few rows are left, the
     two sides are dealt out by themselves, so that Spark can split the earlier rows of one key.
     """
-    done = bounded(gone.withColumn("done", F.lit(True)))
-    flagged = lambda x: x.join(done, "node", "left").withColumn("open", F.col("done").isNull()).drop("done")
-    small = flagged(rows if wider is None else rows.join(bounded(wider, BROADCAST_KEYS), "key", "left_anti")).repartition("key")
+    small = (rows if wider is None else rows.join(bounded(wider, BROADCAST_KEYS), "key", "left_anti")).repartition("key")
     # Neither side's alone and with the same columns of both, so that both read what was dealt out once.
     either = F.col("open_b") | (F.col("open_a") & (F.col("node_a") > F.col("node_b")))
     pairs = _candidates(small, small, percent, tokens, either)
     if wider is not None:
         held = rows.join(bounded(wider, BROADCAST_KEYS), "key", "left_semi")
         held = held if wide is None else held.join(bounded(wide, BROADCAST_KEYS), "key", "left_anti")
-        pairs = pairs.unionByName(_candidates(held, held.join(bounded(gone), "node", "left_anti"), percent, tokens))
+        pairs = pairs.unionByName(_candidates(held.drop("open"), held.filter("open").drop("open"), percent, tokens))
     return pairs.distinct()
 
 
