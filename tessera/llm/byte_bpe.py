@@ -12,6 +12,7 @@ empty table; other columns pass through, and an input column named like an outpu
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import islice
@@ -28,8 +29,7 @@ from tessera.llm.common import fresh, texts, with_arrow
 REMEMBERED = 400_000
 #: Longer texts are split piece by piece rather than into one list.
 LONG_TEXT = 1 << 22
-_AT = 32
-_NONE = 1 << 62
+_AT, _BYTE, _NONE = 32, (1 << 32) - 1, 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,60 +38,51 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (x.split() for x in lines if x.strip())}
 
 
-class PairTree:
-    """The pairs of neighbouring tokens in a piece, by the byte at which they start."""
-
-    def __init__(self, keys: list[int]):
-        self.size = size = 1 << max(len(keys) - 1, 0).bit_length()
-        self.tree = tree = [_NONE] * size + keys + [_NONE] * (size - len(keys))
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-
-    def least(self) -> int:
-        """rank << 32 | position of the leftmost pair of the least rank."""
-        return self.tree[1]
-
-    def put(self, at: int, key: int) -> None:
-        tree, i = self.tree, at + self.size
-        tree[i] = key
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            key = a if a < b else b
-            if tree[i] == key:
-                return
-            tree[i] = key
-            i >>= 1
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece: the piece's own rank if it has one, else by merges."""
-    if (whole := ranks.get(piece)) is not None:
+    """The ids of a piece: the piece's own rank if it has one, else by merges.
+
+    A leaf of the tree is the byte at which a pair of neighbouring tokens starts, and holds rank << 32 | byte, so its
+    root has the leftmost pair of the least rank. All is in one function, as the calls would take most of the time.
+    """
+    get = ranks.get
+    if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
-
-    def key(i: int, j: int) -> int:
-        r = ranks.get(piece[i:j])
-        return _NONE if r is None else r << _AT | i
-
-    tree = PairTree([key(i, i + 2) for i in range(n - 1)])
-    after, before = list(range(1, n + 1)), list(range(-1, n))
-    while (least := tree.least()) != _NONE:
-        i = least & ((1 << _AT) - 1)
+    size = 1 << max(n - 2, 0).bit_length()
+    tree = [_NONE] * (2 * size)
+    for i in range(n - 1):
+        if (r := get(piece[i : i + 2])) is not None:
+            tree[size + i] = r << _AT | i
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    while (least := tree[1]) != _NONE:
+        i = least & _BYTE
         j = after[i]
         k = after[j]
         after[i] = k
+        # The pair at j is gone; the one at i, and the one before that ends in it, have other tokens now.
+        points = [(i, _NONE)] if j >= n - 1 else [(j, _NONE), (i, _NONE)]
         if k < n:
             before[k] = i
-            tree.put(j, _NONE)
-            tree.put(i, key(i, after[k]))
-        else:
-            if j < n - 1:
-                tree.put(j, _NONE)
-            tree.put(i, _NONE)
+            if (r := get(piece[i : after[k]])) is not None:
+                points[-1] = (i, r << _AT | i)
         if (p := before[i]) >= 0:
-            tree.put(p, key(p, k))
+            r = get(piece[p:k])
+            points.append((p, _NONE if r is None else r << _AT | p))
+        for x, key in points:
+            x += size
+            tree[x] = key
+            x >>= 1
+            while x:
+                a, b = tree[2 * x], tree[2 * x + 1]
+                if a > b:
+                    a = b
+                if tree[x] == a:
+                    break
+                tree[x] = a
+                x >>= 1
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -100,17 +91,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Pieces to packed ids; forgets all of them when there are too many."""
+    """Pieces to packed ids. Of what it remembers the older half goes when there is too much, but for what was used again."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = REMEMBERED):
         super().__init__()
-        self.ranks, self.split, self.room = ranks, regex.compile(pattern), room
+        self.ranks, self.split, self.room, self.old = ranks, regex.compile(pattern), room, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.room:
-            self.clear()
-        packed = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        packed = self.old.get(piece)
+        if packed is None:
+            packed = struct.pack(f"<{len(ids := merge(piece.encode(), self.ranks))}I", *ids)
         if len(piece) <= 64:
+            if 2 * len(self) >= self.room:
+                self.old = dict(self)
+                self.clear()
             self[piece] = packed
         return packed
 
