@@ -167,9 +167,9 @@ def _(spark, sf):
     return folders.rename(_folders(spark, sf), "n7", " Seven").select("folder_id", "name", "parent_id")
 
 
-@query("folder_move", _TREE.format("name", "CASE WHEN folder_id = 'r2' THEN 'n7' ELSE parent_id END"))
+@query("folder_move", _TREE.format("name", "CASE WHEN folder_id = 'r2' THEN 'n0' ELSE parent_id END"))
 def _(spark, sf):
-    return folders.move(_folders(spark, sf), "r2", "n7").select("folder_id", "name", "parent_id")
+    return folders.move(_folders(spark, sf), "r2", "n0").select("folder_id", "name", "parent_id")
 
 
 @query("file_document", "SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey = 5 THEN 'r3' ELSE 'n' || c_nationkey END AS folder_id FROM customer")
@@ -182,11 +182,11 @@ def _(spark, sf):
     return store.set_tags(P.docs(spark, sf), "3", ["New   Tag", "b", " ", "B"]).select("doc_id", _joined("tags").alias("tags"))
 
 
-@query("fold_below", f"WITH {P.CHAT}, k AS (SELECT doc_id, CASE WHEN count(*) > 4 THEN 1 ELSE 2 END AS keep FROM co GROUP BY doc_id) SELECT doc_id, seq AS node_no, CASE WHEN level = keep + 1 THEN 1 END AS fold FROM co JOIN k USING (doc_id)")
+@query("fold_below", f"WITH {P.CHAT}, k AS (SELECT doc_id, CASE WHEN count(*) > 4 THEN 1 ELSE 2 END AS keep FROM co GROUP BY doc_id) SELECT doc_id, seq AS node_no, CASE WHEN level = keep + 1 THEN 1 ELSE 0 END AS fold FROM co JOIN k USING (doc_id)")
 def _(spark, sf):
     nodes = P.chat_outline(spark, sf).select("doc_id", F.col("seq").alias("node_no"), F.col("level").alias("depth"))
     keep = nodes.groupBy("doc_id").agg(F.when(F.count("*") > 4, 1).otherwise(2).alias("keep"))
-    return export.fold_below(nodes, keep).select("doc_id", "node_no", "fold")
+    return export.fold_below(nodes, keep).select("doc_id", "node_no", F.coalesce("fold", F.lit(0)).alias("fold"))
 
 
 @query(

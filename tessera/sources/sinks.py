@@ -40,8 +40,8 @@ def safe_file(file: Column | str) -> Column:
 def read_exports(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """files: file -> file, content of those that were written; unsafe and missing names are left out."""
     wanted = files.filter(safe_file("file")).select("file").distinct()
-    held = spark.read.option("wholetext", "true").schema("value string, file string").text(path)
-    parts = held.join(wanted, "file", "left_semi").select("file", "value", F.col("_metadata.file_path").alias("part"))
+    held = spark.read.schema("value string, file string").text(path, wholetext=True).select("file", "value", F.col("_metadata.file_path").alias("part"))
+    parts = held.join(wanted, "file", "left_semi")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "value"))), lambda x: x["value"])
     return parts.groupBy("file").agg(F.regexp_replace(F.array_join(listed, ""), "\n$", "").alias("content"))
 

@@ -32,10 +32,12 @@ def patch_docs(tables: store.TableStore, rows: DataFrame) -> None:
         both = docs.join(found, "doc_id", "left")
 
         def value(c: str) -> Column:
+            if c not in names:
+                return F.col(c)
             hit = F.col("__hit")
             if c == "status":
                 hit = hit & lifecycle.may_follow(F.col(c), F.col(names[c]))
-            return F.when(hit, F.col(names[c])).otherwise(F.col(c)).alias(c) if c in names else F.col(c)
+            return F.when(hit, F.col(names[c])).otherwise(F.col(c)).alias(c)
 
         return both.select([value(f.name) for f in S.DOCS])
 
