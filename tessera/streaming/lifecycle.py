@@ -66,12 +66,12 @@ def resume_candidates(states: DataFrame, chunks: DataFrame) -> DataFrame:
     return states.filter(F.col("status").isin(*S.RESUMABLE)).join(stored, "doc_id", "left").select("doc_id", F.when(F.col("stored"), "enrich").otherwise("parse").alias("phase"))
 
 
-#: Milliseconds after which a document without events is forgotten.
-FORGET = 30 * 24 * 3600 * 1000
+def track(events: DataFrame, forget: int | None = None) -> DataFrame:
+    """A stream of doc_id, ts, event_id, status as doc_id, status, events: the state after each batch.
 
-
-def track(events: DataFrame) -> DataFrame:
-    """A stream of doc_id, ts, event_id, status as doc_id, status, events: the state after each batch."""
+    forget, for streams that run on: milliseconds of processing time after which a document without events is forgotten.
+    A stream that is to stop at the end of what is there needs None, as waiting for such a time never ends.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -85,7 +85,8 @@ def track(events: DataFrame) -> DataFrame:
             if (last := (int(at["ts"][k]), int(at["event"][k]))) > (ts, event):
                 (ts, event), status = last, f["status"][k]
         state.update((ts, event, status, n))
-        state.setTimeoutDuration(FORGET)
+        if forget:
+            state.setTimeoutDuration(forget)
         yield pd.DataFrame({"doc_id": [key[0]], "status": [status], "events": [n]})
 
-    return events.groupBy("doc_id").applyInPandasWithState(step, "doc_id string, status string, events long", "ts long, event long, status string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("doc_id").applyInPandasWithState(step, "doc_id string, status string, events long", "ts long, event long, status string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
