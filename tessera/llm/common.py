@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.storage import checkpointed, spread
 from tessera.storage import stored as stored
@@ -205,6 +206,14 @@ def bounded(small: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None =
     return F.broadcast(small) if n <= rows and (width or 0) <= BROADCAST_BYTES else small
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table of the driver's; unlike one made from a list, no executor starts Python for it."""
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    cols = list(zip(*rows, strict=True)) or [[]] * len(arrow)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow), schema=kind)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, bounded, fresh, materialize
+from tessera.llm.common import WORD, bounded, fresh, materialize, small_table
 
 #: A pattern's row is held by the driver; more of them are refused rather than cut off. Sources that no document
 #: links are routed apart from each other, so it is the largest group of linked patterns that takes time.
@@ -193,7 +193,7 @@ def plan(rows: DataFrame, quota: Callable[[dict], dict], most: int) -> Plan:
         starts = {p: end + 1 for p, end in ends.items() if left[p]}
     open_ = {p: room for p, room in left.items() if room}
     if open_:
-        bounds = bounded(spark.createDataFrame([(p, room, made.spans[p]) for p, room in open_.items()], f"key string, room long, __mix_spans {SPANS}"))
+        bounds = bounded(small_table(spark, [(p, room, _dicts(made.spans[p])) for p, room in open_.items()], f"key string, room long, __mix_spans {SPANS}"))
         near = rows.join(bounds, "key").filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("room")) & ~_inside(F.col("hash"), F.col("size")))
         whole = near.groupBy("key", "hash").agg(F.sum("size").alias("size"), F.first("room").alias("room")).filter("size < 2 * room")
         for r in whole.groupBy("key").agg(F.min(F.struct("size", "hash")).alias("best")).collect():
@@ -205,6 +205,10 @@ def plan(rows: DataFrame, quota: Callable[[dict], dict], most: int) -> Plan:
 SPANS = "array<struct<low:long,high:long,most:long>>"
 
 
+def _dicts(spans: list[tuple[int, int, int]]) -> list[dict]:
+    return [dict(zip(("low", "high", "most"), x, strict=True)) for x in spans]
+
+
 def _inside(h: F.Column, size: F.Column) -> F.Column:
     return F.exists("__mix_spans", lambda x: (h >= x["low"]) & (h < x["high"]) & (size <= x["most"]))
 
@@ -213,7 +217,7 @@ def _search(rows: DataFrame, starts: dict[str, int], rooms: dict[str, int]) -> t
     """From each key's start on, of the documents no larger than its room: the hash at which their running sum passes
     the room, for keys where it does, and the sum before it (for other keys the whole sum)."""
     spark = rows.sparkSession
-    fit = lambda x: rows.join(bounded(spark.createDataFrame(x, "key string, low long, start long, room long")), "key").filter((F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("hash") >= F.col("start")))
+    fit = lambda x: rows.join(bounded(small_table(spark, x, "key string, low long, start long, room long")), "key").filter((F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("hash") >= F.col("start")))
     open_, sums = dict.fromkeys(starts, 0), dict.fromkeys(starts, 0)
     for shift in range(BITS - LEVEL, -1, -LEVEL):
         inside = fit([(p, low, starts[p], rooms[p]) for p, low in open_.items()]).filter(F.expr(f"shiftright(hash, {shift + LEVEL}) = shiftright(low, {shift + LEVEL})"))
@@ -234,7 +238,7 @@ def _search(rows: DataFrame, starts: dict[str, int], rooms: dict[str, int]) -> t
 def _boundaries(sums: DataFrame, left: dict[str, int]) -> list[tuple[str, int, int]]:
     """The bucket in which each key's running sum passes what is left, and the sum before it."""
     spark = sums.sparkSession
-    room = bounded(spark.createDataFrame(list(left.items()), "key string, room long"))
+    room = bounded(small_table(spark, list(left.items()), "key string, room long"))
     run = F.expr("sum(size) over (partition by key order by bucket)")
     cells = sums.withColumn("after", run).join(room, "key").filter(F.col("after") > F.col("room"))
     first = cells.groupBy("key").agg(F.min(F.struct("bucket", (F.col("after") - F.col("size")).alias("before"))).alias("b"))
@@ -270,8 +274,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_: str =
 
 
 def _choices(docs: DataFrame, made: Plan, sums: dict | None = None) -> DataFrame:
-    rows = [(p, made.passes[p], made.spans[p], made.extra[p], *((sums or {}).get(p, (0.0, 0)))) for p in made.passes]
-    return docs.sparkSession.createDataFrame(rows, f"__mix_key string, __mix_passes long, __mix_spans {SPANS}, __mix_extra array<long>, __mix_target double, __mix_source_size long")
+    rows = [(p, made.passes[p], _dicts(made.spans[p]), made.extra[p], *((sums or {}).get(p, (0.0, 0)))) for p in made.passes]
+    return small_table(docs.sparkSession, rows, f"__mix_key string, __mix_passes long, __mix_spans {SPANS}, __mix_extra array<long>, __mix_target double, __mix_source_size long")
 
 
 def _copies(h: F.Column, size: F.Column) -> F.Column:
