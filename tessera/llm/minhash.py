@@ -6,8 +6,9 @@ bins; an empty bin takes the value of a bin that a fixed sequence of probes reac
 buckets, and each bucket proposes a star: its least node with every other. Confirmed stars make components.
 Buckets whose nodes are still in different components propose stars from other centres, and what then still
 is apart goes through an exact set-similarity join (shingles ordered by rarity; prefix, length and positional
-filters) that finds every remaining link between different components; so stars lose none, and no bucket is
-paired out or cut off.
+filters) that finds every remaining link between different components of a bucket; so stars lose none of the
+links that share a bucket, and no bucket is paired out or cut off. A link whose documents share no bucket (see
+``BANDS``) is found only through others.
 
 Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows with a null
 id take part; their component's id is the least id in it, null if there is none. Rows that repeat an id each
