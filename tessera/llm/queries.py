@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, importance, line_dedup, lm_scoring, minhash, mixing, quality_rules, substring_dedup, topk, url_filters
+from tessera.llm import byte_bpe, centroids, importance, line_dedup, lm_scoring, minhash, mixing, product_codes, quality_rules, substring_dedup, syncmers, topk, url_filters
 from tessera.llm.common import documents, table
 
 
@@ -69,6 +69,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = product_codes.encode(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(product_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = syncmers.against_next(documents(spark, sf_dir))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -80,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_centroids": op11_centroids,
+    "op12_product_codes": op12_product_codes,
+    "op13_syncmers": op13_syncmers,
 }
 
 def _op1_sql(fences=quality_rules.FENCES, prior: int = quality_rules.PRIOR) -> str:
@@ -238,6 +255,94 @@ FROM g JOIN tt USING (host, shape) JOIN pt USING (host, template)
 """
 
 
+_VECTORS = """e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)"""
+
+
+def _far(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of full scans."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT rid, min((d, c)) AS best FROM (SELECT rid, c, {_far("e.w", "z.w")} AS d FROM e CROSS JOIN c{r} z) GROUP BY rid),""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT c, list(s ORDER BY pos) AS w FROM (SELECT best[2] AS c, pos, CAST(floor(sum(x) // count(*)) - CASE WHEN sum(x) < 0 AND sum(x) % count(*) <> 0 THEN 1 ELSE 0 END AS BIGINT) AS s
+  FROM (SELECT best, unnest(w) AS x, unnest(range(64)) AS pos FROM a{r} JOIN e USING (rid)) GROUP BY ALL) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN m{r} USING (c)),""")
+    return f"""
+WITH {_VECTORS},
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, w) - 1 AS INTEGER) AS c, w FROM e QUALIFY c < {k}),{"".join(steps)}
+r AS (SELECT vec_id, best[2] AS cluster, CAST(best[1] AS BIGINT) AS distance FROM a{rounds} JOIN e USING (rid))
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.w, ',')) AS centroid_sha256
+FROM r JOIN c{rounds} z ON z.c = cluster
+"""
+
+
+def _op12_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds of full scans of parts."""
+    d = 64 // parts
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT rid, p, min((d, c)) AS best FROM (SELECT rid, x.p, c, {_far("x.w", "z.w")} AS d FROM x JOIN c{r} z USING (p)) GROUP BY rid, p),""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT p, c, list(s ORDER BY pos) AS w FROM (SELECT p, best[2] AS c, pos, CAST(floor(sum(y) // count(*)) - CASE WHEN sum(y) < 0 AND sum(y) % count(*) <> 0 THEN 1 ELSE 0 END AS BIGINT) AS s
+  FROM (SELECT p, best, unnest(w) AS y, unnest(range({d})) AS pos FROM a{r} JOIN x USING (rid, p)) GROUP BY ALL) GROUP BY p, c),
+c{r + 1} AS MATERIALIZED (SELECT p, c, coalesce(m{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN m{r} USING (p, c)),""")
+    return f"""
+WITH {_VECTORS},
+x AS MATERIALIZED (SELECT rid, p, w[{d} * p + 1:{d} * p + {d}] AS w FROM (SELECT rid, w, unnest(range({parts})) AS p FROM e)),
+f AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, w) - 1 AS c FROM e QUALIFY c < {entries}),
+c0 AS MATERIALIZED (SELECT p, c, w FROM f JOIN x USING (rid)),{"".join(steps)}
+b AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM c{rounds}),
+r AS (SELECT rid, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN e USING (rid) CROSS JOIN b
+"""
+
+
+def _op13_sql(most: int = syncmers.MOST) -> str:
+    """Hashes of doubled lengths as lists; matches in order by patience."""
+    k, s, prime, base = syncmers.K, syncmers.S, syncmers.PRIME, syncmers.BASE
+    double = lambda a, n: f"list_transform(range(1, n - {2 * n} + 2), lambda i: ({a}[i] * {pow(base, n, prime)} + {a}[i + {n}]) % {prime})"
+    least = lambda a, n: f"list_transform(range(1, len({a}) - {n} + 1), lambda i: least({a}[i], {a}[i + {n}]))"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS i, doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT i, doc_id, t, length(t) AS n, coalesce(lead(i) OVER w, 1) AS ni, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt FROM d WINDOW w AS (ORDER BY i)),
+e AS MATERIALIZED (SELECT *, substr(t, 1, n - n // 2) || substr(nt, 1, n // 2) AS et FROM n),
+x AS (SELECT 'own' AS side, i, t AS s FROM e UNION ALL SELECT 'edited', i, et FROM e),
+h1 AS (SELECT side, i, length(s) AS n, list_transform(regexp_extract_all(s, '(?s).'), lambda c: unicode(c)::BIGINT) AS a1 FROM x WHERE s <> ''),
+h2 AS (SELECT *, {double("a1", 1)} AS a2 FROM h1), h4 AS (SELECT *, {double("a2", 2)} AS a4 FROM h2), h8 AS (SELECT * EXCLUDE (a2, a4), {double("a4", 4)} AS a8 FROM h4),
+h16 AS (SELECT *, {double("a8", 8)} AS a16 FROM h8), h32 AS (SELECT * EXCLUDE a16, {double("a16", 16)} AS a32 FROM h16),
+l2 AS (SELECT *, {least("a8", 1)} AS b2 FROM h32), l4 AS (SELECT * EXCLUDE b2, {least("b2", 2)} AS b4 FROM l2),
+l8 AS (SELECT * EXCLUDE b4, {least("b4", 4)} AS b8 FROM l4), l16 AS (SELECT * EXCLUDE b8, {least("b8", 8)} AS b16 FROM l8),
+lw AS (SELECT * EXCLUDE b16, {least("b16", k - s + 1 - 16)} AS b FROM l16),
+sel AS (SELECT side, i, n, a1, a32, list_filter(range(1, n - {k} + 2), lambda j: a8[j] = b[j] OR a8[j + {k - s}] = b[j]) AS js FROM lw),
+hp AS (SELECT side, i, unnest(js) - 1 AS p, unnest(list_transform(js, lambda j: a32[j])) AS h FROM sel WHERE len(js) > 0
+  UNION ALL SELECT side, i, 0, (list_reduce(a1, lambda y, z: (y * {base} + z) % {prime}) * {base} + n) % {prime} FROM sel WHERE len(js) = 0),
+g AS MATERIALIZED (SELECT side, i, h, min(p) AS p FROM hp GROUP BY ALL),
+v AS MATERIALIZED (SELECT side, i, list_filter(range(32), lambda b: len(list_filter(hs, lambda h: h % (1 << b) = 0)) <= {most})[1] AS level FROM (SELECT side, i, list(h) AS hs FROM g GROUP BY ALL)),
+f AS MATERIALIZED (SELECT side, i, level, p, h FROM g JOIN v USING (side, i) WHERE h % (1 << level) = 0),
+m AS MATERIALIZED (SELECT side, i, any_value(level) || ':' || to_base64(unhex(string_agg(printf('%08x%08x', h, p), '' ORDER BY p))) AS mark FROM f GROUP BY side, i),
+pairs AS (SELECT i, 'edited' AS side, i AS j FROM e UNION ALL SELECT i, 'own', ni FROM e),
+q AS MATERIALIZED (SELECT pairs.*, coalesce(a.mark, '') AS ma, coalesce(b.mark, '') AS mb, 1 << greatest(va.level, vb.level) AS step
+  FROM pairs LEFT JOIN m a ON a.side = 'own' AND a.i = pairs.i LEFT JOIN m b ON b.side = pairs.side AND b.i = pairs.j LEFT JOIN v va ON va.side = 'own' AND va.i = pairs.i LEFT JOIN v vb ON vb.side = pairs.side AND vb.i = pairs.j),
+ta AS (SELECT q.i, q.side, count(*) AS n FROM q JOIN f ON f.side = 'own' AND f.i = q.i WHERE f.h % q.step = 0 GROUP BY ALL),
+tb AS (SELECT q.i, q.side, count(*) AS n FROM q JOIN f ON f.side = q.side AND f.i = q.j WHERE f.h % q.step = 0 GROUP BY ALL),
+c AS (SELECT q.i, q.side, list([fb.p] ORDER BY fa.p) AS ps FROM q JOIN f fa ON fa.side = 'own' AND fa.i = q.i JOIN f fb ON fb.side = q.side AND fb.i = q.j AND fb.h = fa.h WHERE fa.h % q.step = 0 GROUP BY ALL),
+r AS (SELECT i, side, len(list_reduce(ps, lambda y, z: list_concat(y[:len(list_filter(y, lambda o: o < z[1]))], list_concat(z, y[len(list_filter(y, lambda o: o < z[1])) + 2:])))) AS run FROM c),
+w AS (SELECT q.i, q.side, ma, mb, CASE WHEN ma = mb THEN 1.0::DOUBLE WHEN ma = '' OR mb = '' THEN 0.0::DOUBLE ELSE coalesce(2.0::DOUBLE * coalesce(run, 0) / (coalesce(ta.n, 0) + coalesce(tb.n, 0)), 0.0::DOUBLE) END AS near
+  FROM q LEFT JOIN r USING (i, side) LEFT JOIN ta USING (i, side) LEFT JOIN tb USING (i, side))
+SELECT doc_id, n AS n_chars, sha256(et) AS edited_sha256, o.ma AS fingerprint, o.mb AS edited_fingerprint, o.near AS near_edited, x.near AS near_next
+FROM e JOIN w o ON o.i = e.i AND o.side = 'edited' JOIN w x ON x.i = e.i AND x.side = 'own'
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": _op1_sql(),
     "op3_exact_topk": OP3_SQL,
@@ -246,4 +351,7 @@ ORACLE: dict[str, str] = {
     "op8_line_dedup": OP8_SQL,
     "op9_url_filters": _op9_sql(),
     "op10_lm_scoring": _op10_sql(),
+    "op11_centroids": _op11_sql(),
+    "op12_product_codes": _op12_sql(),
+    "op13_syncmers": _op13_sql(),
 }
