@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera import schema as S
 from tessera.operators import enrich, export, folders, graph, listing, reading, search, store
-from tessera.operators.index import Index
+from tessera.operators.index import Segments
 from tessera.sources import extract
+from tessera.storage import checkpointed
 from tessera.streaming import ingest, runs
 
 
@@ -23,8 +24,7 @@ def bounded_int(value: object, default: int, low: int, high: int) -> int:
 
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.tables = spark, store.TableStore(spark, path)
-        self._index: tuple[int, Index] | None = None
+        self.spark, self.tables = spark, store.Tables(spark, path)
 
     @property
     def docs(self) -> DataFrame:
@@ -38,12 +38,11 @@ class KnowledgeBase:
     def folders(self) -> DataFrame:
         return self.tables.read("folders", S.FOLDERS)
 
-    def index(self) -> Index:
-        """The index of the current chunks, read if it was stored with them."""
-        v = self.tables.version("chunks")
-        if self._index is None or self._index[0] != v:
-            self._index = (v, self.tables.index())
-        return self._index[1]
+    def index(self) -> Segments:
+        return self.tables.segments()
+
+    def _one(self, doc_id: str) -> DataFrame:
+        return self.spark.createDataFrame([(doc_id,)], "doc_id string")
 
     def _query(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(0, text or "")], "query_id long, text string")
@@ -53,7 +52,8 @@ class KnowledgeBase:
         return listing.document_rows(listing.list_documents(counted, name, tag, bounded_int(limit, 20, 1, 100)))
 
     def search(self, query: str, top_k: object = S.TOP_K, doc_id: str | None = None, tags: Sequence[str] = (), least: float = 0.0) -> DataFrame:
-        known = [t for t in tags if not self.unknown_tags([t])]
+        unknown = self.unknown_tags(tags) if tags else []
+        known = [t for t in tags if t not in unknown]
         if tags and not known:
             return search.search(self.index(), self.chunks, self.docs.limit(0), self._query(query))
         return search.search(self.index(), self.chunks, self.docs, self._query(query), bounded_int(top_k, S.TOP_K, 1, S.MOST_TOP_K), doc_id, known, least)
@@ -80,7 +80,7 @@ class KnowledgeBase:
         return sorted(r["tag"] for r in listing.unknown_tags(self.docs, wanted).collect())
 
     def read_document(self, doc_id: str, page: object = 1, page_size: object = 8) -> DataFrame:
-        return reading.read_pages(self.chunks, bounded_int(page, 1, 1, 1 << 30), bounded_int(page_size, 8, 1, 40), doc_id)
+        return reading.read_pages(self.tables.read("chunks", S.CHUNKS, [doc_id]), bounded_int(page, 1, 1, 1 << 30), bounded_int(page_size, 8, 1, 40), doc_id)
 
     def ask(self, query: str, answer: Callable[[str, str], str], top_k: object = 12, **options) -> dict | None:
         """An answer with its references; None if there are too few passages or the composer says nothing."""
@@ -105,13 +105,12 @@ class KnowledgeBase:
         return listing.tag_counts(self.docs)
 
     def set_tags(self, doc_id: str, tags: list[str]) -> None:
-        self.tables.write("docs", store.set_tags(self.docs, doc_id, tags))
+        self.tables.change("docs", S.DOCS, lambda docs: store.set_tags(docs, doc_id, tags), self._one(doc_id))
 
     def delete_document(self, doc_id: str) -> None:
-        gone = self.spark.createDataFrame([(doc_id,)], "doc_id string")
-        docs, chunks = store.delete_documents(self.docs, self.chunks, gone)
-        self.tables.write("docs", docs)
-        self.tables.write("chunks", chunks)
+        gone = self._one(doc_id)
+        self.tables.put_chunks(self.spark.createDataFrame([], S.CHUNKS), gone)
+        self.tables.change("docs", S.DOCS, lambda docs: docs.limit(0), gone)
 
     def add_files(self, path: str, enricher: enrich.Enricher | None = None) -> DataFrame:
         """Takes the files under a path; those that are refused, with the reason."""
@@ -124,7 +123,7 @@ class KnowledgeBase:
         return runs.run(self.tables, enricher or enrich.FirstSentence(), budget)
 
     def cancel(self, doc_id: str) -> None:
-        runs.cancel(self.tables, self.spark.createDataFrame([(doc_id,)], "doc_id string"))
+        runs.cancel(self.tables, self._one(doc_id))
 
     def resume(self) -> DataFrame:
         """Queues again what was cut off: doc_id, phase."""
@@ -155,8 +154,9 @@ class KnowledgeBase:
 
     def delete_folder(self, folder_id: str) -> None:
         left, docs = folders.delete(self.folders, self.docs, folder_id)
+        left = checkpointed(left)
         self.tables.write("docs", docs)
         self.tables.write("folders", left)
 
     def file_document(self, doc_id: str, folder_id: str | None) -> None:
-        self.tables.write("docs", store.set_folder(self.docs, self.folders, doc_id, folder_id))
+        self.tables.change("docs", S.DOCS, lambda docs: store.set_folder(docs, self.folders, doc_id, folder_id), self._one(doc_id))

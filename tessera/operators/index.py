@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -24,49 +24,178 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
     return _counted(chunks).filter("term is not null").drop("length")
 
 
-#: Rows of a file of the stored index.
-FILE_ROWS = 2_000_000
+#: Rows of a file of the stored index; chunks of a block; parts by term; terms that are named in a scan's filter.
+FILE_ROWS, BLOCK_CHUNKS, BUCKETS, PUSHED_TERMS = 500_000, 16, 32, 500
+#: Documents with older versions in the index that may be broadcast.
+BROADCAST_OLD = 200_000
+
+POSTINGS = "term string, doc_id string, chunk_id string, chunk_index int, tf long, length int, block int, segment int, bucket int"
+BLOCKS = "term string, block int, n long, most long, least int, segment int, bucket int"
+LENGTHS = "doc_id string, chunk_id string, length int, segment int"
+OLD = "doc_id string, segment int"
 
 
 @dataclass
 class Index:
-    """postings: term, doc_id, chunk_id, chunk_index, tf, length. frequencies: term, df. lengths: doc_id, chunk_id, length."""
+    """postings: term, doc_id, chunk_id, chunk_index, tf, length. frequencies: term, df. lengths: doc_id, chunk_id, length.
+
+    blocks, if the index is stored: segment, block, term, most (the largest tf), least (the smallest length).
+    """
 
     postings: DataFrame
     frequencies: DataFrame
     lengths: DataFrame
+    blocks: DataFrame | None = None
 
     def stats(self) -> tuple[int, float]:
         """The number of chunks, 1 at least, and their mean length."""
         n, total = self.lengths.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         return max(1, n), total / n if n else 0.0
 
-    def write(self, path: str, mode: str = "overwrite") -> None:
-        """Postings are laid out by term, so that a search reads the row groups of its terms only; a term with many
-        postings fills several files. Their number follows the rows."""
-        put = lambda df, name, by: df.repartitionByRange(-(-max(1, df.count()) // FILE_ROWS), *by).sortWithinPartitions(*by).write.mode(mode).parquet(f"{path}/{name}")
-        put(self.postings, "postings", ["term", "chunk_id"])
-        put(self.frequencies, "frequencies", ["term"])
-        put(self.lengths, "lengths", ["doc_id", "chunk_id"])
+    def narrowed(self, terms: list[str], buckets: list[int]) -> Index:
+        """The index as far as some terms, of these buckets, need it."""
+        return self
+
 
-    @staticmethod
-    def read(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "frequencies", "lengths")))
+def bucket_of(term: str | Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+@dataclass
+class Segments:
+    """The index in a folder, as immutable segments: one for each batch of documents, in proportion to the batch.
+
+    Postings and blocks are partitioned by segment and by a hash of the term, and sorted by term and block; a search
+    reads the buckets of its terms, and of these the row groups that hold the terms. A block is a share of a segment's
+    documents by hash, of some BLOCK_CHUNKS chunks. ``old`` has the documents of a segment that a later one replaced; a
+    reader leaves them out. A batch that failed half-way is made good by adding its documents again. One writer at a
+    time; an index is opened with the number of buckets that it was made with.
+    """
+
+    spark: SparkSession
+    path: str
+    buckets: int = BUCKETS
+
+    def _read(self, name: str, schema: str) -> DataFrame | None:
+        """A part of the index; None if nothing was written yet."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+
+    def _put(self, rows: DataFrame, name: str, by: list[str], parts: list[str]) -> None:
+        files = -(-max(1, rows.count()) // FILE_ROWS)
+        rows.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("append").partitionBy(*parts).parquet(f"{self.path}/{name}")
+
+    def segments(self) -> DataFrame:
+        """segment, documents, chunks: what stands in each segment, replaced documents included."""
+        lengths = self._read("lengths", LENGTHS)
+        rows = lengths if lengths is not None else self.spark.createDataFrame([], LENGTHS)
+        return rows.groupBy("segment").agg(F.count_distinct("doc_id").alias("documents"), F.count("chunk_id").alias("chunks"))
+
+    def add(self, chunks: DataFrame, doc_ids: DataFrame) -> int:
+        """Writes a segment of the documents in doc_ids (doc_id) with their chunks; earlier ones of these are left out
+        from now on. A document without chunks is taken out of the index. Returns the segment's number."""
+        ids = checkpointed(doc_ids.select("doc_id").filter("doc_id is not null").distinct())
+        counted = checkpointed(_counted(chunks.join(ids, "doc_id", "left_semi")))
+        known = self._read("lengths", LENGTHS)
+        last = known.agg(F.max("segment")).first()[0] if known is not None else None
+        number = (last or 0) + 1
+        earlier = checkpointed(self._live(known, "doc_id", "segment").join(ids, "doc_id", "left_semi").distinct()) if last else None
+        lengths = counted.select("doc_id", "chunk_id", "length").distinct()
+        marks = ids.select("doc_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("int").alias("length"))
+        lengths = checkpointed(lengths.unionByName(marks).withColumn("segment", F.lit(number)))
+        blocks = max(1, -(-lengths.count() // BLOCK_CHUNKS))
+        placed = counted.filter("term is not null").withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"), "segment": F.lit(number), "bucket": bucket_of("term", self.buckets)})
+        self._put(lengths, "lengths", ["doc_id", "chunk_id"], ["segment"])
+        self._put(placed, "postings", ["bucket", "term", "block", "chunk_id"], ["segment", "bucket"])
+        bounds = placed.groupBy("segment", "bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"))
+        self._put(checkpointed(bounds), "blocks", ["bucket", "term", "block"], ["segment", "bucket"])
+        if earlier is not None and earlier.limit(1).count():
+            self._put(earlier.select("doc_id", "segment"), "old", ["segment", "doc_id"], ["segment"])
+        return number
+
+    def _live(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows (doc_id, segment, ...) of documents that no later segment replaced."""
+        old = self._read("old", OLD)
+        if old is not None:
+            few = old.limit(BROADCAST_OLD + 1).count() <= BROADCAST_OLD
+            rows = rows.join(F.broadcast(old) if few else old, ["doc_id", "segment"], "left_anti")
+        return rows.select(*columns) if columns else rows
+
+    def merge(self, least: int = FILE_ROWS) -> int:
+        """Rewrites all segments of fewer than ``least`` chunks, and those of replaced documents, as one; the number of segments merged.
+
+        Their postings become one new segment that replaces them; their files stay until ``vacuum``.
+        """
+        old = self._read("old", OLD)
+        held = old.select("segment").distinct() if old is not None else self.spark.createDataFrame([], "segment int")
+        small = checkpointed(self.segments().join(held.withColumn("holes", F.lit(True)), "segment", "left").filter((F.col("chunks") < least) | F.col("holes")).select("segment"))
+        n = small.count()
+        if n < 2 and not held.limit(1).count():
+            return 0
+        numbers = [r[0] for r in small.collect()]  # one for each batch since the last merge
+        lengths, postings, blocks = (self._read(name, schema) for name, schema in (("lengths", LENGTHS), ("postings", POSTINGS), ("blocks", BLOCKS)))
+        number = lengths.agg(F.max("segment")).first()[0] + 1
+        keep = checkpointed(self._live(lengths.filter(F.col("segment").isin(numbers))))
+        size = max(1, -(-keep.count() // BLOCK_CHUNKS))
+        docs = keep.select("doc_id", "segment").distinct()
+        made = keep.drop("segment").withColumn("segment", F.lit(number))
+        self._put(made, "lengths", ["doc_id", "chunk_id"], ["segment"])
+        if postings is not None:
+            placed = self._live(postings.filter(F.col("segment").isin(numbers))).withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.lit(size)).cast("int"), "segment": F.lit(number)})
+            placed = checkpointed(placed)
+            self._put(placed, "postings", ["bucket", "term", "block", "chunk_id"], ["segment", "bucket"])
+            bounds = placed.groupBy("segment", "bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"))
+            self._put(checkpointed(bounds), "blocks", ["bucket", "term", "block"], ["segment", "bucket"])
+        self._put(checkpointed(docs), "old", ["segment", "doc_id"], ["segment"])
+        self.vacuum(numbers)
+        return n
+
+    def vacuum(self, numbers: list[int]) -> None:
+        """Removes the files of merged segments, of which no reader is to be left. What marks them as replaced goes last."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in ("postings", "blocks", "lengths", "old"):
+            for n in numbers:
+                at = hadoop(f"{self.path}/{name}/segment={n}")
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _index(self, postings: DataFrame | None, blocks: DataFrame | None) -> Index:
+        lengths = self._read("lengths", LENGTHS)
+        if lengths is None:
+            none = lambda s: self.spark.createDataFrame([], s)
+            return Index(none(POSTINGS), none("term string, df long"), none(LENGTHS), none(BLOCKS))
+        live = self._live(lengths.filter("chunk_id is not null"), "doc_id", "chunk_id", "length")
+        if postings is None:  # no document has a term
+            return Index(*(self.spark.createDataFrame([], s) for s in (POSTINGS, "term string, df long")), live, self.spark.createDataFrame([], BLOCKS))
+        found = self._live(postings)
+        counts = blocks.groupBy("term").agg(F.sum("n").alias("df")) if self._read("old", OLD) is None else found.groupBy("term").agg(F.count("*").alias("df"))
+        return Index(found, counts, live, blocks)
+
+    def index(self) -> Index:
+        """All that is in the index. Frequencies come from the blocks as long as no document was replaced."""
+        return self._index(self._read("postings", POSTINGS), self._read("blocks", BLOCKS))
+
+    def narrowed(self, terms: list[str], buckets: list[int]) -> Index:
+        """The index as far as some terms, of these buckets, need it: their partitions, and where they are few, their row groups."""
+        postings, blocks = self._read("postings", POSTINGS), self._read("blocks", BLOCKS)
+        if postings is not None:
+            which = F.col("bucket").isin(buckets)
+            which = which & F.col("term").isin(terms) if len(terms) <= PUSHED_TERMS else which
+            postings, blocks = postings.filter(which), blocks.filter(which)
+        return self._index(postings, blocks)
+
+    def stats(self) -> tuple[int, float]:
+        return self._index(None, None).stats()
 
 
 def build_index(chunks: DataFrame) -> Index:
-    """The index of some chunks. Chunks without tokens count in the statistics with length 0.
+    """The index of some chunks, not stored. Chunks without tokens count in the statistics with length 0.
 
     All three tables come from one table of counts, checkpointed, so chunks are made and cut into tokens once.
     """
     counted = checkpointed(_counted(chunks))
     postings = counted.filter("term is not null").select("term", "doc_id", "chunk_id", "chunk_index", "tf", "length")
     return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), counted.select("doc_id", "chunk_id", "length").distinct())
-
-
-def replace_documents(index: Index, chunks: DataFrame, doc_ids: DataFrame) -> Index:
-    """The index with the documents in doc_ids replaced by what of them is in chunks; adding again changes nothing."""
-    new = build_index(chunks.join(doc_ids, "doc_id", "left_semi"))
-    keep = lambda df: df.join(doc_ids, "doc_id", "left_anti")
-    postings = keep(index.postings).unionByName(new.postings)
-    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), keep(index.lengths).unionByName(new.lengths))

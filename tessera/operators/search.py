@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import schema as S
 from tessera.functions import text as X
-from tessera.operators.index import Index
+from tessera.operators.index import Index, Segments, bucket_of
+from tessera.storage import checkpointed, local_table
 
 #: Query terms that may be broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 50_000
@@ -20,24 +23,90 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(F.array_distinct(X.tokenize("text"))).alias("place", "term")).filter("term != ''")
 
 
-def scores(index: Index, terms: DataFrame, stats: tuple[int, float] | None = None, docs: DataFrame | None = None) -> DataFrame:
-    """BM25 sums: query_id, doc_id, chunk_id, chunk_index, score, terms (matched, in query order), longest.
+def _gain(tf: Column, length: Column, n: int, mean: float) -> Column:
+    """What a term adds to a chunk's score; larger for larger tf and smaller length."""
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = 1 - S.B + S.B * (length / mean if mean > 0 else F.lit(1.0))
+    return idf * (tf * (S.K1 + 1)) / (tf + S.K1 * norm)
+
+
+@dataclass
+class Asked:
+    """Query terms that the index has, with their frequencies; the index as far as they need it; its statistics.
+
+    few: the terms are few enough to be held by the driver; queries, rows: then, the number of queries that they belong
+    to, and of pairs of a query's term and a posting.
+    """
+
+    terms: DataFrame
+    index: Index
+    n: int
+    mean: float
+    docs: DataFrame | None = None
+    few: bool = True
+    queries: int = 0
+    rows: int | None = None
+
+    @staticmethod
+    def of(index: Index | Segments, terms: DataFrame, stats: tuple[int, float] | None = None, docs: DataFrame | None = None) -> Asked:
+        spark, docs = terms.sparkSession, None if docs is None else docs.select("doc_id").distinct()
+        rows = terms.select("query_id", "place", "term", bucket_of("term", getattr(index, "buckets", 1))).limit(BROADCAST_TERMS + 1).collect()
+        n, mean = stats or index.stats()
+        if len(rows) > BROADCAST_TERMS:
+            all_ = index.index() if isinstance(index, Segments) else index
+            return Asked(checkpointed(terms.join(all_.frequencies, "term")), all_, n, mean, docs, False)
+        words = sorted({r[2] for r in rows})
+        near = index.narrowed(words, sorted({r[3] for r in rows}))
+        term = T.StructType([T.StructField("term", T.StringType())])
+        found = near.frequencies.join(F.broadcast(local_table(spark, [(w,) for w in words], term)), "term", "left_semi").collect()
+        df = {r["term"]: r["df"] for r in found}
+        schema = T.StructType([*terms.select("query_id", "place", "term").schema.fields, T.StructField("df", T.LongType())])
+        asked = local_table(spark, [(*r[:3], df[r[2]]) for r in rows if r[2] in df], schema)
+        return Asked(F.broadcast(asked), near, n, mean, docs, True, len({r[0] for r in rows}), sum(df.get(r[2], 0) for r in rows))
+
+    def scored(self, pairs: DataFrame | None = None, small: bool = False) -> DataFrame:
+        """query_id, doc_id, chunk_id, chunk_index, score, longest of all chunks, or of those in some blocks (query_id, segment, block)."""
+        postings = self.index.postings if self.docs is None else self.index.postings.join(self.docs, "doc_id", "left_semi")
+        if self.few and self.queries > 1:
+            # a chunk's postings meet before queries multiply them, so sums need no shuffle of their own
+            postings = postings.repartition("chunk_id")
+        rows = postings.join(self.terms, "term")
+        if pairs is not None:
+            rows = rows.join(F.broadcast(pairs) if small else pairs, ["query_id", "segment", "block"], "left_semi")
+        gain = _gain(F.col("tf"), F.col("length"), self.n, self.mean)
+        return rows.groupBy("query_id", "doc_id", "chunk_id", "chunk_index").agg(F.sum(gain).alias("score"), F.max(F.length("term")).alias("longest"))
+
+    def bounds(self) -> DataFrame:
+        """query_id, segment, block, bound: no chunk of the block scores more."""
+        gain = _gain(F.col("most"), F.col("least"), self.n, self.mean)
+        return self.index.blocks.join(self.terms, "term").groupBy("query_id", "segment", "block").agg(F.sum(gain).alias("bound"))
+
+    def with_terms(self, top: DataFrame) -> DataFrame:
+        """Ranked chunks with the first eight of the query's terms that they match, in the query's order."""
+        ids = top.select("query_id", "chunk_id")
+        few = self.few and self.queries * S.MOST_TOP_K <= BROADCAST_TERMS
+        hint = F.broadcast if few else (lambda df: df)
+        mine = self.index.postings.select("term", "chunk_id").join(hint(ids.select("chunk_id").distinct()), "chunk_id", "left_semi")
+        rows = mine.join(self.terms, "term").join(hint(ids), ["query_id", "chunk_id"], "left_semi")
+        listed = rows.groupBy("query_id", "chunk_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), 1, 8).alias("terms"))
+        return top.join(hint(listed), ["query_id", "chunk_id"])
+
+
+def scores(index: Index | Segments, terms: DataFrame, stats: tuple[int, float] | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """BM25 sums of all chunks: query_id, doc_id, chunk_id, chunk_index, score, longest (the length of its longest term).
 
     Frequencies and lengths are those of the whole corpus; ``docs`` (doc_id) restricts only what is scored.
     """
-    n, mean = stats or index.stats()
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    asked = (F.broadcast(terms) if small else terms).join(index.frequencies.join(F.broadcast(terms.select("term").distinct()) if small else terms.select("term").distinct(), "term", "left_semi"), "term")
-    postings = index.postings if docs is None else index.postings.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = postings.join(F.broadcast(asked) if small else asked, "term")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = 1 - S.B + S.B * (F.col("length") / mean if mean > 0 else F.lit(1.0))
-    gain = idf * (F.col("tf") * (S.K1 + 1)) / (F.col("tf") + S.K1 * norm)
-    return rows.groupBy("query_id", "doc_id", "chunk_id", "chunk_index").agg(
-        F.sum(gain).alias("score"),
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("terms"),
-        F.max(F.length("term")).alias("longest"),
-    )
+    return Asked.of(index, terms, stats, docs).scored()
+
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_index", "chunk_id")
+
+
+def _hits(found: DataFrame, least: float, strict: bool) -> DataFrame:
+    good = found.filter(F.col("score") > least)
+    return good.filter("longest >= 2") if strict else good
 
 
 def ranked(found: DataFrame, top_k: int = S.TOP_K, least: float = 0.0, strict: bool = True) -> DataFrame:
@@ -47,12 +116,35 @@ def ranked(found: DataFrame, top_k: int = S.TOP_K, least: float = 0.0, strict: b
     (the order of a sum's terms is not fixed); ties go to the earlier chunk, then id.
     """
     k = max(1, min(top_k, S.MOST_TOP_K))
-    good = found.filter(F.col("score") > least)
-    good = good.filter("longest >= 2") if strict else good
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_index", "chunk_id")
-    top = good.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    top = _hits(found, least, strict).withColumn("rank", F.row_number().over(_order())).filter(F.col("rank") <= k)
     best = F.max("score").over(Window.partitionBy("query_id"))
-    return top.withColumn("relative", F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0))).withColumn("terms", F.slice("terms", 1, 8))
+    return top.withColumn("relative", F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0)))
+
+
+#: Blocks of each query that are scored first; pairs of a query's term and a posting up to which all chunks are scored at once.
+FIRST_BLOCKS, AT_ONCE = 4, 50_000_000
+
+
+def best(index: Index | Segments, terms: DataFrame, top_k: int = S.TOP_K, least: float = 0.0, strict: bool = True, docs: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """``ranked`` of the chunks' ``scores``, with the terms they match; a large search leaves out what cannot be among the best.
+
+    A stored index tells for each block the most that a chunk of it can score. The blocks of each query that promise most
+    are scored first; their k-th best score is one that the others have to reach, and blocks that promise less are left
+    out. Up to ``at_once`` pairs of a term and a posting, scoring all is less work. The result is the same.
+    """
+    asked = Asked.of(index, terms, None, docs)
+    k = max(1, min(top_k, S.MOST_TOP_K))
+    if asked.index.blocks is None or asked.rows is not None and asked.rows <= at_once:
+        return asked.with_terms(checkpointed(ranked(asked.scored(), k, least, strict)))
+    bounds = checkpointed(asked.bounds().filter(F.col("bound") > least))
+    small = bounds.count() <= BROADCAST_TERMS
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block"))
+    first = bounds.withColumn("nth", nth).filter(F.col("nth") <= FIRST_BLOCKS).select("query_id", "segment", "block")
+    early = checkpointed(ranked(asked.scored(first, small), k, least, strict).drop("rank", "relative"))
+    bar = early.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bar"))
+    rest = bounds.join(F.broadcast(bar) if small else bar, "query_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - 1e-6))
+    late = asked.scored(rest.join(first, ["query_id", "segment", "block"], "left_anti").select("query_id", "segment", "block"), small)
+    return asked.with_terms(checkpointed(ranked(early.unionByName(late), k, least, strict)))
 
 
 def tag_scope(docs: DataFrame, tags: Sequence[str]) -> DataFrame:
@@ -61,12 +153,12 @@ def tag_scope(docs: DataFrame, tags: Sequence[str]) -> DataFrame:
     return docs.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in wanted])) if wanted else F.lit(True)).select("doc_id")
 
 
-def search(index: Index, chunks: DataFrame, docs: DataFrame, queries: DataFrame, top_k: int = S.TOP_K, doc_id: str | None = None, tags: Sequence[str] = (), least: float = 0.0, strict: bool = True, centre: bool = False) -> DataFrame:
+def search(index: Index | Segments, chunks: DataFrame, docs: DataFrame, queries: DataFrame, top_k: int = S.TOP_K, doc_id: str | None = None, tags: Sequence[str] = (), least: float = 0.0, strict: bool = True, centre: bool = False) -> DataFrame:
     """queries: query_id, text -> query_id, rank, doc_id, doc_name, doc_tags, chunk columns, score, terms, snippet."""
     scope = tag_scope(docs, tags) if tags else None
     if doc_id is not None:
         scope = (scope if scope is not None else docs.select("doc_id")).filter(F.col("doc_id") == doc_id)
-    top = ranked(scores(index, query_terms(queries), docs=scope), top_k, least, strict)
+    top = best(index, query_terms(queries), top_k, least, strict, scope)
     hits = top.drop("chunk_index").join(chunks, ["doc_id", "chunk_id"]).join(docs.select("doc_id", F.col("name").alias("doc_name"), F.col("tags").alias("doc_tags")), "doc_id")
     snippet = X.snippet("text", F.col("terms") if centre else None)
     return hits.select("query_id", "rank", "doc_id", "doc_name", "doc_tags", "chunk_id", "chunk_index", "title", "text", "summary", "entities", "page", "section_path", F.col("relative").alias("score"), "terms", snippet.alias("snippet"))

@@ -1,26 +1,20 @@
-"""Changes to tables of documents and chunks, and a store of versioned Parquet tables.
-
-A change is a plan from the old table to the new one; the store writes it as a new version and then points
-to it, so readers see one version or the other.
-"""
+"""Changes to tables of documents and chunks, as plans from the old table to the new one, and these tables in buckets."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+import contextlib
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import schema as S
 from tessera.functions import text as X
-from tessera.operators.index import Index, build_index
-
-#: Versions of a table that are kept for readers.
-KEPT_VERSIONS = 4
-POINTER = "version long, folder string"
+from tessera.operators.index import LENGTHS, Segments
+from tessera.storage import checkpointed
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -68,84 +62,135 @@ def carry_summaries(new: DataFrame, old: DataFrame, least: int = 300) -> DataFra
     return rows.withColumn("summary", F.coalesce("same", "within", "summary")).select(new.columns)
 
 
-class Conflict(RuntimeError):
-    """Another writer's version of a table holds the number that was taken."""
+class Busy(RuntimeError):
+    """Another writer is changing the table."""
+
+
+#: Partitions of a table by hash of its key.
+BUCKETS = 32
 
 
 @dataclass
-class TableStore:
-    """Tables as versioned Parquet folders; a one-row table points to the current version of each."""
+class Tables:
+    """Tables of documents, chunks and folders as Parquet, partitioned by a hash of their key, and the chunks' index.
+
+    A change of some documents reads and rewrites their buckets only, by Spark's dynamic partition overwrite, and adds
+    one segment to the index. Writers of a table take turns: one that meets another waits, then fails. A table is always
+    opened with the number of buckets that it was made with.
+    """
 
     spark: SparkSession
     path: str
+    buckets: int = BUCKETS
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.path}/{name}/current"
+    def _bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def _current(self, name: str) -> tuple[int, str]:
-        """The current version and its folder; of folders that claim one number the first by name holds it."""
+    @staticmethod
+    def _key(schema: T.StructType) -> str:
+        return schema[0].name
+
+    def read(self, name: str, schema: T.StructType, keys: list[str] | None = None) -> DataFrame:
+        """The table; with ``keys``, their rows, of which only the buckets are read."""
+        key = self._key(schema)
         try:
-            rows = self.spark.read.schema(POINTER).parquet(self._pointer(name)).filter("version is not null")
-            row = rows.orderBy(F.desc("version"), "folder").first()
+            rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/{name}")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            row = None
-        return (row["version"], row["folder"]) if row else (0, "")
-
-    def version(self, name: str) -> int:
-        """The current version, 0 if the table was never written."""
-        return self._current(name)[0]
-
-    def read(self, name: str, schema: T.StructType) -> DataFrame:
-        v, folder = self._current(name)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{folder}") if v else self.spark.createDataFrame([], schema)
-
-    def write(self, name: str, table: DataFrame) -> int:
-        """Writes the next version to a folder of its own, then points to it; a failed write leaves the old one current.
-
-        Of two writers that take the same number at a time one holds it, and the other fails.
-        """
-        v = self.version(name) + 1
-        folder = f"v{v}-{uuid.uuid4().hex}"
-        table.write.parquet(f"{self.path}/{name}/{folder}")
-        self.spark.createDataFrame([(v, folder)], POINTER).coalesce(1).write.mode("append").parquet(self._pointer(name))
-        if self._current(name) != (v, folder):
-            raise Conflict(f"another writer changed {name} meanwhile")
-        self._forget(name, v - KEPT_VERSIONS)
-        return v
-
-    def change(self, name: str, schema: T.StructType, of: Callable[[DataFrame], DataFrame], tries: int = 5) -> int:
-        """Writes ``of`` the current table; again on what is current then, if another writer comes between."""
-        for left in range(tries - 1, -1, -1):
+            return self.spark.createDataFrame([], schema)
+        if keys is not None:
+            lits = F.array(*[F.lit(k) for k in keys]).cast(T.ArrayType(schema[0].dataType))
+            which = self.spark.range(1).select(F.array_distinct(F.transform(lits, self._bucket_of)).alias("b")).first()["b"]
+            rows = rows.filter(F.col("bucket").isin(which) & F.col(key).isin(keys))
+        return rows.filter(F.col(key).isNotNull()).select([f.name for f in schema])
+
+    def _bucket_of(self, x: Column) -> Column:
+        return F.pmod(F.xxhash64(x), F.lit(self.buckets)).cast("int")
+
+    @contextlib.contextmanager
+    def _turn(self, name: str, wait: float) -> Iterator[None]:
+        """Holds the table's lock: a file that only one writer can create."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_locks/{name}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        until = time.monotonic() + wait
+        while True:
             try:
-                return self.write(name, of(self.read(name, schema)))
-            except Conflict:
-                if not left:
+                fs.create(path, False).close()
+                break
+            except Exception as e:
+                if "FileAlreadyExists" not in str(e) and "already exists" not in str(e):
                     raise
-        return 0
-
-    def _forget(self, name: str, v: int) -> None:
-        """Removes a version that no reader should still be at."""
-        if v <= 0:
-            return
-        rows = self.spark.read.schema(POINTER).parquet(self._pointer(name)).filter(F.col("version") == v).collect()
-        gone = [f"{self.path}/{name}/{r['folder']}" for r in rows] + ([f"{self.path}/index/v{v}"] if name == "chunks" else [])
-        for path in gone:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def index_path(self) -> str:
-        """Where the index of the current chunks is stored."""
-        return f"{self.path}/index/v{self.version('chunks')}"
-
-    def index(self) -> Index:
-        """The index of the current chunks; it is built and stored if it was not stored with them."""
-        path = self.index_path()
+                if time.monotonic() > until:
+                    raise Busy(f"{name} is being changed; unlock it if its writer is gone") from e
+                time.sleep(0.2)
         try:
-            return Index.read(self.spark, path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        build_index(self.read("chunks", S.CHUNKS)).write(path)
-        return Index.read(self.spark, path)
+            yield
+        finally:
+            fs.delete(path, False)
+
+    def unlock(self, name: str) -> None:
+        """Takes away the lock of a writer that died."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_locks/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
+    def change(self, name: str, schema: T.StructType, of: Callable[[DataFrame], DataFrame], ids: DataFrame | None = None, wait: float = 60.0) -> None:
+        """Writes ``of`` the table's rows in place of them; with ``ids`` (a column of keys), only those rows are read, given and replaced."""
+        key = self._key(schema)
+        with self._turn(name, wait):
+            if ids is None:
+                which, new = list(range(self.buckets)), of(self.read(name, schema))
+            else:
+                ids = checkpointed(ids.select(F.col(ids.columns[0]).alias(key)).filter(F.col(key).isNotNull()).distinct())
+                which = [r["b"] for r in ids.select(self._bucket(key).alias("b")).distinct().collect()]
+                try:
+                    held = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.path}/{name}")
+                    held = held.filter(F.col("bucket").isin(which) & F.col(key).isNotNull()).select([f.name for f in schema])
+                except Exception as e:
+                    if "PATH_NOT_FOUND" not in str(e):
+                        raise
+                    held = self.spark.createDataFrame([], schema)
+                new = held.join(ids, key, "left_anti").unionByName(of(held.join(ids, key, "left_semi")).select([f.name for f in schema]))
+            # a row without a key in each bucket, so that a bucket that has become empty is replaced too
+            marks = self.spark.createDataFrame([(b,) for b in which], "bucket int").select("bucket", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+            rows = checkpointed(new.select([f.name for f in schema])).filter(F.col(key).isNotNull()).withColumn("bucket", self._bucket(key)).unionByName(marks)
+            rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
+    def write(self, name: str, table: DataFrame) -> None:
+        """Replaces the whole table. Its key is the first column of the table's schema."""
+        schema = SCHEMAS[name]
+        self.change(name, schema, lambda _: table)
+        if name == "chunks":
+            known = self.segments()._read("lengths", LENGTHS)
+            ids = table.select("doc_id")
+            self.segments().add(table, ids if known is None else ids.unionByName(known.select("doc_id")))
+
+    def put_chunks(self, chunks: DataFrame, ids: DataFrame) -> None:
+        """Replaces all chunks of the documents in ids (doc_id) by those given, in the table and in the index."""
+        chunks = checkpointed(chunks)
+        self.change("chunks", S.CHUNKS, lambda _: chunks, ids)
+        self.segments().add(chunks, ids)
+
+    def patch_chunks(self, patch: DataFrame) -> None:
+        """Replaces chunks by those of ``patch`` with their ids, or adds them; the rest of their documents' chunks stays."""
+        patch = checkpointed(patch)
+        made: list[DataFrame] = []
+
+        def of(old: DataFrame) -> DataFrame:
+            made.append(checkpointed(merge_chunks(old, patch)))
+            return made[0]
+
+        self.change("chunks", S.CHUNKS, of, patch.select("doc_id"))
+        self.segments().add(made[0], patch.select("doc_id"))
+
+    def tidy(self, most: int = 16) -> None:
+        """Merges small segments of the index if it has more than ``most``."""
+        if self.segments().segments().count() > most:
+            self.segments().merge()
+
+    def segments(self) -> Segments:
+        """The index of the chunks."""
+        return Segments(self.spark, f"{self.path}/index")
+
+
+SCHEMAS = {"docs": S.DOCS, "chunks": S.CHUNKS, "folders": S.FOLDERS}

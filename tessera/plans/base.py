@@ -31,13 +31,20 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Paths of stored tables by application, input folder and name.
-_STORED: dict[tuple[str, str, str], str] = {}
+#: Paths of stored tables by application, input files with their times, and name.
+_STORED: dict[tuple[str, tuple, str], str] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """The files of a table with their sizes and times."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where))
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
-    """The path of a table that is written once for an input folder, whose files do not change meanwhile."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The path of a table that is written once for the documents of an input folder; again if these files change."""
+    key = (spark.sparkContext.applicationId, _files(spark, f"{sf_dir}/documents.parquet"), name)
     if key not in _STORED:
         path = new_path(spark, name)
         write(path)
@@ -51,9 +58,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(made.schema).parquet(_once(spark, sf_dir, "chunks", made.write.parquet))
 
 
-def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Segments:
     """The index of these chunks, built once and stored by term."""
-    return index.Index.read(spark, _once(spark, sf_dir, "index", lambda path: index.build_index(chunks(spark, sf_dir)).write(path)))
+
+    def write(path: str) -> None:
+        made = chunks(spark, sf_dir)
+        index.Segments(spark, path).add(made, made.select("doc_id"))
+
+    return index.Segments(spark, _once(spark, sf_dir, "index", write))
 
 
 def chat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

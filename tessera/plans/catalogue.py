@@ -14,7 +14,7 @@ from tessera.functions import text as X
 from tessera.operators import chunking, enrich, entities, export, folders, graph, index, listing, outline, reading, search, store
 from tessera.plans import base as P
 from tessera.sources import extract
-from tessera.storage import shared_folder, spread
+from tessera.storage import new_path, spread
 from tessera.streaming import lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,12 +215,12 @@ def _(spark, sf):
 
 @query("document_frequency", f"WITH {P.POSTINGS} SELECT term, df FROM df")
 def _(spark, sf):
-    return P.stored_index(spark, sf).frequencies
+    return P.stored_index(spark, sf).index().frequencies
 
 
 @query("corpus_stats", f"WITH {P.POSTINGS} SELECT n, round(mean, 6) AS mean FROM st")
 def _(spark, sf):
-    lengths = P.stored_index(spark, sf).lengths
+    lengths = P.stored_index(spark, sf).index().lengths
     return lengths.agg(F.count("*").alias("n"), _round(F.avg("length")).alias("mean"))
 
 
@@ -241,7 +241,7 @@ _TOP = "SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6
 
 def _found(spark: SparkSession, sf: str, queries: DataFrame, docs: DataFrame | None = None, **options) -> DataFrame:
     made = P.stored_index(spark, sf)
-    return search.ranked(search.scores(made, search.query_terms(queries), docs=docs), **options)
+    return search.best(made, search.query_terms(queries), docs=docs, **options)
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -821,7 +821,7 @@ def _(spark, sf):
     path = f"{sf}/events.parquet"
     static = spark.read.parquet(path)
     stream = spark.readStream.schema(static.schema).parquet(path if spark.read.format("binaryFile").load(path).limit(2).count() > 1 else f"{sf}/events*.parquet")
-    ingest.counted(stream, name, f"{shared_folder(spark)}/{name}").awaitTermination()
+    ingest.counted(stream, name, new_path(spark, name)).awaitTermination()
     return spark.table(name)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +9,9 @@ from tessera import schema as S
 from tessera.functions import text as X
 from tessera.operators import enrich, export, folders, graph, index, listing, outline, reading, search, store
 from tessera.plans import base as P
-from tessera.plans.catalogue import _ALL, _DEGREE, _EDGES, _NODES, _joined, _queries, _round, query
+from tessera.plans.catalogue import _ALL, _DEGREE, _EDGES, _NODES, _RANK, _TOP, _joined, _queries, _round, _shown, query
 from tessera.sources import extract, sinks
-from tessera.storage import shared_folder
+from tessera.storage import new_path
 from tessera.streaming import ingest, lifecycle, runs
 
 _LINE = "string_split(text, chr(10))[1]"
@@ -127,17 +125,40 @@ def _(spark, sf):
 
 @query(
     "search_top_clamp",
-    f"WITH {P.bm25(_ALL + ' WHERE item_id < 3')}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_index, chunk_id) AS rank FROM sc WHERE longest >= 2) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM rk WHERE rank <= 12",
+    f"WITH {P.bm25(_ALL)}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_index, chunk_id) AS rank FROM sc WHERE longest >= 2) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM rk WHERE rank <= 12",
 )
 def _(spark, sf):
-    found = search.ranked(search.scores(P.stored_index(spark, sf), search.query_terms(_queries(spark, sf).filter("query_id < 3"))), top_k=99)
+    found = search.best(P.stored_index(spark, sf), search.query_terms(_queries(spark, sf)), top_k=99)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", _round("score").alias("score"))
 
 
 @query("index_after_replace", f"WITH {P.POSTINGS} SELECT term, df FROM df")
 def _(spark, sf):
-    some = P.docs(spark, sf).filter(F.array_contains("tags", "fr")).select("doc_id")
-    return index.replace_documents(P.stored_index(spark, sf), P.chunks(spark, sf), some).frequencies
+    chunks, docs = P.chunks(spark, sf), P.docs(spark, sf)
+    made = index.Segments(spark, new_path(spark, "segments"))
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    early = chunks.withColumn("text", F.reverse("text"))  # what a first version of some documents had
+    made.add(early, docs.filter(third != 0).select("doc_id"))
+    made.add(chunks, docs.filter(third != 1).select("doc_id"))
+    made.add(chunks, docs.filter(third == 1).select("doc_id"))
+    return made.index().frequencies
+
+
+_THREE_BATCHES = f"{P.bm25(_ALL)}, rk AS ({_RANK})"
+
+
+@query("search_after_batches", f"WITH {_THREE_BATCHES} {_TOP}")
+def _(spark, sf):
+    """A search in an index of three batches with replaced and removed documents, after its small segments were merged."""
+    chunks, docs = P.chunks(spark, sf), P.docs(spark, sf).select("doc_id")
+    made = index.Segments(spark, new_path(spark, "segments"))
+    third = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    strangers = chunks.withColumns({"doc_id": F.concat(F.lit("x"), "doc_id"), "chunk_id": F.concat(F.lit("x"), "chunk_id")})
+    made.add(chunks.withColumn("text", F.concat("title", F.lit(" "), "title")).unionByName(strangers.filter(third == 0)), docs.filter(third != 2).unionByName(strangers.select("doc_id").distinct()))
+    made.add(chunks, docs.filter(third != 0))
+    made.add(chunks, docs.filter(third == 0).unionByName(strangers.select("doc_id").distinct()))
+    made.merge()
+    return _shown(search.best(made, search.query_terms(_queries(spark, sf))))
 
 
 @query(
@@ -204,7 +225,7 @@ def _(spark, sf):
     f"SELECT {_ID} || '.md' AS file, '# ' || lang || chr(10) || source AS content FROM documents WHERE doc_id < 12",
 )
 def _(spark, sf):
-    path = f"{shared_folder(spark)}/exports-{uuid.uuid4().hex}"
+    path = new_path(spark, "exports")
     d = _docs(spark, sf).filter("doc_id < 15").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.concat(F.lit("# "), "lang", F.lit("\n"), "source").alias("content"))
     sinks.write_exports(d, path)
     sinks.remove_exports(spark, path, d.filter("file in ('12.md', '13.md', '14.md')"))
@@ -263,27 +284,26 @@ def _(spark, sf):
     return P.table(spark, sf, "events").select("event_id", reply.alias("reply")).mapInPandas(read, "event_id long, summary string, entities string")
 
 
-def _stored(spark: SparkSession) -> store.TableStore:
-    return store.TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+def _stored(spark: SparkSession) -> store.Tables:
+    return store.Tables(spark, new_path(spark, "tables"))
 
 
-@query("store_versions", f"SELECT {_ID} || '#0' AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 'patched' ELSE substr(text, 1, 20) END AS text FROM documents WHERE doc_id % 7 <> 3")
+@query("store_versions", f"WITH {P.CHUNKS} SELECT chunk_id, CASE WHEN CAST(doc_id AS BIGINT) % 5 = 0 THEN 'patched' ELSE text END AS text FROM chunks WHERE CAST(doc_id AS BIGINT) % 7 <> 3")
 def _(spark, sf):
-    tables = _stored(spark)
-    rows = P.chunks(spark, sf).filter("chunk_index = 0").withColumn("text", F.lit(None).cast("string"))
-    d = _docs(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, 20).alias("start"))
-    every = d.join(rows.drop("text", "chunk_id", "chunk_index"), "doc_id", "left").select("doc_id", F.lit(0).alias("chunk_index"), F.concat("doc_id", F.lit("#0")).alias("chunk_id"), F.col("start").alias("text"), *[c for c in rows.columns if c not in ("doc_id", "chunk_index", "chunk_id", "text")])
-    every = every.select([f.name for f in S.CHUNKS])
-    tables.write("chunks", every)
-    tables.change("chunks", S.CHUNKS, lambda old: store.merge_chunks(old, old.filter("cast(doc_id as bigint) % 5 = 0").withColumn("text", F.lit("patched"))))
-    tables.change("chunks", S.CHUNKS, lambda old: old.filter("cast(doc_id as bigint) % 7 != 3"))
+    """Chunks of some documents patched, of others removed, in the buckets that hold them."""
+    tables, number = _stored(spark), F.col("doc_id").cast("long")
+    chunks = P.chunks(spark, sf).select([f.name for f in S.CHUNKS])
+    tables.change("chunks", S.CHUNKS, lambda _: chunks)
+    ids = P.docs(spark, sf).select("doc_id")
+    tables.change("chunks", S.CHUNKS, lambda old: old.withColumn("text", F.lit("patched")), ids.filter(number % 5 == 0))
+    tables.change("chunks", S.CHUNKS, lambda old: old.limit(0), ids.filter(number % 7 == 3))
     return tables.read("chunks", S.CHUNKS).select("chunk_id", "text")
 
 
 @query("enrich_run", f"WITH {P.CHAT} SELECT doc_id, 'done' AS status, 100 AS progress, count(*) AS enhanced FROM chat GROUP BY doc_id")
 def _(spark, sf):
     tables = _stored(spark)
-    tables.write("chunks", P.chat_chunks(spark, sf).select([f.name for f in S.CHUNKS]))
+    tables.change("chunks", S.CHUNKS, lambda _: P.chat_chunks(spark, sf).select([f.name for f in S.CHUNKS]))
     made = P.chat_chunks(spark, sf).select("doc_id").distinct().withColumn("status", F.lit("extracted"))
     tables.write("docs", made.select([F.col(f.name) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in S.DOCS]))
     runs.run(tables, enrich.FirstSentence(), budget=4)

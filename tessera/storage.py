@@ -9,7 +9,10 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 @functools.cache
@@ -53,6 +56,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows as a table of the driver's, for which no executor starts Python."""
+    arrow = to_arrow_schema(schema)
+    cols = list(zip(*rows, strict=True)) or [[]] * len(arrow)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow), schema=schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores if it has fewer partitions than there are cores: one small file is one task else.
 

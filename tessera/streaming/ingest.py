@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera import schema as S
 from tessera.operators import chunking, enrich, outline, store
-from tessera.operators.index import replace_documents
 from tessera.sources import extract
 from tessera.storage import checkpointed
 
@@ -33,21 +32,17 @@ def documents_of(files: DataFrame) -> DataFrame:
     return rows.select("doc_id", text.alias("text"), F.coalesce("clean", "pages").alias("pages"), outline.normalize_outline(entries).alias("outline"), source.alias("outline_source"), "warning")
 
 
-def chunks_of(files: DataFrame) -> DataFrame:
-    """files: doc_id, name, mime, content -> chunks, by pages where an extractor gives them."""
-    return chunking.build_chunks(documents_of(files))
-
-
 def newest(rows: DataFrame) -> DataFrame:
     """One row of each doc_id: the one uploaded last, then the one with the larger digest of its bytes."""
     order = Window.partitionBy("doc_id").orderBy(F.desc("uploaded_at"), F.desc(F.sha2("content", 256)), F.desc("name"))
     return rows.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
 
 
-def take(rows: DataFrame, tables: store.TableStore, enricher: enrich.Enricher | None = None) -> None:
-    """Writes accepted files to the tables docs, chunks and postings; doing it again changes nothing.
+def take(rows: DataFrame, tables: store.Tables, enricher: enrich.Enricher | None = None) -> None:
+    """Writes accepted files to docs, chunks and the index; doing it again changes nothing.
 
-    Only these documents are chunked, enriched and cut into tokens; in the index they replace what it has of them.
+    Only these documents are chunked, enriched and cut into tokens, only their buckets are rewritten, and the index gets
+    one segment of them.
     """
     rows = checkpointed(newest(rows))
     if not rows.limit(1).count():
@@ -56,19 +51,18 @@ def take(rows: DataFrame, tables: store.TableStore, enricher: enrich.Enricher |
     new = chunking.build_chunks(made)
     new = checkpointed(enrich.enrich(new, enricher) if enricher else new)
     ids = rows.select("doc_id")
-    old = tables.index()
-    tables.change("chunks", S.CHUNKS, lambda chunks: chunks.join(ids, "doc_id", "left_anti").unionByName(new))
+    tables.put_chunks(new, ids)
     docs = rows.select("doc_id", "name", "mime", "size", "uploaded_at").join(made.select("doc_id", "outline", "outline_source", "warning"), "doc_id")
     docs = docs.withColumn("status", F.lit("done")).withColumn("progress", F.lit(100))
     for f in S.DOCS:
         if f.name not in docs.columns:
             docs = docs.withColumn(f.name, F.lit(None).cast(f.dataType))
-    docs = checkpointed(docs)
-    tables.change("docs", S.DOCS, lambda known: store.upsert(known, docs))
-    replace_documents(old, new, ids).write(tables.index_path())
+    docs = checkpointed(docs.filter("doc_id != ''"))
+    tables.change("docs", S.DOCS, lambda _: docs, ids)
+    tables.tidy()
 
 
-def ingest(files: DataFrame, tables: store.TableStore, checkpoint: str, enricher: enrich.Enricher | None = None, seconds: int | None = 20) -> StreamingQuery:
+def ingest(files: DataFrame, tables: store.Tables, checkpoint: str, enricher: enrich.Enricher | None = None, seconds: int | None = 20) -> StreamingQuery:
     """``take`` for a stream of files, batch by batch. seconds is the least time between batches; None takes what is
     there and stops."""
     accepted, _ = extract.uploads(files)

@@ -19,7 +19,7 @@ def _has(summary: str = "summary") -> Column:
     return F.coalesce(summary, F.lit("")) != ""
 
 
-def patch_docs(tables: store.TableStore, rows: DataFrame) -> None:
+def patch_docs(tables: store.Tables, rows: DataFrame) -> None:
     """rows: doc_id and columns of documents -> the documents with these values in place of their own.
 
     A change of status that the lifecycle does not allow leaves the status as it is.
@@ -41,16 +41,16 @@ def patch_docs(tables: store.TableStore, rows: DataFrame) -> None:
 
         return both.select([value(f.name) for f in S.DOCS])
 
-    tables.change("docs", S.DOCS, change)
+    tables.change("docs", S.DOCS, change, rows.select("doc_id"))
 
 
-def cancel(tables: store.TableStore, doc_ids: DataFrame) -> None:
+def cancel(tables: store.Tables, doc_ids: DataFrame) -> None:
     """Documents that are queued or being worked on stop: a run takes none of their chunks from its next batch on."""
     active = tables.read("docs", S.DOCS).filter(F.col("status").isin(*S.RESUMABLE)).join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     patch_docs(tables, active.select("doc_id", F.lit("cancelled").alias("status")))
 
 
-def resume(tables: store.TableStore) -> DataFrame:
+def resume(tables: store.Tables) -> DataFrame:
     """doc_id, phase of documents that were cut off in a run; they are queued again."""
     docs = tables.read("docs", S.DOCS)
     found = checkpointed(lifecycle.resume_candidates(docs.select("doc_id", "status"), tables.read("chunks", S.CHUNKS)))
@@ -61,14 +61,14 @@ def resume(tables: store.TableStore) -> DataFrame:
     return found
 
 
-def _waiting(tables: store.TableStore) -> DataFrame:
+def _waiting(tables: store.Tables) -> DataFrame:
     """The chunks of documents in a run that have some without a summary."""
     active = tables.read("docs", S.DOCS).filter("status = 'enriching'").select("doc_id")
     chunks = tables.read("chunks", S.CHUNKS).join(active, "doc_id", "left_semi")
     return chunks.join(chunks.filter(~_has()).select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def run(tables: store.TableStore, enricher: enrich.Enricher, budget: int = 400, parallel: int | None = None, doc_ids: DataFrame | None = None) -> int:
+def run(tables: store.Tables, enricher: enrich.Enricher, budget: int = 400, parallel: int | None = None, doc_ids: DataFrame | None = None) -> int:
     """Enriches all documents (those of doc_ids) in batches of at most ``budget`` chunks each, and returns their number.
 
     What a batch gains is stored before the next one. A document of which a batch gains nothing is taken out of the
@@ -92,19 +92,20 @@ def run(tables: store.TableStore, enricher: enrich.Enricher, budget: int = 400,
         n = lambda rows, name: rows.groupBy("doc_id").agg(F.count_if(_has()).alias(name))
         idle = n(mine, "before").join(n(new, "after"), "doc_id").filter("after = before").select("doc_id")
         stuck = checkpointed(stuck.unionByName(idle))
-        tables.change("chunks", S.CHUNKS, lambda old, new=new: store.merge_chunks(old, new))
+        tables.patch_chunks(new)
         patch_docs(tables, enrich.coverage(new).select("doc_id", "progress"))
     _finish(tables, begun, stuck)
+    tables.tidy()
     return batches
 
 
-def _finish(tables: store.TableStore, begun: DataFrame, stuck: DataFrame) -> None:
+def _finish(tables: store.Tables, begun: DataFrame, stuck: DataFrame) -> None:
     docs = tables.read("docs", S.DOCS).filter("status = 'enriching'").join(begun.select("doc_id"), "doc_id", "left_semi")
     chunks = tables.read("chunks", S.CHUNKS).join(docs.select("doc_id"), "doc_id", "left_semi")
     made = docs.select("doc_id", "warning", F.col("summary").alias("old")).join(enrich.coverage(chunks).drop("progress"), "doc_id", "left").join(enrich.document_summary(chunks), "doc_id", "left").join(stuck.distinct().withColumn("stuck", F.lit(True)), "doc_id", "left")
     kept = F.filter(F.transform(F.split(F.coalesce("warning", F.lit("")), "；", -1), F.trim), lambda x: (x != "") & ~x.startswith(NOTE))
     note = F.format_string(NOTE + "%d/%d 个片段已有小结（覆盖 %d/%d 个章节），其余保留本地大纲", "enhanced", "chunks", "covered", "sections")
     warning = F.array_join(F.concat(kept, F.when(F.col("enhanced") < F.col("chunks"), F.array(note)).otherwise(F.array().cast("array<string>"))), "；")
-    rows = made.select("doc_id", F.when(warning != "", warning).alias("warning"), F.coalesce("summary", "old").alias("summary"), F.when(F.col("stuck"), NO_RESULT).alias("error"), F.lit("indexing").alias("status"))
+    rows = checkpointed(made.select("doc_id", F.when(warning != "", warning).alias("warning"), F.coalesce("summary", "old").alias("summary"), F.when(F.col("stuck"), NO_RESULT).alias("error"), F.lit("indexing").alias("status")))
     patch_docs(tables, rows)
     patch_docs(tables, rows.select("doc_id", F.lit("done").alias("status"), F.lit(100).alias("progress")))

@@ -211,18 +211,100 @@ def test_named_documents(spark, manual_docs):
     assert search.named_documents(q, docs, hit).count() == 0
 
 
-def test_readding_a_document_changes_nothing(spark, manual_docs):
-    _, chunks, idx = manual_docs
-    again = index.replace_documents(idx, chunks, spark.createDataFrame([("d1",)], "doc_id string"))
-    as_set = lambda df: {tuple(r) for r in df.collect()}
-    assert as_set(again.postings) == as_set(idx.postings.select(again.postings.columns)) and as_set(again.frequencies) == as_set(idx.frequencies)
-    assert again.stats() == idx.stats()
+def hits_of(found):
+    return sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9), tuple(r.terms)) for r in found.collect())
 
 
-def test_stored_index(spark, manual_docs, tmp_path):
-    manual_docs[2].write(str(tmp_path / "i"))
-    read = index.Index.read(spark, str(tmp_path / "i"))
-    assert read.stats() == manual_docs[2].stats() and read.postings.count() == manual_docs[2].postings.count()
+def test_readding_a_document_changes_nothing(spark, manual_docs, tmp_path):
+    _, chunks, idx = manual_docs
+    made = index.Segments(spark, str(tmp_path / "i"), 4)
+    for ids in (["d1", "d2", "faq"], ["d1"], ["d1", "faq"]):
+        made.add(chunks, spark.createDataFrame([(d,) for d in ids], "doc_id string"))
+    again = made.index()
+    as_set = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    for df, other, c in ((again.postings, idx.postings, ["term", "chunk_id", "tf", "length"]), (again.frequencies, idx.frequencies, ["term", "df"]), (again.lengths, idx.lengths, ["chunk_id", "length"])):
+        assert as_set(df, *c) == as_set(other, *c)
+    assert made.stats() == idx.stats()
+    assert {r.segment: r.documents for r in made.segments().collect()} == {1: 3, 2: 1, 3: 2}
+    written = lambda n: sum(p.stat().st_size for p in (tmp_path / "i").rglob(f"*/segment={n}/**/*.parquet"))
+    assert written(2) < written(1)
+    assert made.merge() == 3
+    assert made.segments().count() == 1 and not (tmp_path / "i/postings/segment=1").exists()
+    assert as_set(made.index().postings, "term", "chunk_id", "tf") == as_set(idx.postings, "term", "chunk_id", "tf") and made.stats() == idx.stats()
+    made.add(chunks.limit(0), spark.createDataFrame([("d1",), (None,), ("unknown",)], "doc_id string"))
+    assert made.index().postings.filter("doc_id = 'd1'").count() == 0 and made.stats()[0] == chunks.filter("doc_id != 'd1'").count()
+
+
+def test_index_of_nothing(spark, manual_docs, tmp_path):
+    made = index.Segments(spark, str(tmp_path / "i"), 4)
+    terms = search.query_terms(spark.createDataFrame([(0, "source nat")], "query_id int, text string"))
+    assert search.best(made, terms).count() == 0 and made.stats() == (1, 0.0) and made.merge() == 0
+    made.add(manual_docs[1].withColumn("text", F.lit("")).withColumn("title", F.lit("")).withColumn("summary", F.lit(None).cast("string")).withColumn("entities", F.array().cast("array<string>")), manual_docs[1].select("doc_id"))
+    assert search.best(made, terms).count() == 0 and made.stats() == (manual_docs[1].count(), 0.0)
+
+
+def test_pruned_search_finds_what_full_scores_rank(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(120)]
+    draw = lambda n: " ".join(vocabulary[min(int(rng.expovariate(0.06)), 119)] for _ in range(n))
+    chunks = chunk_rows(spark, [(f"d{k // 3}", k % 3, draw(2), draw(rng.randrange(3, 60))) for k in range(450)])
+    idx = index.build_index(chunks)
+    made = index.Segments(spark, str(tmp_path / "i"), 8)
+    even = F.col("doc_id").isin([f"d{k}" for k in range(0, 150, 2)])
+    made.add(chunks.withColumn("text", F.lit("w1 w2 w119")), chunks.select("doc_id").filter(~even))
+    for part in (even, ~even):
+        made.add(chunks, chunks.select("doc_id").filter(part))
+    queries = search.query_terms(spark.createDataFrame([(k, draw(rng.randrange(1, 9))) for k in range(12)] + [(99, "w119 w118")], "query_id int, text string"))
+    docs = chunks.select("doc_id").distinct().filter("doc_id < 'd4'")
+    for options in ({}, {"top_k": 12}, {"docs": docs}, {"least": 4.0}):
+        ranked = {k: v for k, v in options.items() if k != "docs"}
+        want = hits_of(search.Asked.of(idx, queries, None, options.get("docs")).with_terms(search.ranked(search.scores(idx, queries, docs=options.get("docs")), **ranked)))
+        assert hits_of(search.best(made, queries, at_once=0, **options)) == hits_of(search.best(made, queries, **options)) == want
+    near = made.narrowed(["w119"], [r[0] for r in spark.range(1).select(index.bucket_of(F.lit("w119"), 8)).collect()])
+    plan = near.postings._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(term,w119)" in plan
+
+
+def test_tables_change_buckets_only(spark, tmp_path):
+    tables = store.Tables(spark, str(tmp_path / "t"), 8)
+    chunks = chunk_rows(spark, [(f"d{k}", 0, "t", f"text no{k}") for k in range(40)])
+    tables.write("chunks", chunks)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t/chunks").rglob("*.parquet")}
+    before = files()
+    tables.patch_chunks(chunk_rows(spark, [("d7", 0, "t", "other words"), ("d7", 1, "t", "more")]))
+    changed = {p.parent.name for p in before.keys() ^ files().keys()}
+    assert len(changed) == 1
+    assert {r.chunk_id: r.text for r in tables.read("chunks", S.CHUNKS, ["d7", "d9"]).collect()} == {"d7#0": "other words", "d7#1": "more", "d9#0": "text no9"}
+    plan = tables.read("chunks", S.CHUNKS, ["d7"])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    ask = lambda t: [r.chunk_id for r in search.best(tables.segments(), search.query_terms(spark.createDataFrame([(0, t)], "query_id int, text string"))).collect()]
+    assert ask("other") == ["d7#0"] and ask("no7") == []
+    tables.put_chunks(chunks.limit(0), spark.createDataFrame([("d7",), ("d8",)], "doc_id string"))
+    assert tables.read("chunks", S.CHUNKS).count() == 38 and ask("other") == [] and ask("no9") == ["d9#0"]
+    tables.write("chunks", chunks.limit(0))
+    assert tables.read("chunks", S.CHUNKS).count() == 0 and ask("no9") == []
+
+
+def test_two_writers_take_turns(spark, tmp_path):
+    tables, other = (store.Tables(spark, str(tmp_path / "t"), 4) for _ in range(2))
+    docs = doc_rows(spark, [(d, d, None, None) for d in "abc"])
+    tables.write("docs", docs)
+
+    def meet(rows):
+        with pytest.raises(store.Busy):
+            other.change("docs", S.DOCS, lambda d: d.limit(0), wait=0.3)
+        return rows.withColumn("name", F.lit("new"))
+
+    tables.change("docs", S.DOCS, meet, docs.select("doc_id").limit(1))
+    other.change("docs", S.DOCS, lambda d: d.withColumn("mime", F.lit("x")))
+    assert sorted((r.name, r.mime) for r in other.read("docs", S.DOCS).collect()) == sorted([("new", "x"), ("b", "x"), ("c", "x")])
+    with pytest.raises(ZeroDivisionError):
+        tables.change("docs", S.DOCS, lambda d: 1 / 0)
+    tables.change("docs", S.DOCS, lambda d: d.filter("doc_id = 'b'"))
+    assert other.read("docs", S.DOCS).count() == 1
 
 
 def test_citations(spark):
@@ -271,10 +353,10 @@ def test_store_changes(spark, tmp_path):
     assert {r.chunk_id for r in store.set_chunks(chunks, patch).collect()} == {"a#1", "b#0", "c#0"}
     once = store.merge_chunks(chunks, patch)
     assert sorted(map(tuple, store.merge_chunks(once, patch).collect())) == sorted(map(tuple, once.collect()))
-    tables = store.TableStore(spark, str(tmp_path / "t"))
-    assert tables.version("chunks") == 0 and tables.read("chunks", S.CHUNKS).count() == 0
-    assert tables.write("chunks", chunks) == 1
-    assert tables.write("chunks", store.merge_chunks(tables.read("chunks", S.CHUNKS), patch)) == 2
+    tables = store.Tables(spark, str(tmp_path / "t"))
+    assert tables.read("chunks", S.CHUNKS).count() == 0
+    tables.write("chunks", chunks)
+    tables.change("chunks", S.CHUNKS, lambda old: store.merge_chunks(old, patch))
     assert tables.read("chunks", S.CHUNKS).count() == 4
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tessera import schema as S
 from tessera.api import KnowledgeBase, bounded_int
-from tessera.operators import enrich, export, folders, listing
+from tessera.operators import chunking, enrich, export, folders, listing
 from tessera.plans import catalogue
 from tessera.sources import extract, sinks
 from tessera.operators import store
@@ -181,7 +181,7 @@ class Picky:
 
 
 def run_tables(spark, path):
-    tables = store.TableStore(spark, str(path))
+    tables = store.Tables(spark, str(path))
     docs = doc_rows(spark, [(d, f"{d}.md", None, None) for d in ("good", "bad", "half", "gone", "empty")])
     docs = docs.withColumn("status", F.when(F.col("doc_id") == "gone", "cancelled").otherwise("extracted"))
     tables.write("docs", docs)
@@ -216,17 +216,6 @@ def test_runs_cancel_and_resume(spark, tmp_path):
     assert status()["good"] == "cancelled" and status()["bad"] == "extracted"
     one("half", "enriching")
     assert [(r.doc_id, r.phase) for r in runs.resume(tables).collect()] == [("half", "enrich")] and status()["half"] == "queued"
-    held = tables.read("docs", S.DOCS)
-    other = store.TableStore(spark, str(tmp_path / "t"))
-    seen = []
-
-    def change(docs):
-        if not seen:
-            seen.append(other.write("docs", held))
-        return docs.filter("doc_id != 'empty'")
-
-    tables.change("docs", S.DOCS, change)
-    assert "empty" not in status() and len(status()) == 4
 
 
 def test_followed_refuses(spark):
@@ -248,7 +237,7 @@ def test_ingested_documents_have_outlines(spark, tmp_path, monkeypatch):
     assert got["n"].outline == [] and got["n"].outline_source is None
     assert [(e.level, e.title, e.page, e.path) for e in got["p"].outline] == [(1, "Part", 1, None), (3, "Deep", 9, ["Part"])]
     assert got["p"].outline_source == "pdf-bookmarks" and "Head" not in got["p"].text and "body 3" in got["p"].pages[3] and "- 3 -" not in got["p"].pages[3]
-    chunks = ingest.chunks_of(files).filter("doc_id = 'p'").collect()
+    chunks = chunking.build_chunks(ingest.documents_of(files)).filter("doc_id = 'p'").collect()
     assert [(c.title, c.section_path, c.page) for c in chunks] == [("Part", ["Part"], 1)]
 
 
