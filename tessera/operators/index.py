@@ -86,8 +86,9 @@ class Segments:
             return None
 
     def _put(self, rows: DataFrame, name: str, by: list[str], parts: list[str]) -> None:
-        files = -(-max(1, rows.count()) // FILE_ROWS)
-        rows.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("append").partitionBy(*parts).parquet(f"{self.path}/{name}")
+        files = -(-rows.count() // FILE_ROWS)
+        dealt = rows.repartitionByRange(files, *by) if files > 1 else rows.coalesce(1)
+        dealt.sortWithinPartitions(*by).write.mode("append").partitionBy(*parts).parquet(f"{self.path}/{name}")
 
     def segments(self) -> DataFrame:
         """segment, documents, chunks: what stands in each segment, replaced documents included."""

@@ -10,6 +10,7 @@ from tessera import schema as S
 from tessera.operators import chunking, enrich, outline, store
 from tessera.sources import extract
 from tessera.storage import checkpointed
+from tessera.streaming import states
 
 
 def documents_of(files: DataFrame) -> DataFrame:
@@ -63,9 +64,9 @@ def take(rows: DataFrame, tables: store.Tables, enricher: enrich.Enricher | None
 
 
 def ingest(files: DataFrame, tables: store.Tables, checkpoint: str, enricher: enrich.Enricher | None = None, seconds: int | None = 20) -> StreamingQuery:
-    """``take`` for a stream of files, batch by batch. seconds is the least time between batches; None takes what is
+    """``take`` for a stream of files, batch by batch; a file that is offered again unchanged is not taken again. seconds is the least time between batches; None takes what is
     there and stops."""
-    accepted, _ = extract.uploads(files)
+    accepted, _ = extract.uploads(states.offered_once(files, keys=("doc_id", "uploaded_at")))
     writer = accepted.writeStream.foreachBatch(lambda rows, _: take(rows, tables, enricher)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
