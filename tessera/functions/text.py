@@ -228,8 +228,15 @@ def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def _count(items: Column, t: Column) -> Column:
-    return F.size(F.filter(items, lambda x: x == t))
+def _counter(items: Column) -> Column:
+    """An array sorted in both ways, from which ``_times`` tells how often a value occurs."""
+    return bound(F.array_sort(items), lambda s: F.struct(s.alias("up"), F.reverse(s).alias("down")))
+
+
+def _times(c: Column, t: Column) -> Column:
+    """Equal values stand side by side in a sorted array, so their first and last places give their number."""
+    first = F.array_position(c["up"], t)
+    return F.when(first > 0, F.size(c["up"]) + 2 - F.array_position(c["down"], t) - first).otherwise(0)
 
 
 def _pieces(w: Column) -> Column:
@@ -255,11 +262,11 @@ def entities(x: Column | str, most: int = S.CHUNK_ENTITIES) -> Column:
     parts = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(f"[{IDEOGRAPHS}]{{2,6}}"), F.lit(0)), _pieces))
 
     def best(found: Column) -> Column:
-        plain, parts, often = found["plain"], found["parts"], found["often"]
-        score = lambda w: _count(plain, w) + F.when(F.array_contains(often, w), _count(parts, w)).otherwise(0)
+        plain, often = found["plain"], found["often"]
+        score = lambda w: _times(found["plains"], w) + F.when(F.array_contains(often, w), _times(found["pieces"], w)).otherwise(0)
         terms = F.array_distinct(F.concat(plain, often))
         ranked = F.array_sort(F.transform(terms, lambda w, i: F.struct((-score(w)).alias("s"), i.alias("i"), w.alias("w"))))
         return F.transform(F.slice(ranked, 1, most), lambda r: r["w"])
 
-    found = bound(F.struct(plain.alias("plain"), parts.alias("parts")), lambda f: F.struct(f["plain"].alias("plain"), f["parts"].alias("parts"), _recurring(f["parts"]).alias("often")))
+    found = bound(F.struct(plain.alias("plain"), parts.alias("parts")), lambda f: F.struct(f["plain"].alias("plain"), _counter(f["plain"]).alias("plains"), _counter(f["parts"]).alias("pieces"), _recurring(f["parts"]).alias("often")))
     return bound(found, best)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import re
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -20,9 +20,9 @@ SEEN = 4000
 
 
 class Enricher(Protocol):
-    """Made on the driver and sent to tasks; returns summary, entities and relations, or None."""
+    """Made on the driver and sent to tasks; returns summary, entities and relations, or a reply in JSON with these, or None."""
 
-    def __call__(self, title: str, text: str) -> tuple[str, list[str], list[str]] | None: ...
+    def __call__(self, title: str, text: str) -> tuple[str, list[str], list[str]] | str | None: ...
 
 
 class FirstSentence:
@@ -35,16 +35,40 @@ class FirstSentence:
         return (s if len(s) <= 90 else s[:89].rstrip() + "…", [], []) if s else None
 
 
-def parse_enrichment(reply: str) -> tuple[str, list[str], list[str]] | None:
-    """A reply in JSON, with or without a code fence; entries that are no strings are left out."""
-    try:
-        x = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", reply.strip()))
-    except ValueError:
-        return None
-    if not isinstance(x, dict) or not isinstance(x.get("summary"), str):
-        return None
-    lists = [[v for v in x.get(k, []) if isinstance(v, str)] if isinstance(x.get(k, []), list) else [] for k in ("entities", "relations")]
-    return x["summary"], lists[0], lists[1]
+class Retrying:
+    """An enricher that asks another one again, after waits that double, when it raises; its last error is raised."""
+
+    def __init__(self, enricher: Enricher, tries: int = 3, wait: float = 0.5):
+        self.enricher, self.tries, self.wait = enricher, tries, wait
+
+    def __call__(self, title: str, text: str) -> tuple[str, list[str], list[str]] | str | None:
+        for k in range(self.tries - 1):
+            try:
+                return self.enricher(title, text)
+            except Exception:  # whatever a backend may raise
+                time.sleep(self.wait * 2**k)
+        return self.enricher(title, text)
+
+
+def parse_reply(reply: str | Column) -> Column:
+    """A reply in JSON, with or without a code fence, as struct summary, entities, relations; null if it is no JSON, or null.
+
+    A summary that is no string is empty; entries of lists that are no strings are left out, and what is no list is an
+    empty one. A reply that repeats a name is no JSON here.
+    """
+    r = F.col(reply) if isinstance(reply, str) else reply
+    inner = X.trim(F.regexp_replace(F.regexp_replace(r, "^(?i)```(?:json)?", ""), "```$", ""))
+    v = F.try_parse_json(inner)
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit(""))
+
+    def strings(name: str) -> Column:
+        items = F.try_variant_get(v, f"$.{name}", "array<variant>")
+        kept = F.transform(F.filter(items, lambda x: kind(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+        return F.coalesce(kept, F.array().cast("array<string>"))
+
+    told = F.try_variant_get(v, "$.summary", "variant")
+    summary = F.when(kind(told) == "STRING", F.try_variant_get(v, "$.summary", "string")).otherwise(F.lit(""))
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), F.struct(summary.alias("summary"), strings("entities").alias("entities"), strings("relations").alias("relations")))
 
 
 def select_targets(chunks: DataFrame, budget: int) -> DataFrame:
@@ -65,27 +89,46 @@ def merged(own: Column, more: Column, most: int) -> Column:
     return F.slice(F.array_distinct(F.filter(F.transform(F.concat(own, more), X.trim), lambda x: x != "")), 1, most)
 
 
-def enrich(chunks: DataFrame, enricher: Enricher, budget: int = 400, parallel: int | None = None) -> DataFrame:
-    """chunks with summary, entities and links of those without a summary extended by the scorer."""
-    missing = chunks.filter(F.coalesce("summary", F.lit("")) == "")
-    todo = select_targets(missing, budget).select("chunk_id", "title", X.cut(F.col("text"), SEEN).alias("text"))
+def asked(todo: DataFrame, enricher: Enricher, parallel: int | None = None) -> DataFrame:
+    """todo: chunk_id, title, text -> chunk_id, summary, entities, relations, failure.
+
+    ``parallel`` is how many chunks are asked for at a time: as many tasks, which ask one after the other. An enricher
+    that raises fails for its chunk only, with the error as ``failure``.
+    """
     todo = todo.repartition(parallel) if parallel else todo
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [enricher(t, x) for t, x in zip(f["title"], f["text"], strict=True)]
-            rows = [(k, *x) for k, x in zip(f["chunk_id"], found, strict=True) if x and x[0]]
-            yield pd.DataFrame(rows, columns=["chunk_id", "new_summary", "new_entities", "relations"])
+            rows = []
+            for k, t, x in zip(f["chunk_id"], f["title"], f["text"], strict=True):
+                found, failure = None, None
+                try:
+                    found = enricher(t, x)
+                except Exception as e:  # whatever a backend may raise
+                    failure = f"{type(e).__name__}: {e}"
+                rows.append((k, *(found if isinstance(found, tuple) else (None, None, None)), found if isinstance(found, str) else None, failure))
+            yield pd.DataFrame(rows, columns=["chunk_id", "told", "named", "related", "reply", "failure"])
+
+    got = todo.mapInPandas(run, "chunk_id string, told string, named array<string>, related array<string>, reply string, failure string").withColumn("parsed", parse_reply("reply"))
+    return got.select("chunk_id", F.coalesce("told", "parsed.summary").alias("summary"), F.coalesce("named", "parsed.entities").alias("entities"), F.coalesce("related", "parsed.relations").alias("relations"), "failure")
+
 
-    got = todo.mapInPandas(run, "chunk_id string, new_summary string, new_entities array<string>, relations array<string>")
+def enrich(chunks: DataFrame, enricher: Enricher, budget: int = 400, parallel: int | None = None) -> DataFrame:
+    """chunks with summary, entities and links of those without a summary extended by the scorer.
+
+    A result without a summary still adds its entities and links; its chunk stays one without a summary.
+    """
+    missing = chunks.filter(F.coalesce("summary", F.lit("")) == "")
+    todo = select_targets(missing, budget).select("chunk_id", "title", X.cut(F.col("text"), SEEN).alias("text"))
+    got = asked(todo, enricher, parallel).select("chunk_id", F.col("summary").alias("new_summary"), F.col("entities").alias("new_entities"), "relations")
     none = F.array().cast("array<string>")
-    hit = F.col("new_summary").isNotNull()
+    more = lambda own, new, most: F.when(F.size(new) > 0, merged(F.coalesce(own, none), F.col(new), most)).when(F.col("new_summary") != "", merged(F.coalesce(own, none), none, most)).otherwise(F.col(own))
     rows = chunks.join(got, "chunk_id", "left")
     return rows.withColumns(
         {
-            "entities": F.when(hit, merged(F.coalesce("entities", none), F.col("new_entities"), S.CHUNK_ENTITIES)).otherwise(F.col("entities")),
-            "links": F.when(hit, merged(F.coalesce("links", none), F.col("relations"), S.CHUNK_LINKS)).otherwise(F.col("links")),
-            "summary": F.coalesce("new_summary", "summary"),
+            "entities": more("entities", "new_entities", S.CHUNK_ENTITIES),
+            "links": more("links", "relations", S.CHUNK_LINKS),
+            "summary": F.when(F.col("new_summary") != "", F.col("new_summary")).otherwise(F.col("summary")),
         }
     ).select(chunks.columns)
 

@@ -13,26 +13,17 @@ from tessera import schema as S
 from tessera.functions import text as X
 
 
-def _levels(start: DataFrame, step, rounds: int = S.FOLDER_DEPTH + 1) -> DataFrame:
-    """start and what step makes of each level in turn, at most ``rounds`` times."""
-    found, level = start, start
-    for _ in range(rounds):
-        level = step(level)
-        found = found.unionByName(level)
-    return found
-
-
 def ancestors(folders: DataFrame) -> DataFrame:
-    """folder_id, ancestor_id, up (0 for itself): the way to the root; unknown parents end it."""
-    links = folders.select(F.col("folder_id").alias("f"), "parent_id")
-    start = folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("up"))
-
-    def step(level: DataFrame) -> DataFrame:
-        above = level.join(links, F.col("ancestor_id") == F.col("f")).filter("parent_id is not null").select("folder_id", F.col("parent_id").alias("p"), (F.col("up") + 1).alias("up"))
-        return above.join(links.select(F.col("f").alias("ancestor_id")), F.col("p") == F.col("ancestor_id")).filter("p != folder_id").select("folder_id", "ancestor_id", "up")
-
-    found = _levels(start, step)
-    return found.groupBy("folder_id", "ancestor_id").agg(F.min("up").alias("up"))
+    """folder_id, ancestor_id, up (0 for itself): the way to the root; unknown parents end it, and the depth limit a cycle."""
+    return folders.sparkSession.sql(
+        f"""WITH RECURSIVE way(folder_id, ancestor_id, next_id, up) AS (
+          SELECT folder_id, folder_id, parent_id, 0 FROM {{folders}}
+          UNION ALL
+          SELECT way.folder_id, above.folder_id, above.parent_id, up + 1 FROM way JOIN {{folders}} above ON above.folder_id = next_id
+          WHERE above.folder_id <> way.folder_id AND up <= {S.FOLDER_DEPTH})
+        SELECT folder_id, ancestor_id, min(up) AS up FROM way GROUP BY folder_id, ancestor_id""",
+        folders=folders.select("folder_id", "parent_id"),
+    )
 
 
 def paths(folders: DataFrame) -> DataFrame:
@@ -66,12 +57,18 @@ def doc_counts(folders: DataFrame, docs: DataFrame) -> DataFrame:
     return folders.select("folder_id").join(n, "folder_id", "left").join(below, "folder_id", "left").select("folder_id", F.coalesce("n", F.lit(0)).cast("long").alias("docs"), F.coalesce("below", F.lit(0)).cast("long").alias("docs_below"))
 
 
-def display_order(folders: DataFrame) -> DataFrame:
-    """folder_id, depth, place: the tree depth-first, siblings by name; folders with an unknown parent are roots."""
-    way = ancestors(folders).join(folders.select(F.col("folder_id").alias("ancestor_id"), "name"), "ancestor_id")
-    key = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("k"), "name", "ancestor_id"))), lambda x: F.concat(F.lower(x["name"]), F.lit("\x01"), x["ancestor_id"])), "\x00")
-    rows = way.groupBy("folder_id").agg(key.alias("key"), (F.max("up") + 1).alias("depth"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("key"))).drop("key")
+def display_order(folders: DataFrame, collation: str = "zh") -> DataFrame:
+    """folder_id, depth, place: the tree depth-first, siblings by name; folders with an unknown parent are roots.
+
+    Names are compared by a collation of ICU: letters without regard to accents and case first, Chinese by pinyin.
+    """
+    known = folders.select(F.col("folder_id").alias("parent_id"), F.lit(True).alias("known"))
+    rows = folders.join(known, "parent_id", "left").withColumn("under", F.when(F.col("known"), F.col("parent_id")))
+    among = F.row_number().over(Window.partitionBy("under").orderBy(F.collate("name", collation), "folder_id"))
+    way = ancestors(folders).join(rows.select(F.col("folder_id").alias("ancestor_id"), among.alias("nth")), "ancestor_id")
+    key = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("k"), "nth", "ancestor_id"))), lambda x: F.struct(x["nth"], x["ancestor_id"]))
+    placed = way.groupBy("folder_id").agg(key.alias("key"), (F.max("up") + 1).alias("depth"))
+    return placed.withColumn("place", F.row_number().over(Window.orderBy("key"))).drop("key")
 
 
 class FolderError(ValueError):

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tessera import schema as S
 from tessera.functions import text as X
+from tessera.operators import containment
 from tessera.operators.index import Index, Segments, bucket_of
 from tessera.storage import checkpointed, local_table
 
@@ -174,8 +175,7 @@ def named_documents(queries: DataFrame, docs: DataFrame, hits: DataFrame) -> Dat
     title_like = (F.length(t) >= 2) & (F.length(t) <= 60) & ~t.rlike(QUESTION) & ~(t.rlike(f"[{X.WS}]") & t.rlike(f"[{X.IDEOGRAPHS}]"))
     asked = queries.filter(title_like).select("query_id", F.lower(t).alias("q"))
     names = docs.select("doc_id", "name", F.lower("name").alias("n"))
-    few = asked.limit(1001).count() <= 1000
-    pairs = names.join(F.broadcast(asked) if few else asked, F.contains("n", "q") | F.contains("q", "n"))
+    pairs = names.join(containment.containing(names, asked), "n").join(asked, "q")
     return pairs.join(hits.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "name")
 
 
@@ -213,8 +213,3 @@ def cited_passages(answer: F.Column, total: F.Column) -> F.Column:
     """The distinct numbers from 1 to total in [n] marks, ascending."""
     numbers = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,3})\]"), F.lit(1)), lambda x: x.cast("int"))
     return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: (n >= 1) & (n <= total))))
-
-
-def kept_references(cited: F.Column, total: F.Column) -> F.Column:
-    """The passages that stay references: up to the highest cited one, all if none is cited."""
-    return F.sequence(F.lit(1), F.when(F.size(cited) > 0, F.array_max(cited)).otherwise(total))

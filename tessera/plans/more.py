@@ -270,18 +270,19 @@ def _(spark, sf):
     return ingest.newest(rows).select("doc_id", "taken")
 
 
-@query("enrichment_replies", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 'about ' || event_type END AS summary, CASE WHEN event_id % 3 < 2 THEN event_type || '|' || user_id END AS entities FROM events")
+@query(
+    "enrichment_replies",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'about ' || event_type WHEN 1 THEN 'about ' || event_type WHEN 2 THEN '' WHEN 3 THEN '' END AS summary,
+    CASE event_id % 5 WHEN 0 THEN event_type || '|' || user_id WHEN 1 THEN event_type || '|' || user_id WHEN 2 THEN event_type || '|' || user_id WHEN 3 THEN '' END AS entities FROM events""",
+)
 def _(spark, sf):
-    body = F.concat(F.lit('{"summary": "about '), "event_type", F.lit('", "entities": ["'), "event_type", F.lit('", 7, "'), F.col("user_id").cast("string"), F.lit('"], "relations": "none"}'))
-    k = F.col("event_id") % 3
-    reply = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.lit("no answer"))
-
-    def read(frames):
-        for f in frames:
-            found = [enrich.parse_enrichment(x) for x in f["reply"]]
-            yield f[["event_id"]].assign(summary=[x and x[0] for x in found], entities=[x and "|".join(x[1]) for x in found])
-
-    return P.table(spark, sf, "events").select("event_id", reply.alias("reply")).mapInPandas(read, "event_id long, summary string, entities string")
+    """Replies: plain, fenced, without a summary, an array, and no JSON."""
+    names = F.concat(F.lit('"entities": ["'), "event_type", F.lit('", 7, null, "'), F.col("user_id").cast("string"), F.lit('"], "relations": "none"}'))
+    body = F.concat(F.lit('{"summary": "about '), "event_type", F.lit('", '), names)
+    k = F.col("event_id") % 5
+    reply = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit('{"summary": 5, '), names)).when(k == 3, F.lit("[]")).otherwise(F.lit("no answer"))
+    parsed = P.table(spark, sf, "events").select("event_id", enrich.parse_reply(reply).alias("x"))
+    return parsed.select("event_id", "x.summary", _joined("x.entities").alias("entities"))
 
 
 def _stored(spark: SparkSession) -> store.Tables:

@@ -73,8 +73,83 @@ def test_enrichment(spark):
     cover = enrich.coverage(done).first()
     assert (cover.chunks, cover.enhanced, cover.sections, cover.covered, cover.progress) == (9, 4, 3, 3, 44)
     assert enrich.document_summary(done).first().summary.startswith("Sentence number 0 is here. Sentence number 1")
-    assert enrich.parse_enrichment('```json\n{"summary": "s", "entities": ["a", 1]}\n```') == ("s", ["a"], [])
-    assert enrich.parse_enrichment("nonsense") is None and enrich.parse_enrichment("[]") is None
+
+
+def test_replies(spark):
+    replies = ['```json\n{"summary": "s", "entities": ["a", 1, null, {"b": 2}, "c"]}\n```', "nonsense", "[]", "null", '{"entities": ["x"], "relations": {"y": 1}}', ' {"summary": null, "relations": ["r"]} ', "5", None, "", '```JSON{"summary": "\u00e9"}```']
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(replies)], "k int, reply string")
+    got = [r.x and tuple(r.x) for r in rows.select("k", enrich.parse_reply("reply").alias("x")).orderBy("k").collect()]
+    assert got == [("s", ["a", "c"], []), None, ("", [], []), None, ("", ["x"], []), ("", [], ["r"]), ("", [], []), None, None, ("é", [], [])]
+
+
+class Replies:
+    """A backend that answers in JSON, fails for some chunks for good, and for others once in each task."""
+
+    def __init__(self):
+        self.seen = set()
+
+    def __call__(self, title, text):
+        if "broken" in text:
+            raise OSError("no line")
+        if "late" in text and title not in self.seen:
+            self.seen.add(title)
+            raise TimeoutError("slow")
+        return '{"summary": "", "entities": ["E"]}' if "mute" in text else f'{{"summary": "about {title}", "entities": ["E"], "relations": ["R"]}}'
+
+
+def test_a_backend_that_replies_and_fails(spark):
+    chunks = chunk_rows(spark, [("d", k, f"t{k}", text, {"entities": ["A"]}) for k, text in enumerate(["fine", "broken", "late", "mute"])])
+    got = {r.chunk_index: (r.summary, r.entities, r.links) for r in enrich.enrich(chunks, enrich.Retrying(Replies(), wait=0.01), parallel=2).collect()}
+    assert got == {0: ("about t0", ["A", "E"], ["R"]), 1: (None, ["A"], []), 2: ("about t2", ["A", "E"], ["R"]), 3: (None, ["A", "E"], [])}
+    told = {r.chunk_id: r.failure for r in enrich.asked(chunks.select("chunk_id", "title", "text"), Replies()).collect()}
+    assert told == {"d#0": None, "d#1": "OSError: no line", "d#2": "TimeoutError: slow", "d#3": None}
+
+
+def test_folders_are_sorted_as_people_sort(spark):
+    rows = [("1", "zebra", None), ("2", "Äpfel", None), ("3", "apfel", None), ("4", "Zoo", None), ("5", "北京", None), ("6", "安全", None), ("7", "émile", "1"), ("8", "Eve", "1"), ("9", "eve", "1"), ("10", "lost", "gone")]
+    df = spark.createDataFrame([(f, n, p, None, 1) for f, n, p in rows], S.FOLDERS)
+    order = [r.folder_id for r in folders.display_order(df).orderBy("place").collect()]
+    assert order == ["6", "5", "3", "2", "10", "1", "7", "9", "8", "4"] or order == ["3", "2", "10", "1", "7", "9", "8", "4", "6", "5"]
+    plan = folders.ancestors(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "UnionLoop" in plan
+
+
+def test_containment_of_many_in_many(spark):
+    from itertools import product
+
+    from tessera.operators import containment, search
+
+    rng = __import__("random").Random(4)
+    words = [""] + ["".join(rng.choice("ab漢é") for _ in range(rng.randrange(1, 9))) for _ in range(120)]
+    names, queries = words[:80] + [None], words[60:] + ["x" * 12, None]
+    rows = lambda xs, c: spark.createDataFrame([(x,) for x in xs], f"{c} string")
+    found = containment.containing(rows(names, "n"), rows(queries, "q"))
+    want = {(n, q) for n, q in product(names, queries) if n is not None and q is not None and (n in q or q in n)}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    asked = spark.createDataFrame([(0, "ab漢")], "query_id int, text string")
+    plan = search.named_documents(asked, doc_rows(spark, [("d", "ab漢é.pdf", None, None)]), spark.createDataFrame([], "query_id int, doc_id string"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = spark.createDataFrame([(["abc", None, ""], ["b", "bc", "", None, "zz", "b"], ["B", "BC", "-", "n", "Z", "b"])], "t array<string>, p array<string>, n array<string>").select(containment.contained("t", "p", "n")).first()[0]
+    assert got == [["B", "BC", "-", "b"], [], ["-"]]
+
+
+def test_links_of_a_long_document_take_time_in_proportion(spark):
+    import time
+
+    from tessera.operators import chunking
+
+    took = []
+    for n in (600, 2400):
+        text = "\n\n".join(f'The Quick{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} Fox met "term {k}" near term {k - 3} again. ' + "word " * 160 for k in range(n))
+        df = spark.createDataFrame([("d", text)], "doc_id string, text string")
+        best = []
+        for _ in range(2):
+            began = time.time()
+            rows = chunking.local_chunks(df).select("links").collect()
+            best.append(time.time() - began)
+        took.append(min(best))
+        assert len(rows) == n and sum(len(r.links) > 0 for r in rows) > n // 2
+    assert took[1] < 8 * took[0] + 2
 
 
 def docx():
