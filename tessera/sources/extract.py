@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as X
+from tessera.sources import pdf
 
 # Types that are taken, and the type of an extension.
 TYPES = {
@@ -120,40 +121,18 @@ def _printable(data: bytes) -> str:
 _LITERAL = re.compile(rb"\((?:[^()\\]|\\.)*\)", re.S)
 
 
-#: Pages that are read of a PDF.
-MOST_PAGES = 3000
-
-
-def _bookmarks(reader: object, items: list) -> list[dict]:
-    """A reader's outline (entries, each followed by the list of those below it) as nested title, page and items."""
-    out: list[dict] = []
-    for x in items:
-        if isinstance(x, list):
-            (out[-1]["items"] if out else out).extend(_bookmarks(reader, x))
-            continue
-        try:
-            page = reader.get_destination_page_number(x) + 1
-        except Exception:
-            page = 0
-        out.append({"title": str(getattr(x, "title", "") or ""), "page": page, "items": []})
-    return out
+# Fixed value: the note on a file of more pages than are read.
+TOO_LONG = "PDF 共 {} 页，已截取前 {} 页以避免解析耗尽资源"
 
 
 def pdf_text(data: bytes) -> tuple[str, list[str] | None, str | None, str | None]:
-    """Text, pages, a warning and bookmarks as JSON. An installed reader gives pages and bookmarks; else string
-    literals are salvaged, also from deflated streams."""
-    try:
-        from pypdf import PdfReader
-    except ImportError:
-        PdfReader = None
-    if PdfReader is not None:
-        try:
-            reader = PdfReader(io.BytesIO(data))
-            pages = [_page_text(p) for p in reader.pages[:MOST_PAGES]]
-            if any(p.strip() for p in pages):
-                return "\n".join(pages), pages, None, _outline_json(reader)
-        except Exception:
-            pages = []
+    """Text, pages, a warning and bookmarks as JSON. Where no page has text, string literals are salvaged, also from
+    deflated streams."""
+    doc = pdf.opened(data)
+    pages = ["\n".join(pdf.lines_of(doc, p)) for p in doc.pages()] if doc else []
+    if any(pages):
+        total = doc.count()
+        return re.sub(r"[ \t]+\n", "\n", "\n\n".join(pages)).strip(), pages, TOO_LONG.format(total, len(pages)) if total > len(pages) else None, pdf.bookmarks_of(doc)
     bodies = [data]
     for m in re.finditer(rb"stream\r?\n(.*?)endstream", data, re.S):
         try:
@@ -170,22 +149,6 @@ def pdf_text(data: bytes) -> tuple[str, list[str] | None, str | None, str | None
     return text or _printable(data), None, "the file's text was salvaged from its bytes and may be incomplete", None
 
 
-def _page_text(page: object) -> str:
-    """A page that cannot be read is empty."""
-    try:
-        return page.extract_text() or ""
-    except Exception:
-        return ""
-
-
-def _outline_json(reader: object) -> str | None:
-    try:
-        return json.dumps(_bookmarks(reader, reader.outline)) if reader.outline else None
-    except Exception:
-        return None
-
-
-# Which branch takes a file.
 def route(files: DataFrame) -> DataFrame:
     """files: name, mime, content -> with kind: pdf, html, pdf-as-html, pdf-as-text, json, docx, text or other."""
     ext, mime = extension("name"), F.lower(F.coalesce("mime", F.lit("")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera import schema as S
+from tessera.functions import text as X
 from tessera.operators import chunking, enrich, outline, store
 from tessera.sources import extract
 from tessera.storage import checkpointed
@@ -29,7 +30,7 @@ def documents_of(files: DataFrame) -> DataFrame:
     rows = rows.join(clean, "doc_id", "left").join(marked, "doc_id", "left").join(found, "doc_id", "left")
     source = F.when(F.size("marked") > 0, "pdf-bookmarks").when(F.size("found") > 0, "text-headings")
     entries = F.when(F.size("marked") > 0, F.col("marked")).otherwise(F.col("found"))
-    text = F.when(F.size("clean") > 0, F.array_join("clean", "\n")).otherwise(F.col("text"))
+    text = F.when(F.size("clean") > 0, X.trim(F.array_join("clean", "\n\n"))).otherwise(F.col("text"))
     return rows.select("doc_id", text.alias("text"), F.coalesce("clean", "pages").alias("pages"), outline.normalize_outline(entries).alias("outline"), source.alias("outline_source"), "warning")
 
 
