@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded, fresh, materialize, prepare, stored
 
 PERCENT = 75
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 SLOT_BITS = 18
 SPACES = r"[\x20\x09-\x0D]+"
 #: Classes of a group from which its first one is compared with all others before these are paired.

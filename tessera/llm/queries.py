@@ -183,7 +183,7 @@ FROM w LEFT JOIN kept USING (doc_id)
 OP8_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
 w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
-s AS (SELECT doc_id, line_no, list_sort(list_distinct(ws)) AS toks FROM w WHERE len(ws) >= 5),
+s AS (SELECT doc_id, line_no, list_sort(list_distinct(ws)) AS toks FROM w WHERE len(ws) >= 1),
 c AS (SELECT toks, min((doc_id, line_no)) AS place, len(toks) AS n, row_number() OVER () AS cls FROM s GROUP BY toks),
 t AS (SELECT cls, n, place, unnest(toks) AS tok FROM c),
 f AS (SELECT tok, count(*) AS df FROM t GROUP BY tok),

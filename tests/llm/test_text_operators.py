@@ -292,7 +292,7 @@ def test_largest_narrows(spark, monkeypatch):
         assert importance.largest(rows, k) == order[k - 1]
 
 
-def lines_brute(rows, least=5):
+def lines_brute(rows, least=1):
     found = []
     for at, (k, t, _, _) in enumerate(rows):
         for n, line in enumerate((t or "").split("\n")):
@@ -350,11 +350,11 @@ def test_line_dedup_keys_lines_by_row(spark):
     rng = random.Random(15)
     a, b, c, d, e = (words(rng, 12, 5000) for _ in range(5))
     rows = [(1, a, "en", "s"), (None, f"{b}\n{a}", "en", "s"), (None, f"{c}\n{d}", "en", "s"), (5, f"x\n{e}", "en", "s"), (5, f"y\n{e}", "en", "s"), (5, f"y\n{e}", "fr", "s")]
-    out = [r.text for r in line_dedup.dedupe(table(spark, rows)).collect()]
+    out = [r.text for r in line_dedup.dedupe(table(spark, rows), least=5).collect()]
     kept = collections.Counter(x for t in out for x in t.split("\n"))
     assert kept == collections.Counter([a, b, c, d, e, "x", "y", "y"])
     assert sorted(x for x in out if x[0] not in "xy") == sorted([a, b, f"{c}\n{d}"])
-    found = line_dedup.report(table(spark, rows)).collect()
+    found = line_dedup.report(table(spark, rows), least=5).collect()
     assert collections.Counter((r.doc_id, r.n_lines) for r in found) == collections.Counter((k, len(t.split("\n"))) for k, t, _, _ in rows)
     assert sum(r.n_removed for r in found) == 3
 
