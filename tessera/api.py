@@ -22,6 +22,16 @@ def bounded_int(value: object, default: int, low: int, high: int) -> int:
     return max(low, min(high, int(value // 1)))
 
 
+def string_list(value: object) -> list[str]:
+    """The trimmed strings of a list that are not blank; of anything else, none."""
+    return [x.strip() for x in value if isinstance(x, str) and x.strip()] if isinstance(value, list | tuple) else []
+
+
+def flag(value: object, default: bool = False) -> bool:
+    """A truth value; anything else gives the default."""
+    return value if isinstance(value, bool) else default
+
+
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.tables = spark, store.Tables(spark, path)
@@ -52,6 +62,7 @@ class KnowledgeBase:
         return listing.document_rows(listing.list_documents(counted, name, tag, bounded_int(limit, 20, 1, 100)))
 
     def search(self, query: str, top_k: object = S.TOP_K, doc_id: str | None = None, tags: Sequence[str] = (), least: float = 0.0) -> DataFrame:
+        tags = string_list(tags)
         unknown = self.unknown_tags(tags) if tags else []
         known = [t for t in tags if t not in unknown]
         if tags and not known:
@@ -95,11 +106,20 @@ class KnowledgeBase:
         refs = hits.filter(F.col("rank") <= (max(cited) if cited else row["n"])).orderBy("rank").select("rank", "doc_id", "doc_name", search.section_of().alias("section"), "page").collect()
         return {"answer": text, "cited": cited, "references": [r.asDict() for r in refs]}
 
+    def ask_text(self, query: str, answer: Callable[[str, str], str], model: str | None = None, **options) -> str | None:
+        """``ask`` as text: the answer, its references and a note."""
+        found = self.ask(query, answer, **options)
+        if found is None:
+            return None
+        hits = self.search(query, bounded_int(options.pop("top_k", 12), 12, S.LEAST_PASSAGES, S.MOST_TOP_K), **options)
+        said = self.spark.createDataFrame([(0, found["answer"], model)], "query_id long, answer string, model string")
+        return search.render_answers(said, hits).first()["text"]
+
     def graph(self) -> tuple[DataFrame, DataFrame]:
         return graph.capped(graph.graph_nodes(self.docs, self.chunks), graph.graph_edges(self.chunks))
 
     def status(self) -> DataFrame:
-        return listing.status_totals(listing.with_counts(self.docs, self.chunks))
+        return listing.with_graph_size(listing.status_totals(listing.with_counts(self.docs, self.chunks)), *self.graph())
 
     def tags(self) -> DataFrame:
         return listing.tag_counts(self.docs)

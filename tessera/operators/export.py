@@ -11,6 +11,7 @@ from tessera.operators import outline as O
 from tessera.operators.entities import distinct_links, rank_entities
 from tessera.storage import checkpointed
 
+# Labels of this module's documents, here and below.
 SOURCES = {"pdf-bookmarks": "PDF 目录（书签）", "markdown-headings": "Markdown 标题", "text-headings": "文本标题"}
 
 
@@ -151,6 +152,8 @@ def mind_map(docs: DataFrame, chunks: DataFrame, most: int = S.MAP_NODES) -> Dat
     line = F.concat(F.lit("- "), X.escape(X.clip("label", 60)), F.lit("（"), F.col("count").cast("string"), F.lit("）"))
     top = top.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("top"))
     rows = docs.join(_head_counts(chunks), "doc_id").join(drawn, "doc_id").join(counts, "doc_id").join(top, "doc_id", "left")
+    levels = docs.select("doc_id", F.explode(O.normalize_outline("outline")).alias("e")).select("doc_id", F.col("e.level").alias("level"))
+    rows = rows.join(O.outline_cut(levels).select("doc_id", "truncated"), "doc_id", "left")
     shape = O.normalize_outline("outline")
     label = F.lit("文档目录")
     for k, v in SOURCES.items():
@@ -166,6 +169,7 @@ def mind_map(docs: DataFrame, chunks: DataFrame, most: int = S.MAP_NODES) -> Dat
         F.concat(F.lit("- 文件："), X.escape(X.clip(F.coalesce("original_name", "name"), 70))),
         F.concat(F.lit("- 规模："), X.format_bytes("size"), F.lit(" · "), F.col("chunk_count").cast("string"), F.lit(" 个片段 · "), F.col("entity_count").cast("string"), F.lit(" 个实体")),
         F.concat(F.lit("- 结构："), structure),
+        F.when(F.col("outlined") & F.col("truncated"), F.lit(f"- 提示：目录条目过多，已展开前 {S.MAP_NODES} 个章节")),
         F.concat(F.lit("- LLM 增强："), F.when(F.col("enhanced"), "已开启").otherwise("未开启")),
         F.lit(""),
         F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("## 摘要\n\n- "), X.escape(X.clip("summary", 300)), F.lit("\n"))),

@@ -110,3 +110,24 @@ def status_label(status: Column | str) -> Column:
     for k, v in STATUS_LABELS.items():
         out = F.when(s == k, F.lit(v)).otherwise(out)
     return out
+
+
+# How an outline was found, and what stands in place of one.
+OUTLINE_KINDS = {"pdf-bookmarks": "PDF 目录（书签）", "markdown-headings": "Markdown 标题", "text-headings": "文本标题"}
+NO_OUTLINE = "未找到文档目录，已按标题行归并"
+
+
+def outline_label(outline: Column | str, source: Column | str) -> Column:
+    """How a document's structure was found, with the number of its entries and their deepest level."""
+    o, s = (F.col(x) if isinstance(x, str) else x for x in (outline, source))
+    kind = F.lit("文档目录")
+    for k, v in OUTLINE_KINDS.items():
+        kind = F.when(s == k, F.lit(v)).otherwise(kind)
+    deepest = F.array_max(F.transform(o, lambda e: e["level"]))
+    depth = F.when(deepest > 0, F.concat(F.lit(" · 最深 "), deepest.cast("string"), F.lit(" 级"))).otherwise(F.lit(""))
+    return F.when(F.size(o) > 0, F.concat(F.lit("结构："), kind, F.lit(" · "), F.size(o).cast("string"), F.lit(" 条"), depth)).otherwise(F.lit(NO_OUTLINE))
+
+
+def with_graph_size(totals: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of totals with how many nodes and edges the graph has."""
+    return totals.withColumns({"graph_nodes": F.lit(nodes.count()), "graph_edges": F.lit(edges.count())})

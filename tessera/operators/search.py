@@ -198,6 +198,30 @@ def render_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(joined.alias("markdown"), F.count("*").alias("hits"))
 
 
+def result_rows(hits: DataFrame) -> DataFrame:
+    """Hits as a search gives them to programs: scores of three digits, six entities at most."""
+    return hits.withColumn("score", F.round("score", 3)).withColumn("entities", F.slice("entities", 1, 6))
+
+
+# The labels of a written answer.
+REFERENCES, BY_MODEL, TO_CHECK = "引用：\n", "回答模型：", "_注意：这是另一个模型基于检索片段的结论。若要复核，请用 kb_search 读回被引用的片段。_"
+
+
+def render_answers(answers: DataFrame, hits: DataFrame) -> DataFrame:
+    """answers: query_id, answer, model (may be null) -> query_id, text: the answer with its references and a note.
+
+    References are the passages up to the highest one that the answer cites, all if it cites none.
+    """
+    where = F.concat_ws(" · ", "doc_name", F.when(section_of() != "", section_of()), F.when(F.col("page") > 0, F.concat(F.lit("p."), F.col("page").cast("string"))), F.concat(F.lit("docId: "), "doc_id"))
+    lines = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), where).alias("line"))))
+    listed = hits.groupBy("query_id").agg(lines.alias("lines"))
+    rows = answers.join(listed, "query_id", "left").withColumn("cited", cited_passages(F.col("answer"), F.coalesce(F.size("lines"), F.lit(0))))
+    kept = F.when(F.size("cited") > 0, F.filter("lines", lambda x: x["rank"] <= F.array_max("cited"))).otherwise(F.col("lines"))
+    cited = F.when(F.size(kept) > 0, F.concat(F.lit(REFERENCES), F.array_join(F.transform(kept, lambda x: x["line"]), "\n")))
+    by = F.when(F.coalesce("model", F.lit("")) != "", F.concat(F.lit(BY_MODEL), "model"))
+    return rows.select("query_id", F.concat_ws("\n\n", "answer", cited, by, F.lit(TO_CHECK)).alias("text"))
+
+
 def passages(hits: DataFrame) -> DataFrame:
     """query_id and the numbered passages that an answer is written from."""
     body = F.when(F.length("text") > S.PASSAGE_CHARS, F.concat(X.trim(X.cut(F.col("text"), S.PASSAGE_CHARS)), F.lit("…"))).otherwise(X.trim("text"))

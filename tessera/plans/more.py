@@ -9,7 +9,7 @@ from tessera import schema as S
 from tessera.functions import text as X
 from tessera.operators import enrich, export, folders, graph, index, listing, outline, reading, search, store
 from tessera.plans import base as P
-from tessera.plans.catalogue import _ALL, _DEGREE, _EDGES, _NODES, _RANK, _TOP, _joined, _queries, _round, _shown, query
+from tessera.plans.catalogue import _ALL, _DEGREE, _EDGES, _HITS, _NODES, _RANK, _TOP, _chat_docs, _joined, _queries, _round, _shown, query
 from tessera.sources import extract, sinks
 from tessera.storage import new_path
 from tessera.streaming import ingest, lifecycle, runs
@@ -310,3 +310,37 @@ def _(spark, sf):
     runs.run(tables, enrich.FirstSentence(), budget=4)
     done = tables.read("chunks", S.CHUNKS).filter("summary is not null").groupBy("doc_id").agg(F.count("*").alias("enhanced"))
     return tables.read("docs", S.DOCS).join(done, "doc_id").select("doc_id", "status", "progress", "enhanced")
+
+
+@query(
+    "search_rows",
+    f"WITH {P.bm25(_ALL)}, rk AS ({_RANK}), tp AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS relative FROM rk WHERE rank <= 5) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(relative, 3) AS score, coalesce(array_to_string(list_slice(entities, 1, 6), '|'), '') AS entities FROM tp JOIN chunks USING (chunk_id)",
+)
+def _(spark, sf):
+    hits = search.search(P.stored_index(spark, sf), P.chunks(spark, sf), P.docs(spark, sf), _queries(spark, sf))
+    return search.result_rows(hits).select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "score", _joined("entities").alias("entities"))
+
+
+@query(
+    "ask_answers",
+    f"""{_HITS}, l AS (SELECT query_id, rank, '[' || rank || '] ' || name || CASE WHEN title <> '' THEN ' · ' || title ELSE '' END || ' · docId: ' || regexp_extract(name, '[0-9]+', 0) AS line FROM hi)
+    SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'It follows from [2] and [9].' ELSE 'It is known.' END || chr(10) || chr(10) || '引用：' || chr(10) || string_agg(line, chr(10) ORDER BY rank) || chr(10) || chr(10) || CASE WHEN query_id % 3 = 0 THEN '回答模型：m-' || query_id || chr(10) || chr(10) ELSE '' END || '{search.TO_CHECK}' AS text
+    FROM l WHERE query_id % 2 = 1 OR rank <= 2 GROUP BY query_id""",
+)
+def _(spark, sf):
+    hits = search.search(P.stored_index(spark, sf), P.chunks(spark, sf), P.docs(spark, sf), _queries(spark, sf))
+    k = F.col("query_id")
+    said = _queries(spark, sf).select("query_id", F.when(k % 2 == 0, "It follows from [2] and [9].").otherwise("It is known.").alias("answer"), F.when(k % 3 == 0, F.concat(F.lit("m-"), k.cast("string"))).alias("model"))
+    return search.render_answers(said.join(hits.select("query_id").distinct(), "query_id", "left_semi"), hits)
+
+
+@query("outline_labels", f"WITH {P.CHAT}, n AS (SELECT doc_id, count(*) FILTER (seq >= 2) AS n, max(level) FILTER (seq >= 2) AS deepest FROM co GROUP BY doc_id) SELECT doc_id, CASE WHEN n = 0 THEN '{listing.NO_OUTLINE}' ELSE '结构：文本标题 · ' || n || ' 条 · 最深 ' || deepest || ' 级' END AS label FROM n")
+def _(spark, sf):
+    return _chat_docs(spark, sf).select("doc_id", listing.outline_label("outline", "outline_source").alias("label"))
+
+
+@query("status_with_graph", f"WITH {P.CHUNKS}, {_NODES}, {_EDGES} SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM nd) AS graph_nodes, (SELECT count(*) FROM ed) AS graph_edges")
+def _(spark, sf):
+    c, d = P.chunks(spark, sf), P.docs(spark, sf)
+    totals = listing.status_totals(listing.with_counts(d, c))
+    return listing.with_graph_size(totals, graph.graph_nodes(d, c), graph.graph_edges(c)).select("docs", "chunks", "graph_nodes", "graph_edges")

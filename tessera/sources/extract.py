@@ -227,3 +227,15 @@ def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     whole = spark.read.option("multiLine", "true").json(path)
     table = lambda name: whole.select(F.explode(name).alias("x")).select("x.*") if name in whole.columns else spark.createDataFrame([], "id string")
     return table("docs"), table("chunks"), table("folders")
+
+
+def backfilled(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents (id) of a store that may be older than some columns, with what is derived from their chunks (docId or id, summary):
+    chunkCount, enhancedChunks, pendingEnhance. A folderId that is not there is null: the document is at the root."""
+    owner = F.coalesce(*[F.col(c) for c in ("docId",) if c in chunks.columns], F.substring_index("id", "#", 1))
+    has = F.coalesce(F.col("summary"), F.lit("")) != "" if "summary" in chunks.columns else F.lit(False)
+    n = chunks.groupBy(owner.alias("id")).agg(F.count("*").alias("chunkCount"), F.count_if(has).alias("enhancedChunks"))
+    kept = docs.drop("chunkCount", "enhancedChunks", "pendingEnhance")
+    kept = kept if "folderId" in docs.columns else kept.withColumn("folderId", F.lit(None).cast("string"))
+    rows = kept.join(n, "id", "left").fillna(0, ["chunkCount", "enhancedChunks"])
+    return rows.withColumn("pendingEnhance", F.col("chunkCount") - F.col("enhancedChunks"))

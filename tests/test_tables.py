@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera import schema as S
-from tessera.api import KnowledgeBase, bounded_int
+from tessera.api import KnowledgeBase, bounded_int, flag, string_list
 from tessera.operators import chunking, enrich, export, folders, listing
 from tessera.plans import catalogue
 from tessera.sources import extract, sinks
@@ -201,6 +201,32 @@ def test_exports(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("file=*"))) == 2
 
 
+def test_maps_of_long_outlines_say_so(spark):
+    entries = [{"level": 1, "title": f"Part {k}", "page": k + 1, "path": None} for k in range(330)]
+    docs = doc_rows(spark, [("d", "Long.pdf", None, entries), ("e", "Short.pdf", None, entries[:3])])
+    chunks = chunk_rows(spark, [(d, k, f"Part {k}", "text", {"page": k + 1}) for d in "de" for k in range(3)])
+    maps = {r.doc_id: r.mindmap for r in export.mind_map(docs, chunks).collect()}
+    assert "- 提示：目录条目过多，已展开前 320 个章节\n- LLM 增强" in maps["d"] and "提示" not in maps["e"]
+    labels = {r.doc_id: r.label for r in docs.select("doc_id", listing.outline_label("outline", F.lit("pdf-bookmarks")).alias("label")).collect()}
+    assert labels == {"d": "结构：PDF 目录（书签） · 330 条 · 最深 1 级", "e": "结构：PDF 目录（书签） · 3 条 · 最深 1 级"}
+
+
+def test_folded_sections_are_named(spark):
+    entries = [{"level": 1 if k % 40 == 0 else 2, "title": f"S{k}", "page": k + 1, "path": None} for k in range(400)]
+    docs = doc_rows(spark, [("d", "Deep.pdf", None, entries)])
+    chunks = chunk_rows(spark, [("d", k, f"S{k}", "body", {"page": k + 1}) for k in range(2)])
+    md = export.markdown(docs, chunks).first().markdown
+    folded = "、".join(f"S{k}" for k in range(1, 13))
+    assert f"**更深子节：** {folded} 等 39 节" in md
+
+
+def test_old_stores_are_filled_in(spark, tmp_path):
+    (tmp_path / "index.json").write_text(json.dumps({"docs": [{"id": "a", "pendingEnhance": 9}, {"id": "b"}], "chunks": [{"id": "a#0", "docId": "a", "text": "t", "summary": "s"}, {"id": "a#1", "docId": "a", "text": "u"}]}))
+    docs, chunks, _ = extract.read_legacy(spark, str(tmp_path / "index.json"))
+    got = {r.id: (r.chunkCount, r.enhancedChunks, r.pendingEnhance, r.folderId) for r in extract.backfilled(docs, chunks).collect()}
+    assert got == {"a": (2, 1, 1, None), "b": (0, 0, 0, None)}
+
+
 def test_lifecycle_stream_equals_batch(spark, tmp_path):
     src = tmp_path / "events"
     events = catalogue.P.status_events(spark, SF)
@@ -245,6 +271,8 @@ def test_ingest_and_facade(spark, tmp_path):
     assert kb.docs.filter(F.col("doc_id") == ips).first().folder_id is None and kb.folders.count() == 1
     kb.delete_document(ips)
     assert kb.docs.count() == 1 and kb.chunks.count() == 1 and kb.search("default action").count() == 0
+    assert kb.ask_text("ips default source nat", lambda q, p: "Because [1].", "m").startswith("Because [1].\n\n引用：\n[1] ")
+    assert string_list([" a ", 5, "", None, "b"]) == ["a", "b"] and string_list("ab") == string_list(None) == [] and flag(True) and not flag("yes") and flag(None, True)
     assert [bounded_int(x, 5, 1, 12) for x in (None, "7", 7.9, 99, -1, True, float("nan"))] == [5, 5, 7, 12, 1, 5, 5]
 
 
