@@ -5,8 +5,9 @@ in training; a failure arc leads to the next shorter context. With C the context
 the failure arc has the weight f = FAIL * C ** -FALL, and an arc the probability (1 - f) * c / C + f * p, where p is
 the shorter context's, so every state is a distribution over all words (Jelinek-Mercer smoothing by the count of the
 context, as new continuations become rarer as a power of it).
-The root's arcs are the add-0.1 unigrams. A text is traversed once from left to right; the state is the last two
-words, and the traversal accumulates each arc's log-probability.
+The root's arcs are the add-0.1 unigrams. A text is walked once from left to right: the walk carries its state, follows the
+arc of the token if the state has one, and else takes failure arcs until a state has, and adds up the log weights of
+what it takes. An arc leads to the longest context that training has of the words behind it.
 
 No n-gram is left out, so the automaton grows with the corpus and lives in shards. A block of documents (a few
 MB) sends its distinct words, pairs and triples, with how often its training texts have them, to their shards; a
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -270,22 +272,85 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
-def traverse(n: np.ndarray, counts: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
-    """counts: of the word, pair and triple that end at each token. The log10 probabilities of each token at the root,
-    and in the state that its text has reached, by way of the states that failure arcs lead to."""
-    one, two, three = counts
+@dataclass
+class Automaton:
+    """The states and arcs that a block's texts can meet. State 0 is the root; those of words and of pairs follow.
+
+    fail and fail_log: each state's failure arc, to the next shorter context, and its log10 weight. arcs, for words, pairs
+    and triples: of each of the block's n-grams the state that its arc leaves (-1 if training lacks it), the arc's log10
+    probability, and the state that it leads to. start is where a text begins.
+    """
+
+    start: int
+    pairs: int
+    fail: list[int]
+    fail_log: list[float]
+    arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def of(places: list[np.ndarray], counts: list[np.ndarray], n: np.ndarray, total: int, distinct: int) -> Automaton:
+        """places: of each token its word, pair and triple among the distinct ones; counts: of these, in training."""
+        (w, v, t), (one, two, three) = places, counts
+        words, pairs, first = len(one), len(two), np.cumsum(n) - n
+        end = w[first[0] + n[0] - 1]
+        before = np.empty_like(w)
+        before[1:] = w[:-1]
+        before[first] = end
+        inner = np.setdiff1d(np.arange(len(w)), first)  # a text's first token ends no triple
+        at2, at3 = np.zeros(pairs, np.int64), np.full(len(three), -1)
+        at2[v], at3[t[inner]] = np.arange(len(w)), inner
+        fall = lambda c: FAIL * np.maximum(c, 1) ** -FALL
+        p1 = (one + ADD) / (total + ADD * (distinct + 1))
+        a, f1, f2 = before[at2], fall(one), fall(two)
+        p2 = (1 - f1[a]) * two / np.maximum(one[a], 1) + f1[a] * p1[w[at2]]
+        source, ends = v[np.maximum(at3 - 1, 0)], v[at3]
+        p3 = (1 - f2[source]) * three / np.maximum(two[source], 1) + f2[source] * p2[ends]
+        pair = lambda x: 1 + words + x
+        there = (at3 >= 0) & (three > 0)
+        with np.errstate(divide="ignore"):
+            arcs = [
+                (np.zeros(words, np.int64), np.log10(p1), np.where(one > 0, 1 + np.arange(words), 0)),
+                (np.where(two > 0, 1 + a, -1), np.log10(p2), pair(np.arange(pairs))),
+                (np.where(there, pair(source), -1), np.log10(p3), pair(ends)),
+            ]
+        fail = np.concatenate(([0], np.zeros(words, np.int64), 1 + w[at2])).tolist()
+        return Automaton(int(1 + end) if one[end] > 0 else 0, 1 + words, fail, np.log10(np.concatenate(([1.0], f1, f2))).tolist(), arcs)
+
+    def walk(self, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[float, list[int]]:
+        """The log10 probability of a text, by one walk from left to right, and how often each token failed."""
+        (_, log1, to1), (from2, log2, to2), (from3, log3, to3) = ([x[i].tolist() for x in arc] for arc, i in zip(self.arcs, (words, pairs, triples), strict=True))
+        fail, fail_log, state, total, failed = self.fail, self.fail_log, self.start, 0.0, []
+        for i in range(len(log1)):
+            if from3[i] == state:
+                total += log3[i]
+                state = to3[i]
+                failed.append(0)
+                continue
+            fails = 0
+            if state >= self.pairs:
+                total += fail_log[state]
+                state = fail[state]
+                fails = 1
+            if from2[i] == state:
+                total += log2[i]
+                state = to2[i]
+            else:
+                if state:
+                    total += fail_log[state]
+                    state = fail[state]
+                    fails += 1
+                total += log1[i]
+                state = to1[i]
+            failed.append(fails)
+        return total, failed
+
+
+def traverse(places: list[np.ndarray], n: np.ndarray, counts: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the log10 probability by words alone, and by the automaton; places and counts as in ``Automaton.of``."""
+    machine = Automaton.of(places, counts, n, total, distinct)
     first = np.cumsum(n) - n
-    root = (one + ADD) / (total + ADD * (distinct + 1))
-    # The count of a token's context is that of the word (or pair) before it; a text's first token follows on an end.
-    word, pair = np.empty_like(one), np.empty_like(two)
-    word[1:], pair[1:] = one[:-1], two[:-1]
-    word[first] = one[first + n - 1]
-    pair[first] = 0
-    p = root
-    for context, c in ((word, two), (pair, np.where(pair > 0, three, 0))):
-        fail = np.where(context > 0, FAIL * np.maximum(context, 1) ** -FALL, 1)
-        p = (1 - fail) * c / np.maximum(context, 1) + fail * p
-    return np.log10(root), np.log10(p)
+    base = np.add.reduceat(machine.arcs[0][1][places[0]], first)
+    return base, np.array([machine.walk(*(p[a : a + k] for p in places))[0] for a, k in zip(first.tolist(), n.tolist(), strict=True)])
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -298,11 +363,9 @@ def _scored(batches: Iterator[pa.RecordBatch], bits: int, total: int, distinct:
     def done() -> pa.RecordBatch:
         docs = pa.ipc.open_stream(own).read_all().combine_chunks().to_batches()[0]
         words, n = tokens(docs)
-        found = [np.concatenate(x)[place] for x, (_, place) in zip(held, _codes(words, n, bits), strict=True)]
-        base, score = traverse(n, found, total, distinct)
-        first = np.cumsum(n) - n
-        known = np.add.reduceat(found[0] > 0, first, dtype=np.int64)
-        sums = [pa.array(np.add.reduceat(x, first)) for x in (base, score)]
+        places, counts = [place for _, place in _codes(words, n, bits)], [np.concatenate(x) for x in held]
+        known = np.add.reduceat((counts[0] > 0)[places[0]], np.cumsum(n) - n, dtype=np.int64)
+        sums = [pa.array(x) for x in traverse(places, n, counts, total, distinct)]
         return pa.RecordBatch.from_arrays([docs.column(0), docs.column(1), pa.array(n), pa.array(known), *sums], names=[x.split()[0] for x in _SCORED.split(", ")])
 
     for batch in batches:

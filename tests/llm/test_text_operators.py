@@ -429,10 +429,7 @@ def test_lm_tells_documents_that_occur_twice_apart_at_any_size(spark):
         assert [x for _, x in gain] == sorted(x for _, x in gain)
 
 
-def test_lm_states_are_distributions():
-    """In every state the probabilities of all words and of an unseen one sum to one."""
-    rng = random.Random(12)
-    rows = [[rng.choice("abcdefgh") for _ in range(40)] + ["END"] for _ in range(30)]
+def lm_counts(rows):
     c = [collections.Counter() for _ in range(3)]
     for w in rows:
         for i, x in enumerate(w):
@@ -440,12 +437,47 @@ def test_lm_states_are_distributions():
             c[1][w[i - 1], x] += 1
             if i:
                 c[2][w[i - 2] if i > 1 else "END", w[i - 1], x] += 1
-    total, distinct = sum(c[0].values()), len(c[0])
+    return c
+
+
+def lm_walk(c, w, to):
+    """The automaton of one text, walked over its first ``to`` tokens: log probability and failures of each token."""
+    past = ["END", *w]
+    grams = (w, [(past[i], y) for i, y in enumerate(w)], [(past[i - 1], past[i], y) if i else ("first", y) for i, y in enumerate(w)])
+    every = [sorted(set(g), key=repr) for g in grams]
+    places = [np.array([e.index(x) for x in g]) for g, e in zip(grams, every, strict=True)]
+    counts = [np.array([c[k][x] for x in e], float) for k, e in enumerate(every)]
+    machine = lm_scoring.Automaton.of(places, counts, np.array([len(w)]), sum(c[0].values()), len(c[0]))
+    return machine.walk(*(p[:to] for p in places))
+
+
+def test_lm_states_are_distributions():
+    """In every state the probabilities of all words and of an unseen one sum to one."""
+    rng = random.Random(12)
+    c = lm_counts([[rng.choice("abcdefgh") for _ in range(40)] + ["END"] for _ in range(30)])
     for context in (["a", "b"], ["h", "h"], ["?", "c"], ["a", "?"], ["b"], []):
         found = []
         for x in [*c[0], "unseen"]:
-            w = [*context, x, "END"] if x != "END" else [*context, x]
-            past = ["END", *w]
-            counts = [np.array(v, float) for v in ([c[0][y] for y in w], [c[1][past[i], y] for i, y in enumerate(w)], [c[2][past[i - 1], past[i], y] if i else 0 for i, y in enumerate(w)])]
-            found.append(10 ** lm_scoring.traverse(np.array([len(w)]), counts, total, distinct)[1][len(context)])
+            w, n = [*context, x, "END"] if x != "END" else [*context, x], len(context)
+            found.append(10 ** (lm_walk(c, w, n + 1)[0] - lm_walk(c, w, n)[0]))
         assert abs(sum(found) - 1) < 1e-9
+
+
+def test_lm_walk_fails_where_training_lacks_the_arc():
+    """A walk carries the longest context that training has, and takes a failure arc for each order that has no arc."""
+    rng = random.Random(13)
+    c = lm_counts([[rng.choice("abcdefghijkl") for _ in range(30)] + ["END"] for _ in range(8)])
+    seen = collections.Counter()
+    for _ in range(40):
+        w = [rng.choice("abcdefghijkl??") for _ in range(25)] + ["END"]
+        want, state = [], ("END",)
+        for x in w:
+            fails = 0
+            while state and not c[len(state)][(*state, x)]:
+                state, fails = state[1:], fails + 1
+            want.append(fails)
+            longer = [y for y in ((*state, x)[-2:], (x,)) if c[len(y) - 1][y if len(y) > 1 else y[0]]]
+            state = longer[0] if longer else ()
+        assert lm_walk(c, w, len(w))[1] == want
+        seen.update(want)
+    assert min(seen[0], seen[1], seen[2]) > 20
