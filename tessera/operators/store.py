@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tessera import schema as S
 from tessera.functions import text as X
+from tessera.operators import containment
 from tessera.operators.index import LENGTHS, Segments
 from tessera.storage import checkpointed
 
@@ -52,12 +53,19 @@ def set_folder(docs: DataFrame, folders: DataFrame, doc_id: str, folder_id: str
 
 
 def carry_summaries(new: DataFrame, old: DataFrame, least: int = 300) -> DataFrame:
-    """new chunks with the summaries of old ones of the same document: of the same text, else of the longest contained one."""
+    """new chunks with the summaries of old ones of the same document: of the same text, else of the longest contained one.
+
+    A document's chunks are brought together and matched in time in proportion to their length; contained texts of fewer
+    than ``least`` characters, 32 at least, do not count.
+    """
     has = old.filter(F.coalesce("summary", F.lit("")) != "").select("doc_id", "chunk_index", F.col("text").alias("old_text"), F.col("summary").alias("old_summary"))
     exact = has.groupBy("doc_id", F.col("old_text").alias("text")).agg(F.max_by("old_summary", "chunk_index").alias("same"))
-    inside = new.select("doc_id", "chunk_id", "text").join(has.filter(F.length("old_text") >= least).select("doc_id", "old_text", "old_summary", F.col("chunk_index").alias("old_index")), "doc_id")
-    inside = inside.filter((F.length("old_text") <= F.length("text")) & F.contains("text", "old_text"))
-    best = inside.groupBy("doc_id", "chunk_id").agg(F.max_by("old_summary", F.struct(F.length("old_text"), -F.col("old_index"))).alias("within"))
+    lists = lambda df, *c: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*c))).alias("x"))
+    olds = lists(has.filter(F.length("old_text") >= max(least, containment.HEAD)), F.col("chunk_index").alias("old"), "old_text", "old_summary").toDF("doc_id", "olds")
+    news = lists(new, "chunk_id", "text").toDF("doc_id", "news")
+    both = news.join(olds, "doc_id").withColumn("at", containment.longest_contained(F.transform("news", lambda c: c["text"]), F.transform("olds", lambda c: c["old_text"])))
+    pairs = F.zip_with("news", "at", lambda c, k: F.struct(c["chunk_id"].alias("chunk_id"), F.get("olds", k)["old_summary"].alias("within")))
+    best = both.select("doc_id", F.explode(F.filter(pairs, lambda x: x["within"].isNotNull())).alias("x")).select("doc_id", "x.*")
     rows = new.join(exact, ["doc_id", "text"], "left").join(best, ["doc_id", "chunk_id"], "left")
     return rows.withColumn("summary", F.coalesce("same", "within", "summary")).select(new.columns)
 

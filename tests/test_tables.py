@@ -133,6 +133,18 @@ def test_containment_of_many_in_many(spark):
     assert got == [["B", "BC", "-", "b"], [], ["-"]]
 
 
+def test_longest_contained(spark):
+    from tessera.operators import containment
+
+    rng = __import__("random").Random(5)
+    text = lambda n: "".join(rng.choice("abé漢 ") for _ in range(n))
+    ts = [text(300) for _ in range(6)] + [None, ""]
+    ps = [ts[0][10:60], ts[0][10:90], ts[1][:40], "x" + ts[2][:50], ts[3][5:36], ts[3][5:37], ts[4], ts[4], None, text(40)]
+    want = [max(((len(p), -k) for k, p in enumerate(ps) if p and len(p) >= 32 and t and p in t), default=None) for t in ts]
+    got = spark.createDataFrame([(ts, ps)], "t array<string>, p array<string>").select(containment.longest_contained("t", "p")).first()[0]
+    assert got == [None if w is None else -w[1] for w in want] and got[0] == 1 and got[4] == 6
+
+
 def test_links_of_a_long_document_take_time_in_proportion(spark):
     import time
 
