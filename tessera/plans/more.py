@@ -69,10 +69,9 @@ _EDGED = "pl AS (SELECT source, doc_id, line, k, n - k AS below FROM (SELECT sou
 )
 def _(spark, sf):
     whole = F.concat(F.lit("Header "), F.col("source"), F.lit("\n"), F.col("text"), F.lit("\n- "), (F.col("doc_id") % 1000).cast("string"), F.lit(" -"))
-    d = _docs(spark, sf).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.split(whole, "\n", -1).alias("lines")))).alias("x"))
-    d = d.select(F.col("source").alias("doc_id"), F.transform("x", lambda x: x["lines"]).alias("pages"), F.transform("x", lambda x: x["doc_id"]).alias("ids"))
-    out = outline.strip_furniture(d).join(d.select("doc_id", "ids"), "doc_id").select(F.col("doc_id").alias("source"), F.explode(F.arrays_zip("ids", "pages")).alias("p"))
-    return out.select("source", F.col("p.ids").alias("doc_id"), F.size("p.pages").cast("long").alias("lines"), F.array_join("p.pages", "\n").alias("text"))
+    pages = _docs(spark, sf).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.split(whole, "\n", -1).alias("lines"))
+    out = outline.strip_page_rows(pages)
+    return out.select(F.col("doc_id").alias("source"), F.col("page_no").alias("doc_id"), F.size("lines").cast("long").alias("lines"), F.array_join("lines", "\n").alias("text"))
 
 
 _NAME = "'..My  <' || source || '>: ' || lang || '/part?.' || CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'very-long' END"
