@@ -310,7 +310,6 @@ def test_two_writers_take_turns(spark, tmp_path):
 def test_citations(spark):
     got = value(spark, search.cited_passages(F.lit("a [2][2] [10] [0] [x] [1]"), F.lit(9)))
     assert got == [1, 2]
-    assert value(spark, search.kept_references(F.array().cast("array<int>"), F.lit(3))) == [1, 2, 3]
 
 
 def test_passages_and_rendering(spark, manual_docs):
