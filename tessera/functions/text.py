@@ -83,11 +83,19 @@ def chunk_tokens(title: Column | str, summary: Column | str, text: Column | str,
     )
 
 
+# What a heading loses, a first sentence, what a file name loses, and a page number.
+LEADER, HASHES = f"[{WS}.·・…]{{3,}}[{WS}]*\\d{{1,4}}$", f"^#{{1,6}}[{WS}]*"
+SENTENCE = "^[^。．.!！?？;；]{8,}[。．.!！?？]"
+SENTENCE_LENGTH = 90
+EXTENSION, FORBIDDEN = r"\.[A-Za-z0-9]{1,8}$", r'[\\/:*?"<>|\x00-\x1f]'
+PAGE_NUMBER = f"^[-–—{WS}.]*\\d{{1,4}}[-–—{WS}.]*$"
+
+
 def clean_heading(x: Column | str) -> Column:
     """A heading without dotted leaders, page numbers and hashes, clipped."""
     t = squeeze(F.coalesce(_c(x), F.lit("")))
-    t = F.regexp_replace(t, f"[{WS}.·・…]{{3,}}[{WS}]*\\d{{1,4}}$", "")
-    t = trim(F.regexp_replace(t, f"^#{{1,6}}[{WS}]*", ""))
+    t = F.regexp_replace(t, LEADER, "")
+    t = trim(F.regexp_replace(t, HASHES, ""))
     return F.when(F.length(t) > S.TITLE_LENGTH, F.concat(trim_end(cut(t, S.TITLE_LENGTH - 1)), F.lit("…"))).otherwise(t)
 
 
@@ -119,9 +127,9 @@ def clip(x: Column | str, n: int) -> Column:
     return F.when(F.length(t) <= n, t).otherwise(F.concat(trim_end(cut(t, n - 1)), F.lit("…")))
 
 
-def first_sentence(x: Column | str, n: int = 90) -> Column:
+def first_sentence(x: Column | str, n: int = SENTENCE_LENGTH) -> Column:
     t = flat(x)
-    s = F.regexp_extract(t, "^[^。．.!！?？;；]{8,}[。．.!！?？]", 0)
+    s = F.regexp_extract(t, SENTENCE, 0)
     return clip(F.when(s != "", s).otherwise(t), n)
 
 
@@ -142,8 +150,8 @@ def body_of(title: Column | str, text: Column | str) -> Column:
 
 def sanitize_base(x: Column | str) -> Column:
     """A file name without extension and forbidden characters."""
-    t = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\.[A-Za-z0-9]{1,8}$", "")
-    t = flat(F.regexp_replace(t, r'[\\/:*?"<>|\x00-\x1f]', "_"))
+    t = F.regexp_replace(F.coalesce(_c(x), F.lit("")), EXTENSION, "")
+    t = flat(F.regexp_replace(t, FORBIDDEN, "_"))
     t = trim(F.regexp_replace(F.regexp_replace(t, r"^\.+", ""), r"\.+$", ""))
     return F.when(F.length(t) > 60, trim(cut(t, 60))).otherwise(t)
 
@@ -176,7 +184,7 @@ def section_label(title: Column | str, number: Column | str) -> Column:
 
 
 def is_page_number(x: Column | str) -> Column:
-    return _c(x).rlike(f"^[-–—{WS}.]*\\d{{1,4}}[-–—{WS}.]*$")
+    return _c(x).rlike(PAGE_NUMBER)
 
 
 def normalize_tags(x: Column | str) -> Column:

@@ -30,9 +30,9 @@ class FirstSentence:
 
     def __call__(self, title: str, text: str) -> tuple[str, list[str], list[str]] | None:
         flat = " ".join(text.split())
-        m = re.match(r"[^。．.!！?？;；]{8,}[。．.!！?？]", flat)
-        s = m[0] if m else flat
-        return (s if len(s) <= 90 else s[:89].rstrip() + "…", [], []) if s else None
+        m = re.match(X.SENTENCE, flat)
+        s, most = m[0] if m else flat, X.SENTENCE_LENGTH
+        return (s if len(s) <= most else s[: most - 1].rstrip() + "…", [], []) if s else None
 
 
 class Retrying:
