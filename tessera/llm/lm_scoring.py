@@ -307,26 +307,38 @@ class Automaton:
         p3 = (1 - f2[source]) * three / np.maximum(two[source], 1) + f2[source] * p2[ends]
         pair = lambda x: 1 + words + x
         there = (at3 >= 0) & (three > 0)
-        with np.errstate(divide="ignore"):
-            arcs = [
-                (np.zeros(words, np.int64), np.log10(p1), np.where(one > 0, 1 + np.arange(words), 0)),
-                (np.where(two > 0, 1 + a, -1), np.log10(p2), pair(np.arange(pairs))),
-                (np.where(there, pair(source), -1), np.log10(p3), pair(ends)),
-            ]
+        arcs = [
+            (np.zeros(words, np.int64), np.log10(p1), np.where(one > 0, 1 + np.arange(words), 0)),
+            (np.where(two > 0, 1 + a, -1), np.log10(np.where(two > 0, p2, 1)), pair(np.arange(pairs))),
+            (np.where(there, pair(source), -1), np.log10(np.where(there, p3, 1)), np.where(there, pair(ends), -2)),
+        ]
         fail = np.concatenate(([0], np.zeros(words, np.int64), 1 + w[at2])).tolist()
         return Automaton(int(1 + end) if one[end] > 0 else 0, 1 + words, fail, np.log10(np.concatenate(([1.0], f1, f2))).tolist(), arcs)
 
-    def walk(self, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[float, list[int]]:
-        """The log10 probability of a text, by one walk from left to right, and how often each token failed."""
-        (_, log1, to1), (from2, log2, to2), (from3, log3, to3) = ([x[i].tolist() for x in arc] for arc, i in zip(self.arcs, (words, pairs, triples), strict=True))
-        fail, fail_log, state, total, failed = self.fail, self.fail_log, self.start, 0.0, []
-        for i in range(len(log1)):
+    def walk(self, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, failed: list[int] | None = None) -> float:
+        """The log10 probability of a text, by one walk from left to right; ``failed`` gets how often each token failed.
+
+        Arcs of triples that lead into one another are taken together, by their running sum.
+        """
+        parts = [x[i] for arc, i in zip(self.arcs, (words, pairs, triples), strict=True) for x in arc]
+        _, log1, to1, from2, log2, to2, from3, log3, to3 = parts
+        ends = np.append(np.flatnonzero(from3[1:] != to3[:-1]), len(words) - 1)  # where a run of such arcs ends
+        sums = np.concatenate(([0.0], np.cumsum(log3)))
+        if 10 * len(ends) > len(words):  # many short runs are quicker as lists
+            log1, to1, from2, log2, to2, from3, to3, ends, sums = (x.tolist() for x in (log1, to1, from2, log2, to2, from3, to3, ends, sums))
+        fail, fail_log, state, total, i, k, n = self.fail, self.fail_log, self.start, 0.0, 0, 0, len(words)
+        while i < n:
+            fails = 0
             if from3[i] == state:
-                total += log3[i]
-                state = to3[i]
-                failed.append(0)
+                while ends[k] < i:
+                    k += 1
+                at = ends[k]
+                total += sums[at + 1] - sums[i]
+                state = to3[at]
+                if failed is not None:
+                    failed += [0] * (at + 1 - i)
+                i = at + 1
                 continue
-            fails = 0
             if state >= self.pairs:
                 total += fail_log[state]
                 state = fail[state]
@@ -341,8 +353,10 @@ class Automaton:
                     fails += 1
                 total += log1[i]
                 state = to1[i]
-            failed.append(fails)
-        return total, failed
+            if failed is not None:
+                failed.append(fails)
+            i += 1
+        return float(total)
 
 
 def traverse(places: list[np.ndarray], n: np.ndarray, counts: list[np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,7 +364,7 @@ def traverse(places: list[np.ndarray], n: np.ndarray, counts: list[np.ndarray],
     machine = Automaton.of(places, counts, n, total, distinct)
     first = np.cumsum(n) - n
     base = np.add.reduceat(machine.arcs[0][1][places[0]], first)
-    return base, np.array([machine.walk(*(p[a : a + k] for p in places))[0] for a, k in zip(first.tolist(), n.tolist(), strict=True)])
+    return base, np.array([machine.walk(*(p[a : a + k] for p in places)) for a, k in zip(first.tolist(), n.tolist(), strict=True)])
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"

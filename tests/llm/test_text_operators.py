@@ -448,7 +448,8 @@ def lm_walk(c, w, to):
     places = [np.array([e.index(x) for x in g]) for g, e in zip(grams, every, strict=True)]
     counts = [np.array([c[k][x] for x in e], float) for k, e in enumerate(every)]
     machine = lm_scoring.Automaton.of(places, counts, np.array([len(w)]), sum(c[0].values()), len(c[0]))
-    return machine.walk(*(p[:to] for p in places))
+    failed = []
+    return machine.walk(*(p[:to] for p in places), failed), failed
 
 
 def test_lm_states_are_distributions():
