@@ -14,8 +14,8 @@ from tessera.llm.common import in_arrow, small_table
 from tessera.llm.topk import quantized
 
 _LONG = 2**63 - 1
-#: Components below this keep squared distances of 64 components, and sums over a block, below 2 ** 53.
-_SMALL = 1 << 21
+#: Whole numbers below this are exact as doubles.
+_WHOLE = 1 << 53
 
 
 def integer_vectors(table: DataFrame, width: int, embedding: str = "embedding", scale: int = 256, **carried: Column) -> DataFrame:
@@ -60,8 +60,9 @@ def get(b: bytes) -> np.ndarray:
 
 
 def exact(*arrays: np.ndarray) -> list[np.ndarray]:
-    """The arrays as doubles if sums of squares of their differences are whole doubles, else as Python integers."""
-    small = all(-_SMALL < int(x.min(initial=0)) and int(x.max(initial=0)) < _SMALL for x in arrays)
+    """The arrays as doubles if squared distances of their rows, doubled ones too, are whole doubles, else as Python integers."""
+    most = max(max(-int(x.min(initial=0)), int(x.max(initial=0))) for x in arrays)
+    small = 16 * most * most * max(x.shape[-1] for x in arrays) < _WHOLE
     return [x.astype(np.float64 if small else object) for x in arrays]
 
 

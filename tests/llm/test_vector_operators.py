@@ -156,6 +156,15 @@ def test_packed_integers_come_back():
         assert vectors.get(vectors.put(a)).tolist() == a.tolist()
 
 
+def test_doubles_are_used_as_long_as_they_are_exact():
+    for width, most in ((64, 2_900_000), (4, 11_000_000), (4096, 360_000)):
+        x = np.array([[most, -most] * (width // 2), [-most, most] * (width // 2)])
+        for y in (x, 2 * x):
+            made = vectors.exact(y)[0]
+            assert (made.dtype == object) is (y is not x)
+            assert vectors.as_longs(vectors.squares(made, made))[0].tolist() == [0, sum((int(a) - int(b)) ** 2 for a, b in zip(*y, strict=True))]
+
+
 # --- syncmers
 
 
