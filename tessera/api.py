@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera import schema as S
 from tessera.operators import enrich, export, folders, graph, listing, reading, search, store
 from tessera.operators.index import Segments
-from tessera.sources import extract
+from tessera.sources import extract, sinks
 from tessera.storage import checkpointed
 from tessera.streaming import ingest, runs
 
@@ -138,6 +139,15 @@ class KnowledgeBase:
         ingest.take(good, self.tables, enricher)
         return bad
 
+    def add_file(self, doc_id: str, name: str, content: bytes, enricher: enrich.Enricher | None = None) -> str | None:
+        """Takes one file, in place of what has its id; the reason, if it is refused."""
+        schema = "doc_id string, name string, declared string, content binary, size long, uploaded_at timestamp"
+        row = self.spark.createDataFrame([(doc_id, name, None, content, len(content), datetime.datetime.now())], schema)
+        good, bad = extract.uploads(row)
+        ingest.take(good, self.tables, enricher)
+        refused = bad.first()
+        return refused["reason"] if refused else None
+
     def enrich_all(self, enricher: enrich.Enricher | None = None, budget: int = 400) -> int:
         """Enriches what is left in batches; the number of batches."""
         return runs.run(self.tables, enricher or enrich.FirstSentence(), budget)
@@ -163,6 +173,14 @@ class KnowledgeBase:
         chunks = self.chunks.join(docs.select("doc_id"), "doc_id", "left_semi")
         return export.markdown(docs, chunks).join(export.mind_map(docs, chunks), "doc_id")
 
+    def export_files(self, path: str, doc_id: str | None = None) -> DataFrame:
+        """Writes both exports of all documents, or of one, below a path; their names (file), which do not clash."""
+        named = self.exports(doc_id).join(sinks.export_names(self.docs), "doc_id")
+        both = F.array(*[F.struct(F.col(f"{kind}_file").alias("file"), F.col(column).alias("content")) for kind, column in (("md", "markdown"), ("mindmap", "mindmap"))])
+        files = checkpointed(named.select(F.explode(both).alias("x")).select("x.*"))
+        sinks.write_exports(files, path)
+        return files.select("file")
+
     def create_folder(self, folder_id: str, name: str, parent_id: str | None = None) -> None:
         self.tables.write("folders", folders.create(self.folders, folder_id, name, parent_id))
 

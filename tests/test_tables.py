@@ -272,8 +272,15 @@ def test_ingest_and_facade(spark, tmp_path):
     assert kb.list_documents(tag="ips").first().chunk_count == 1
     assert kb.read_document(ips, "junk", None).first().total == 1
     assert kb.ask("ips default source nat", lambda q, p: "Because [1].")["cited"] == [1]
+    assert kb.ask_text("ips default source nat", lambda q, p: "Because [1].", "m").startswith("Because [1].\n\n引用：\n[1] ")
     assert kb.ask("default action", lambda q, p: "x") is None and kb.ask("ips source", lambda q, p: " ") is None
     assert kb.status().first().enhanced_docs == 2 and kb.graph()[0].count() > 2 and kb.exports(ips).count() == 1
+    assert {r.file for r in kb.export_files(str(tmp_path / "exp"), ips).collect()} == {"ips.md", "ips.mindmap.md"}
+    got = sinks.read_exports(spark, str(tmp_path / "exp"), spark.createDataFrame([("ips.md",)], "file string")).first()
+    assert got.content == kb.exports(ips).first().markdown.rstrip("\n")
+    assert kb.add_file("own", "vpn.txt", b"The tunnel needs a shared secret.") is None and kb.search("tunnel secret").first().doc_id == "own"
+    assert kb.add_file("own", "vpn.txt", b"Rewritten words.") is None and kb.search("tunnel secret").count() == 0 and kb.add_file("x", "a.exe", b"?") == "unknown type"
+    kb.delete_document("own")
     kb.create_folder("f", "Manuals")
     kb.file_document(ips, "f")
     kb.create_folder("g", "Inner", "f")
@@ -283,7 +290,6 @@ def test_ingest_and_facade(spark, tmp_path):
     assert kb.docs.filter(F.col("doc_id") == ips).first().folder_id is None and kb.folders.count() == 1
     kb.delete_document(ips)
     assert kb.docs.count() == 1 and kb.chunks.count() == 1 and kb.search("default action").count() == 0
-    assert kb.ask_text("ips default source nat", lambda q, p: "Because [1].", "m").startswith("Because [1].\n\n引用：\n[1] ")
     assert string_list([" a ", 5, "", None, "b"]) == ["a", "b"] and string_list("ab") == string_list(None) == [] and flag(True) and not flag("yes") and flag(None, True)
     assert [bounded_int(x, 5, 1, 12) for x in (None, "7", 7.9, 99, -1, True, float("nan"))] == [5, 5, 7, 12, 1, 5, 5]
 
