@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +23,11 @@ from tessera.storage import checkpointed, local_table
 BROADCAST_TERMS = 50_000
 
 
+def few_rows(rows: DataFrame) -> DataFrame:
+    """``rows``, marked to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """queries: query_id, text -> query_id, place, term: each distinct term once, in order of appearance."""
     return queries.select("query_id", F.posexplode(F.array_distinct(X.tokenize("text"))).alias("place", "term")).filter("term != ''")
@@ -35,8 +44,8 @@ def _gain(tf: Column, length: Column, n: int, mean: float) -> Column:
 class Asked:
     """Query terms that the index has, with their frequencies; the index as far as they need it; its statistics.
 
-    few: the terms are few enough to be held by the driver; queries, rows: then, the number of queries that they belong
-    to, and of pairs of a query's term and a posting.
+    few: the terms are few enough to be held by the driver; queries, rows, held: then, the number of queries that they
+    belong to, and of pairs of a query's term and a posting, and the terms (query_id, place, term, df).
     """
 
     terms: DataFrame
@@ -47,6 +56,7 @@ class Asked:
     few: bool = True
     queries: int = 0
     rows: int | None = None
+    held: list[tuple] = field(default_factory=list)
 
     @staticmethod
     def of(index: Index | Segments, terms: DataFrame, stats: tuple[int, float] | None = None, docs: DataFrame | None = None) -> Asked:
@@ -62,25 +72,30 @@ class Asked:
         found = near.frequencies.join(F.broadcast(local_table(spark, [(w,) for w in words], term)), "term", "left_semi").collect()
         df = {r["term"]: r["df"] for r in found}
         schema = T.StructType([*terms.select("query_id", "place", "term").schema.fields, T.StructField("df", T.LongType())])
-        asked = local_table(spark, [(*r[:3], df[r[2]]) for r in rows if r[2] in df], schema)
-        return Asked(F.broadcast(asked), near, n, mean, docs, True, len({r[0] for r in rows}), sum(df.get(r[2], 0) for r in rows))
+        held = [(*r[:3], df[r[2]]) for r in rows if r[2] in df]
+        return Asked(F.broadcast(local_table(spark, held, schema)), near, n, mean, docs, True, len({r[0] for r in rows}), sum(df.get(r[2], 0) for r in rows), held)
 
-    def scored(self, pairs: DataFrame | None = None, small: bool = False) -> DataFrame:
-        """query_id, doc_id, chunk_id, chunk_index, score, longest of all chunks, or of those in some blocks (query_id, segment, block)."""
+    def scored(self) -> DataFrame:
+        """query_id, doc_id, chunk_id, chunk_index, score, longest of all chunks."""
         postings = self.index.postings if self.docs is None else self.index.postings.join(self.docs, "doc_id", "left_semi")
         if self.few and self.queries > 1:
             # a chunk's postings meet before queries multiply them, so sums need no shuffle of their own
             postings = postings.repartition("chunk_id")
         rows = postings.join(self.terms, "term")
-        if pairs is not None:
-            rows = rows.join(F.broadcast(pairs) if small else pairs, ["query_id", "segment", "block"], "left_semi")
         gain = _gain(F.col("tf"), F.col("length"), self.n, self.mean)
         return rows.groupBy("query_id", "doc_id", "chunk_id", "chunk_index").agg(F.sum(gain).alias("score"), F.max(F.length("term")).alias("longest"))
 
-    def bounds(self) -> DataFrame:
-        """query_id, segment, block, bound: no chunk of the block scores more."""
-        gain = _gain(F.col("most"), F.col("least"), self.n, self.mean)
-        return self.index.blocks.join(self.terms, "term").groupBy("query_id", "segment", "block").agg(F.sum(gain).alias("bound"))
+    def scanned(self, k: int, least: float, strict: bool) -> DataFrame:
+        """query_id, doc_id, chunk_id, chunk_index, score, terms (the first eight) of all that may be among a query's k best."""
+        spark, rows = self.terms.sparkSession, self.index.counted
+        if self.docs is not None:
+            rows = rows.join(few_rows(self.docs), "doc_id", "left_semi")
+        ids = sorted({r[0] for r in self.held})
+        number = {x: q for q, x in enumerate(ids)}
+        held = [(number[a], b, c, d) for a, b, c, d in self.held]
+        found = rows.select("chunk_id", "doc_id", "chunk_index", "length", "terms").mapInArrow(_scanner(held, self.n, self.mean, k, least, strict), SCANNED)
+        schema = T.StructType([T.StructField("q", T.IntegerType()), self.terms.schema["query_id"]])
+        return found.join(F.broadcast(local_table(spark, list(enumerate(ids)), schema)), "q").drop("q")
 
     def with_terms(self, top: DataFrame) -> DataFrame:
         """Ranked chunks with the first eight of the query's terms that they match, in the query's order."""
@@ -122,30 +137,86 @@ def ranked(found: DataFrame, top_k: int = S.TOP_K, least: float = 0.0, strict: b
     return top.withColumn("relative", F.when(best > 0, F.col("score") / best).otherwise(F.lit(0.0)))
 
 
-#: Blocks of each query that are scored first; pairs of a query's term and a posting up to which all chunks are scored at once.
-FIRST_BLOCKS, AT_ONCE = 4, 50_000_000
+#: Pairs of a query's term and a posting up to which postings are read by term; scores that a task holds at a time.
+AT_ONCE, HELD_SCORES = 5_000_000, 4_000_000
 
 
 def best(index: Index | Segments, terms: DataFrame, top_k: int = S.TOP_K, least: float = 0.0, strict: bool = True, docs: DataFrame | None = None, at_once: int = AT_ONCE) -> DataFrame:
-    """``ranked`` of the chunks' ``scores``, with the terms they match; a large search leaves out what cannot be among the best.
+    """``ranked`` of the chunks' ``scores``, with the terms they match.
 
-    A stored index tells for each block the most that a chunk of it can score. The blocks of each query that promise most
-    are scored first; their k-th best score is one that the others have to reach, and blocks that promise less are left
-    out. Up to ``at_once`` pairs of a term and a posting, scoring all is less work. The result is the same.
+    Up to ``at_once`` pairs of a term and a posting are read by term and joined. A larger search scans the chunks' terms
+    in place: each task scores all its chunks for all queries and keeps the best of each, so that nothing but these is
+    shuffled. The result is the same.
     """
     asked = Asked.of(index, terms, None, docs)
     k = max(1, min(top_k, S.MOST_TOP_K))
-    if asked.index.blocks is None or asked.rows is not None and asked.rows <= at_once:
+    if asked.index.counted is None or not asked.few or asked.rows <= at_once:
         return asked.with_terms(checkpointed(ranked(asked.scored(), k, least, strict)))
-    bounds = checkpointed(asked.bounds().filter(F.col("bound") > least))
-    small = bounds.count() <= BROADCAST_TERMS
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block"))
-    first = bounds.withColumn("nth", nth).filter(F.col("nth") <= FIRST_BLOCKS).select("query_id", "segment", "block")
-    early = checkpointed(ranked(asked.scored(first, small), k, least, strict).drop("rank", "relative"))
-    bar = early.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bar"))
-    rest = bounds.join(F.broadcast(bar) if small else bar, "query_id", "left").filter(F.col("bar").isNull() | (F.col("bound") >= F.col("bar") - 1e-6))
-    late = asked.scored(rest.join(first, ["query_id", "segment", "block"], "left_anti").select("query_id", "segment", "block"), small)
-    return asked.with_terms(checkpointed(ranked(early.unionByName(late), k, least, strict)))
+    return checkpointed(ranked(asked.scanned(k, least, strict), k, least, False))
+
+
+def _scanner(held: list[tuple], n: int, mean: float, k: int, least: float, strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """held: q, place, term, df. Batches of chunk_id, doc_id, chunk_index, length, terms -> SCANNED: of each task's chunks
+    all that may be among a query's k best, by adding up what each term gives, term by term."""
+    words = sorted({(len(t) < 2, t, df) for _, _, t, df in held})  # those of one letter last
+    number = {t: i for i, (_, t, _) in enumerate(words)}
+    queries = max(q for q, *_ in held) + 1
+    asking: list[list[int]] = [[] for _ in words]
+    listed: list[list[tuple[int, str]]] = [[] for _ in range(queries)]
+    for q, _, t, _ in sorted(held, key=lambda x: (x[0], x[1])):
+        asking[number[t]].append(q)
+        listed[q].append((number[t], t))
+    idf = np.array([math.log(1 + (n - df + 0.5) / (df + 0.5)) for _, _, df in words])
+    first_short = sum(not short for short, *_ in words)
+
+    def hits(batch: pa.RecordBatch, bar: np.ndarray) -> pa.RecordBatch:
+        rows, lists = batch.num_rows, batch.column("terms")
+        flat = lists.flatten()
+        ids = pc.fill_null(pc.index_in(flat.field("term"), value_set=pa.array([t for _, t, _ in words], pa.string())), -1).to_numpy()
+        row = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        known = ids >= 0
+        ids, row, tf = ids[known], row[known], flat.field("tf").to_numpy()[known].astype(float)
+        length = batch.column("length").to_numpy()[row]
+        gain = idf[ids] * (tf * (S.K1 + 1)) / (tf + S.K1 * (1 - S.B + S.B * (length / mean if mean > 0 else 1.0)))
+        order = np.argsort(ids, kind="stable")
+        at = np.searchsorted(ids[order], np.arange(len(words) + 1))
+        scores, good = np.zeros((queries, rows)), None
+        for w in range(len(words)):
+            if strict and w == first_short:
+                good = scores > 0
+            mine = order[at[w] : at[w + 1]]
+            if len(mine):
+                scores[np.ix_(asking[w], row[mine])] += gain[mine]
+        good = scores > least if good is None else good & (scores > least)
+        scores[~good] = -np.inf
+        if rows >= k:
+            np.maximum(bar, np.partition(scores, rows - k, axis=1)[:, rows - k], out=bar)
+        q, c = np.nonzero(good & (scores >= bar[:, None] - 2e-9))  # scores that agree to nine places tie
+        s, place = scores[q, c], batch.column("chunk_index").to_numpy()[c]
+        name = np.array(batch.column("chunk_id").take(pa.array(c)).to_pylist(), dtype=object)
+        by = np.lexsort((np.unique(name, return_inverse=True)[1] if len(c) else c, place, -s, q))
+        q, c, s = q[by], c[by], s[by]
+        fresh = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1]) | (s[1:] != s[:-1]))) if len(q) else np.zeros(0, bool))
+        kept = np.arange(len(q)) - np.repeat(fresh, np.diff(np.append(fresh, len(q)))) < k  # of equal scores k are enough
+        q, c, s = q[kept], c[kept], s[kept]
+        ends = np.searchsorted(row, np.arange(rows + 1))
+        found = []
+        for a, b in zip(q.tolist(), c.tolist(), strict=True):
+            has = set(ids[ends[b] : ends[b + 1]].tolist())
+            found.append([t for i, t in listed[a] if i in has][:8])
+        taken = batch.select(["doc_id", "chunk_id", "chunk_index"]).take(pa.array(c))
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), *taken.columns, pa.array(s), pa.array(found, pa.list_(pa.string()))], ["q", "doc_id", "chunk_id", "chunk_index", "score", "terms"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bar, most = np.full(queries, -np.inf), max(1, HELD_SCORES // queries)
+        for batch in batches:
+            for i in range(0, batch.num_rows, most):
+                yield hits(batch.slice(i, most), bar)
+
+    return run
+
+
+SCANNED = "q int, doc_id string, chunk_id string, chunk_index int, score double, terms array<string>"
 
 
 def tag_scope(docs: DataFrame, tags: Sequence[str]) -> DataFrame:
@@ -160,7 +231,9 @@ def search(index: Index | Segments, chunks: DataFrame, docs: DataFrame, queries:
     if doc_id is not None:
         scope = (scope if scope is not None else docs.select("doc_id")).filter(F.col("doc_id") == doc_id)
     top = best(index, query_terms(queries), top_k, least, strict, scope)
-    hits = top.drop("chunk_index").join(chunks, ["doc_id", "chunk_id"]).join(docs.select("doc_id", F.col("name").alias("doc_name"), F.col("tags").alias("doc_tags")), "doc_id")
+    top = few_rows(checkpointed(top))  # neither chunks nor documents are shuffled for some hits
+    named = docs.join(top, "doc_id", "left_semi").select("doc_id", F.col("name").alias("doc_name"), F.col("tags").alias("doc_tags"))
+    hits = chunks.join(top.drop("chunk_index"), ["doc_id", "chunk_id"]).join(named, "doc_id")
     snippet = X.snippet("text", F.col("terms") if centre else None)
     return hits.select("query_id", "rank", "doc_id", "doc_name", "doc_tags", "chunk_id", "chunk_index", "title", "text", "summary", "entities", "page", "section_path", F.col("relative").alias("score"), "terms", snippet.alias("snippet"))
 
