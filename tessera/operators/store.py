@@ -15,7 +15,7 @@ from tessera import schema as S
 from tessera.functions import text as X
 from tessera.operators import containment
 from tessera.operators.index import LENGTHS, Segments
-from tessera.storage import checkpointed
+from tessera.storage import checkpointed, stored
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -70,6 +70,10 @@ def carry_summaries(new: DataFrame, old: DataFrame, least: int = 300) -> DataFra
     return rows.withColumn("summary", F.coalesce("same", "within", "summary")).select(new.columns)
 
 
+#: Rows of a bucket that one task writes.
+ROWS_OF_FILE = 20_000
+
+
 class Busy(RuntimeError):
     """Another writer is changing the table."""
 
@@ -161,8 +165,10 @@ class Tables:
                 new = held.join(ids, key, "left_anti").unionByName(of(held.join(ids, key, "left_semi")).select([f.name for f in schema]))
             # a row without a key in each bucket, so that a bucket that has become empty is replaced too
             marks = self.spark.createDataFrame([(b,) for b in which], "bucket int").select("bucket", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-            rows = checkpointed(new.select([f.name for f in schema])).filter(F.col(key).isNotNull()).withColumn("bucket", self._bucket(key)).unionByName(marks)
-            rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+            held = stored(new.select([f.name for f in schema]).filter(F.col(key).isNotNull()))
+            parts = max(1, -(-held.count() // (ROWS_OF_FILE * self.buckets)))
+            rows = held.withColumn("bucket", self._bucket(key)).unionByName(marks)
+            rows.repartition(parts * self.buckets, "bucket", F.pmod(F.hash(key), F.lit(parts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def write(self, name: str, table: DataFrame) -> None:
         """Replaces the whole table. Its key is the first column of the table's schema."""
