@@ -71,7 +71,7 @@ def capped(nodes: DataFrame, edges: DataFrame, most_nodes: int = S.GRAPH_NODES,
 
 def degrees(edges: DataFrame) -> DataFrame:
     """id, degree: the weights of a node's edges at either end."""
-    ends = edges.select(F.col("source").alias("id"), "weight").unionByName(edges.select(F.col("target").alias("id"), "weight"))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id"), "weight")  # not a union, which makes the edges twice
     return ends.groupBy("id").agg(F.sum("weight").alias("degree"))
 
 

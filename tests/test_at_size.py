@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import chunking
+from tessera.operators import chunking, graph
 
 
 def _plan(df) -> str:
@@ -20,3 +20,10 @@ def test_chunks_are_made_in_one_pass_with_titles_as_in_the_columns(spark):
     made = chunking.local_chunks(spark.createDataFrame([(1, "# Big Head\n\nabout Small Thing"), (2, None)], "doc_id long, text string"))
     assert _plan(made).count("EvalPython") == 1
     assert [(r.chunk_id, r.title, r.heading, r.entities) for r in made.collect()] == [("1#0", "Big Head", True, ["Big Head", "Small Thing"])]
+
+
+def test_degrees_make_the_edges_once(spark):
+    edges = spark.createDataFrame([("a", "b", 2), ("b", "c", 3), ("c", "c", 1)], "source string, target string, weight long")
+    found = graph.degrees(edges)
+    assert "Union" not in _plan(found)
+    assert {r.id: r.degree for r in found.collect()} == {"a": 2, "b": 5, "c": 5}
