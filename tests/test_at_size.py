@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import chunking, graph
+from tessera.operators.index import Segments
 
 
 def _plan(df) -> str:
@@ -27,3 +28,14 @@ def test_degrees_make_the_edges_once(spark):
     found = graph.degrees(edges)
     assert "Union" not in _plan(found)
     assert {r.id: r.degree for r in found.collect()} == {"a": 2, "b": 5, "c": 5}
+
+
+def test_a_segment_is_counted_while_it_is_written(spark, tmp_path):
+    rows = [(f"d{i}", f"d{i}#0", 0, "t", f"w{i % 3} common", [], None) for i in range(30)]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id string, chunk_index int, title string, text string, entities array<string>, summary string")
+    made = Segments(spark, str(tmp_path / "i"))
+    made.add(chunks)
+    assert {r.term: r.df for r in made.index().frequencies.collect()} == {"t": 30, "common": 30, "w0": 10, "w1": 10, "w2": 10}
+    assert made.index().postings.select(F.sum("tf")).first()[0] == 30 * 5 and made.stats() == (30, 5.0)
+    made.add(chunks.withColumns({"title": F.lit(""), "text": F.lit("")}))  # no terms any more
+    assert made.index().postings.count() == 0 and made.stats() == (30, 0.0)
