@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import chunking, graph
 from tessera.operators.index import Segments
+from tessera.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
 
 
 def _plan(df) -> str:
@@ -39,3 +42,7 @@ def test_a_segment_is_counted_while_it_is_written(spark, tmp_path):
     assert made.index().postings.select(F.sum("tf")).first()[0] == 30 * 5 and made.stats() == (30, 5.0)
     made.add(chunks.withColumns({"title": F.lit(""), "text": F.lit("")}))  # no terms any more
     assert made.index().postings.count() == 0 and made.stats() == (30, 0.0)
+
+
+def test_carried_summaries_cut_each_text_once(spark):
+    assert _plan(catalogue.QUERIES["summary_carryover"](spark, SF)).count("EvalPython") == 1
