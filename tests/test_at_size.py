@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import chunking, graph
+from tessera.operators import chunking, graph, index
 from tessera.operators.index import Segments
 from tessera.plans import catalogue
 
@@ -44,5 +44,32 @@ def test_a_segment_is_counted_while_it_is_written(spark, tmp_path):
     assert made.index().postings.count() == 0 and made.stats() == (30, 0.0)
 
 
+def test_postings_are_stored_by_term_without_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "FILE_ROWS", 10)
+    rows = [(f"d{i}", f"d{i}#0", 0, f"ü{i % 5}", f"w{i % 3} common w{i % 3} 漢字", ["Some Name"], None) for i in range(60)]
+    rows[7] = ("d7", "other", *rows[7][2:])
+    rows += [("e", "e#0", 0, "", "", [], None)]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id string, chunk_index int, title string, text string, entities array<string>, summary string").repartition(3)
+    made, plain = Segments(spark, str(tmp_path / "i"), 4), index.build_index(chunks)
+    made.add(chunks)
+    held = lambda df: sorted(map(tuple, df.select("term", "doc_id", "chunk_id", "chunk_index", "tf", "length").collect()))
+    assert held(made.index().postings) == held(plain.postings)
+    assert held(made.narrowed(["common", "w1"], list(range(4))).postings) == held(plain.postings.filter("term in ('common', 'w1')"))
+    monkeypatch.setattr(index, "PUSHED_TERMS", 1)
+    assert held(made.narrowed(["common", "w1"], list(range(4))).postings) == held(plain.postings.filter("term in ('common', 'w1')"))
+    assert {(r.term, r.df) for r in made.index().frequencies.collect()} == {(r.term, r.df) for r in plain.frequencies.collect()}
+    packed = index._packed(made._read("counted", index.COUNTED))
+    assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert packed.count() < plain.postings.count()
+    for name, n in (("BLOCK", 40), ("ROW", 7), ("SENT", 16)):
+        monkeypatch.setattr(index, name, n)
+    counted = made._read("counted", index.COUNTED).select("doc_id", "chunk_id", "chunk_index", "length", "terms").toArrow()
+    sent = list(index._pack(iter(counted.to_batches(max_chunksize=3))))
+    assert max(n for b in sent for n in b.column("n").to_pylist()) <= 7
+    got = [(t, *(p[c] for c in ("doc_id", "chunk_id", "chunk_index", "tf", "length"))) for b in sent for t, n, ps in zip(*b.to_pydict().values(), strict=True) for p in ps]
+    assert sorted((t, d, c or f"{d}#{i}", i, *r) for t, d, c, i, *r in got) == held(plain.postings)
+    assert {d for _, d, c, *_ in got if c} == {"d7"}
+
+
 def test_carried_summaries_cut_each_text_once(spark):
     assert _plan(catalogue.QUERIES["summary_carryover"](spark, SF)).count("EvalPython") == 1
