@@ -232,6 +232,19 @@ def test_against_next_as_brute_force(spark, parts, most):
     assert counted(got) == against_next_brute(rows, most)
 
 
+def test_all_anchors_of_long_texts_give_exact_likeness(spark):
+    rng = random.Random(5)
+    head, tail = prose(rng, 1500), prose(rng, 1500)
+    rows = [(1, head + " " + tail), (2, tail + " " + head), (3, head), (4, None)]
+    assert len(anchors_brute(rows[0][1])) > 2 * syncmers.MOST
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = syncmers.against_next(docs, most=None)
+    assert counted(got.select("doc_id", "n_chars", "edited_text", F.round("near_edited", 9), F.round("near_next", 9))) == against_next_brute(rows, 1 << 40)
+    marks = {r["doc_id"]: r["fingerprint"] for r in syncmers.fingerprints(docs, most=None).collect()}
+    assert marks == {r["doc_id"]: r["fingerprint"] for r in got.collect()}
+    assert len(syncmers._read(marks[1])[1]) == len(anchors_brute(rows[0][1]))
+
+
 def test_against_next_of_one_many_equal_and_no_rows(spark):
     schema = "doc_id long, text string"
     assert syncmers.against_next(spark.createDataFrame([], schema)).count() == 0
