@@ -13,14 +13,22 @@ from tessera.storage import new_path
 from tessera.streaming import states
 
 
+#: Rows of each batch of a stream from which these are written by several tasks.
+ROWS_OF_FILE = 100_000
+
+
 def _stream(spark: SparkSession, table: DataFrame, files: int = 2) -> DataFrame:
-    """A stream of a table's rows, dealt by order into files, of which a batch takes one."""
+    """A stream of a table's rows, dealt by order into batches, each of which takes as many files."""
     path = new_path(spark, "stream")
     table.write.parquet(f"{path}/whole")
     whole = spark.read.schema(table.schema).parquet(f"{path}/whole")
+    sizes = whole.agg(*[F.count_if(F.col("__file") == k) for k in range(files)]).first()
+    # Where rows are few some task would have none, and write no file.
+    each = 1 if min(sizes) < ROWS_OF_FILE else min(spark.sparkContext.defaultParallelism, -(-max(sizes) // ROWS_OF_FILE))
     for k in range(files):
-        whole.filter(F.col("__file") == k).drop("__file").coalesce(1).write.mode("append").parquet(f"{path}/files")
-    return spark.readStream.schema(whole.drop("__file").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/files")
+        part = whole.filter(F.col("__file") == k).drop("__file")
+        (part.coalesce(1) if each == 1 else part.repartition(each)).write.mode("append").parquet(f"{path}/files")
+    return spark.readStream.schema(whole.drop("__file").schema).option("maxFilesPerTrigger", each).parquet(f"{path}/files")
 
 
 def _last(rows: DataFrame, key: str) -> DataFrame:

@@ -3,8 +3,10 @@
 import datetime
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.plans import streams
 from tessera.streaming import states
 
 
@@ -63,3 +65,58 @@ def test_pairs_of_two_streams(spark, tmp_path):
     out = states.run_now(states.paired(left, right), str(tmp_path / "out"))
     assert {(r.doc_id, r.left_id, r.right_id) for r in out.collect()} == {("a", 1, 4), ("a", 1, 7), ("a", 3, 7)}
     assert out.filter(F.col("doc_id").isNull()).count() == 0
+
+
+def test_documents_share_states_in_groups(spark, tmp_path):
+    """60 documents in 4 groups keep 4 states, and each document its own status."""
+    first = [(f"d{k}", at(k), k, "queued" if k % 2 else "done", None) for k in range(60)]
+    second = [(f"d{k}", at(k + 100), k + 100, "extracting", None) for k in range(60)]
+    out = states.lifecycles(batches(spark, tmp_path, EVENTS, first, second), groups=4)
+    query = out.writeStream.outputMode("update").format("memory").queryName("grouped").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    got = {r.doc_id: (r.status, r.refused) for r in spark.table("grouped").filter("events = 2").collect()}
+    assert got == {f"d{k}": ("extracting", 0) if k % 2 else ("done", 1) for k in range(60)}
+
+
+def test_documents_of_a_group_are_forgotten_one_by_one():
+    """A group's timer forgets the documents that had no rows for that long, and waits on for the others."""
+
+    class State:
+        exists, hasTimedOut, get, now, wait = False, False, None, 1000, None
+
+        def getCurrentProcessingTimeMs(self):
+            return self.now
+
+        def update(self, new):
+            self.exists, self.get = True, new
+
+        def setTimeoutDuration(self, wait):
+            self.wait = wait
+
+        def remove(self):
+            self.exists = False
+
+    def rows(*of):
+        return iter([pd.DataFrame(of, columns=["doc_id", "t", "event_id", "change"])])
+
+    state, step = State(), states._follow(500)
+    list(step((0,), rows(("a", 1, 1, "queued"), ("b", 1, 2, "queued")), state))
+    state.now = 1300
+    out = pd.concat(step((0,), rows(("b", 2, 3, "extracting")), state))
+    assert out.to_numpy().tolist() == [["b", "extracting", 2, 0]] and state.wait == 200
+    state.now, state.hasTimedOut = 1500, True
+    assert not sum(map(len, step((0,), iter([]), state)))
+    assert state.exists and state.wait == 300 and '"a"' not in state.get[0] and '"b"' in state.get[0]
+    state.now = 1800
+    list(step((0,), iter([]), state))
+    assert not state.exists
+
+
+def test_large_batches_are_written_by_several_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(streams, "ROWS_OF_FILE", 500)
+    table = spark.range(4000).select("id", (F.col("id") >= 1500).cast("int").alias("__file"))
+    monkeypatch.setattr(streams, "new_path", lambda spark, stem: str(tmp_path / stem))
+    out = states.run_now(streams._stream(spark, table), str(tmp_path / "out"))
+    assert len(list((tmp_path / "stream" / "files").glob("*.parquet"))) > 2
+    assert {(r.batch, r.least, r.n) for r in out.groupBy("batch").agg(F.min("id").alias("least"), F.count("*").alias("n")).collect()} == {(0, 0, 1500), (1, 1500, 2500)}
