@@ -149,7 +149,7 @@ def _later(classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: in
     rows = _rows(joined, percent)
     verified = lambda found: _verified(found, classes, docs, id_, text, percent)
     large = _large(rows, STAR)
-    gone = verified(_stars(rows, large, percent, 1))
+    gone = verified(_stars(rows, large, joined, percent, 1))
     found = [gone]
     for tokens in range(1, KEY_TOKENS + 1):
         wider = large.filter(F.col("many") > PAIRED).select("key")
@@ -165,7 +165,7 @@ def _later(classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: in
         held = rows.join(bounded(wide, BROADCAST_KEYS), "key", "left_semi")
         rows = stored(_extended(held, joined, percent, tokens))
         large = _large(rows, STAR)
-        gone = materialize(reduce(DataFrame.unionByName, [*found, verified(_stars(rows, large, percent, tokens + 1))]).distinct())
+        gone = materialize(reduce(DataFrame.unionByName, [*found, verified(_stars(rows, large, joined, percent, tokens + 1))]).distinct())
         found = [gone]
     return reduce(DataFrame.unionByName, found).distinct()
 
@@ -179,8 +179,8 @@ def _rows(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _large(rows: DataFrame, most: int) -> DataFrame:
-    """key, many of the keys of more than ``most`` rows."""
-    return materialize(rows.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most))
+    """key, many, first (the least node) of the keys of more than ``most`` rows."""
+    return materialize(rows.groupBy("key").agg(F.count("*").alias("many"), F.min("node").alias("first")).filter(F.col("many") > most))
 
 
 def _wide(rows: DataFrame, gone: DataFrame, wider: DataFrame) -> DataFrame | None:
@@ -200,23 +200,34 @@ def _extended(rows: DataFrame, classes: DataFrame, percent: int, tokens: int) ->
 
 def _candidates(a: DataFrame, b: DataFrame, percent: int, tokens: int, more: Column | None = None) -> DataFrame:
     """a, b: key, node, at, BITS. Pairs of an earlier and a later node of one key that pass the length, positional and
-    bitmap filters; the key's tokens are the first that both share, or later ones."""
+    bitmap filters, and in how many bits they differ; the key's tokens are the first that both share, or later ones."""
     a, b = (x.select("key", *[F.col(c).alias(f"{c}_{k}") for c in x.columns if c != "key"]) for k, x in (("a", a), ("b", b)))
     n = {k: F.shiftright(F.col(f"at_{k}"), 32) for k in "ab"}
     left = {k: n[k] - F.col(f"at_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in "ab"}
     need = _least_overlap(n["a"], n["b"], percent)
     close = (100 * n["a"] >= percent * n["b"]) & (100 * n["b"] >= percent * n["a"])
     room = F.least(left["a"], left["b"]) + F.lit(tokens - 1) >= need
-    alike = _differing(n["a"], n["b"]) <= n["a"] + n["b"] - 2 * need
+    differ = _differing(n["a"], n["b"])
+    alike = differ <= n["a"] + n["b"] - 2 * need
     fits = (F.col("node_a") < F.col("node_b")) & close & room & alike
-    return a.join(b, "key").filter(fits if more is None else more & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return a.join(b, "key").filter(fits if more is None else more & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), differ.alias("differ"))
 
 
-def _stars(rows: DataFrame, large: DataFrame, percent: int, tokens: int) -> DataFrame:
-    """Of each group of a large key, the first class with each other one."""
-    held = rows.join(bounded(large.select("key"), BROADCAST_KEYS), "key", "left_semi")
-    first = held.groupBy("key").agg(F.min(F.struct("node", "at", *BITS)).alias("x")).select("key", "x.*")
-    return _candidates(first, held, percent, tokens).distinct()
+def _stars(rows: DataFrame, large: DataFrame, classes: DataFrame, percent: int, tokens: int) -> DataFrame:
+    """a, b, differ: of each group of a large key, the first class with each other one that passes the filters.
+
+    The first's size and bitmap come with its key, so the rows are compared where they are; its token's place is not known.
+    """
+    of_first = classes.join(large.select(F.col("first").alias("node")).distinct(), "node", "left_semi")
+    firsts = large.select("key", "first").join(of_first.select(F.col("node").alias("first"), F.col("n").cast("long").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in BITS]), "first")
+    size = F.shiftright("at", 32)
+    held = rows.select("key", "node", size.alias("n_b"), (size - F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("left_b"), *[F.col(c).alias(f"{c}_b") for c in BITS])
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    need = _least_overlap(n_a, n_b, percent)
+    close = (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a) & (F.col("left_b") + F.lit(tokens - 1) >= need)
+    differ = _differing(n_a, n_b)
+    fits = (F.col("first") < F.col("node")) & close & (differ <= n_a + n_b - 2 * need)
+    return held.join(bounded(materialize(firsts), BROADCAST_KEYS), "key").filter(fits).select(F.col("first").alias("a"), F.col("node").alias("b"), differ.alias("differ")).distinct()
 
 
 def _paired(rows: DataFrame, wider: DataFrame | None, wide: DataFrame | None, percent: int, tokens: int) -> DataFrame:
@@ -237,14 +248,23 @@ def _paired(rows: DataFrame, wider: DataFrame | None, wide: DataFrame | None, pe
 
 
 def _verified(found: DataFrame, classes: DataFrame, docs: DataFrame, id_: str, text: str, percent: int) -> DataFrame:
-    """found: a, b. The later nodes of similar pairs, as node."""
+    """found: a, b, differ. The later nodes of similar pairs, as node.
+
+    One similar class is enough, so a node is compared with the likeliest first, whose bitmap differs least, and with
+    its others only if that one is not similar: of many near copies each costs a row, not one for each other copy.
+    """
     found = materialize(found)
     nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
     words = materialize(_words(docs, id_, text, classes.select("node", *PLACE).join(nodes, "node", "left_semi")))
     a, b = (words.select(*[F.col(c).alias(n) for c, n in (("node", k), ("words", f"words_{k}"))]) for k in "ab")
     shared = F.size(F.array_intersect("words_a", "words_b"))
     alike = 100 * shared >= percent * (F.size("words_a") + F.size("words_b") - shared)
-    return materialize(found.join(a, "a").join(b, "b").filter(alike).select(F.col("b").alias("node")).distinct())
+    likeliest = found.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("b", F.col("x.a").alias("a"))
+    first = materialize(likeliest.join(a, "a").join(b, "b").select(F.col("b").alias("node"), alike.alias("alike")))
+    # The likeliest one is not taken out of a node's others: that would cost a join more.
+    others = found.join(bounded(first.filter(~F.col("alike")).select(F.col("node").alias("b")), BROADCAST_KEYS), "b", "left_semi").select("a", "b")
+    rest = others.join(a, "a").join(b, "b").filter(alike).select(F.col("b").alias("node")).distinct()
+    return materialize(first.filter("alike").select("node").unionByName(rest))
 
 
 def _words(docs: DataFrame, id_: str, text: str, wanted: DataFrame) -> DataFrame:

@@ -345,6 +345,42 @@ def test_line_dedup_of_short_lines(spark):
     assert {r.doc_id: r.text for r in out} == {k: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[k]) for k, t, _, _ in rows}
 
 
+def joined_rows(df):
+    """The rows that the joins of a DataFrame's finished plan have made."""
+    rows, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        name = node.nodeName()
+        if "Join" in name:
+            rows += node.metrics().get("numOutputRows").get().value()
+        if name == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+        elif "QueryStage" in name:
+            stack.append(node.plan())
+        stack += [node.children().apply(k) for k in range(node.children().size())]
+    return rows
+
+
+def test_line_dedup_verifies_near_copies_in_proportion(spark, monkeypatch):
+    """Of 60 near copies, whose words other lines have first, each is compared with few others on its words."""
+    made, plain = [], line_dedup.materialize
+
+    def counted(df):
+        out = plain(df)
+        if "words_a" in df._jdf.queryExecution().analyzed().toString():
+            made.append(joined_rows(df))
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    ws, common = [f"w{k}" for k in range(39)], [f"c{k}" for k in range(30)]
+    first = [" ".join(ws[k : k + 10] + common) for k in range(0, 39, 10)]
+    copies = [" ".join([*ws, f"own{k}"]) for k in range(60)]
+    others = [" ".join(common + [f"u{k}v{i}" for i in range(40)]) for k in range(120)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.report(table(spark, [(k, x, "en", "s") for k, x in enumerate(first + copies + others)])).collect()}
+    assert got == {k: int(4 < k < 64) for k in range(184)}
+    assert 0 < sum(made) < 600  # 60 * 59 / 2 pairs, joined twice, are 3,540
+
+
 def test_line_dedup_keys_lines_by_row(spark):
     """Documents without an id, or with a repeated one, lose their own repeated lines and no others."""
     rng = random.Random(15)
