@@ -121,8 +121,8 @@ def _printable(data: bytes) -> str:
 _LITERAL = re.compile(rb"\((?:[^()\\]|\\.)*\)", re.S)
 
 
-# Fixed value: the note on a file of more pages than are read.
-TOO_LONG = "PDF 共 {} 页，已截取前 {} 页以避免解析耗尽资源"
+# Fixed value: the note on a file that says it has more pages than are found in it.
+MISSING = "PDF 共 {} 页，只读到 {} 页"
 
 
 def pdf_text(data: bytes) -> tuple[str, list[str] | None, str | None, str | None]:
@@ -132,7 +132,7 @@ def pdf_text(data: bytes) -> tuple[str, list[str] | None, str | None, str | None
     pages = ["\n".join(pdf.lines_of(doc, p)) for p in doc.pages()] if doc else []
     if any(pages):
         total = doc.count()
-        return re.sub(r"[ \t]+\n", "\n", "\n\n".join(pages)).strip(), pages, TOO_LONG.format(total, len(pages)) if total > len(pages) else None, pdf.bookmarks_of(doc)
+        return re.sub(r"[ \t]+\n", "\n", "\n\n".join(pages)).strip(), pages, MISSING.format(total, len(pages)) if total > len(pages) else None, pdf.bookmarks_of(doc)
     bodies = [data]
     for m in re.finditer(rb"stream\r?\n(.*?)endstream", data, re.S):
         try:

@@ -57,3 +57,10 @@ def test_rows_of_pages(spark):
     assert found == sorted([("a", k + 1, [f"page {k}"]) for k in range(25)] + [("a", 1, ["other"]), ("b", 1, ["Erste Zeile", "zwei Worte", "漢字 😀"]), ("b", 2, []), ("b", 3, ["last (page) \\ é"])])
     whole = extract.extract(spark.createDataFrame([("b", "b.pdf", "", rows[1][1])], "doc_id string, name string, mime string, content binary")).first()
     assert whole.pages == ["Erste Zeile\nzwei Worte\n漢字 😀", "", "last (page) \\ é"] and json.loads(whole.bookmarks)[0]["title"] == "Top"
+
+
+def test_all_pages_of_a_long_file():
+    data = pdf_of([[f"page {k}"] for k in range(3005)], [])
+    doc = pdf.opened(data)
+    assert [doc.lines(p) for p in doc.pages()] == [[f"page {k}"] for k in range(3005)]
+    assert extract.pdf_text(data)[2] is None and "3006" in extract.pdf_text(data.replace(b"/Count 3005", b"/Count 3006"))[2]
