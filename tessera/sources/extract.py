@@ -126,13 +126,14 @@ MISSING = "PDF 共 {} 页，只读到 {} 页"
 
 
 def pdf_text(data: bytes) -> tuple[str, list[str] | None, str | None, str | None]:
-    """Text, pages, a warning and bookmarks as JSON. Where no page has text, string literals are salvaged, also from
-    deflated streams."""
+    """Text, pages, a warning and bookmarks as JSON, which a file without text may have too. Where no page has text, string
+    literals are salvaged, also from deflated streams."""
     doc = pdf.opened(data)
     pages = ["\n".join(pdf.lines_of(doc, p)) for p in doc.pages()] if doc else []
+    marks = pdf.bookmarks_of(doc) if doc else None
     if any(pages):
         total = doc.count()
-        return re.sub(r"[ \t]+\n", "\n", "\n\n".join(pages)).strip(), pages, MISSING.format(total, len(pages)) if total > len(pages) else None, pdf.bookmarks_of(doc)
+        return re.sub(r"[ \t]+\n", "\n", "\n\n".join(pages)).strip(), pages, MISSING.format(total, len(pages)) if total > len(pages) else None, marks
     bodies = [data]
     for m in re.finditer(rb"stream\r?\n(.*?)endstream", data, re.S):
         try:
@@ -146,7 +147,7 @@ def pdf_text(data: bytes) -> tuple[str, list[str] | None, str | None, str | None
             if len(s.strip()) > 1:
                 found.append(s)
     text = " ".join(" ".join(found).split())
-    return text or _printable(data), None, "the file's text was salvaged from its bytes and may be incomplete", None
+    return text or _printable(data), None, "the file's text was salvaged from its bytes and may be incomplete", marks
 
 
 def route(files: DataFrame) -> DataFrame:
@@ -207,17 +208,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def flatten_bookmarks(rows: DataFrame) -> DataFrame:
     """doc_id, bookmarks (nested JSON: title, page, items) -> doc_id, outline. Untitled nodes are skipped, their children kept."""
 
-    def walk(items: list, level: int, path: list[str], out: list[dict]) -> list[dict]:
-        for x in items or []:
+    def walk(items: list) -> list[dict]:
+        out, stack = [], [(x, 1, []) for x in reversed(items)]
+        while stack:
+            x, level, path = stack.pop()
             title = " ".join(str(x.get("title") or "").split())
             if title:
                 out.append({"level": min(level, 9), "title": title, "page": int(x.get("page") or 0), "path": path or None})
-            walk(x.get("items"), level + 1, [*path, title] if title else path, out)
+            below = [*path, title] if title else path
+            stack += [(y, level + 1, below) for y in reversed(x.get("items") or [])]
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "outline": [walk(json.loads(b or "[]"), 1, [], []) for b in f["bookmarks"]]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "outline": [walk(json.loads(b or "[]") or []) for b in f["bookmarks"]]})
 
     return rows.select("doc_id", "bookmarks").mapInPandas(run, "doc_id string, outline array<struct<level:int,title:string,page:int,path:array<string>>>")
 

@@ -2,6 +2,10 @@
 
 import json
 
+import duckdb
+import pytest
+
+import __spark_entry__
 from tessera.plans.files import pdf_of
 from tessera.sources import extract, pdf
 
@@ -64,3 +68,39 @@ def test_all_pages_of_a_long_file():
     doc = pdf.opened(data)
     assert [doc.lines(p) for p in doc.pages()] == [[f"page {k}"] for k in range(3005)]
     assert extract.pdf_text(data)[2] is None and "3006" in extract.pdf_text(data.replace(b"/Count 3005", b"/Count 3006"))[2]
+
+
+def test_bookmarks_of_long_textless_and_deep_files(spark):
+    n = 6100
+    marks = [("Top", 1), *[(f"m{k}", k) for k in range(2, n + 1)]]
+    doc = pdf.opened(pdf_of([["x"]] * n, marks))
+    assert [(x["title"], x["page"]) for x in doc.bookmarks()[0]["items"]] == marks[1:]
+    blank = pdf_of([[" "], []], MARKS[:2])
+    deep = b"%PDF-1.4\n1 0 obj << /Pages 2 0 R /Outlines 3 0 R /Names << /Dests << /Kids [4 0 R 4 0 R] >> >> >> endobj 2 0 obj << /Kids [5 0 R 6 0 R] >> endobj 3 0 obj << /First 10 0 R >> endobj 4 0 obj << /Names [(a) [6 0 R]] /Kids [4 0 R] >> endobj 5 0 obj << >> endobj 6 0 obj << >> endobj "
+    deep += b"".join(b"%d 0 obj << /Title (t%d) /Dest (a) /First %d 0 R >> endobj " % (k, k, k + 1) for k in range(10, 1500)) + b"trailer << /Root 1 0 R >>"
+    files = spark.createDataFrame([("blank", "a.pdf", "", blank), ("deep", "b.pdf", "", deep)], "doc_id string, name string, mime string, content binary")
+    got = {r.doc_id: r.outline for r in extract.flatten_bookmarks(extract.extract(files).filter("bookmarks is not null")).collect()}
+    assert [(e.title, e.page, e.level) for e in got["blank"]] == [("Top", 1, 1), ("Below – 2", 2, 2)]
+    assert [(e.title, e.page) for e in got["deep"]] == [(f"t{k}", 2) for k in range(10, 1500)] and len(got["deep"][-1].path) == 1489
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """An input folder of documents without text or id, and of a long one."""
+    path = str(tmp_path_factory.mktemp("odd"))
+    texts = [None, "", " ", "\n" * 50, " \t\n\u3000", "plain text", "two\nlines", "\n".join(f"line {k}" for k in range(450))]
+    rows = [*enumerate(texts), (None, "no id"), (5, "id of another")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_bookmarks_of_odd_documents_are_as_in_sql(spark, odd):
+    assert_as_in_sql(spark, odd, "pdf_bookmarks")
+
+
+def assert_as_in_sql(spark, path, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    result = db.execute(__spark_entry__.oracle_sql()[name])
+    got = __spark_entry__.queries()[name](spark, path).select(*[d[0] for d in result.description]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(result.fetchall(), key=repr)
