@@ -89,6 +89,7 @@ def odd(spark, tmp_path_factory):
     """An input folder of documents without text or id, and of a long one."""
     path = str(tmp_path_factory.mktemp("odd"))
     texts = [None, "", " ", "\n" * 50, " \t\n\u3000", "plain text", "two\nlines", "\n".join(f"line {k}" for k in range(450))]
+    texts += ["a\x00b", "\ufeffstart \ufeff", "x\u0085\x1cy\x1d", "\u00a0 l1\r\nl2\rl3\u2028", "\U0001f600 \ud7ff\ue000\uffff", "(paren) \\ % <41> /N 5 0 obj endstream"]
     rows = [*enumerate(texts), (None, "no id"), (5, "id of another")]
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
     return path
@@ -98,9 +99,35 @@ def test_bookmarks_of_odd_documents_are_as_in_sql(spark, odd):
     assert_as_in_sql(spark, odd, "pdf_bookmarks")
 
 
+def test_pages_of_odd_documents_are_as_in_sql(spark, odd):
+    assert_as_in_sql(spark, odd, "pdf_pages")
+
+
 def assert_as_in_sql(spark, path, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
     result = db.execute(__spark_entry__.oracle_sql()[name])
     got = __spark_entry__.queries()[name](spark, path).select(*[d[0] for d in result.description]).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+def test_files_are_opened_once_and_long_ones_are_read_in_parts(spark):
+    rows = [(1, pdf_of([[f"page {k}", "漢字"] for k in range(2000)], [])), (2, pdf_of(PAGES, MARKS, True)), (3, b"no pdf"), (None, None)]
+    files = spark.createDataFrame(rows, "doc_id long, content binary")
+    pages = {1: [[f"page {k}", "漢字"] for k in range(2000)], 2: [["Erste Zeile", "zwei Worte", "漢字 😀"], [], ["last (page) \\ é"]]}
+    want = sorted((i, k + 1, lines) for i, found in pages.items() for k, lines in enumerate(found))
+    for at_a_time, long in ((3, pdf.LONG_FILE), (3, 0), (700, 20_000)):
+        got = pdf.page_rows(files, at_a_time, long)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 2 and "content" not in plan[: plan.rindex("MapInArrow")]
+        assert sorted((r.doc_id, r.page, r.lines) for r in got.collect()) == want
+
+
+def test_maps_of_fonts():
+    def shown(ranges, codes):
+        body = b"1 begincodespacerange <0000> <FFFF> endcodespacerange %s endbfrange" % ranges
+        return pdf._lines(([(b"/F 1 Tf %s Tj" % codes, 0)], {"F": (body, 0)}), {})
+
+    assert shown(b"<0041> <0043> <0061>", b"<0042>") == ["b"] and shown(b"<0041> <0043> <0061>", b"<0044>") == []
+    assert shown(b"<0000> <7FFF> <0000> <8000> <FFFF> <8000>", b"<00E9D83DDE00D800>") == ["é😀\ufffd"] == shown(b"<0000> <FFFE> <0000>", b"<00E9D83DDE00D800>")
+    assert shown(b"<0000> <FFFF> <FFFF>", b"<0001>") == []  # past the last unit: no text, and no error
